@@ -1,0 +1,139 @@
+"""Secret scans with built-in functions only: fixed patterns, and character Markov models.
+
+Three fixed kinds of spans (assign, access, hex) come from patterns. A fourth kind, markov, adds runs of
+key-like characters outside them that a first-order Markov model of random strings explains better than
+one of ordinary identifiers, by a log-likelihood ratio above a threshold. Both models are trained from
+labelled samples; in ``sample_values`` the values that the fixed patterns find are the random strings, and
+the other long words are the identifiers, from a bounded share of the texts (``max_texts``).
+
+Positions are code points, ends are exclusive. A span's start is the length of all that the pattern's
+split leaves before it, so no position needs a UDF.
+
+Cases: null text counts as empty and has no spans; with no samples no markov span is found.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: The patterns of the base kinds, in their order; assign's group is the value.
+KINDS = ("assign", "access", "hex", "markov")
+ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+#: Runs that can be key or hash material for the Markov models.
+CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+SYMBOLS = 128
+
+SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
+
+
+def _spans(text: Column, pattern: str, test: str, rank: int, value_least: int = 0, least: int = 0) -> Column:
+    """Spans of the leftmost non-overlapping matches; ``test`` is a pattern that any text with a span has."""
+    pieces = F.split(text, pattern, -1)
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if value_least else hits
+    parts = F.zip_with(F.zip_with(pieces, hits, lambda p, h: F.struct(F.length(p).alias("gap"), F.coalesce(F.length(h), F.lit(0)).alias("size"))), values, lambda x, v: F.struct(x["gap"].alias("gap"), x["size"].alias("size"), F.coalesce(F.length(v), F.lit(0)).alias("value")))
+
+    def before(i: Column) -> Column:
+        return F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda acc, x: acc + x["gap"] + x["size"])
+
+    placed = F.transform(parts, lambda x, i: F.struct((before(i) + x["gap"]).alias("start"), F.lit(rank).alias("rank"), (before(i) + x["gap"] + x["size"]).alias("end"), F.lit(KINDS[rank]).alias("kind"), x["value"].alias("value")))
+    kept = F.filter(placed, lambda x: (x["end"] > x["start"]) & (x["end"] - x["start"] >= least) & (x["value"] >= value_least))
+    plain = F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), x["kind"].alias("kind")))
+    return F.when(text.rlike(test), plain).otherwise(F.lit(None).cast(SPAN))
+
+
+def base_spans(text: Column) -> Column:
+    """Spans of the three fixed kinds, by start, then kind."""
+    none = F.array().cast(SPAN)
+    found = (
+        _spans(text, ASSIGN, ASSIGN, 0, value_least=6),
+        # greedy runs: a run that is long enough is found whole by its bounded form, and a short one not at all
+        _spans(text, r"AKIA[A-Z0-9]{16,}", r"AKIA[A-Z0-9]{16}", 1, least=20),
+        _spans(text, r"[0-9a-f]{24,}", r"[0-9a-f]{24}", 2, least=24),
+    )
+    return F.array_sort(F.concat(*(F.coalesce(x, none) for x in found)))
+
+
+def sample_values(texts: DataFrame, text: str = "text", max_texts: int = 20_000) -> DataFrame:
+    """(value, random): labelled strings from about max_texts texts, drawn by the hash of the text."""
+    n = texts.select(F.count(text)).first()[0]
+    share = min(1.0, max_texts / max(1, n))
+    drawn = texts.select(F.col(text).alias("_t")).where(F.xxhash64(F.lit(29), "_t").bitwiseAND((1 << 30) - 1) / float(1 << 30) < share).distinct()
+    keys = F.concat(
+        F.regexp_extract_all("_t", F.lit(ASSIGN), F.lit(1)), F.regexp_extract_all("_t", F.lit(r"AKIA[A-Z0-9]{16,}"), F.lit(0)), F.regexp_extract_all("_t", F.lit(r"[0-9a-f]{24,}"), F.lit(0))
+    )
+    rest = F.regexp_replace(F.regexp_replace("_t", ASSIGN, " "), r"[0-9a-f]{24,}|AKIA[A-Z0-9]{16,}", " ")
+    words = F.regexp_extract_all(rest, F.lit(r"[A-Za-z_][A-Za-z0-9_-]{7,}"), F.lit(0))
+    rows = drawn.select(F.explode(F.concat(F.transform(keys, lambda v: F.struct(v.alias("value"), F.lit(True).alias("random"))), F.transform(words, lambda v: F.struct(v.alias("value"), F.lit(False).alias("random"))))).alias("s"))
+    return rows.select("s.value", "s.random").where("NOT random OR length(value) >= 16")
+
+
+def train(samples: DataFrame) -> list[float]:
+    """Log-likelihood ratios of character pairs, 128 x 128: random strings over identifiers, add-one smoothed.
+
+    What comes to the driver is one count for each label and pair of ASCII characters.
+    """
+    pairs = samples.where("length(value) >= 2").select("random", F.explode(F.transform(F.sequence(F.lit(1), F.length("value") - 1), lambda i: F.substring("value", i, F.lit(2)))).alias("pair"))
+    pairs = pairs.where(F.col("pair").rlike(r"^[\x00-\x7f]{2}$"))
+    counts = pairs.groupBy("random", F.ascii("pair").alias("a"), F.ascii(F.substring("pair", 2, 1)).alias("b")).agg(F.count("*").alias("n")).collect()
+    import math
+
+    seen = {True: {}, False: {}}
+    for r in counts:
+        seen[r.random][r.a, r.b] = r.n
+    if not seen[True] or not seen[False]:
+        return []
+    rows = {k: {} for k in seen}
+    for k, table in seen.items():
+        for (a, _), n in table.items():
+            rows[k][a] = rows[k].get(a, 0) + n
+    kinds = 64  # characters of a candidate
+
+    def log_p(k: bool, a: int, b: int) -> float:
+        return math.log((seen[k].get((a, b), 0) + 1) / (rows[k].get(a, 0) + kinds))
+
+    return [round(log_p(True, a, b) - log_p(False, a, b), 5) for a in range(SYMBOLS) for b in range(SYMBOLS)]
+
+
+def ratio(value: Column, model: list[float]) -> Column:
+    """Log-likelihood ratio of an ASCII string."""
+    table = F.split(F.lit(" ".join(map(str, model))), " ").cast("array<double>")  # one literal after constant folding
+    codes = F.transform(F.sequence(F.lit(1), F.length(value)), lambda i: F.ascii(F.substring(value, i, F.lit(1))))
+    start = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum"))
+    step = lambda acc, c: F.struct(c.alias("last"), (acc["sum"] + F.when(acc["last"] >= 0, F.element_at(table, acc["last"] * SYMBOLS + c + 1)).otherwise(0.0)).alias("sum"))
+    return F.aggregate(codes, start, step, lambda acc: acc["sum"])
+
+
+def markov_spans(text: Column, base: Column, model: list[float], threshold: float = 8.0) -> Column:
+    """Candidate runs apart from base spans whose ratio is over the threshold."""
+    none = F.array().cast(SPAN)
+    if not model:
+        return none
+    found = F.coalesce(_spans(text, CANDIDATE, CANDIDATE, 3), none)
+    apart = F.filter(found, lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"])))
+    return F.filter(apart, lambda x: ratio(F.substring(text, x["start"] + 1, x["end"] - x["start"]), model) > threshold)
+
+
+def joined(spans: Column) -> Column:
+    return F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
+
+
+def scan(docs: DataFrame, model: list[float], text: str = "text") -> DataFrame:
+    """Adds base (the fixed kinds' spans) and spans (all of them)."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    out = docs.withColumn("base", base_spans(whole))
+    return out.withColumn("spans", F.array_sort(F.concat("base", markov_spans(whole, F.col("base"), model))))
+
+
+def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
+    """The text with each span, or run of overlapping spans, replaced."""
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+
+    def step(acc: Column, x: Column) -> Column:
+        gap = F.substring(text, acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))
+        new = F.when(x["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"])
+        return F.struct(new.alias("out"), F.greatest(acc["at"], x["end"]).alias("at"))
+
+    whole = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
