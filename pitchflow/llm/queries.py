@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lm_bloom, media, mixing, secrets, simhash, toxicity
+from . import decontam, fm_index, langid, lm_bloom, media, mixing, secrets, simhash, suffix_sort, toxicity
 from .common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,15 @@ def op2_lm_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", (fold("doc_id", 7) != 2).alias("train"))
     scored = lm_bloom.score(spark, docs)
     return scored.select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op8_fm_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fm_index.removed(spark, documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "r.n_words", "r.n_removed", "r.kept_sha256")
+
+
+@query
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_sort.removed(spark, documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "r.n_bytes", "r.n_removed", "r.n_spans", "r.kept_sha256")
