@@ -152,11 +152,15 @@ def text_key(text) -> tuple:
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8) -> DataFrame:
-    """docs' columns and n_items, best_item, coverage, reparameterised (0 and nulls for clean rows)."""
+    """docs' columns and n_items, best_item, coverage, reparameterised (0 and nulls for clean rows).
+
+    Columns of docs with one of these names are replaced.
+    """
+    docs = docs.drop("n_items", "best_item", "coverage", "reparameterised")
     found = find(spark, docs, benchmark, coverage)
     best = found.groupBy("k1", "k2").agg(F.count("*").cast("long").alias("n_items"), F.max_by("item_id", F.struct("coverage", -F.col("item_id"))).alias("best_item"), F.max("coverage").alias("coverage"), F.max("reparameterised").alias("reparameterised"))
     k1, k2 = text_key(F.col("text"))
-    keyed = docs.withColumns({"_k1": k1, "_k2": k2})
-    best = best.withColumnsRenamed({"k1": "_k1", "k2": "_k2"})
-    out = keyed.join(best, ["_k1", "_k2"], "left").drop("_k1", "_k2")
+    keyed = docs.withColumns({"_pf_k1": k1, "_pf_k2": k2})
+    best = best.withColumnsRenamed({"k1": "_pf_k1", "k2": "_pf_k2"})
+    out = keyed.join(best, ["_pf_k1", "_pf_k2"], "left").drop("_pf_k1", "_pf_k2")
     return out.withColumn("n_items", F.coalesce("n_items", F.lit(0).cast("long")))

@@ -141,7 +141,7 @@ def word_unit(size: int = 35, gram: int = 8) -> repeats.Unit:
 
 
 def removed(spark: SparkSession, docs: DataFrame, size: int = 35) -> DataFrame:
-    """docs with r: struct (n_words, n_removed, kept text of the words outside repeated windows, kept_sha256)."""
+    """docs with r (which replaces a column of that name): struct (n_words, n_removed, kept text of the words outside repeated windows, kept_sha256)."""
     unit = word_unit(size)
 
     def code(text: pa.Array, marks: pa.Array) -> pa.Array:
@@ -159,4 +159,4 @@ def removed(spark: SparkSession, docs: DataFrame, size: int = 35) -> DataFrame:
 
     udf = F.arrow_udf(code, "struct<n_words:bigint,n_removed:bigint,kept:string,kept_sha256:string>")
     marked = repeats.with_marks(spark, docs, unit)
-    return marked.withColumn("r", udf(F.coalesce("text", F.lit("")), "marks")).drop("marks")
+    return marked.withColumn("r", udf(F.coalesce("text", F.lit("")), "_pf_marks")).drop("_pf_marks")

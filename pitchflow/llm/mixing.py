@@ -95,3 +95,35 @@ def mix(spark: SparkSession, docs: DataFrame, weights: dict[str, dict[str, float
     within = Window.partitionBy(*LEVELS, "_part").orderBy("_key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     last = last.withColumn("_at", F.col("_before") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
     return full.unionByName(last.where((F.col("_at") < F.col("left")) & (F.col("n_tokens") > 0)).select(*keep, F.col("whole").alias("epoch")))
+
+
+def mix_sql(weights: dict[str, dict[str, float]], fraction: float = 0.5, epochs: int = 3, seed: int = 7) -> str:
+    """The same in DuckDB's SQL over documents, as an oracle."""
+    parts = [
+        "d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, 'd' || coalesce(try_cast(nullif(regexp_extract(coalesce(source, ''), '([0-9]+)$', 1), '') AS BIGINT) % 4, 0) AS domain, "
+        "CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n_tokens FROM documents)",
+        f"leaf AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS leaf_tokens, CAST(sum(n_tokens) AS DOUBLE) * {epochs} AS capacity FROM d GROUP BY 1, 2, 3)",
+        f"take AS (SELECT floor(coalesce(sum(leaf_tokens), 0) * {fraction}) AS b FROM leaf)",
+    ]
+    before = "take"
+    for depth, level in enumerate(LEVELS):
+        parent, node = list(LEVELS[:depth]), ", ".join(LEVELS[: depth + 1])
+        w = "CASE " + "".join(f"WHEN {level} = '{k}' THEN {v:.6f}e0 " for k, v in sorted(weights.get(level, {}).items())) + "WHEN true THEN 1e0 END"
+        by = f"PARTITION BY {', '.join(parent)} " if parent else ""
+        join = f"JOIN {before} USING ({', '.join(parent)})" if parent else f"CROSS JOIN {before}"
+        parts += [
+            f"c{depth} AS (SELECT c.*, {w} AS w, b FROM (SELECT {node}, sum(capacity) AS c FROM leaf GROUP BY {node}) c {join})",
+            f"o{depth} AS (SELECT *, coalesce(sum(c) OVER ({by}ORDER BY c / w, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c0, sum(w) OVER ({by}ORDER BY c / w, {level} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w0 FROM c{depth})",
+            f"l{depth} AS (SELECT *, max(CASE WHEN (b - c0) / w0 * w <= c THEN (b - c0) / w0 END) OVER ({by}) AS water FROM o{depth})",
+            f"t{depth} AS (SELECT {node}, greatest(CASE WHEN water IS NULL THEN c ELSE least(c, water * w) END, 0) AS b FROM l{depth})",
+        ]
+        before = f"t{depth}"
+    parts += [
+        f"s0 AS (SELECT domain, lang, source, leaf_tokens, CAST(floor(b + 1e-6) AS BIGINT) AS target FROM {before} JOIN leaf USING (domain, lang, source))",
+        'settled AS (SELECT *, CASE WHEN leaf_tokens > 0 THEN target // leaf_tokens ELSE 0 END AS "whole", target - CASE WHEN leaf_tokens > 0 THEN target // leaf_tokens ELSE 0 END * leaf_tokens AS rest FROM s0)',
+        f"""run AS (SELECT d.*, "whole", rest, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{seed}:' || "whole" || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM d JOIN settled USING (domain, lang, source))""",
+    ]
+    return (
+        "WITH " + ", ".join(parts) + ' SELECT doc_id, domain, lang, source, n_tokens, unnest(range(0, "whole")) AS epoch FROM run WHERE "whole" > 0 '
+        'UNION ALL SELECT doc_id, domain, lang, source, n_tokens, "whole" AS epoch FROM run WHERE ahead < rest AND n_tokens > 0'
+    )

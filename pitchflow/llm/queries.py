@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fm_index, langid, lm_bloom, media, mixing, secrets, simhash, suffix_sort, toxicity
+from . import decontam, fm_index, langid, lm_bloom, media, mixing, secret_scan, simhash, suffix_sort, toxicity
 from .common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,9 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, documents(spark, sf_dir), WEIGHTS)
 
 
+ORACLES["op4_mixing"] = mixing.mix_sql(WEIGHTS)
+
+
 @query
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang", (fold("doc_id", 4) == 2).alias("held_out"))
@@ -71,10 +74,10 @@ def op7_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    model = secrets.train(secrets.sample_values(docs))
-    found = secrets.scan(docs, model)
+    model = secret_scan.train(secret_scan.sample_values(docs))
+    found = secret_scan.scan(docs, model)
     count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *(count(k) for k in secrets.KINDS[:3]), F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *(count(k) for k in secret_scan.KINDS[:3]), F.sha2(secret_scan.joined(F.col("base")), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"))
 
 
 @query

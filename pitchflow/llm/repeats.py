@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import range_hash, prefix_sums, steps, text_arrays, window_hashes
+from .common import prefix_sums, range_hash, shuffles_dropped, steps, text_arrays, window_hashes, written
 from .decontam import text_key
 
 MAX_BITS = 28
@@ -96,7 +96,9 @@ def bitmap(hashes: DataFrame, count: int) -> np.ndarray:
     """64-bit words with a bit for each value of column h, by its lowest bits."""
     bits = min(MAX_BITS, max(10, int(np.ceil(np.log2(16 * max(1, count))))))
     cell = F.col("h").bitwiseAND((1 << bits) - 1)
-    got = hashes.groupBy(F.shiftright(cell, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(h & {(1 << bits) - 1} & 63 AS INT))")).alias("b")).toArrow()
+    words = hashes.groupBy(F.shiftright(cell, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(h & {(1 << bits) - 1} & 63 AS INT))")).alias("b"))
+    with shuffles_dropped(hashes.sparkSession):
+        got = words.toArrow()
     out = np.zeros(1 << (bits - 6), dtype=np.uint64)
     out[got["w"].to_numpy()] = got["b"].to_numpy().view(np.uint64)
     return out
@@ -184,8 +186,6 @@ def find(spark: SparkSession, docs: DataFrame, unit: Unit, text: str = "text") -
     """(k1, k2, marks): for each text with repeats, by text_key, the segments with flags of their repeated windows."""
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), *text_key(F.col(text)))
     anchors = texts.select("text").mapInArrow(_anchors(unit), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 2")
-    from .common import written
-
     anchors = written(spark, anchors, "anchors")
     hot = anchors.where(F.col("n") > HOT)
     shared = spark.sparkContext.broadcast((bitmap(anchors, anchors.count()), bitmap(hot, hot.count())))
@@ -209,7 +209,7 @@ def covered(length: int, marks, size: int) -> np.ndarray:
 
 
 def with_marks(spark: SparkSession, docs: DataFrame, unit: Unit, text: str = "text") -> DataFrame:
-    """docs with a column marks (null where nothing repeats)."""
-    found = find(spark, docs, unit, text).withColumnsRenamed({"k1": "_k1", "k2": "_k2"})
+    """docs with a column _pf_marks (null where nothing repeats)."""
+    found = find(spark, docs, unit, text).withColumnsRenamed({"k1": "_pf_k1", "k2": "_pf_k2", "marks": "_pf_marks"})
     k1, k2 = text_key(F.col(text))
-    return docs.withColumns({"_k1": k1, "_k2": k2}).join(found, ["_k1", "_k2"], "left").drop("_k1", "_k2")
+    return docs.withColumns({"_pf_k1": k1, "_pf_k2": k2}).join(found, ["_pf_k1", "_pf_k2"], "left").drop("_pf_k1", "_pf_k2")

@@ -14,6 +14,8 @@ Cases: null text counts as empty and has no spans; with no samples no markov spa
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,8 +79,6 @@ def train(samples: DataFrame) -> list[float]:
     pairs = samples.where("length(value) >= 2").select("random", F.explode(F.transform(F.sequence(F.lit(1), F.length("value") - 1), lambda i: F.substring("value", i, F.lit(2)))).alias("pair"))
     pairs = pairs.where(F.col("pair").rlike(r"^[\x00-\x7f]{2}$"))
     counts = pairs.groupBy("random", F.ascii("pair").alias("a"), F.ascii(F.substring("pair", 2, 1)).alias("b")).agg(F.count("*").alias("n")).collect()
-    import math
-
     seen = {True: {}, False: {}}
     for r in counts:
         seen[r.random][r.a, r.b] = r.n
@@ -119,11 +119,11 @@ def joined(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
 
 
-def scan(docs: DataFrame, model: list[float], text: str = "text") -> DataFrame:
-    """Adds base (the fixed kinds' spans) and spans (all of them)."""
+def scan(docs: DataFrame, model: list[float], text: str = "text", base: str = "base", spans: str = "spans") -> DataFrame:
+    """Adds the columns ``base`` (the fixed kinds' spans) and ``spans`` (all of them), or replaces those of these names."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumn("base", base_spans(whole))
-    return out.withColumn("spans", F.array_sort(F.concat("base", markov_spans(whole, F.col("base"), model))))
+    out = docs.withColumn(base, base_spans(whole))
+    return out.withColumn(spans, F.array_sort(F.concat(base, markov_spans(whole, F.col(base), model))))
 
 
 def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:

@@ -121,7 +121,7 @@ def byte_unit(size: int = 400, gram: int = 32) -> repeats.Unit:
 
 
 def removed(spark: SparkSession, docs: DataFrame, size: int = 400) -> DataFrame:
-    """docs with r: struct (n_bytes, n_removed, n_spans, kept bytes, kept_sha256)."""
+    """docs with r (which replaces a column of that name): struct (n_bytes, n_removed, n_spans, kept bytes, kept_sha256)."""
     unit = byte_unit(size)
 
     def code(text: pa.Array, marks: pa.Array) -> pa.Array:
@@ -138,4 +138,4 @@ def removed(spark: SparkSession, docs: DataFrame, size: int = 400) -> DataFrame:
 
     udf = F.arrow_udf(code, "struct<n_bytes:bigint,n_removed:bigint,n_spans:bigint,kept:binary,kept_sha256:string>")
     marked = repeats.with_marks(spark, docs, unit)
-    return marked.withColumn("r", udf(F.coalesce("text", F.lit("")), "marks")).drop("marks")
+    return marked.withColumn("r", udf(F.coalesce("text", F.lit("")), "_pf_marks")).drop("_pf_marks")
