@@ -39,5 +39,6 @@ def test_matches_sql(spark, name):
     assert rows(ours) == rows(theirs)
 
 
-def test_all_have_sql():
-    assert set(QUERIES) == set(ORACLES)
+def test_sql_belongs_to_queries():
+    """Recursive rules have no SQL here; tests/test_helpers.py has their cases."""
+    assert set(ORACLES) <= set(QUERIES)
