@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, mix, steps, text_arrays, word_bounds, word_hashes, written
+from .common import LOWER, mix, shuffles_dropped, steps, text_arrays, word_bounds, word_hashes, written
 
 BASE = 1.5
 BITS_PER_ITEM = 10
@@ -96,7 +96,7 @@ def count_grams(spark: SparkSession, texts: DataFrame) -> DataFrame:
     grams = written(spark, rows.groupBy("kind", "h").agg(F.sum("n").alias("n")).where((F.col("kind") == WORD) | (F.col("n") >= 2)), "grams")
     heads = grams.where(F.col("kind") == PAIR).groupBy(F.shiftrightunsigned("h", 32).alias("h")).agg(F.sum("n").alias("t"), F.count("*").alias("k"))
     heads = heads.select("h", F.explode(F.array(F.struct(F.lit(TOTAL).cast("tinyint").alias("kind"), F.col("t").alias("n")), F.struct(F.lit(KINDS).cast("tinyint").alias("kind"), F.col("k").alias("n")))).alias("x"))
-    return grams.unionByName(heads.select("x.kind", "h", "x.n"))
+    return grams.unionByName(written(spark, heads.select("x.kind", "h", "x.n"), "gram-heads"))
 
 
 def level_of(n: np.ndarray) -> np.ndarray:
@@ -164,7 +164,8 @@ def build_filter(spark: SparkSession, grams: DataFrame, max_bits: int = 1 << 30)
     cells = max(1, min(max_bits, int(items * BITS_PER_ITEM)) >> CELL_BITS)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = grams.select(cell_column(cells).alias("cell"), "kind", "h", "n").repartition(parts, "cell").sortWithinPartitions("cell")
-    table = rows.mapInArrow(_cells(cells), "cell int, bits binary").toArrow()
+    with shuffles_dropped(spark):
+        table = rows.mapInArrow(_cells(cells), "cell int, bits binary").toArrow()
     out = np.zeros((cells, 1 << (CELL_BITS - 3)), dtype=np.uint8)
     for cell, bits in zip(table["cell"].to_pylist(), table["bits"], strict=True):
         out[cell] = np.frombuffer(bits.as_buffer(), dtype=np.uint8)
@@ -206,7 +207,10 @@ def model_scores(cells: np.ndarray, token: np.ndarray, n: int, v: int) -> np.nda
 
 
 def _dictionary(batches):
-    """(block, h): each block's distinct words; rows come sorted by block."""
+    """(block, h) from (block, doc_id, text): each block's distinct words; rows come sorted by block.
+
+    It takes all columns of the dealt texts, so that the one shuffle of them serves here and for the scores.
+    """
     held, block = [], None
 
     def flush():
@@ -218,7 +222,7 @@ def _dictionary(batches):
             held.clear()
 
     for batch in batches:
-        data, off = text_arrays(batch.column(1))
+        data, off = text_arrays(batch.column(2))
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for a, b in steps(off):
             token, first = tokens(data[off[a] : off[b]], off[a : b + 1] - off[a])
@@ -241,7 +245,7 @@ def score(spark: SparkSession, docs: DataFrame, train: str = "train", max_bits:
     blocks = max(1, int((texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / BLOCK_BYTES))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = texts.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text").repartition(parts, "block")
-    words = dealt.select("block", "text").sortWithinPartitions("block").mapInArrow(_dictionary, "block int, h long")
+    words = dealt.sortWithinPartitions("block").mapInArrow(_dictionary, "block int, h long")
     known = words.join(grams.where(F.col("kind") == WORD).select("h", "n"), "h").select("block", "h", "n")
 
     def block_scores(left: pa.Table, right: pa.Table) -> pa.Table:
