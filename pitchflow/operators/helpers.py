@@ -97,10 +97,13 @@ def kalman_tracks(points: DataFrame) -> DataFrame:
     return _per(points.select("match_id", "track_id", "frame_idx", "x", "y"), TRACK, schema, lambda p: p.assign(x=kalman(p.x.to_numpy(dtype=float)), y=kalman(p.y.to_numpy(dtype=float))))
 
 
-def held_possession(who: np.ndarray, least: int = 3) -> np.ndarray:
-    """Holder with hysteresis: changes when another has been nearest ``least`` rows on end; -1 rows carry it forward."""
+def held_possession(who: np.ndarray, least: int = 3, state: tuple[int, int, int] = (-1, -1, 0)) -> tuple[np.ndarray, tuple[int, int, int]]:
+    """Holder with hysteresis: changes when another has been nearest ``least`` rows on end; -1 rows carry it forward.
+
+    The state (holder, rival, rows of the rival) lets a stream go on where a batch ended.
+    """
     out = np.full(len(who), -1, dtype=np.int64)
-    holder, rival, n = -1, -1, 0
+    holder, rival, n = state
     for i, w in enumerate(who):
         if w >= 0:
             if holder < 0 or w == holder:
@@ -111,13 +114,13 @@ def held_possession(who: np.ndarray, least: int = 3) -> np.ndarray:
                 if n >= least:
                     holder, rival, n = rival, -1, 0
         out[i] = holder
-    return out
+    return out, (holder, rival, n)
 
 
 def possession_hysteresis(near: DataFrame, least: int = 3) -> DataFrame:
     """W5 over one row per frame (match_id, frame_idx, carrier; null or -1 without one)."""
     schema = "match_id string, frame_idx long, carrier long"
-    return _per(near.select("match_id", "frame_idx", "carrier"), ["match_id"], schema, lambda p: p.assign(carrier=held_possession(p.carrier.fillna(-1).to_numpy(dtype=np.int64), least)))
+    return _per(near.select("match_id", "frame_idx", "carrier"), ["match_id"], schema, lambda p: p.assign(carrier=held_possession(p.carrier.fillna(-1).to_numpy(dtype=np.int64), least)[0]))
 
 
 def sprints(t: np.ndarray, v: np.ndarray, top: int = 5) -> list[tuple[float, float, float]]:

@@ -184,3 +184,8 @@ def st3(spark, d):
     return jobs.drained(spark, jobs.possession_sessions(arriving(spark, d)), "st3")
 
 
+
+
+@op("st4_live_possession")
+def st4(spark, d):
+    return jobs.drained(spark, jobs.live_possession(arriving(spark, d)), "st4")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.helpers import held_possession
+
 
 def arriving(spark: SparkSession, path: str) -> DataFrame:
     """A file stream of a table's files as they arrive (``path``: folder and name), with match and track keys."""
@@ -34,6 +36,22 @@ def possession_sessions(rows: DataFrame, gap: str = "2 hours", late: str = "4 ho
     return g.agg(F.count("*").alias("rows")).select("match_id", "track_id", F.col("w.start").alias("start"), "rows")
 
 
+def live_possession(rows: DataFrame, least: int = 3) -> DataFrame:
+    """ST4: W5's hysteresis over arriving (match_id, ts, track_id) rows; the holder and its rival are kept between batches."""
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def code(key, parts, state: GroupState):
+        import pandas as pd
+
+        part = pd.concat(list(parts)).sort_values(["ts", "track_id"], kind="stable")
+        held, now = held_possession(part.track_id.to_numpy(dtype="int64"), least, tuple(state.get) if state.exists else (-1, -1, 0))
+        state.update(now)
+        yield part[["match_id", "ts", "track_id"]].assign(holder=held)
+
+    chosen = rows.select("match_id", "ts", "track_id")
+    return chosen.groupBy("match_id").applyInPandasWithState(code, "match_id string, ts timestamp, track_id long, holder long", "holder long, rival long, n long", "append", GroupStateTimeout.NoTimeout)
+
+
 def without_repeats(rows: DataFrame, late: str = "2 hours") -> DataFrame:
     """ST7: rows whose event_id came before within the watermark are dropped."""
     return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])

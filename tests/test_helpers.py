@@ -30,7 +30,12 @@ def test_kalman_follows_a_line_and_fills():
 
 
 def test_possession_changes_after_three():
-    assert h.held_possession(np.array([1, 1, 2, 2, 1, 2, 2, 2, -1, 2])).tolist() == [1, 1, 1, 1, 1, 1, 1, 2, 2, 2]
+    rows = np.array([1, 1, 2, 2, 1, 2, 2, 2, -1, 2])
+    want = [1, 1, 1, 1, 1, 1, 1, 2, 2, 2]
+    assert h.held_possession(rows)[0].tolist() == want
+    for cut in range(len(rows)):  # a stream goes on where a batch ended
+        first, state = h.held_possession(rows[:cut])
+        assert first.tolist() + h.held_possession(rows[cut:], state=state)[0].tolist() == want
 
 
 def test_sprint_intervals():
