@@ -34,6 +34,14 @@ def _number(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def _listed(kind: str, *keys: str) -> Column:
+    """The array of ``kind`` that a text is, or has under one of the keys; null for another form."""
+    out = F.when(F.ltrim("value").startswith("["), F.from_json("value", f"array<{kind}>"))
+    for key in keys:
+        out = out.when(F.get_json_object("value", f"$.{key}").startswith("["), F.from_json("value", f"struct<{key}:array<{kind}>>")[key])
+    return out
+
+
 def read_tracks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """IO1: tracks[].trajectory[] to (points with boxes, track headers)."""
     point = "frameIndex bigint, timestampSeconds double, bbox array<double>, confidence double, world_x double, world_y double"
@@ -66,8 +74,7 @@ def read_teams(spark: SparkSession, path: str) -> DataFrame:
     """IO3: a team map as a list or under ``tracks``."""
     entry = "trackId:bigint, track_id:bigint, teamId:bigint, team_id:bigint"
     text = spark.read.text(path, wholetext=True).withColumn("match_id", _match_id())
-    both = F.coalesce(F.from_json("value", f"struct<tracks:array<struct<{entry}>>>")["tracks"], F.from_json("value", f"array<struct<{entry}>>"))
-    return text.select("match_id", F.explode(both).alias("t")).select("match_id", F.coalesce("t.trackId", "t.track_id").alias("track_id"), F.coalesce("t.teamId", "t.team_id").alias("team_id"))
+    return text.select("match_id", F.explode(_listed(f"struct<{entry}>", "tracks")).alias("t")).select("match_id", F.coalesce("t.trackId", "t.track_id").alias("track_id"), F.coalesce("t.teamId", "t.team_id").alias("team_id"))
 
 
 def read_pitch(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -84,7 +91,7 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     """IO5: events as one list (or under ``events``), or in buckets by kind, which name the kind where it is missing."""
     event = "type:string, frame:bigint, team:bigint, player_track_id:bigint, x:double, y:double"
     text = spark.read.text(path, wholetext=True).withColumn("match_id", _match_id())
-    flat = F.coalesce(F.from_json("value", f"struct<events:array<struct<{event}>>>")["events"], F.from_json("value", f"array<struct<{event}>>"))
+    flat = _listed(f"struct<{event}>", "events")
     one = text.where(flat.isNotNull()).select("match_id", F.explode(flat).alias("e")).select("match_id", F.lit(None).cast("string").alias("bucket"), "e")
     many = text.where(flat.isNull()).select("match_id", F.explode(F.from_json("value", f"map<string, array<struct<{event}>>>")).alias("bucket", "es")).select("match_id", "bucket", F.explode("es").alias("e"))
     return one.unionByName(many).select("match_id", F.coalesce("e.type", "bucket").alias("type"), "e.frame", "e.team", "e.player_track_id", "e.x", "e.y")
@@ -94,7 +101,7 @@ def read_motion(spark: SparkSession, path: str) -> DataFrame:
     """IO6: camera motion as a list, under ``frames``, or keyed by frame."""
     row = "frameIndex:bigint, dx:double, dy:double, motion_class:string"
     text = spark.read.text(path, wholetext=True).withColumn("match_id", _match_id())
-    flat = F.coalesce(F.from_json("value", f"struct<frames:array<struct<{row}>>>")["frames"], F.from_json("value", f"array<struct<{row}>>"))
+    flat = _listed(f"struct<{row}>", "frames")
     listed = text.where(flat.isNotNull()).select("match_id", F.explode(flat).alias("m")).select("match_id", F.col("m.frameIndex").alias("frame_idx"), "m.dx", "m.dy", "m.motion_class")
     keyed = text.where(flat.isNull()).select("match_id", F.explode(F.from_json("value", f"map<string, struct<{row}>>")).alias("k", "m")).select("match_id", F.coalesce(F.col("m.frameIndex"), F.col("k").cast("long")).alias("frame_idx"), "m.dx", "m.dy", "m.motion_class")
     return listed.unionByName(keyed)
