@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -55,6 +55,13 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> None:
+    """Keeps what a Python worker holds at once small, unless the session says otherwise already."""
+    for key, usual, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", str(rows)), ("spark.sql.execution.arrow.maxBytesPerBatch", None, size)):
+        if spark.conf.get(key, None) in (None, usual, "-1", "2147483647b", "9223372036854775807b"):
+            spark.conf.set(key, value)
+
+
 def fold(doc_id: Column | str, n: int) -> Column:
     """crc32(doc_id as text) mod n; a null id counts as the empty text."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -148,5 +155,5 @@ def window_hashes(values: np.ndarray, size: int) -> np.ndarray:
     n = len(values) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    at = np.arange(n)
-    return range_hash(prefix_sums(values), at, at + size)
+    sums = prefix_sums(values)
+    return mix((sums[size:] - sums[:-size]) * _power(_INVERSE, len(sums), "down")[:n] + np.uint64(size))

@@ -20,7 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import repeats
-from .common import text_arrays, word_bounds, word_hashes
+from .common import steps, text_arrays, word_bounds, word_hashes
+
+
+WIDTH = 5  # bytes of a word's hash that a shard is told: one wrong match in 10**12 pairs of differing words
 
 
 class WaveletTree:
@@ -119,9 +122,11 @@ class FMIndex:
 
 
 def repeated_windows(segments: list[bytes], counts: np.ndarray, size: int) -> np.ndarray:
-    """Flags of the windows that occur twice or more among segments of 64-bit symbols."""
-    sizes = np.array([len(s) for s in segments]) // 8
-    values = np.frombuffer(b"".join(segments), dtype=np.uint64)
+    """Flags of the windows that occur twice or more among segments of WIDTH-byte symbols."""
+    sizes = np.array([len(s) for s in segments]) // WIDTH
+    values = np.zeros((int(sizes.sum()), 8), dtype=np.uint8)
+    values[:, :WIDTH] = np.frombuffer(b"".join(segments), dtype=np.uint8).reshape(-1, WIDTH)
+    values = values.view("<u8").ravel()
     ids = np.unique(values, return_inverse=True)[1] + 1
     index = FMIndex(np.split(ids, np.cumsum(sizes)[:-1]), counts, int(ids.max()) + 1, size)
     return index.occurrences() >= 2
@@ -133,29 +138,35 @@ def _words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _stored_words(data: np.ndarray, values: np.ndarray, first: np.ndarray) -> tuple[bytes, int]:
-    return values.tobytes(), 8
+    return values.view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes(), WIDTH
 
 
 def word_unit(size: int = 35, gram: int = 8) -> repeats.Unit:
-    return repeats.Unit(size, gram, _words, _stored_words, repeated_windows, chunk=400_000, width=8)
+    return repeats.Unit(size, gram, _words, _stored_words, repeated_windows, chunk=400_000, width=WIDTH)
+
 
+def removed(spark: SparkSession, docs: DataFrame, size: int = 35, with_text: bool = True) -> DataFrame:
+    """docs with r (which replaces a column of that name): struct (n_words, n_removed, kept, kept_sha256).
 
-def removed(spark: SparkSession, docs: DataFrame, size: int = 35) -> DataFrame:
-    """docs with r (which replaces a column of that name): struct (n_words, n_removed, kept text of the words outside repeated windows, kept_sha256)."""
+    kept is the text of the words outside repeated windows; null unless ``with_text``.
+    """
     unit = word_unit(size)
 
     def code(text: pa.Array, marks: pa.Array) -> pa.Array:
         data, off = text_arrays(text)
-        starts, ends, first = word_bounds(data, off)
-        raw, rows = data.tobytes(), []
-        for i, m in enumerate(marks.to_pylist()):
-            lo, hi = int(first[i]), int(first[i + 1])
-            gone = repeats.covered(hi - lo, m, size)
-            keep = lo + np.flatnonzero(~gone)
-            kept = b" ".join([raw[s:e] for s, e in zip(starts[keep].tolist(), ends[keep].tolist(), strict=True)])
-            rows.append((hi - lo, int(gone.sum()), kept, hashlib.sha256(kept).hexdigest()))
-        n, g, k, h = zip(*rows, strict=True) if rows else ((), (), (), ())
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(g, pa.int64()), pa.array(k, pa.binary()).cast(pa.string()), pa.array(h, pa.string())], ["n_words", "n_removed", "kept", "kept_sha256"])
+        out: tuple[list, list, list, list] = ([], [], [], [])
+        for a, b in steps(off):
+            part = data[off[a] : off[b]]
+            starts, ends, first = word_bounds(part, off[a : b + 1] - off[a])
+            raw = part.tobytes()
+            for i, m in enumerate(marks.slice(a, b - a).to_pylist()):
+                lo, hi = int(first[i]), int(first[i + 1])
+                gone = repeats.covered(hi - lo, m, size)
+                keep = lo + np.flatnonzero(~gone)
+                kept = b" ".join([raw[s:e] for s, e in zip(starts[keep].tolist(), ends[keep].tolist(), strict=True)])
+                for column, value in zip(out, (hi - lo, int(gone.sum()), kept if with_text else None, hashlib.sha256(kept).hexdigest()), strict=True):
+                    column.append(value)
+        return pa.StructArray.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()).cast(pa.string()), pa.array(out[3], pa.string())], ["n_words", "n_removed", "kept", "kept_sha256"])
 
     udf = F.arrow_udf(code, "struct<n_words:bigint,n_removed:bigint,kept:string,kept_sha256:string>")
     marked = repeats.with_marks(spark, docs, unit)

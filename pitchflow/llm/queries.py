@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, fm_index, langid, lm_bloom, media, mixing, secret_scan, simhash, suffix_sort, toxicity
-from .common import fold
+from .common import bounded_batches, fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -20,6 +20,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -89,11 +90,22 @@ def op2_lm_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_fm_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = fm_index.removed(spark, documents(spark, sf_dir).select("doc_id", "text"))
+    out = fm_index.removed(spark, documents(spark, sf_dir).select("doc_id", "text"), with_text=False)
     return out.select("doc_id", "r.n_words", "r.n_removed", "r.kept_sha256")
 
 
+ORACLES["op8_fm_substring_dedup"] = r"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT rid, i, array_to_string(w[i : i + 34], ' ') AS s FROM (SELECT rid, w, unnest(range(1, len(w) - 33)) AS i FROM t WHERE len(w) >= 35) q),
+r AS (SELECT rid, i FROM p WHERE s IN (SELECT s FROM p GROUP BY s HAVING count(*) > 1)),
+c AS (SELECT DISTINCT rid, unnest(range(i, i + 35)) AS j FROM r),
+k AS (SELECT rid, w[j] AS x, j FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS j FROM t) q ANTI JOIN c USING (rid, j)),
+s AS (SELECT rid, string_agg(x, ' ' ORDER BY j) AS kept, count(*) AS n FROM k GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN s USING (rid)
+"""
+
+
 @query
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = suffix_sort.removed(spark, documents(spark, sf_dir).select("doc_id", "text"))
+    out = suffix_sort.removed(spark, documents(spark, sf_dir).select("doc_id", "text"), with_bytes=False)
     return out.select("doc_id", "r.n_bytes", "r.n_removed", "r.n_spans", "r.kept_sha256")

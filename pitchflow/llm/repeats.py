@@ -30,7 +30,8 @@ from .common import prefix_sums, range_hash, shuffles_dropped, steps, text_array
 from .decontam import text_key
 
 MAX_BITS = 28
-HOT = 1024
+HOT = 4096
+REMEMBERED = 500_000
 _LOW = np.uint64((1 << 24) - 1)
 
 
@@ -63,15 +64,15 @@ def segments(values: np.ndarray, first: np.ndarray, size: int, gram: int):
         step = min(have, span - have)
         least = np.minimum(least[: len(least) - step], least[step:])
         have += step
-    at = np.arange(len(values) - size + 1)
-    text = np.searchsorted(first, at, side="right") - 1
-    at = at[at + size <= first[text + 1]]
+    counts = np.maximum(np.diff(first) - size + 1, 0)  # windows of each text
+    text = np.repeat(np.arange(len(counts)), counts)
+    at = np.arange(len(text)) + np.repeat(first[:-1] - (np.cumsum(counts) - counts), counts)
     if not len(at):
         return none, none, none, np.zeros(0, np.uint64)
     place = at + ((int(_LOW) - (least[at] & _LOW).astype(np.int64) - at) & int(_LOW))
     cut = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)]))
     start = at[cut]
-    return text[start], start, np.diff(np.append(cut, len(at))), g[place[cut]]
+    return text[cut], start, np.diff(np.append(cut, len(at))), g[place[cut]]
 
 
 def _parts(batch: pa.RecordBatch, unit: Unit, column: int = 0):
@@ -110,10 +111,14 @@ def _in(words: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _rows(unit: Unit, shared, content: bool):
-    """Rows of segments that may repeat; with ``content`` summed within a step, else one for each place."""
+    """Rows of segments that may repeat; with ``content`` summed within a step, else one for each place.
+
+    A task gives a segment's symbols once (as far as it remembers), and only the count after that.
+    """
 
     def code(batches):
         twice, hot = shared.value
+        seen: set[int] = set()
         for batch in batches:
             for a, part, values, first, text, start, n, h in _parts(batch, unit):
                 on = _in(twice, h)
@@ -135,7 +140,13 @@ def _rows(unit: Unit, shared, content: bool):
                 if content:
                     pair, at, count = np.unique(np.stack([h, own], axis=1).view([("h", "u8"), ("own", "u8")]).ravel(), return_index=True, return_counts=True)
                     raw, scale = unit.stored(part, values, first)
-                    seg = [b"" if x else raw[s * scale : e * scale] for s, e, x in zip(start[at].tolist(), (start[at] + n[at] + unit.size - 1).tolist(), alone[at].tolist(), strict=True)]
+                    seg: list[bytes | None] = []
+                    for s, e, x, o in zip(start[at].tolist(), (start[at] + n[at] + unit.size - 1).tolist(), alone[at].tolist(), pair["own"].tolist(), strict=True):
+                        seg.append(b"" if x else None if o in seen else raw[s * scale : e * scale])
+                        if not x:
+                            seen.add(o)
+                    if len(seen) > REMEMBERED:
+                        seen.clear()
                     yield pa.RecordBatch.from_arrays([pa.array(pair["h"].view(np.int64)), pa.array(pair["own"].view(np.int64)), pa.array(seg, pa.binary()), pa.array(count)], ["h", "own", "seg", "n"])
                 else:
                     keys = [batch.column(k).take(pa.array(text + a)) for k in (1, 2)]
@@ -191,11 +202,12 @@ def find(spark: SparkSession, docs: DataFrame, unit: Unit, text: str = "text") -
     shared = spark.sparkContext.broadcast((bitmap(anchors, anchors.count()), bitmap(hot, hot.count())))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     content = texts.select("text").mapInArrow(_rows(unit, shared, True), "h long, own long, seg binary, n long")
-    content = content.groupBy("h", "own").agg(F.first("seg").alias("seg"), F.sum("n").alias("n"))
-    flags = content.repartition(parts, "h").sortWithinPartitions("h", "own").mapInArrow(_shards(unit), "h long, own long, bits binary")
+    # dealt by anchor once: that also brings the rows of one content together
+    content = content.repartition(parts, "h").groupBy("h", "own").agg(F.first("seg", ignorenulls=True).alias("seg"), F.sum("n").alias("n"))
+    flags = content.sortWithinPartitions("h", "own").mapInArrow(_shards(unit), "h long, own long, bits binary")
     places = texts.mapInArrow(_rows(unit, shared, False), "k1 long, k2 long, h long, own long, start long").distinct()
     met = places.join(flags, ["h", "own"])
-    return met.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "bits")).alias("marks"))
+    return written(spark, met.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "bits")).alias("marks")), "marks")
 
 
 def covered(length: int, marks, size: int) -> np.ndarray:

@@ -120,21 +120,25 @@ def byte_unit(size: int = 400, gram: int = 32) -> repeats.Unit:
     return repeats.Unit(size, gram, _bytes, _stored_bytes, repeated_windows, chunk=1_000_000, width=1)
 
 
-def removed(spark: SparkSession, docs: DataFrame, size: int = 400) -> DataFrame:
-    """docs with r (which replaces a column of that name): struct (n_bytes, n_removed, n_spans, kept bytes, kept_sha256)."""
+def removed(spark: SparkSession, docs: DataFrame, size: int = 400, with_bytes: bool = True) -> DataFrame:
+    """docs with r (which replaces a column of that name): struct (n_bytes, n_removed, n_spans, kept, kept_sha256).
+
+    kept has the remaining bytes; null unless ``with_bytes``.
+    """
     unit = byte_unit(size)
 
     def code(text: pa.Array, marks: pa.Array) -> pa.Array:
         data, off = text_arrays(text)
-        rows = []
-        for i, m in enumerate(marks.to_pylist()):
+        out: tuple[list, list, list, list, list] = ([], [], [], [], [])
+        for i, m in enumerate(marks):
             own = data[off[i] : off[i + 1]]
-            gone = repeats.covered(len(own), m, size)
+            gone = repeats.covered(len(own), m.as_py(), size)
             kept = own[~gone].tobytes()
             spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-            rows.append((len(own), int(gone.sum()), spans, kept, hashlib.sha256(kept).hexdigest()))
-        n, g, s, k, h = zip(*rows, strict=True) if rows else ((), (), (), (), ())
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(g, pa.int64()), pa.array(s, pa.int64()), pa.array(k, pa.binary()), pa.array(h, pa.string())], ["n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+            for column, value in zip(out, (len(own), int(gone.sum()), spans, kept if with_bytes else None, hashlib.sha256(kept).hexdigest()), strict=True):
+                column.append(value)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
+        return pa.StructArray.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], ["n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
     udf = F.arrow_udf(code, "struct<n_bytes:bigint,n_removed:bigint,n_spans:bigint,kept:binary,kept_sha256:string>")
     marked = repeats.with_marks(spark, docs, unit)

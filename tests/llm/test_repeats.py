@@ -31,7 +31,7 @@ def test_indexes_agree_with_counting(size):
             for i in range(len(s) - size + 1):
                 count[tuple(s[i : i + size])] += w
         want = [count[tuple(s[i : i + size])] > 1 for s in segs for i in range(len(s) - size + 1)]
-        got = fm_index.repeated_windows([np.array(s, dtype=np.uint64).tobytes() for s in segs], weight, size)
+        got = fm_index.repeated_windows([np.array(s, dtype=np.uint64).view(np.uint8).reshape(-1, 8)[:, : fm_index.WIDTH].tobytes() for s in segs], weight, size)
         assert got.tolist() == want
         assert suffix_sort.repeated_windows([bytes(96 + x for x in s) for s in segs], weight, size).tolist() == want
 
@@ -53,7 +53,7 @@ def test_wavelet_ranks():
     assert tree.rank(c[present], at[present]).tolist() == [int((seq[:i] == s).sum()) for s, i in zip(c[present], at[present], strict=True)]
 
 
-@pytest.mark.parametrize("hot", [1024, 1])
+@pytest.mark.parametrize("hot", [4096, 1])
 def test_words(spark, monkeypatch, hot):
     """hot = 1: every repeated anchor goes the way of those with very many occurrences."""
     monkeypatch.setattr(repeats, "HOT", hot)
@@ -66,7 +66,7 @@ def test_words(spark, monkeypatch, hot):
     assert sum(r.n_removed for r in out.values()) > 0
 
 
-@pytest.mark.parametrize("hot", [1024, 1])
+@pytest.mark.parametrize("hot", [4096, 1])
 def test_bytes(spark, monkeypatch, hot):
     monkeypatch.setattr(repeats, "HOT", hot)
     texts = odd_texts()
