@@ -83,7 +83,8 @@ def train(texts: list[str], labels: list[int], weights: list[float], pairing: fl
 
     The first pass, with the multiple sparse / sqrt(rows), chooses the words; the second, with ``refit``, weighs them.
     """
-    bags = [set(WORD.findall(t.lower())) for t in texts]
+    one: dict[str, str] = {}  # one string for each word, whatever its number of texts
+    bags = [{one.setdefault(w, w) for w in WORD.findall(t.lower())} for t in texts]
     keep = distinct_bags(bags)  # else the labels of one group of copies would teach its own words
     bags, labels, weights = [bags[k] for k in keep], [labels[k] for k in keep], [weights[k] for k in keep]
     y, c = np.array(labels, dtype=float), np.array(weights, dtype=float)
