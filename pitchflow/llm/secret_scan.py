@@ -25,6 +25,7 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 #: Runs that can be key or hash material for the Markov models.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 SYMBOLS = 128
+PRIOR = 16.0
 
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
@@ -72,7 +73,9 @@ def sample_values(texts: DataFrame, text: str = "text", max_texts: int = 20_000)
 
 
 def train(samples: DataFrame) -> list[float]:
-    """Log-likelihood ratios of character pairs, 128 x 128: random strings over identifiers, add-one smoothed.
+    """Log-likelihood ratios of character pairs, 128 x 128: random strings over identifiers.
+
+    A pair's probability leans on that of its second character, with the weight of PRIOR observations.
 
     What comes to the driver is one count for each label and pair of ASCII characters.
     """
@@ -84,14 +87,18 @@ def train(samples: DataFrame) -> list[float]:
         seen[r.random][r.a, r.b] = r.n
     if not seen[True] or not seen[False]:
         return []
-    rows = {k: {} for k in seen}
+    rows = {k: dict.fromkeys(range(SYMBOLS), 0) for k in seen}
+    ends = {k: dict.fromkeys(range(SYMBOLS), 0) for k in seen}
     for k, table in seen.items():
-        for (a, _), n in table.items():
-            rows[k][a] = rows[k].get(a, 0) + n
+        for (a, b), n in table.items():
+            rows[k][a] += n
+            ends[k][b] += n
+    total = {k: sum(rows[k].values()) for k in seen}
     kinds = 64  # characters of a candidate
 
     def log_p(k: bool, a: int, b: int) -> float:
-        return math.log((seen[k].get((a, b), 0) + 1) / (rows[k].get(a, 0) + kinds))
+        alone = (ends[k][b] + 0.5) / (total[k] + 0.5 * kinds)
+        return math.log((seen[k].get((a, b), 0) + PRIOR * alone) / (rows[k][a] + PRIOR))
 
     return [round(log_p(True, a, b) - log_p(False, a, b), 5) for a in range(SYMBOLS) for b in range(SYMBOLS)]
 
