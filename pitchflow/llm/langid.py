@@ -7,8 +7,8 @@ its bytes of -log2 P(byte | longest context in the tree); the shortest code wins
 The trees of all languages share one set of contexts, so that P becomes one row of 256 code lengths for
 each (language, context), and scoring a byte is a few array look-ups.
 
-Fixed sizes, whatever the input: ``per_lang`` training texts for each language (about, drawn by the hash
-of the text, copies once, texts of up to ``max_bytes`` bytes), ``max_nodes`` contexts of order 2 and of
+Fixed sizes, whatever the input: the ``max_langs`` most frequent languages, ``per_lang`` training texts for
+each (about, drawn by the hash of the text, copies once, texts of up to ``max_bytes`` bytes), ``max_nodes`` contexts of order 2 and of
 order 3. So the model that workers get has at most 2 * max_nodes * 1 kB for each language.
 
 Cases: null text or no letter gives 'und' and score 0; rows without language teach nothing; with no
@@ -29,12 +29,12 @@ LETTER = np.zeros(256, dtype=bool)
 LETTER[65:91] = LETTER[97:123] = True
 
 
-def training_sample(rows: DataFrame, per_lang: int = 300, max_bytes: int = 1 << 16) -> DataFrame:
-    """(lang, text): about per_lang distinct texts of each language, the same ones on every run."""
+def training_sample(rows: DataFrame, per_lang: int = 300, max_bytes: int = 1 << 16, max_langs: int = 256) -> DataFrame:
+    """(lang, text): about per_lang distinct texts of each of the max_langs most frequent languages, the same ones on every run."""
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL").where(F.octet_length("text").between(1, max_bytes))
-    share = rows.groupBy("lang").agg((F.lit(float(per_lang)) / F.count("*")).alias("_share"))
+    share = rows.groupBy("lang").agg((F.lit(float(per_lang)) / F.count("*")).alias("_share")).orderBy("_share", "lang").limit(max_langs)
     draw = (F.xxhash64(F.lit(17), "text").bitwiseAND((1 << 30) - 1) / float(1 << 30)).alias("_draw")
-    drawn = rows.select("lang", "text", draw).join(share, "lang").where("_draw < _share")
+    drawn = rows.select("lang", "text", draw).join(F.broadcast(share), "lang").where("_draw < _share")
     return drawn.select("lang", "text").distinct()
 
 
