@@ -111,10 +111,10 @@ def filter_key(kind: np.ndarray | int, h: np.ndarray) -> np.ndarray:
     return mix(h + np.asarray(kind).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
 
 
-def _bits(key: np.ndarray, level: np.ndarray | int, probe: int) -> np.ndarray:
-    """Bit within the cell for a key at a level."""
-    x = mix(key ^ (np.atleast_1d(level).astype(np.uint64) * np.uint64(0xA0761D6478BD642F) + np.uint64(probe * 0x1D8E4E27)))
-    return (x >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+def _bits(key: np.ndarray, level: np.ndarray | int) -> list[np.ndarray]:
+    """The PROBES bits within the cell for keys at a level: parts of one hash."""
+    x = mix(key ^ (np.atleast_1d(level).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)))
+    return [((x >> np.uint64(64 - CELL_BITS * (p + 1))) & np.uint64((1 << CELL_BITS) - 1)).astype(np.int64) for p in range(PROBES)]
 
 
 def _cells(count: int):
@@ -134,8 +134,8 @@ def _cells(count: int):
                     held_cell, bitmap = int(cell[s]), np.zeros(1 << CELL_BITS, dtype=bool)
                 k, t = np.repeat(key[s:e], top[s:e]), top[s:e]
                 level = np.arange(len(k)) - np.repeat(np.cumsum(t) - t, t) + 1
-                for probe in range(PROBES):
-                    bitmap[_bits(k, level, probe)] = True
+                for bit in _bits(k, level):
+                    bitmap[bit] = True
         if bitmap is not None:
             yield _cell_row(held_cell, bitmap)
 
@@ -179,9 +179,11 @@ def counts(cells: np.ndarray, kind: int, h: np.ndarray) -> np.ndarray:
     found = np.zeros(len(h), dtype=np.int64)
     live, level = np.arange(len(h)), 1
     while len(live) and level < len(MEAN_COUNT):
-        for probe in range(PROBES):
-            bit = _bits(key[live], level, probe)
-            live = live[(flat[at[live] * width + (bit >> 3)] >> (bit & 7)) & 1 > 0]
+        base = at[live] * width
+        hit = np.ones(len(live), dtype=bool)
+        for bit in _bits(key[live], level):
+            hit &= (flat[base + (bit >> 3)] >> (bit & 7).astype(np.uint8)) & 1 > 0
+        live = live[hit]
         found[live] = level
         level += 1
     if kind == PAIR:

@@ -100,8 +100,7 @@ def test_filter_counts():
         at = int(lm_bloom.cell_of(lm_bloom.WORD, np.array([x]), 2)[0])
         key = lm_bloom.filter_key(lm_bloom.WORD, np.array([x]))
         for level in range(1, int(lm_bloom.level_of(np.array([m]))[0]) + 1):
-            for probe in range(lm_bloom.PROBES):
-                bit = int(lm_bloom._bits(key, level, probe)[0])
+            for bit in (int(b[0]) for b in lm_bloom._bits(key, level)):
                 cells[at, bit >> 3] |= 1 << (bit & 7)
     got = lm_bloom.counts(cells, lm_bloom.WORD, h)
     assert np.all(got >= lm_bloom.MEAN_COUNT[lm_bloom.level_of(n)])
