@@ -159,12 +159,12 @@ def removed(spark: SparkSession, docs: DataFrame, size: int = 35, with_text: boo
             part = data[off[a] : off[b]]
             starts, ends, first = word_bounds(part, off[a : b + 1] - off[a])
             raw = part.tobytes()
-            for i, m in enumerate(marks.slice(a, b - a).to_pylist()):
+            gone = repeats.covered(first, marks.slice(a, b - a), size)
+            for i in range(b - a):
                 lo, hi = int(first[i]), int(first[i + 1])
-                gone = repeats.covered(hi - lo, m, size)
-                keep = lo + np.flatnonzero(~gone)
+                keep = lo + np.flatnonzero(~gone[lo:hi])
                 kept = b" ".join([raw[s:e] for s, e in zip(starts[keep].tolist(), ends[keep].tolist(), strict=True)])
-                for column, value in zip(out, (hi - lo, int(gone.sum()), kept if with_text else None, hashlib.sha256(kept).hexdigest()), strict=True):
+                for column, value in zip(out, (hi - lo, hi - lo - len(keep), kept if with_text else None, hashlib.sha256(kept).hexdigest()), strict=True):
                     column.append(value)
         return pa.StructArray.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()).cast(pa.string()), pa.array(out[3], pa.string())], ["n_words", "n_removed", "kept", "kept_sha256"])
 

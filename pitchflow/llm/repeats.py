@@ -13,7 +13,9 @@ equal anchors at equal offsets, so only windows with one anchor hash need to be
 
 Which anchors occur more than once is told by a bitmap of one bit for each hash, of 16 bits an anchor up to
 ``MAX_BITS`` (32 MB): collisions only let more segments pass. An anchor with over ``HOT`` occurrences would
-make a shard that grows with the data: its windows are dealt out by their own hashes and counted there.
+make a shard that grows with the data. So such runs are avoided: anchors are chosen and counted once more, and
+a window takes one of them only if it has no other run (equal windows still choose alike). Windows whose
+anchor is frequent even so are dealt out by their own hashes and counted there, which is exact too.
 """
 
 from __future__ import annotations
@@ -52,13 +54,18 @@ class Unit:
     width: int
 
 
-def segments(values: np.ndarray, first: np.ndarray, size: int, gram: int):
-    """(text, start, windows, anchor hash) of all segments; starts are places in ``values``."""
+def segments(values: np.ndarray, first: np.ndarray, size: int, gram: int, avoid: np.ndarray | None = None):
+    """(text, start, windows, anchor hash) of all segments; starts are places in ``values``.
+
+    Runs whose hash is in the bitmap ``avoid`` come after all others.
+    """
     none = np.zeros(0, np.int64)
     if len(values) < size:
         return none, none, none, np.zeros(0, np.uint64)
     g = window_hashes(values, gram)
-    least = (g & ~_LOW) | (_LOW - (np.arange(len(g), dtype=np.uint64) & _LOW))
+    least = ((g >> np.uint64(1)) & ~_LOW) | (_LOW - (np.arange(len(g), dtype=np.uint64) & _LOW))
+    if avoid is not None:
+        least |= _in(avoid, g).astype(np.uint64) << np.uint64(63)
     span, have = size - gram + 1, 1
     while have < span:  # minimum over span neighbours
         step = min(have, span - have)
@@ -75,18 +82,19 @@ def segments(values: np.ndarray, first: np.ndarray, size: int, gram: int):
     return text[cut], start, np.diff(np.append(cut, len(at))), g[place[cut]]
 
 
-def _parts(batch: pa.RecordBatch, unit: Unit, column: int = 0):
+def _parts(batch: pa.RecordBatch, unit: Unit, avoid: np.ndarray | None, column: int = 0):
     data, off = text_arrays(batch.column(column))
     for a, b in steps(off):
         part = data[off[a] : off[b]]
         values, first = unit.symbols(part, off[a : b + 1] - off[a])
-        yield a, part, values, first, *segments(values, first, unit.size, unit.gram)
+        yield a, part, values, first, *segments(values, first, unit.size, unit.gram, avoid)
 
 
-def _anchors(unit: Unit):
+def _anchors(unit: Unit, avoided=None):
     def code(batches):
+        avoid = avoided.value if avoided is not None else None
         for batch in batches:
-            for _, _, _, _, _, _, _, h in _parts(batch, unit):
+            for _, _, _, _, _, _, _, h in _parts(batch, unit, avoid):
                 h, n = np.unique(h, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
@@ -117,10 +125,21 @@ def _rows(unit: Unit, shared, content: bool):
     """
 
     def code(batches):
-        twice, hot = shared.value
+        avoid, twice, hot = shared.value
         seen: set[int] = set()
+        single: list[np.ndarray] = []  # windows dealt out by themselves, not yet summed
+        held = 0
+
+        def flush():
+            if single:
+                key, count = np.unique(np.concatenate(single), return_counts=True)
+                for a in range(0, len(key), 1 << 17):
+                    k = pa.array(key[a : a + (1 << 17)].view(np.int64))
+                    yield pa.RecordBatch.from_arrays([k, k, pa.array([b""] * len(k), pa.binary()), pa.array(count[a : a + (1 << 17)])], ["h", "own", "seg", "n"])
+                single.clear()
+
         for batch in batches:
-            for a, part, values, first, text, start, n, h in _parts(batch, unit):
+            for a, part, values, first, text, start, n, h in _parts(batch, unit, avoid):
                 on = _in(twice, h)
                 text, start, n, h = text[on], start[on], n[on], h[on]
                 if not len(h):
@@ -138,19 +157,27 @@ def _rows(unit: Unit, shared, content: bool):
                 else:
                     alone = np.zeros(len(h), dtype=bool)
                 if content:
+                    single.append(h[alone])
+                    held += len(single[-1])
+                    if held > 1 << 21:
+                        yield from flush()
+                        held = 0
+                    h, own, start, n = h[~alone], own[~alone], start[~alone], n[~alone]
+                    if not len(h):
+                        continue
                     pair, at, count = np.unique(np.stack([h, own], axis=1).view([("h", "u8"), ("own", "u8")]).ravel(), return_index=True, return_counts=True)
                     raw, scale = unit.stored(part, values, first)
                     seg: list[bytes | None] = []
-                    for s, e, x, o in zip(start[at].tolist(), (start[at] + n[at] + unit.size - 1).tolist(), alone[at].tolist(), pair["own"].tolist(), strict=True):
-                        seg.append(b"" if x else None if o in seen else raw[s * scale : e * scale])
-                        if not x:
-                            seen.add(o)
+                    for s, e, o in zip(start[at].tolist(), (start[at] + n[at] + unit.size - 1).tolist(), pair["own"].tolist(), strict=True):
+                        seg.append(None if o in seen else raw[s * scale : e * scale])
+                        seen.add(o)
                     if len(seen) > REMEMBERED:
                         seen.clear()
                     yield pa.RecordBatch.from_arrays([pa.array(pair["h"].view(np.int64)), pa.array(pair["own"].view(np.int64)), pa.array(seg, pa.binary()), pa.array(count)], ["h", "own", "seg", "n"])
                 else:
                     keys = [batch.column(k).take(pa.array(text + a)) for k in (1, 2)]
                     yield pa.RecordBatch.from_arrays([*keys, pa.array(h.view(np.int64)), pa.array(own.view(np.int64)), pa.array(start - first[text])], ["k1", "k2", "h", "own", "start"])
+        yield from flush()
 
     return code
 
@@ -196,10 +223,19 @@ def _shards(unit: Unit):
 def find(spark: SparkSession, docs: DataFrame, unit: Unit, text: str = "text") -> DataFrame:
     """(k1, k2, marks): for each text with repeats, by text_key, the segments with flags of their repeated windows."""
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), *text_key(F.col(text)))
-    anchors = texts.select("text").mapInArrow(_anchors(unit), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 2")
-    anchors = written(spark, anchors, "anchors")
-    hot = anchors.where(F.col("n") > HOT)
-    shared = spark.sparkContext.broadcast((bitmap(anchors, anchors.count()), bitmap(hot, hot.count())))
+
+    def counted(avoided=None) -> tuple[DataFrame, DataFrame, int]:
+        rows = texts.select("text").mapInArrow(_anchors(unit, avoided), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 2")
+        rows = written(spark, rows, "anchors")
+        hot = rows.where(F.col("n") > HOT)
+        return rows, hot, hot.count()
+
+    anchors, hot, many = counted()
+    avoid = None
+    if many:
+        avoid = bitmap(hot, many)
+        anchors, hot, many = counted(spark.sparkContext.broadcast(avoid))
+    shared = spark.sparkContext.broadcast((avoid, bitmap(anchors, anchors.count()), bitmap(hot, many)))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     content = texts.select("text").mapInArrow(_rows(unit, shared, True), "h long, own long, seg binary, n long")
     # dealt by anchor once: that also brings the rows of one content together
@@ -210,12 +246,22 @@ def find(spark: SparkSession, docs: DataFrame, unit: Unit, text: str = "text") -
     return written(spark, met.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "bits")).alias("marks")), "marks")
 
 
-def covered(length: int, marks, size: int) -> np.ndarray:
-    """Which of a text's symbols lie in a repeated window."""
-    edge = np.zeros(length + 1, dtype=np.int32)
-    for m in marks or ():
-        at = m["start"] + np.flatnonzero(np.unpackbits(np.frombuffer(m["bits"], dtype=np.uint8), bitorder="little"))
-        edge[at] += 1
+def covered(first: np.ndarray, marks: pa.Array, size: int) -> np.ndarray:
+    """Which symbols of a batch lie in a repeated window; text i has the symbols first[i] to first[i + 1]."""
+    edge = np.zeros(int(first[-1]) + 1, dtype=np.int32)
+    if isinstance(marks, pa.ChunkedArray):
+        marks = marks.combine_chunks()
+    counts = np.diff(marks.offsets.to_numpy())
+    rows = marks.flatten()
+    if len(rows):
+        bits = rows.field("bits")
+        ends = np.frombuffer(bits.buffers()[1], dtype=np.int32)[bits.offset : bits.offset + len(bits) + 1].astype(np.int64)
+        flags = np.unpackbits(np.frombuffer(bits.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]], bitorder="little")
+        if marks.null_count:
+            counts = np.where(marks.is_valid().to_numpy(zero_copy_only=False), counts, 0)
+        place = np.repeat(first[:-1], counts) + rows.field("start").to_numpy() - 8 * (ends[:-1] - ends[0])
+        at = (np.repeat(place, 8 * np.diff(ends)) + np.arange(len(flags)))[flags > 0]
+        edge[at] += 1  # each window is marked once
         edge[at + size] -= 1
     return np.cumsum(edge[:-1]) > 0
 

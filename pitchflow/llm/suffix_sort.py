@@ -130,9 +130,9 @@ def removed(spark: SparkSession, docs: DataFrame, size: int = 400, with_bytes: b
     def code(text: pa.Array, marks: pa.Array) -> pa.Array:
         data, off = text_arrays(text)
         out: tuple[list, list, list, list, list] = ([], [], [], [], [])
-        for i, m in enumerate(marks):
-            own = data[off[i] : off[i + 1]]
-            gone = repeats.covered(len(own), m.as_py(), size)
+        every = repeats.covered(off, marks, size)
+        for i in range(len(off) - 1):
+            own, gone = data[off[i] : off[i + 1]], every[off[i] : off[i + 1]]
             kept = own[~gone].tobytes()
             spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
             for column, value in zip(out, (len(own), int(gone.sum()), spans, kept if with_bytes else None, hashlib.sha256(kept).hexdigest()), strict=True):
