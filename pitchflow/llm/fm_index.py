@@ -141,7 +141,7 @@ def _stored_words(data: np.ndarray, values: np.ndarray, first: np.ndarray) -> tu
     return values.view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes(), WIDTH
 
 
-def word_unit(size: int = 35, gram: int = 8) -> repeats.Unit:
+def word_unit(size: int = 35, gram: int = 12) -> repeats.Unit:
     return repeats.Unit(size, gram, _words, _stored_words, repeated_windows, chunk=400_000, width=WIDTH)
 
 

@@ -176,7 +176,7 @@ def _rows(unit: Unit, shared, content: bool):
                     yield pa.RecordBatch.from_arrays([pa.array(pair["h"].view(np.int64)), pa.array(pair["own"].view(np.int64)), pa.array(seg, pa.binary()), pa.array(count)], ["h", "own", "seg", "n"])
                 else:
                     keys = [batch.column(k).take(pa.array(text + a)) for k in (1, 2)]
-                    yield pa.RecordBatch.from_arrays([*keys, pa.array(h.view(np.int64)), pa.array(own.view(np.int64)), pa.array(start - first[text])], ["k1", "k2", "h", "own", "start"])
+                    yield pa.RecordBatch.from_arrays([*keys, pa.array(own.view(np.int64)), pa.array(start - first[text])], ["k1", "k2", "own", "start"])
         yield from flush()
 
     return code
@@ -241,8 +241,8 @@ def find(spark: SparkSession, docs: DataFrame, unit: Unit, text: str = "text") -
     # dealt by anchor once: that also brings the rows of one content together
     content = content.repartition(parts, "h").groupBy("h", "own").agg(F.first("seg", ignorenulls=True).alias("seg"), F.sum("n").alias("n"))
     flags = content.sortWithinPartitions("h", "own").mapInArrow(_shards(unit), "h long, own long, bits binary")
-    places = texts.mapInArrow(_rows(unit, shared, False), "k1 long, k2 long, h long, own long, start long").distinct()
-    met = places.join(flags, ["h", "own"])
+    places = texts.mapInArrow(_rows(unit, shared, False), "k1 long, k2 long, own long, start long").distinct()
+    met = places.join(flags.select("own", "bits"), "own")  # a segment's content tells its anchor
     return written(spark, met.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "bits")).alias("marks")), "marks")
 
 

@@ -116,7 +116,7 @@ def _stored_bytes(data: np.ndarray, values: np.ndarray, first: np.ndarray) -> tu
     return data.tobytes(), 1
 
 
-def byte_unit(size: int = 400, gram: int = 32) -> repeats.Unit:
+def byte_unit(size: int = 400, gram: int = 96) -> repeats.Unit:
     return repeats.Unit(size, gram, _bytes, _stored_bytes, repeated_windows, chunk=1_000_000, width=1)
 
 
