@@ -2,9 +2,10 @@
 
 Counts of words and word pairs are quantised on a log scale: an n-gram of count c has level
 1 + floor(log_base c), and the filter holds (n-gram, 1), ..., (n-gram, level). A look-up probes level 1, 2,
-... until one is missing, and takes the mean count of the last level found. The filter goes to all workers
-in one broadcast; it has ``BITS_PER_ITEM`` bits for each item up to ``max_bits`` (128 MB), which bounds it
-whatever the corpus; past that, false positives grow slowly, and no n-gram is left out.
+... until one is missing, and takes the mean count of the last level found. The filter has ``BITS_PER_ITEM``
+bits for each item at every size, so its rate of false positives doesn't change with the corpus. It is never in
+one place: cells of 64 kB make up shards of at most ``SHARD_CELLS``. A block of texts sends each shard one row
+with its distinct n-grams (32 bits each, by cell) and gets their levels back, one byte each.
 
 Pairs with a count below two are not stored (so a pair found at level 1 only is a false positive and counts
 as unseen). Also stored, for each word: the total count and the number of its stored pairs. From probes:
@@ -26,20 +27,24 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, mix, shuffles_dropped, steps, text_arrays, word_bounds, word_hashes, written
+from .common import LOWER, mix, steps, text_arrays, word_bounds, word_hashes, written
 
 BASE = 1.5
 BITS_PER_ITEM = 10
 PROBES = 3
 CELL_BITS = 19  # the filter is made of cells of 64 kB; all bits of an n-gram lie in one cell
+SHARD_CELLS = 64
 BLOCK_BYTES = 8 << 20
 HOLD_TOKENS = 3_000_000
 MU, DISCOUNT = 0.6, 0.7
 END = mix(np.array([0xE7D], dtype=np.uint64))[0]
 WORD, PAIR, TOTAL, KINDS = 0, 1, 2, 3
+SPREAD = 0x4F1BBCDD, 0x2C1B3C6D
+KINDS_KEY = np.uint64(0x5BD1E995)
 
 
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +113,10 @@ MEAN_COUNT = np.concatenate([[0.0], (_EDGES[:-1] + np.maximum(_EDGES[1:] - 1, _E
 
 
 def filter_key(kind: np.ndarray | int, h: np.ndarray) -> np.ndarray:
-    return mix(h + np.asarray(kind).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+    """What tells n-grams of a cell apart: 32 bits. KINDS follows from TOTAL, so that one key serves both."""
+    kind = np.asarray(kind)
+    key = mix(h + np.minimum(kind, TOTAL).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(32)
+    return np.where(kind == KINDS, key ^ KINDS_KEY, key)
 
 
 def _bits(key: np.ndarray, level: np.ndarray | int) -> list[np.ndarray]:
@@ -147,37 +155,36 @@ def _cell_row(cell: int, bitmap: np.ndarray) -> pa.RecordBatch:
 
 
 def cell_column(cells: int):
-    """The cell of a row: by the upper bits of its hash and its kind, the same as ``cell_of``."""
-    spread = F.shiftrightunsigned(F.col("h"), 13).bitwiseXOR(F.col("h")).bitwiseAND((1 << 31) - 1)
-    return ((spread + F.col("kind") * 7919) % cells).cast("int")
+    """The cell of a row: by its hash and its kind, the same as ``cell_of``."""
+    low, high = F.col("h").bitwiseAND((1 << 31) - 1), F.shiftrightunsigned("h", 33)
+    spread = F.shiftrightunsigned(low * F.lit(SPREAD[0]).cast("long") + high * F.lit(SPREAD[1]).cast("long"), 29).bitwiseAND((1 << 31) - 1)
+    return ((spread + F.least("kind", F.lit(TOTAL)) * 7919) % cells).cast("int")
 
 
 def cell_of(kind: int, h: np.ndarray, cells: int) -> np.ndarray:
-    spread = ((h >> np.uint64(13)) ^ h) & np.uint64((1 << 31) - 1)
-    return ((spread + np.uint64(kind * 7919)) % np.uint64(cells)).astype(np.int64)
+    low, high = h & np.uint64((1 << 31) - 1), h >> np.uint64(33)
+    spread = ((low * np.uint64(SPREAD[0]) + high * np.uint64(SPREAD[1])) >> np.uint64(29)) & np.uint64((1 << 31) - 1)
+    return ((spread + np.uint64(min(kind, TOTAL) * 7919)) % np.uint64(cells)).astype(np.int64)
 
 
-def build_filter(spark: SparkSession, grams: DataFrame, max_bits: int = 1 << 30) -> np.ndarray:
-    """The filter's cells (cells, bytes); it is built by cell on the executors, at most max_bits come to the driver."""
+def filter_size(grams: DataFrame) -> int:
+    """Cells for BITS_PER_ITEM bits an item, however many items there are."""
     level = F.lit(1) + F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BASE)) + 1e-9)
     items = grams.agg(F.sum(level)).first()[0] or 0
-    cells = max(1, min(max_bits, int(items * BITS_PER_ITEM)) >> CELL_BITS)
+    return max(1, -(-int(items) * BITS_PER_ITEM >> CELL_BITS))
+
+
+def build_filter(spark: SparkSession, grams: DataFrame, cells: int) -> DataFrame:
+    """The filter's table (cell, bits); cells without items have no row."""
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = grams.select(cell_column(cells).alias("cell"), "kind", "h", "n").repartition(parts, "cell").sortWithinPartitions("cell")
-    with shuffles_dropped(spark):
-        table = rows.mapInArrow(_cells(cells), "cell int, bits binary").toArrow()
-    out = np.zeros((cells, 1 << (CELL_BITS - 3)), dtype=np.uint8)
-    for cell, bits in zip(table["cell"].to_pylist(), table["bits"], strict=True):
-        out[cell] = np.frombuffer(bits.as_buffer(), dtype=np.uint8)
-    return out
+    return written(spark, rows.mapInArrow(_cells(cells), "cell int, bits binary"), "filter")
 
 
-def counts(cells: np.ndarray, kind: int, h: np.ndarray) -> np.ndarray:
-    """Estimated counts by repeated membership probes."""
-    key, at = filter_key(kind, h), cell_of(kind, h, len(cells))
-    flat, width = cells.ravel(), cells.shape[1]
-    found = np.zeros(len(h), dtype=np.int64)
-    live, level = np.arange(len(h)), 1
+def levels(flat: np.ndarray, width: int, at: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The last level found of each key, by repeated probes of its cell."""
+    found = np.zeros(len(key), dtype=np.uint8)
+    live, level = np.arange(len(key)), 1
     while len(live) and level < len(MEAN_COUNT):
         base = at[live] * width
         hit = np.ones(len(live), dtype=bool)
@@ -186,25 +193,101 @@ def counts(cells: np.ndarray, kind: int, h: np.ndarray) -> np.ndarray:
         live = live[hit]
         found[live] = level
         level += 1
+    return found
+
+
+def counts(cells: np.ndarray, kind: int, h: np.ndarray) -> np.ndarray:
+    """Estimated counts by probes of a filter that is all here."""
+    found = levels(cells.ravel(), cells.shape[1], cell_of(kind, h, len(cells)), filter_key(kind, h))
     if kind == PAIR:
         found[found == 1] = 0
     return MEAN_COUNT[found]
 
 
-def model_scores(cells: np.ndarray, token: np.ndarray, n: int, v: int) -> np.ndarray:
-    """log10 P of each token given the one before it."""
-    word, where = np.unique(token, return_inverse=True)
-    c = counts(cells, WORD, word)
-    heads = head_key(word)
-    total, kinds = counts(cells, TOTAL, heads), counts(cells, KINDS, heads)
-    rest = np.where(c > 0, np.clip(1 - (total - DISCOUNT * kinds) / np.maximum(c, 1), 0.02, 1.0), 1.0)
-    p1 = ((c + 1) / (n + v + 1))[where]
+class Routes:
+    """The distinct words, heads and pairs of a block, each sorted by cell, and where each shard's begin."""
+
+    def __init__(self, word: np.ndarray, pair: np.ndarray, cells: int, per: int):
+        self.per, self.shards = per, -(-cells // per)
+        self.grams = []
+        for kind, h in ((WORD, word), (TOTAL, np.unique(head_key(word))), (PAIR, pair)):
+            cell = cell_of(kind, h, cells)
+            order = np.argsort(cell, kind="stable")
+            cell = cell[order]
+            self.grams.append((kind, h, order, cell, np.searchsorted(cell, np.arange(self.shards + 1) * per)))
+
+    def rows(self, block: int) -> pa.RecordBatch:
+        """(shard, block, sizes, keys): for each shard the numbers of words, heads and pairs of each cell, and their keys."""
+        shard, sizes, keys = [], [], []
+        parts = [(filter_key(kind, h[order]).astype(np.uint32), cell, cut) for kind, h, order, cell, cut in self.grams]
+        for s in range(self.shards):
+            if all(cut[s] == cut[s + 1] for _, _, cut in parts):
+                continue
+            shard.append(s)
+            sizes.append(np.concatenate([np.bincount(cell[cut[s] : cut[s + 1]] - s * self.per, minlength=self.per) for _, cell, cut in parts]).astype(np.uint32).tobytes())
+            keys.append(b"".join(key[cut[s] : cut[s + 1]].tobytes() for key, _, cut in parts))
+        return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(np.full(len(shard), block, np.int32)), pa.array(sizes, pa.binary()), pa.array(keys, pa.binary())], ["shard", "block", "sizes", "keys"])
+
+    def counts(self, shard: np.ndarray, found: list[bytes]) -> list[np.ndarray]:
+        """Counts of words, of heads' totals and kinds, and of pairs, in the order of their hashes."""
+        (_, w, w_at, _, w_cut), (_, t, t_at, _, t_cut), (_, p, p_at, _, p_cut) = self.grams
+        out = [np.zeros(len(x), dtype=np.uint8) for x in (w, t, t, p)]
+        for s, part in zip(shard.tolist(), found, strict=True):
+            part, a = np.frombuffer(part, np.uint8), 0
+            for x, at, cut in zip(out, (w_at, t_at, t_at, p_at), (w_cut, t_cut, t_cut, p_cut), strict=True):
+                n = cut[s + 1] - cut[s]
+                x[at[cut[s] : cut[s + 1]]] = part[a : a + n]
+                a += n
+        out[3][out[3] == 1] = 0
+        return [MEAN_COUNT[x] for x in out]
+
+
+def _answers(per: int):
+    """Arrow code: rows of the filter's cells (block -1) and of ``Routes.rows``, sorted by shard and block, to (block, shard, levels)."""
+    width = 1 << (CELL_BITS - 3)
+
+    def code(batches):
+        held, bits = -1, None
+        for batch in batches:
+            shard, block, cell = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            sizes, keys = batch.column(3), batch.column(4)
+            cut = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else []
+            for s, e in zip(cut, [*cut[1:], len(shard)], strict=True) if len(shard) else ():
+                if shard[s] != held:
+                    held, bits = int(shard[s]), np.zeros(per * width, dtype=np.uint8)
+                ask = s + int(np.searchsorted(block[s:e], 0))
+                for i in range(s, ask):
+                    at = (int(cell[i]) - held * per) * width
+                    bits[at : at + width] = np.frombuffer(keys[i].as_buffer(), np.uint8)
+                if ask == e:
+                    continue
+                n = np.frombuffer(b"".join(sizes[i].as_py() for i in range(ask, e)), np.uint32).reshape(-1, 3, per).astype(np.int64)
+                key = np.frombuffer(b"".join(keys[i].as_py() for i in range(ask, e)), np.uint32).astype(np.uint64)
+                at = np.repeat(np.tile(np.arange(per), 3 * (e - ask)), n.ravel())
+                found = levels(bits, width, at, key)
+                ends = np.cumsum(n.sum(2).ravel()).reshape(-1, 3)
+                begins = ends - n.sum(2)
+                head = np.repeat(np.tile([False, True, False], e - ask), n.sum(2).ravel())
+                kinds = np.zeros(len(key), dtype=np.uint8)
+                kinds[head] = levels(bits, width, at[head], key[head] ^ KINDS_KEY)
+                out = [b"".join([found[b[0] : x[1]].tobytes(), kinds[b[1] : x[1]].tobytes(), found[b[2] : x[2]].tobytes()]) for b, x in zip(begins.tolist(), ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(block[ask:e]), pa.array(shard[ask:e]), pa.array(out, pa.binary())], ["block", "shard", "levels"])
+
+    return code
+
+
+def model_scores(word: np.ndarray, pair: np.ndarray, found: list[np.ndarray], token: np.ndarray, n: int, v: int) -> np.ndarray:
+    """log10 P of each token given the one before it; found are the counts of ``Routes.counts``."""
+    c, total, kinds, pairs = found
+    head = np.searchsorted(np.unique(head_key(word)), head_key(word))
+    rest = np.where(c > 0, np.clip(1 - (total[head] - DISCOUNT * kinds[head]) / np.maximum(c, 1), 0.02, 1.0), 1.0)
+    where = np.searchsorted(word, token)
+    p1 = np.minimum((c + 1) / (n + v + 1), 1.0)[where]
     before = np.empty_like(where)
     before[1:] = where[:-1]
-    end = np.searchsorted(word, END)
-    before[:1] = end
-    pair = counts(cells, PAIR, pair_keys(token))
-    own = np.clip((pair - DISCOUNT) / np.maximum(c[before], 1), 0, 1) * (pair > 0)
+    before[:1] = np.searchsorted(word, END)
+    seen = pairs[np.searchsorted(pair, pair_keys(token))]
+    own = np.clip((seen - DISCOUNT) / np.maximum(c[before], 1), 0, 1) * (seen > 0)
     return np.log10((1 - MU) * p1 + MU * np.minimum(own + rest[before] * p1, 1.0))
 
 
@@ -237,34 +320,76 @@ def _dictionary(batches):
     yield from flush()
 
 
-def score(spark: SparkSession, docs: DataFrame, train: str = "train", max_bits: int = 1 << 30) -> DataFrame:
+def _asked(cells: int, per: int):
+    """Arrow code: (block, doc_id, text) sorted by block to each block's ``Routes.rows``."""
+
+    def code(batches):
+        words, pairs, block = [], [], None
+
+        def flush():
+            if words:
+                yield Routes(np.unique(np.concatenate(words)), np.unique(np.concatenate(pairs)), cells, per).rows(block)
+                words.clear()
+                pairs.clear()
+
+        for batch in batches:
+            data, off = text_arrays(batch.column(2))
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for a, b in steps(off):
+                token, first = tokens(data[off[a] : off[b]], off[a : b + 1] - off[a])
+                cut = np.flatnonzero(np.concatenate([[True], ids[a + 1 : b] != ids[a : b - 1]]))
+                for s, e in zip(cut, [*cut[1:], b - a], strict=True):
+                    if ids[a + s] != block:
+                        yield from flush()
+                        block = int(ids[a + s])
+                    part = token[first[s] : first[e]]
+                    words.append(np.unique(part))
+                    pairs.append(np.unique(pair_keys(part)))
+        yield from flush()
+
+    return code
+
+
+def score(spark: SparkSession, docs: DataFrame, train: str = "train") -> DataFrame:
     """docs (doc_id, text, train) to doc_id, n_tokens, n_known, train_tokens, base_score, score."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col(train).alias("train"))
     grams = count_grams(spark, texts.where("train"))
     r = grams.where(F.col("kind") == WORD).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n, v = int(r[0]), int(r[1])
-    shared = spark.sparkContext.broadcast(build_filter(spark, grams, max_bits))
-    blocks = max(1, int((texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / BLOCK_BYTES))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cells = filter_size(grams)
+    per = max(1, min(SHARD_CELLS, cells // (4 * parts)))
+    blocks = max(1, int((texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / BLOCK_BYTES))
     dealt = texts.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text").repartition(parts, "block")
-    words = dealt.sortWithinPartitions("block").mapInArrow(_dictionary, "block int, h long")
+    by_block = dealt.sortWithinPartitions("block")
+    asked = by_block.mapInArrow(_asked(cells, per), "shard int, block int, sizes binary, keys binary").select("shard", "block", F.lit(-1).alias("cell"), "sizes", "keys")
+    held = build_filter(spark, grams, cells).select(F.floor(F.col("cell") / per).cast("int").alias("shard"), F.lit(-1).alias("block"), "cell", F.lit(None).cast("binary").alias("sizes"), F.col("bits").alias("keys"))
+    probed = held.unionByName(asked).repartition(parts, "shard").sortWithinPartitions("shard", "block")
+    found = written(spark, probed.mapInArrow(_answers(per), "block int, shard int, levels binary"), "levels")
+    words = by_block.mapInArrow(_dictionary, "block int, h long")
     known = words.join(grams.where(F.col("kind") == WORD).select("h", "n"), "h").select("block", "h", "n")
+    known = known.unionByName(found, allowMissingColumns=True)
 
     def block_scores(left: pa.Table, right: pa.Table) -> pa.Table:
+        answer = right.filter(pc.is_valid(right["levels"]))
+        right = right.filter(pc.is_null(right["levels"]))
         h, c = right["h"].to_numpy().view(np.uint64), right["n"].to_numpy().astype(np.float64)
         order = np.argsort(h)
         h, c = h[order], c[order]
         data, off = text_arrays(left["text"])
         size = len(off) - 1
         out = np.zeros((4, size))
-        for a, b in steps(off):
-            token, first = tokens(data[off[a] : off[b]], off[a : b + 1] - off[a])
+        cut = [(a, b, *tokens(data[off[a] : off[b]], off[a : b + 1] - off[a])) for a, b in steps(off)]
+        word = np.unique(np.concatenate([np.unique(t) for _, _, t, _ in cut]))
+        pair = np.unique(np.concatenate([np.unique(pair_keys(t)) for _, _, t, _ in cut]))
+        model = Routes(word, pair, cells, per).counts(answer["shard"].to_numpy(), answer["levels"].to_pylist())
+        for a, b, token, first in cut:
             if len(h):
                 at = np.minimum(np.searchsorted(h, token), len(h) - 1)
                 exact = np.where(h[at] == token, c[at], 0.0)
             else:
                 exact = np.zeros(len(token))
-            parts = ((exact > 0).astype(float), np.log10((exact + 1) / (n + v + 1)), model_scores(shared.value, token, n, v))
+            parts = ((exact > 0).astype(float), np.log10((exact + 1) / (n + v + 1)), model_scores(word, pair, model, token, n, v))
             out[0, a:b] = np.diff(first)
             for k, x in enumerate(parts):
                 out[k + 1, a:b] = np.add.reduceat(x, first[:-1])

@@ -126,3 +126,39 @@ def test_lm_on_odd_documents(spark):
     assert lm_bloom.score(spark, empty_documents(spark).select("doc_id", "text", F.lit(True).alias("train"))).count() == 0
     alone = lm_bloom.score(spark, docs.select("doc_id", "text", F.lit(False).alias("train"))).collect()
     assert len(alone) == len(tokens) and all(r.n_known == 0 for r in alone)
+
+
+def test_filter_bits_grow_with_items(spark):
+    """Whatever the number of items, there are ten bits for each; pairs of one frequent word fill no cell more than others."""
+    few, many = (spark.createDataFrame([(lm_bloom.WORD, 1, 1)], "kind int, h long, n long").join(spark.range(k), how="cross") for k in (1, 2_000_000))
+    assert lm_bloom.filter_size(few) == 1
+    assert lm_bloom.filter_size(many.union(many)) * (1 << lm_bloom.CELL_BITS) >= 4_000_000 * lm_bloom.BITS_PER_ITEM
+    big = spark.range(1).select(F.lit(1).alias("n")).join(spark.range(1000), how="cross").select((F.lit(1.5) ** 60).cast("long").alias("n")).join(spark.range(3000), how="cross")
+    assert lm_bloom.filter_size(big) * (1 << lm_bloom.CELL_BITS) > 1 << 30
+    rng = np.random.default_rng(2)
+    the = (rng.integers(0, 2**32, 400_000).astype(np.uint64) << np.uint64(32)) | np.uint64(12345)
+    assert np.bincount(lm_bloom.cell_of(lm_bloom.PAIR, the, 20_000), minlength=20_000).max() < 60
+
+
+def test_sharded_filter_equals_whole(spark):
+    rng = np.random.default_rng(4)
+    h = rng.integers(0, 2**63, 40_000).astype(np.uint64)
+    kind = np.repeat([lm_bloom.WORD, lm_bloom.PAIR], 20_000)
+    n = np.minimum(rng.zipf(1.5, 40_000), 10**6)
+    rows = spark.createDataFrame([(int(k), int(x), int(m)) for k, x, m in zip(kind, h, n, strict=True)], "kind tinyint, h long, n long")
+    cells = 7
+    table = lm_bloom.build_filter(spark, rows, cells).collect()
+    whole = np.zeros((cells, 1 << (lm_bloom.CELL_BITS - 3)), dtype=np.uint8)
+    for r in table:
+        whole[r.cell] = np.frombuffer(r.bits, dtype=np.uint8)
+    word, pair = np.unique(h[:25_000]), np.unique(h[10_000:])
+    for per in (1, 3):
+        routes = lm_bloom.Routes(word, pair, cells, per)
+        asked = routes.rows(5).to_pylist()
+        rows = [(r.cell // per, -1, r.cell, None, bytes(r.bits)) for r in table] + [(r["shard"], 5, -1, r["sizes"], r["keys"]) for r in asked]
+        held = spark.createDataFrame(rows, "shard int, block int, cell int, sizes binary, keys binary").coalesce(1).sortWithinPartitions("shard", "block")
+        got = held.mapInArrow(lm_bloom._answers(per), "block int, shard int, levels binary").collect()
+        found = routes.counts(np.array([r.shard for r in got]), [bytes(r.levels) for r in got])
+        heads = np.unique(word >> np.uint64(32))
+        for x, (k, keys) in zip(found, ((lm_bloom.WORD, word), (lm_bloom.TOTAL, heads), (lm_bloom.KINDS, heads), (lm_bloom.PAIR, pair)), strict=True):
+            assert np.array_equal(x, lm_bloom.counts(whole, k, keys))
