@@ -7,8 +7,8 @@ bits for each item at every size, so its rate of false positives doesn't change
 one place: cells of 64 kB make up shards of at most ``SHARD_CELLS``. A block of texts sends each shard one row
 with its distinct n-grams (32 bits each, by cell) and gets their levels back, one byte each.
 
-Pairs with a count below two are not stored (so a pair found at level 1 only is a false positive and counts
-as unseen). Also stored, for each word: the total count and the number of its stored pairs. From probes:
+All words and pairs are stored, those of count one at level 1. Also stored, for each word: the total count and
+the number of its pairs. From probes:
 
     P1(w) = (c(w) + 1) / (N + V + 1)
     P(w | v) = (1 - MU) P1(w) + MU [ max(c(vw) - D, 0) / c(v) + rest(v) P1(w) ],
@@ -96,9 +96,9 @@ def _count(batches):
 
 
 def count_grams(spark: SparkSession, texts: DataFrame) -> DataFrame:
-    """Table (kind, h, n): all words with their counts, pairs of count 2 or more, and pair totals of each word."""
+    """Table (kind, h, n): all words and pairs with their counts, and pair totals of each word."""
     rows = texts.select("text").mapInArrow(_count, "kind tinyint, h long, n long")
-    grams = written(spark, rows.groupBy("kind", "h").agg(F.sum("n").alias("n")).where((F.col("kind") == WORD) | (F.col("n") >= 2)), "grams")
+    grams = written(spark, rows.groupBy("kind", "h").agg(F.sum("n").alias("n")), "grams")
     heads = grams.where(F.col("kind") == PAIR).groupBy(F.shiftrightunsigned("h", 32).alias("h")).agg(F.sum("n").alias("t"), F.count("*").alias("k"))
     heads = heads.select("h", F.explode(F.array(F.struct(F.lit(TOTAL).cast("tinyint").alias("kind"), F.col("t").alias("n")), F.struct(F.lit(KINDS).cast("tinyint").alias("kind"), F.col("k").alias("n")))).alias("x"))
     return grams.unionByName(written(spark, heads.select("x.kind", "h", "x.n"), "gram-heads"))
@@ -199,8 +199,6 @@ def levels(flat: np.ndarray, width: int, at: np.ndarray, key: np.ndarray) -> np.
 def counts(cells: np.ndarray, kind: int, h: np.ndarray) -> np.ndarray:
     """Estimated counts by probes of a filter that is all here."""
     found = levels(cells.ravel(), cells.shape[1], cell_of(kind, h, len(cells)), filter_key(kind, h))
-    if kind == PAIR:
-        found[found == 1] = 0
     return MEAN_COUNT[found]
 
 
@@ -238,7 +236,6 @@ class Routes:
                 n = cut[s + 1] - cut[s]
                 x[at[cut[s] : cut[s + 1]]] = part[a : a + n]
                 a += n
-        out[3][out[3] == 1] = 0
         return [MEAN_COUNT[x] for x in out]
 
 

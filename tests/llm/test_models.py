@@ -162,3 +162,18 @@ def test_sharded_filter_equals_whole(spark):
         heads = np.unique(word >> np.uint64(32))
         for x, (k, keys) in zip(found, ((lm_bloom.WORD, word), (lm_bloom.TOTAL, heads), (lm_bloom.KINDS, heads), (lm_bloom.PAIR, pair)), strict=True):
             assert np.array_equal(x, lm_bloom.counts(whole, k, keys))
+
+
+def test_pairs_seen_once_are_known(spark):
+    """A text whose pairs were each seen once in training scores above the same words in another order."""
+    rng = random.Random(9)
+    vocabulary = words(rng, 400, 4).split()
+    text = [rng.choice(vocabulary) for _ in range(300)]
+    other = rng.sample(text, len(text))
+    docs = spark.createDataFrame([(1, " ".join(text), True), (2, " ".join(text), False), (3, " ".join(other), False)], "doc_id long, text string, train boolean")
+    grams = lm_bloom.count_grams(spark, docs.where("train"))
+    pairs = set(zip([None, *text], [*text, None], strict=True))
+    assert grams.where(F.col("kind") == lm_bloom.PAIR).count() == len(pairs)
+    assert grams.where(F.col("kind") == lm_bloom.TOTAL).agg(F.sum("n")).first()[0] == len(text) + 1
+    got = {r.doc_id: r.score for r in lm_bloom.score(spark, docs).collect()}
+    assert got[2] > got[3] + 30
