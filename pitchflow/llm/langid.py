@@ -7,9 +7,9 @@ its bytes of -log2 P(byte | longest context in the tree); the shortest code wins
 The trees of all languages share one set of contexts, so that P becomes one row of 256 code lengths for
 each (language, context), and scoring a byte is a few array look-ups.
 
-Fixed sizes, whatever the input: the ``max_langs`` most frequent languages, ``per_lang`` training texts for
-each (about, drawn by the hash of the text, copies once, texts of up to ``max_bytes`` bytes), ``max_nodes`` contexts of order 2 and of
-order 3. So the model that workers get has at most 2 * max_nodes * 1 kB for each language.
+Every language is learned, from ``per_lang`` training texts (distinct ones, those of the lowest hashes; of texts
+over ``max_bytes`` bytes the start, where a language has too few others) and ``max_nodes`` contexts of order 2 and of
+order 3. So the model that workers get has at most 2 * max_nodes * 1 kB for each language, and grows with their number.
 
 Cases: null text or no letter gives 'und' and score 0; rows without language teach nothing; with no
 training rows every text is 'und'; ties go to the first language by name.
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import steps, text_arrays
@@ -29,13 +29,17 @@ LETTER = np.zeros(256, dtype=bool)
 LETTER[65:91] = LETTER[97:123] = True
 
 
-def training_sample(rows: DataFrame, per_lang: int = 300, max_bytes: int = 1 << 16, max_langs: int = 256) -> DataFrame:
-    """(lang, text): about per_lang distinct texts of each of the max_langs most frequent languages, the same ones on every run."""
-    rows = rows.where("lang IS NOT NULL AND text IS NOT NULL").where(F.octet_length("text").between(1, max_bytes))
-    share = rows.groupBy("lang").agg((F.lit(float(per_lang)) / F.count("*")).alias("_share")).orderBy("_share", "lang").limit(max_langs)
-    draw = (F.xxhash64(F.lit(17), "text").bitwiseAND((1 << 30) - 1) / float(1 << 30)).alias("_draw")
-    drawn = rows.select("lang", "text", draw).join(F.broadcast(share), "lang").where("_draw < _share")
-    return drawn.select("lang", "text").distinct()
+def training_sample(rows: DataFrame, per_lang: int = 300, max_bytes: int = 1 << 16) -> DataFrame:
+    """(lang, text): per_lang distinct texts of each language (all, if it has fewer), the same ones on every run."""
+    size = F.octet_length("text")
+    draw = F.xxhash64(F.lit(17), "text").bitwiseAND((1 << 61) - 1) + F.when(size > max_bytes, 1 << 61).otherwise(0)
+    rows = rows.where("lang IS NOT NULL").where(size > 0).select("lang", "text", draw.alias("_draw"))
+    # only hashes are shuffled, and of these a task hands on no more than per_lang for each language
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_draw"))
+    lowest = rows.select("lang", "_draw").distinct().withColumn("_rank", rank).where(F.col("_rank") <= per_lang)
+    last = lowest.groupBy("lang").agg(F.max("_draw").alias("_last"))
+    drawn = rows.join(F.broadcast(last), "lang").where("_draw <= _last")
+    return drawn.select("lang", F.when(size > max_bytes, F.substring("text", 1, max_bytes // 4)).otherwise(F.col("text")).alias("text")).distinct()
 
 
 def _padded(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

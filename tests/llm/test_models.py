@@ -177,3 +177,13 @@ def test_pairs_seen_once_are_known(spark):
     assert grams.where(F.col("kind") == lm_bloom.TOTAL).agg(F.sum("n")).first()[0] == len(text) + 1
     got = {r.doc_id: r.score for r in lm_bloom.score(spark, docs).collect()}
     assert got[2] > got[3] + 30
+
+
+def test_every_language_is_learned(spark):
+    """Also rare ones among many, ones of copies, and ones of long texts only."""
+    rng = random.Random(12)
+    rows = [(f"l{i:03}", words(rng, 5)) for i in range(300) for _ in range(2)] + [("rare", words(rng, 5)), ("long", words(rng, 20_000))]
+    rows += [("copies", t) for t in (words(rng, 8) for _ in range(20)) for _ in range(500)] + [("many", words(rng, 3)) for _ in range(400)]
+    got = Counter(r.lang for r in langid.training_sample(spark.createDataFrame(rows, "lang string, text string"), per_lang=50).collect())
+    assert len(got) == 304 and got["copies"] == 20 and got["many"] == 50
+    assert {n for k, n in got.items() if k.startswith("l0")} == {2} and got["rare"] == got["long"] == 1
