@@ -37,6 +37,31 @@ def test_toxicity_on_odd_documents(spark):
     assert none.score("anything") == pytest.approx(0.01)
 
 
+def test_toxic_word_beginnings_in_every_language(spark):
+    """Recall of held-out label-1 rows at 0.3 by language, and false positives; the fit in Spark equals the one in memory."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = toxicity.fit(docs.where(~held), labels)
+    scored = docs.where(held).join(labels, "doc_id").select("lang", "toxic", (toxicity.score(model, "text", spark) >= 0.3).alias("p"))
+    got = {(r.lang, r.toxic): (r.n, r.k) for r in scored.groupBy("lang", "toxic").agg(F.count("*").alias("n"), F.sum(F.col("p").cast("int")).alias("k")).collect()}
+    assert got["en", 1][1] >= 0.88 * got["en", 1][0]
+    assert all(got[lang, 1][1] >= 0.8 * got[lang, 1][0] for lang in ("de", "fr", "es"))
+    assert sum(k for (_, y), (_, k) in got.items() if y == 0) < 0.01 * sum(n for (_, y), (n, _) in got.items() if y == 0)
+
+
+def test_fit_is_train(spark):
+    rng = random.Random(6)
+    rows = [(i, f"{words(rng, 30)} {'christian' if i % 3 else 'woman'} {' '.join(f'rotne{words(rng, 1)}' for _ in range(3)) if i % 4 == 0 else ''} {words(rng, 30)}", int(i % 4 == 0)) for i in range(400)]
+    rows += rows[:50]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    got = toxicity.fit(docs, spark.createDataFrame([(i, y, y) for i, _, y in rows], "doc_id long, quality int, toxic int"))
+    want = toxicity.train([t for _, t, _ in rows], [y for _, _, y in rows], [1.0] * len(rows))
+    for _, t, _ in rows[:60]:
+        assert got.score(t) == pytest.approx(want.score(t), abs=0.02)
+    assert got.score("a rotnelloq and a rotnevixa, rotneon") > 0.3 > got.score("the christian woman reads")
+
+
 def test_code_lengths_are_exact():
     """Against a slow walk down the contexts of plain counts."""
     rng = random.Random(3)
