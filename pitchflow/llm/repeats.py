@@ -12,10 +12,16 @@ equal anchors at equal offsets, so only windows with one anchor hash need to be
 4. Windows that occur twice or more go back to their texts.
 
 Which anchors occur more than once is told by a bitmap of one bit for each hash, of 16 bits an anchor up to
-``MAX_BITS`` (32 MB): collisions only let more segments pass. An anchor with over ``HOT`` occurrences would
-make a shard that grows with the data. So such runs are avoided: anchors are chosen and counted once more, and
-a window takes one of them only if it has no other run (equal windows still choose alike). Windows whose
-anchor is frequent even so are dealt out by their own hashes and counted there, which is exact too.
+``MAX_BITS`` (32 MB): collisions only let more segments pass. Runs that occur over ``HOT`` times are anchors
+only of windows that have no other run (equal windows still choose alike), so what surrounds a frequent line
+isn't dealt by that line; what is left of them lies within frequent passages, whose copies are equal
+segments and one row. Segments are summed within a task before they are shuffled, so a passage in a third of
+all texts is one row a task. Results go back by segment: one row for each place of a segment.
+
+An anchor whose distinct segments have over ``unit.most`` symbols together isn't indexed at once: their
+windows are counted by hash in a shuffle of their own, which is exact too.
+
+Cases: the operators' docstrings. Equal hashes (64 bits) stand for equal anchors, segments and windows.
 """
 
 from __future__ import annotations
@@ -28,12 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prefix_sums, range_hash, shuffles_dropped, steps, text_arrays, window_hashes, written
+from .common import mix, prefix_sums, range_hash, shuffles_dropped, steps, text_arrays, window_hashes, written
 from .decontam import text_key
 
 MAX_BITS = 28
 HOT = 4096
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 _LOW = np.uint64((1 << 24) - 1)
 
 
@@ -53,6 +59,11 @@ class Unit:
     chunk: int
     width: int
 
+    @property
+    def most(self) -> int:
+        """Symbols of one anchor's distinct segments that are indexed together at most."""
+        return 4 * self.chunk
+
 
 def segments(values: np.ndarray, first: np.ndarray, size: int, gram: int, avoid: np.ndarray | None = None):
     """(text, start, windows, anchor hash) of all segments; starts are places in ``values``.
@@ -118,131 +129,172 @@ def _in(words: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (words[cell >> np.uint64(6)] >> (cell & np.uint64(63))) & np.uint64(1) > 0
 
 
-def _rows(unit: Unit, shared, content: bool):
-    """Rows of segments that may repeat; with ``content`` summed within a step, else one for each place.
+def _repeating(unit: Unit, shared, batches):
+    """(batch, first text, bytes, symbols, firsts, text, start, windows, anchor, content) of segments that may repeat."""
+    avoid, twice = shared.value
+    for batch in batches:
+        for a, part, values, first, text, start, n, h in _parts(batch, unit, avoid):
+            on = _in(twice, h)
+            text, start, n, h = text[on], start[on], n[on], h[on]
+            if len(h):
+                yield batch, a, part, values, first, text, start, n, h, range_hash(prefix_sums(values), start, start + n + unit.size - 1)
+
 
-    A task gives a segment's symbols once (as far as it remembers), and only the count after that.
+def _content(unit: Unit, shared):
+    """(h, own, seg, n): the distinct segments of a task, by anchor and content, with counts.
+
+    What a task has given once, it counts on and gives again without the symbols, for all of its texts together.
     """
 
     def code(batches):
-        avoid, twice, hot = shared.value
-        seen: set[int] = set()
-        single: list[np.ndarray] = []  # windows dealt out by themselves, not yet summed
-        held = 0
+        seen: dict[int, int] = {}  # content to its place in the lists
+        h_of, own_of, extra = [], [], []
 
-        def flush():
-            if single:
-                key, count = np.unique(np.concatenate(single), return_counts=True)
-                for a in range(0, len(key), 1 << 17):
-                    k = pa.array(key[a : a + (1 << 17)].view(np.int64))
-                    yield pa.RecordBatch.from_arrays([k, k, pa.array([b""] * len(k), pa.binary()), pa.array(count[a : a + (1 << 17)])], ["h", "own", "seg", "n"])
-                single.clear()
+        def rows(h, own, seg, n):
+            return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(own, pa.int64()), pa.array(seg, pa.binary()), pa.array(n, pa.int64())], ["h", "own", "seg", "n"])
 
-        for batch in batches:
-            for a, part, values, first, text, start, n, h in _parts(batch, unit, avoid):
-                on = _in(twice, h)
-                text, start, n, h = text[on], start[on], n[on], h[on]
-                if not len(h):
-                    continue
-                sums = prefix_sums(values)
-                own = range_hash(sums, start, start + n + unit.size - 1)
-                is_hot = _in(hot, h)
-                if is_hot.any():  # each window by itself
-                    w = np.flatnonzero(is_hot)
-                    each = np.repeat(start[w], n[w]) + np.arange(n[w].sum()) - np.repeat(np.cumsum(n[w]) - n[w], n[w])
-                    key = range_hash(sums, each, each + unit.size)
-                    rest = ~is_hot
-                    text, start, h, own, n = (np.concatenate(x) for x in ((text[rest], np.repeat(text[w], n[w])), (start[rest], each), (h[rest], key), (own[rest], key), (n[rest], np.ones(len(each), np.int64))))
-                    alone = np.arange(len(h)) >= rest.sum()
-                else:
-                    alone = np.zeros(len(h), dtype=bool)
-                if content:
-                    single.append(h[alone])
-                    held += len(single[-1])
-                    if held > 1 << 21:
-                        yield from flush()
-                        held = 0
-                    h, own, start, n = h[~alone], own[~alone], start[~alone], n[~alone]
-                    if not len(h):
-                        continue
-                    pair, at, count = np.unique(np.stack([h, own], axis=1).view([("h", "u8"), ("own", "u8")]).ravel(), return_index=True, return_counts=True)
-                    raw, scale = unit.stored(part, values, first)
-                    seg: list[bytes | None] = []
-                    for s, e, o in zip(start[at].tolist(), (start[at] + n[at] + unit.size - 1).tolist(), pair["own"].tolist(), strict=True):
-                        seg.append(None if o in seen else raw[s * scale : e * scale])
-                        seen.add(o)
-                    if len(seen) > REMEMBERED:
-                        seen.clear()
-                    yield pa.RecordBatch.from_arrays([pa.array(pair["h"].view(np.int64)), pa.array(pair["own"].view(np.int64)), pa.array(seg, pa.binary()), pa.array(count)], ["h", "own", "seg", "n"])
+        def flush():
+            n = np.array(extra, dtype=np.int64)
+            again = np.flatnonzero(n)
+            for a in range(0, len(again), 1 << 16):
+                some = again[a : a + (1 << 16)].tolist()
+                yield rows([h_of[i] for i in some], [own_of[i] for i in some], [None] * len(some), n[some])
+            seen.clear()
+            h_of.clear()
+            own_of.clear()
+            extra.clear()
+
+        for _, _, part, values, first, _, start, n, h, own in _repeating(unit, shared, batches):
+            own, at, count = np.unique(own, return_index=True, return_counts=True)
+            h, own, begin, end = h[at].view(np.int64).tolist(), own.view(np.int64).tolist(), start[at].tolist(), (start[at] + n[at] + unit.size - 1).tolist()
+            raw, scale = unit.stored(part, values, first)
+            new = []
+            for i, (o, m) in enumerate(zip(own, count.tolist(), strict=True)):
+                k = seen.get(o)
+                if k is None:
+                    seen[o] = len(extra)
+                    h_of.append(h[i])
+                    own_of.append(o)
+                    extra.append(0)
+                    new.append(i)
                 else:
-                    keys = [batch.column(k).take(pa.array(text + a)) for k in (1, 2)]
-                    yield pa.RecordBatch.from_arrays([*keys, pa.array(own.view(np.int64)), pa.array(start - first[text])], ["k1", "k2", "own", "start"])
+                    extra[k] += m
+            yield rows([h[i] for i in new], [own[i] for i in new], [raw[begin[i] * scale : end[i] * scale] for i in new], count[new])
+            if len(extra) > REMEMBERED:
+                yield from flush()
         yield from flush()
 
     return code
 
 
+def _places(unit: Unit, shared):
+    """(k1, k2, own, start): where the segments lie in their texts."""
+
+    def code(batches):
+        for batch, a, _, _, first, text, start, _, _, own in _repeating(unit, shared, batches):
+            keys = [batch.column(k).take(pa.array(text + a)) for k in (1, 2)]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(own.view(np.int64)), pa.array(start - first[text])], ["k1", "k2", "own", "start"])
+
+    return code
+
+
+FLAGS = "own long, bits binary, seg binary, n long"
+
+
 def _shards(unit: Unit):
-    """Flags of the windows of each segment; rows come sorted by anchor, an anchor's rows stay together."""
-
-    def found(h: list, own: list, seg: list, n: list):
-        flags = []
-        inside = [i for i, s in enumerate(seg) if s]
-        if inside:
-            hit = unit.index([seg[i] for i in inside], np.array([n[i] for i in inside]), unit.size)
-            sizes = [len(seg[i]) // unit.width - unit.size + 1 for i in inside]
-            cuts = np.cumsum(sizes)[:-1]
-            flags = dict(zip(inside, np.split(hit, cuts), strict=True))
-        out = []
-        for i in range(len(seg)):
-            bits = flags[i] if seg[i] else np.array([n[i] >= 2])
-            if bits.any():
-                out.append((h[i], own[i], np.packbits(bits, bitorder="little").tobytes()))
+    """Flags of the windows of each segment (or the segment itself, if its anchor has too many); rows come sorted by anchor."""
+
+    def given(own, bits, seg, n):
+        return pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(bits, pa.binary()), pa.array(seg, pa.binary()), pa.array(n, pa.int64())], ["own", "bits", "seg", "n"])
+
+    def found(rows: list[tuple[int, bytes, int]]):
+        if not rows:
+            return
+        own, seg, n = zip(*rows, strict=True)
+        hit = unit.index(list(seg), np.array(n), unit.size)
+        cuts = np.cumsum([len(s) // unit.width - unit.size + 1 for s in seg])[:-1]
+        out = [(o, np.packbits(bits, bitorder="little").tobytes()) for o, bits in zip(own, np.split(hit, cuts), strict=True) if bits.any()]
         if out:
-            a, b, c = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.binary())], ["h", "own", "bits"])
+            own, bits = zip(*out, strict=True)
+            yield given(own, bits, [None] * len(own), [0] * len(own))
 
     def code(batches):
-        h, own, seg, n, held = [], [], [], [], 0
+        held: list[tuple[int, bytes, int]] = []  # the rows to index together
+        mine: list[tuple[int, bytes, int]] = []  # those of the anchor that is being read
+        held_size = mine_size = 0
+        anchor, many = None, False
+
         for batch in batches:
-            for x, y, s, m in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held >= unit.chunk * unit.width and x != h[-1]:
-                    yield from found(h, own, seg, n)
-                    h, own, seg, n, held = [], [], [], [], 0
-                h.append(x)
-                own.append(y)
-                seg.append(s)
-                n.append(m)
-                held += len(s)
-        if h:
-            yield from found(h, own, seg, n)
+            for h, own, seg, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if h != anchor:
+                    held += mine
+                    held_size += mine_size
+                    mine, mine_size, anchor, many = [], 0, h, False
+                    if held_size >= unit.chunk * unit.width:
+                        yield from found(held)
+                        held, held_size = [], 0
+                mine.append((own, seg, n))
+                mine_size += len(seg)
+                if many or mine_size > unit.most * unit.width:
+                    many = True
+                    own, seg, n = zip(*mine, strict=True)
+                    yield given(own, [None] * len(own), seg, n)
+                    mine, mine_size = [], 0
+        yield from found(held + mine)
 
     return code
 
 
+def _windows(unit: Unit):
+    """(w, own, i, n): each window of the segments (own, seg, n)."""
+
+    def code(batches):
+        for batch in batches:
+            for own, seg, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows = np.frombuffer(seg, dtype=np.uint8).reshape(-1, unit.width)
+                values = np.zeros((len(rows), 8), dtype=np.uint8)
+                values[:, : unit.width] = rows
+                w = window_hashes(mix(values.view(np.uint64).ravel() + np.uint64(1)), unit.size)
+                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(np.full(len(w), own)), pa.array(np.arange(len(w), dtype=np.int32)), pa.array(np.full(len(w), n))], ["w", "own", "i", "n"])
+
+    return code
+
+
+def _by_windows(unit: Unit, rest: DataFrame) -> DataFrame:
+    """(own, bits) of segments (own, seg, n), by counts of their windows' hashes."""
+    each = rest.select("own", "seg", "n").mapInArrow(_windows(unit), "w long, own long, i int, n long")
+    twice = each.groupBy("w").agg(F.sum("n").alias("n")).where("n >= 2").select("w")
+    flags = each.select("w", "own", "i").join(twice, "w").groupBy("own").agg(F.collect_list("i").alias("at"))
+    byte = lambda k: F.aggregate(F.filter("at", lambda i: F.shiftright(i, 3) == k), F.lit(0), lambda acc, i: acc.bitwiseOR(F.element_at(F.array(*(F.lit(1 << b) for b in range(8))), i.bitwiseAND(7) + 1)))
+    hexed = F.transform(F.sequence(F.lit(0), F.shiftright(F.array_max("at"), 3)), lambda k: F.lpad(F.hex(byte(k)), 2, "0"))
+    return flags.select("own", F.unhex(F.array_join(hexed, "")).alias("bits"))
+
+
 def find(spark: SparkSession, docs: DataFrame, unit: Unit, text: str = "text") -> DataFrame:
     """(k1, k2, marks): for each text with repeats, by text_key, the segments with flags of their repeated windows."""
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), *text_key(F.col(text)))
 
-    def counted(avoided=None) -> tuple[DataFrame, DataFrame, int]:
+    def counted(avoided=None) -> DataFrame:
         rows = texts.select("text").mapInArrow(_anchors(unit, avoided), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 2")
-        rows = written(spark, rows, "anchors")
-        hot = rows.where(F.col("n") > HOT)
-        return rows, hot, hot.count()
+        return written(spark, rows, "anchors")
 
-    anchors, hot, many = counted()
-    avoid = None
+    anchors, avoid = counted(), None
+    hot = anchors.where(F.col("n") > HOT)
+    many = hot.count()
     if many:
         avoid = bitmap(hot, many)
-        anchors, hot, many = counted(spark.sparkContext.broadcast(avoid))
-    shared = spark.sparkContext.broadcast((avoid, bitmap(anchors, anchors.count()), bitmap(hot, many)))
+        anchors = counted(spark.sparkContext.broadcast(avoid))
+    shared = spark.sparkContext.broadcast((avoid, bitmap(anchors, anchors.count())))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    content = texts.select("text").mapInArrow(_rows(unit, shared, True), "h long, own long, seg binary, n long")
+    content = texts.select("text").mapInArrow(_content(unit, shared), "h long, own long, seg binary, n long")
     # dealt by anchor once: that also brings the rows of one content together
     content = content.repartition(parts, "h").groupBy("h", "own").agg(F.first("seg", ignorenulls=True).alias("seg"), F.sum("n").alias("n"))
-    flags = content.sortWithinPartitions("h", "own").mapInArrow(_shards(unit), "h long, own long, bits binary")
-    places = texts.mapInArrow(_rows(unit, shared, False), "k1 long, k2 long, own long, start long").distinct()
-    met = places.join(flags.select("own", "bits"), "own")  # a segment's content tells its anchor
+    flags = written(spark, content.sortWithinPartitions("h", "own").mapInArrow(_shards(unit), FLAGS), "flags")
+    done, rest = flags.where("bits IS NOT NULL").select("own", "bits"), flags.where("bits IS NULL")
+    if rest.limit(1).count():
+        done = done.unionByName(_by_windows(unit, rest))
+    places = texts.mapInArrow(_places(unit, shared), "k1 long, k2 long, own long, start long").distinct()
+    met = places.join(done, "own")  # a segment's content tells its anchor
     return written(spark, met.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "bits")).alias("marks")), "marks")
 
 

@@ -4,8 +4,8 @@ Of a shard's suffixes only those smaller than their successor (type B) are sorte
 (type A) are induced: going through the order from the smallest suffix, the suffix one place to the left of
 each, if of type A, goes to the next free place of its first byte's bucket. A bucket's A suffixes come
 before its B suffixes and are complete when the scan gets to them, so a bucket is scanned at once, in rounds
-only for runs of one byte. Neighbours in the order then give the common prefixes; windows with a neighbour
-that shares the whole window repeat.
+only for runs of one byte. Then the common prefixes of neighbours in the order are computed; windows in a run of
+common prefixes of window length repeat.
 
 Cases: null and empty texts keep nothing to remove; texts shorter than a window keep all; copies remove each other.
 A cut may fall within a character: the kept bytes are then not UTF-8, and come as binary.
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import repeats
-from .common import BYTE_VALUE, text_arrays, window_hashes
+from .common import BYTE_VALUE, prefix_sums, range_hash, text_arrays
 
 
 def smaller_than_next(text: np.ndarray) -> np.ndarray:
@@ -82,30 +82,42 @@ def two_stage(text: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
-def shared_with_next(text: np.ndarray, order: np.ndarray, size: int) -> np.ndarray:
-    """Whether each suffix but the last, in order, shares its first ``size`` bytes with the next."""
-    h = window_hashes(BYTE_VALUE[text], size)
-    full = order + size <= len(text)
-    value = np.where(full, h[np.minimum(order, len(h) - 1)], np.arange(len(order), dtype=np.uint64))
-    return (value[1:] == value[:-1]) & full[1:] & full[:-1]
+def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
+    """Length of the longest common prefix, up to ``depth``, of each suffix but the last, in order, with the next.
+
+    Found by halving: equal hashes of 64 bits stand for equal bytes.
+    """
+    if len(order) < 2:
+        return np.zeros(0, np.int64)
+    sums = prefix_sums(BYTE_VALUE[text])
+    a, b = order[:-1], order[1:]
+    most = np.minimum(depth, len(text) - np.maximum(a, b))
+    low = np.zeros(len(a), dtype=np.int64)
+    step = 1 << (depth.bit_length() - 1)
+    while step:
+        at = np.flatnonzero(low + step <= most)
+        x, y = a[at] + low[at], b[at] + low[at]
+        low[at[range_hash(sums, x, x + step) == range_hash(sums, y, y + step)]] += step
+        step >>= 1
+    return low
 
 
 def repeated_windows(segments: list[bytes], counts: np.ndarray, size: int) -> np.ndarray:
-    """Flags of the windows that occur twice or more among the segments."""
+    """Flags of the windows that occur twice or more among the segments, which stand for ``counts`` copies each."""
     text = np.frombuffer(b"\xff".join(segments), dtype=np.uint8)  # 255 is in no UTF-8 text
     lengths = np.array([len(s) for s in segments])
     begin = np.cumsum(lengths + 1) - lengths - 1
     windows = lengths - size + 1
     place = np.repeat(begin, windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-    start = np.zeros(len(text), dtype=bool)
-    start[place] = True
+    weight = np.zeros(len(text), dtype=np.int64)
+    weight[place] = np.repeat(counts, windows)
     order = two_stage(text, size)
-    order = order[start[order]]
-    same = shared_with_next(text, order, size)
+    order = order[weight[order] > 0]
+    # windows that share all their bytes are neighbours: a run of common prefixes of window length
+    run = np.cumsum(np.concatenate([[0], common_prefixes(text, order, size) < size]))
     hit = np.zeros(len(text), dtype=bool)
-    hit[order[:-1][same]] = True
-    hit[order[1:][same]] = True
-    return hit[place] | np.repeat(counts >= 2, windows)
+    hit[order] = np.bincount(run, weights=weight[order])[run] >= 2
+    return hit[place]
 
 
 def _bytes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

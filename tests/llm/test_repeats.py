@@ -44,6 +44,15 @@ def test_two_stage_is_the_suffix_order():
         assert got.tolist() == sorted(range(n), key=lambda i: raw[i:])
 
 
+def test_common_prefixes():
+    rng = random.Random(8)
+    for n in (1, 2, 60, 300):
+        raw = bytes(rng.choice(b"aab") for _ in range(n))
+        order = np.array(sorted(range(n), key=lambda i: raw[i:]))
+        got = suffix_sort.common_prefixes(np.frombuffer(raw, dtype=np.uint8), order, 20)
+        assert got.tolist() == [next((k for k in range(20) if raw[a + k : a + k + 1] != raw[b + k : b + k + 1] or a + k >= n or b + k >= n), 20) for a, b in zip(order[:-1], order[1:], strict=True)]
+
+
 def test_wavelet_ranks():
     rng = np.random.default_rng(3)
     seq = rng.integers(0, 37, 300)
@@ -55,8 +64,10 @@ def test_wavelet_ranks():
 
 @pytest.mark.parametrize("hot", [4096, 1])
 def test_words(spark, monkeypatch, hot):
-    """hot = 1: every repeated anchor goes the way of those with very many occurrences."""
+    """hot = 1: every repeated anchor is avoided where it can be, and its windows are counted one by one."""
     monkeypatch.setattr(repeats, "HOT", hot)
+    if hot == 1:
+        monkeypatch.setattr(repeats.Unit, "most", 10)
     texts = odd_texts()
     out = {r.h: r.r for r in fm_index.removed(spark, odd_documents(spark)).collect()}
     tokens = [(t or "").encode().split() for t in texts]
@@ -69,6 +80,8 @@ def test_words(spark, monkeypatch, hot):
 @pytest.mark.parametrize("hot", [4096, 1])
 def test_bytes(spark, monkeypatch, hot):
     monkeypatch.setattr(repeats, "HOT", hot)
+    if hot == 1:
+        monkeypatch.setattr(repeats.Unit, "most", 10)
     texts = odd_texts()
     texts[9] = texts[9][:6000]
     texts[10] = texts[10][:3000]
