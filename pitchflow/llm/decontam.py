@@ -1,33 +1,43 @@
 """Benchmark decontamination by template canonicalisation.
 
 Each word becomes a template token: numbers, units after numbers and names (capitalised words) become typed
-placeholders, other words lose case and edge punctuation. Windows of five template tokens of documents
+placeholders, other words lose case and edge punctuation, punctuation alone stays. Windows of five template tokens of documents
 are hash-joined with those of benchmark items. What two placeholders of one type stand for may differ, but
 not freely: along one alignment of a document with an item, a value of the item must stand for one value of
 the document everywhere (slot consistency). An item is found if its windows on consistent alignments cover
 at least ``coverage`` of all its windows. Values that differ consistently mark a re-parameterised question.
 
-Before the join, document windows pass a bitmap of the items' hashes of a fixed size (1 MB, whatever the
-benchmark's size), so only windows that may match are shuffled. Windows with fewer than three literal
-words are not used; items with fewer than ``WINDOW`` usable tokens have none and are never found.
+Windows need three literal words. Items of which fewer than half of the windows have them, and items of three
+or four words, are looked for by windows of their words as they are (five, or the whole item), so that what they
+ask for has to be there word for word. Items of one or two words are too common to tell and aren't looked
+for; ``searchable`` tells which are.
+
+A text that covers an item has at least one of any floor((1 - coverage) windows) + 1 of its windows. So only
+these many of each item, those that the fewest items share, take part in the hash join; a bitmap of them (of 64
+bits a window, 32 MB at most; collisions only let more pass) keeps other windows of documents from the
+shuffle. What meets is verified pair by pair, text against item.
 
 The unit of work is a distinct text (by a 128-bit hash), so copies cost nothing and hot groups don't meet.
 
-Cases: null and empty texts match nothing; equal items are all found; without a benchmark nothing is.
+Cases: null and empty texts match nothing; equal items are all found; item ids may have any type and be null,
+repeated items count once; texts and items of any length are read whole; of items covered alike the least
+id is best; without a benchmark nothing is found; further columns of docs are kept, but those with the names
+of results are replaced.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, mix, range_hash, prefix_sums, BYTE_VALUE, steps, text_arrays, window_hashes, word_bounds
+from .common import BYTE_VALUE, LOWER, mix, prefix_sums, range_hash, steps, text_arrays, window_hashes, word_bounds, written
 
 WINDOW = 5
 LITERALS = 3
-BITMAP_BITS = 23
+SHORT = (3, 4)  # words of items that are looked for whole
+LEAST_BITS, MOST_BITS = 20, 28
 NAME, NUMBER, UNIT = (mix(np.array([k], dtype=np.uint64))[0] for k in (1, 2, 3))
 #: Units that count as such after a number.
 UNITS = (
@@ -50,99 +60,196 @@ def _hash_of(words: list[str]) -> np.ndarray:
 _UNIT_HASHES = np.sort(_hash_of(list(UNITS)))
 
 
+def _inner(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words' bounds without edge punctuation; none is left of a word of nothing else."""
+    place = np.arange(len(data))
+    following = np.minimum.accumulate(np.where(_EDGE[data], len(data), place)[::-1])[::-1]
+    before = np.maximum.accumulate(np.where(_EDGE[data], -1, place))
+    starts = np.minimum(following[starts], ends)
+    return starts, np.maximum(before[ends - 1] + 1, starts)
+
+
 def template(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Template tokens, their values (hashes of the words), and the first token of each text (n + 1)."""
     starts, ends, first = word_bounds(data, off)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), first
-    starts, ends = starts.copy(), ends.copy()
-    while True:  # edge punctuation; a word of nothing else stays as it is empty
-        on = np.flatnonzero(ends > starts)
-        on = on[_EDGE[data[ends[on] - 1]]]
-        if not len(on):
-            break
-        ends[on] -= 1
-    while True:
-        on = np.flatnonzero(ends > starts)
-        on = on[_EDGE[data[starts[on]]]]
-        if not len(on):
-            break
-        starts[on] += 1
+    inner, till = _inner(data, starts, ends)
+    full = till > inner
+    starts, ends = np.where(full, inner, starts), np.where(full, till, ends)
     value = range_hash(prefix_sums(BYTE_VALUE[LOWER[data]]), starts, ends)
     lead = data[np.minimum(starts, len(data) - 1)]
     second = data[np.minimum(starts + 1, len(data) - 1)]
-    full = ends > starts
     upper = full & (((lead >= 65) & (lead <= 90)) | ((lead == 0xC3) & (second >= 0x80) & (second <= 0x9E)))
     number = full & _DIGIT[lead]
     after = np.zeros(len(value), dtype=bool)
     after[1:] = number[:-1]
     after[np.minimum(first[:-1], len(value) - 1)] = False
     unit = after & ~number & (_UNIT_HASHES[np.minimum(np.searchsorted(_UNIT_HASHES, value), len(_UNIT_HASHES) - 1)] == value)
-    token = np.where(number, NUMBER, np.where(unit, UNIT, np.where(upper, NAME, value)))
+    word = (value & ~np.uint64(1)) | (~full).astype(np.uint64)
+    token = np.where(number, NUMBER, np.where(unit, UNIT, np.where(upper, NAME, word)))
     return token, value, first
 
 
-def windows(data: np.ndarray, off: np.ndarray):
-    """(text, place, hash, token values, which are slots) of all windows with enough literal words."""
-    token, value, first = template(data, off)
+def slots(token: np.ndarray) -> np.ndarray:
+    return (token == NAME) | (token == NUMBER) | (token == UNIT)
+
+
+def literal(token: np.ndarray) -> np.ndarray:
+    """Words of letters; what is punctuation alone has the lowest bit."""
+    return ~slots(token) & (token & np.uint64(1) == 0)
+
+
+def template_windows(token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, hash) of the windows of one or more texts with enough literal words."""
     h = window_hashes(token, WINDOW)
-    if not len(h):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), h, np.zeros((0, WINDOW), np.uint64), np.zeros((0, WINDOW), bool)
-    text = np.searchsorted(first, np.arange(len(h)), side="right") - 1
-    slot = (token == NAME) | (token == NUMBER) | (token == UNIT)
-    sums = np.concatenate([[0], np.cumsum(slot)])
-    at = np.flatnonzero((np.arange(len(h)) + WINDOW <= first[text + 1]) & (sums[WINDOW:] - sums[:-WINDOW] <= WINDOW - LITERALS))
-    return text[at], at - first[text[at]], h[at], at, (value, slot)
+    sums = np.concatenate([[0], np.cumsum(literal(token))])
+    at = np.flatnonzero(sums[WINDOW:] - sums[:-WINDOW] >= LITERALS) if len(h) else np.zeros(0, np.int64)
+    return at, h[at]
+
+
+def word_windows(value: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, hash) of all windows of words; the hashes differ from those of templates."""
+    h = window_hashes(value, size)
+    return np.arange(len(h)), mix(h + np.uint64(size))
+
+
+def size_of(token: np.ndarray) -> int:
+    """How an item is looked for: 0 by template windows, 3 to 5 by windows of so many words, -1 not at all."""
+    if len(token) < WINDOW:
+        return len(token) if len(token) in SHORT else -1
+    return 0 if 2 * len(template_windows(token)[0]) >= len(token) - WINDOW + 1 else WINDOW
+
+
+def item_windows(token: np.ndarray, value: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    size = size_of(token)
+    if size < 0:
+        return size, np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return size, *(template_windows(token) if not size else word_windows(value, size))
+
+
+def matched(token: np.ndarray, value: np.ndarray, item_token: np.ndarray, item_value: np.ndarray) -> tuple[float, bool]:
+    """Share of the item's windows on consistent alignments with the text, and whether values differ there."""
+    size, item_at, item_h = item_windows(item_token, item_value)
+    at, h = (template_windows(token) if not size else word_windows(value, size)) if size >= 0 else (item_at, item_h)
+    if not len(item_at) or not len(at):
+        return 0.0, False
+    order = np.argsort(h, kind="stable")
+    low, high = (np.searchsorted(h[order], item_h, side=side) for side in ("left", "right"))
+    n = high - low
+    mine = np.repeat(item_at, n)
+    theirs = at[order[np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)]]
+    if size:
+        return len(np.unique(mine)) / len(item_at), False
+    cells, on = np.arange(WINDOW), slots(item_token)
+    i, d = (mine[:, None] + cells).ravel(), (theirs[:, None] + cells).ravel()
+    keep = on[i]
+    i, d = i[keep], d[keep]
+    pair = np.unique(np.stack([(d - i).astype(np.uint64), item_value[i], value[d]], axis=1), axis=0)
+    # of a line's pairs those of one value of the item stand together
+    torn = np.unique(pair[1:, 0][(pair[1:, :2] == pair[:-1, :2]).all(1)]) if len(pair) else np.zeros(0, np.uint64)
+    firm = ~np.isin((theirs - mine).astype(np.uint64), torn)
+    moved = pair[(pair[:, 1] != pair[:, 2]) & ~np.isin(pair[:, 0], torn)]
+    return len(np.unique(mine[firm])) / len(item_at), bool(len(moved))
 
 
-def _slots(at: np.ndarray, parts) -> pa.Array:
-    """Values of a window's slots, in order; 0 where the token is literal."""
-    value, slot = parts
-    cells = at[:, None] + np.arange(WINDOW)
-    return pa.FixedSizeListArray.from_arrays(pa.array(np.where(slot[cells], value[cells] | np.uint64(1), 0).astype(np.uint64).view(np.int64).ravel()), WINDOW).cast(pa.list_(pa.int64()))
+def _item_rows(batches):
+    """(q, text) to (q, size, at, h, windows)."""
+    for batch in batches:
+        data, off = text_arrays(batch.column(1))
+        token, value, first = template(data, off)
+        for i in range(len(off) - 1):
+            own = slice(first[i], first[i + 1])
+            size, at, h = item_windows(token[own], value[own])
+            columns = [batch.column(0).slice(i, 1).take(pa.array(np.zeros(len(at), np.int64))), pa.array(np.full(len(at), size, np.int32)), pa.array(at), pa.array(h.view(np.int64)), pa.array(np.full(len(at), len(at), np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["q", "size", "at", "h", "windows"])
 
 
-def _emit(cols: dict[str, int], place: str, bitmap=None):
-    """Arrow code from (text, key columns) to window rows."""
+def _text_rows(shared):
+    """(text, k1, k2) to (k1, k2, h): the windows of texts that the bitmap has."""
 
     def code(batches):
-        bits = bitmap.value if bitmap is not None else None
+        bits, sizes = shared.value
+        cells = np.uint64(len(bits) * 64 - 1)
         for batch in batches:
             data, off = text_arrays(batch.column(0))
             for a, b in steps(off):
-                text, pos, h, at, parts = windows(data[off[a] : off[b]], off[a : b + 1] - off[a])
-                if not len(h):
-                    continue
-                if bits is not None:
-                    cell = h & np.uint64((1 << BITMAP_BITS) - 1)
-                    on = (bits[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 > 0
-                    text, pos, h, at = text[on], pos[on], h[on], at[on]
-                    if not len(h):
-                        continue
-                keys = [batch.column(k).take(pa.array(text + a)) for k in cols.values()]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(pos), pa.array(h.view(np.int64)), _slots(at, parts)], [*cols, place, "h", f"{place}_slots"])
+                token, value, first = template(data[off[a] : off[b]], off[a : b + 1] - off[a])
+                text, hashes = [], []
+                for size in sizes:
+                    at, h = template_windows(token) if not size else word_windows(value, size)
+                    cell = h & cells
+                    on = (bits[cell >> np.uint64(6)] >> (cell & np.uint64(63))) & np.uint64(1) > 0
+                    at, h = at[on], h[on]
+                    of = np.searchsorted(first, at, side="right") - 1
+                    on = at + (size or WINDOW) <= first[of + 1]
+                    text.append(of[on])
+                    hashes.append(h[on])
+                pair = np.unique(np.stack([np.concatenate([np.zeros(0, np.int64), *text]).astype(np.uint64), np.concatenate([np.zeros(0, np.uint64), *hashes])], axis=1), axis=0)
+                if len(pair):
+                    keys = [batch.column(k).take(pa.array(pair[:, 0].astype(np.int64) + a)) for k in (1, 2)]
+                    yield pa.RecordBatch.from_arrays([*keys, pa.array(pair[:, 1].view(np.int64))], ["k1", "k2", "h"])
 
     return code
 
 
+def _verified(coverage: float):
+    """(k1, k2, item_id, text, item) to (k1, k2, item_id, coverage, reparameterised) of items that are found."""
+
+    def code(batches):
+        for batch in batches:
+            data, off = text_arrays(batch.column(3))
+            items, item_off = text_arrays(batch.column(4))
+            for a, b in steps(off):
+                token, value, first = template(data[off[a] : off[b]], off[a : b + 1] - off[a])
+                item_token, item_value, item_first = template(items[item_off[a] : item_off[b]], item_off[a : b + 1] - item_off[a])
+                got = [matched(*(x[first[i] : first[i + 1]] for x in (token, value)), *(x[item_first[i] : item_first[i + 1]] for x in (item_token, item_value))) for i in range(b - a)]
+                on = [i for i, (share, _) in enumerate(got) if share >= coverage - 1e-9]
+                if on:
+                    keys = [batch.column(k).take(pa.array(np.array(on) + a)) for k in range(3)]
+                    yield pa.RecordBatch.from_arrays([*keys, pa.array([got[i][0] for i in on]), pa.array([got[i][1] for i in on])], ["k1", "k2", "item_id", "coverage", "reparameterised"])
+
+    return code
+
+
+def searchable(text: Column | str) -> Column:
+    """Whether an item has enough words to be looked for."""
+
+    def code(col: pa.Array) -> pa.Array:
+        token, _, first = template(*text_arrays(col))
+        return pa.array([size_of(token[a:b]) >= 0 for a, b in zip(first[:-1], first[1:], strict=True)], pa.bool_())
+
+    return F.arrow_udf(code, "boolean")(F.col(text) if isinstance(text, str) else text)
+
+
+def _bitmap(seeds: DataFrame) -> np.ndarray:
+    """64-bit words with a bit for each value of column h, by its lowest bits."""
+    count = seeds.select("h").distinct().count()
+    bits = min(MOST_BITS, max(LEAST_BITS, int(np.ceil(np.log2(64 * max(1, count))))))
+    mask = (1 << bits) - 1
+    words = seeds.groupBy(F.shiftright(F.col("h").bitwiseAND(mask), 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(h & {mask} & 63 AS INT))")).alias("b")).toArrow()
+    out = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    out[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
+    return out
+
+
 def find(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8, text: str = "text") -> DataFrame:
     """(k1, k2, item_id, coverage, reparameterised): items found in texts; k1, k2 = text_key of the text."""
-    items = benchmark.select("text", "item_id").where("text IS NOT NULL").mapInArrow(_emit({"item_id": 1}, "item_at"), "item_id long, item_at long, h long, item_at_slots array<long>")
-    cells = items.select(F.col("h").bitwiseAND((1 << BITMAP_BITS) - 1).alias("c")).distinct()
-    cells = cells.groupBy(F.shiftright("c", 3).alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, CAST(c & 7 AS INT))")).alias("bits")).toArrow()
-    bitmap = np.zeros(1 << (BITMAP_BITS - 3), dtype=np.uint8)
-    bitmap[cells["byte"].to_numpy()] = cells["bits"].to_numpy()
-    sizes = items.groupBy("item_id").agg(F.count("*").alias("windows"))
+    kind = benchmark.schema["item_id"].dataType.simpleString()
+    items = benchmark.where("text IS NOT NULL").select("item_id", F.col("text").alias("item"), F.xxhash64("item_id", "text").alias("q")).distinct()
+    windows = items.select("q", "item").mapInArrow(_item_rows, "q long, size int, at long, h long, windows long")
+    shared_by = windows.groupBy("h").agg(F.count_distinct("q").alias("items"))
+    order = Window.partitionBy("q").orderBy("items", "h", "at")  # a window's rows are those of one item
+    ranked = windows.join(shared_by, "h").withColumn("rank", F.row_number().over(order))
+    seeds = ranked.where(F.col("rank") <= F.floor(F.col("windows") * (1 - coverage) + 1e-6) + 1)
+    seeds = written(spark, seeds.select("q", "size", "h").distinct(), "seeds")
+    sizes = sorted(r[0] for r in seeds.select("size").distinct().collect())
+    shared = spark.sparkContext.broadcast((_bitmap(seeds), sizes))
     texts = docs.select(F.col(text).alias("text"), *text_key(F.col(text))).where("text IS NOT NULL")
-    hits = texts.mapInArrow(_emit({"k1": 1, "k2": 2}, "at", spark.sparkContext.broadcast(bitmap)), "k1 long, k2 long, at long, h long, at_slots array<long>")
-    met = hits.distinct().join(items, "h").withColumn("shift", F.col("at") - F.col("item_at"))
-    pairs = F.filter(F.arrays_zip("item_at_slots", "at_slots"), lambda x: x["item_at_slots"] != 0)
-    lines = met.groupBy("k1", "k2", "item_id", "shift").agg(F.collect_set("item_at").alias("places"), F.array_distinct(F.flatten(F.collect_list(pairs))).alias("pairs"))
-    firm = F.size(F.array_distinct(F.col("pairs.item_at_slots"))) == F.size("pairs")
-    lines = lines.where(firm).withColumn("new", F.exists("pairs", lambda x: x["item_at_slots"] != x["at_slots"]))
-    found = lines.groupBy("k1", "k2", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("covered"), F.max("new").alias("reparameterised"))
-    found = found.join(sizes, "item_id").withColumn("coverage", F.col("covered") / F.col("windows"))
-    return found.where(F.col("coverage") >= coverage).select("k1", "k2", "item_id", "coverage", "reparameterised")
+    hits = texts.select("text", "k1", "k2").mapInArrow(_text_rows(shared), "k1 long, k2 long, h long").distinct()
+    pairs = written(spark, hits.join(seeds.select("h", "q"), "h").select("k1", "k2", "q").distinct(), "pairs")
+    met = pairs.join(items, "q").join(texts.dropDuplicates(["k1", "k2"]), ["k1", "k2"]).select("k1", "k2", "item_id", "text", "item")
+    return met.mapInArrow(_verified(coverage), f"k1 long, k2 long, item_id {kind}, coverage double, reparameterised boolean")
 
 
 def text_key(text) -> tuple:
@@ -158,9 +265,9 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, cov
     """
     docs = docs.drop("n_items", "best_item", "coverage", "reparameterised")
     found = find(spark, docs, benchmark, coverage)
-    best = found.groupBy("k1", "k2").agg(F.count("*").cast("long").alias("n_items"), F.max_by("item_id", F.struct("coverage", -F.col("item_id"))).alias("best_item"), F.max("coverage").alias("coverage"), F.max("reparameterised").alias("reparameterised"))
+    best = found.groupBy("k1", "k2").agg(F.count("*").cast("long").alias("n_items"), F.min(F.struct((-F.col("coverage")).alias("c"), "item_id")).alias("b"), F.max("reparameterised").alias("reparameterised"))
+    best = best.select(F.col("k1").alias("_pf_k1"), F.col("k2").alias("_pf_k2"), "n_items", F.col("b.item_id").alias("best_item"), (-F.col("b.c")).alias("coverage"), "reparameterised")
     k1, k2 = text_key(F.col("text"))
     keyed = docs.withColumns({"_pf_k1": k1, "_pf_k2": k2})
-    best = best.withColumnsRenamed({"k1": "_pf_k1", "k2": "_pf_k2"})
     out = keyed.join(best, ["_pf_k1", "_pf_k2"], "left").drop("_pf_k1", "_pf_k2")
     return out.withColumn("n_items", F.coalesce("n_items", F.lit(0).cast("long")))
