@@ -1,20 +1,25 @@
 """Secret scans with built-in functions only: fixed patterns, and character Markov models.
 
 Three fixed kinds of spans (assign, access, hex) come from patterns. A fourth kind, markov, adds runs of
-key-like characters outside them that a first-order Markov model of random strings explains better than
-one of ordinary identifiers, by a log-likelihood ratio above a threshold. Both models are trained from
-labelled samples; in ``sample_values`` the values that the fixed patterns find are the random strings, and
-the other long words are the identifiers, from a bounded share of the texts (``max_texts``).
-
-Positions are code points, ends are exclusive. A span's start is the length of all that the pattern's
-split leaves before it, so no position needs a UDF.
-
-Cases: null text counts as empty and has no spans; with no samples no markov span is found.
+key-like characters that a first-order Markov model of random strings explains better than one of ordinary
+identifiers, by a log-likelihood ratio above a threshold; runs that lie within a fixed span add nothing, runs
+that reach out of one are added whole. Both models are trained from labelled samples; in ``sample_values``
+the values that the fixed patterns find are the random strings, and the other long words are the
+identifiers, from a bounded share of the texts (``max_texts``).
+
+Positions are code points, ends are exclusive. A text is split at a pattern once, and running sums over the
+lengths of what lies between and of the matches give all spans. They are made in blocks of blocks, so that time
+grows with the text's length and its number of matches.
+
+Cases: null text counts as empty and has no spans; texts are scanned whole, whatever their length and number
+of matches; with no samples no markov span is found; repeated rows are scanned alike; columns of docs with the
+names of the results are replaced.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,36 +31,73 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 SYMBOLS = 128
 PRIOR = 16.0
+CHUNK = 32
+BLOCK = 1024  # code points of a text that are searched for a place
+
+SPAN = "struct<start:int,rank:int,end:int,kind:string>"
+FOUND = "struct<start:int,rank:int,end:int,kind:string,value:string>"
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once."""
+    return F.transform(F.array(value), f)[0]
+
+
+def running(values: Column, op: Callable[[Column, Column], Column], levels: int = 2) -> Column:
+    """For each integer of an array what op makes of 0 and those before it, in blocks of blocks of ``CHUNK``."""
+
+    def blocked(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / CHUNK).cast("int")), lambda b: F.slice(v, b * CHUNK + 1, CHUNK))
+        within = lambda b, head: F.transform(b, lambda x, i: F.aggregate(F.slice(b, 1, i), head, op))
+        whole = lambda bs: F.transform(bs, lambda b: F.aggregate(b, F.lit(0), op))
+        return let(blocks, lambda bs: F.flatten(F.zip_with(bs, running(whole(bs), op, levels - 1), within)))
+
+    if not levels:
+        return let(values, lambda v: F.transform(v, lambda x, i: F.aggregate(F.slice(v, 1, i), F.lit(0), op)))
+    return F.when(F.size(values) == 0, F.array().cast("array<int>")).otherwise(let(values, blocked))
 
-SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
+def _add(a: Column, b: Column) -> Column:
+    return a + b
 
-def _spans(text: Column, pattern: str, test: str, rank: int, value_least: int = 0, least: int = 0) -> Column:
+
+def _most(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def _spans(text: Column, pattern: str, test: str, rank: int, value_least: int = 0, least: int = 1, with_value: bool = False) -> Column:
     """Spans of the leftmost non-overlapping matches; ``test`` is a pattern that any text with a span has."""
-    pieces = F.split(text, pattern, -1)
+    size = lambda x: F.coalesce(F.length(x), F.lit(0))
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if value_least else hits
-    parts = F.zip_with(F.zip_with(pieces, hits, lambda p, h: F.struct(F.length(p).alias("gap"), F.coalesce(F.length(h), F.lit(0)).alias("size"))), values, lambda x, v: F.struct(x["gap"].alias("gap"), x["size"].alias("size"), F.coalesce(F.length(v), F.lit(0)).alias("value")))
+    parts = F.zip_with(F.split(text, pattern, -1), hits, lambda p, h: F.struct(F.length(p).alias("gap"), size(h).alias("size"), h.alias("hit")))
+    if value_least:
+        values = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+        parts = F.zip_with(parts, values, lambda x, v: F.struct(x["gap"].alias("gap"), x["size"].alias("size"), x["hit"].alias("hit"), size(v).alias("value")))
 
-    def before(i: Column) -> Column:
-        return F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda acc, x: acc + x["gap"] + x["size"])
+    def placed(p: Column) -> Column:
+        at = running(F.transform(p, lambda x: x["gap"] + x["size"]), _add)
+        every = F.zip_with(p, at, lambda x, a: F.struct((a + x["gap"]).alias("start"), x.alias("x")))
+        kept = F.filter(every, lambda y: (y["x"]["size"] >= least) & (y["x"]["value"] >= value_least if value_least else F.lit(True)))
+        fields = lambda y: [y["start"].alias("start"), F.lit(rank).alias("rank"), (y["start"] + y["x"]["size"]).alias("end"), F.lit(KINDS[rank]).alias("kind")]
+        return F.transform(kept, lambda y: F.struct(*fields(y), *([y["x"]["hit"].alias("value")] if with_value else [])))
 
-    placed = F.transform(parts, lambda x, i: F.struct((before(i) + x["gap"]).alias("start"), F.lit(rank).alias("rank"), (before(i) + x["gap"] + x["size"]).alias("end"), F.lit(KINDS[rank]).alias("kind"), x["value"].alias("value")))
-    kept = F.filter(placed, lambda x: (x["end"] > x["start"]) & (x["end"] - x["start"] >= least) & (x["value"] >= value_least))
-    plain = F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), x["kind"].alias("kind")))
-    return F.when(text.rlike(test), plain).otherwise(F.lit(None).cast(SPAN))
+    return F.when(text.rlike(test), let(parts, placed)).otherwise(F.array().cast(f"array<{FOUND if with_value else SPAN}>"))
 
 
 def base_spans(text: Column) -> Column:
     """Spans of the three fixed kinds, by start, then kind."""
-    none = F.array().cast(SPAN)
     found = (
         _spans(text, ASSIGN, ASSIGN, 0, value_least=6),
         # greedy runs: a run that is long enough is found whole by its bounded form, and a short one not at all
         _spans(text, r"AKIA[A-Z0-9]{16,}", r"AKIA[A-Z0-9]{16}", 1, least=20),
         _spans(text, r"[0-9a-f]{24,}", r"[0-9a-f]{24}", 2, least=24),
     )
-    return F.array_sort(F.concat(*(F.coalesce(x, none) for x in found)))
+    return F.array_sort(F.concat(*found))
+
+
+def characters(value: Column) -> Column:
+    """The characters of a string, each as one, in time that grows with its length."""
+    return F.filter(F.split(value, ""), lambda c: c != "")
 
 
 def sample_values(texts: DataFrame, text: str = "text", max_texts: int = 20_000) -> DataFrame:
@@ -79,9 +121,11 @@ def train(samples: DataFrame) -> list[float]:
 
     What comes to the driver is one count for each label and pair of ASCII characters.
     """
-    pairs = samples.where("length(value) >= 2").select("random", F.explode(F.transform(F.sequence(F.lit(1), F.length("value") - 1), lambda i: F.substring("value", i, F.lit(2)))).alias("pair"))
-    pairs = pairs.where(F.col("pair").rlike(r"^[\x00-\x7f]{2}$"))
-    counts = pairs.groupBy("random", F.ascii("pair").alias("a"), F.ascii(F.substring("pair", 2, 1)).alias("b")).agg(F.count("*").alias("n")).collect()
+    values = samples.where("length(value) >= 2").groupBy("random", "value").agg(F.count("*").alias("_n"))
+    codes = values.select("random", "_n", F.transform(characters(F.col("value")), F.ascii).alias("_c"))
+    pairs = codes.select("random", "_n", F.explode(F.arrays_zip(F.slice("_c", 1, F.size("_c") - 1).alias("a"), F.slice("_c", 2, F.size("_c") - 1).alias("b"))).alias("p"))
+    pairs = pairs.select("random", "_n", "p.a", "p.b").where(f"a < {SYMBOLS} AND b < {SYMBOLS} AND a > 0 AND b > 0")
+    counts = pairs.groupBy("random", "a", "b").agg(F.sum("_n").alias("n")).collect()
     seen = {True: {}, False: {}}
     for r in counts:
         seen[r.random][r.a, r.b] = r.n
@@ -106,20 +150,27 @@ def train(samples: DataFrame) -> list[float]:
 def ratio(value: Column, model: list[float]) -> Column:
     """Log-likelihood ratio of an ASCII string."""
     table = F.split(F.lit(" ".join(map(str, model))), " ").cast("array<double>")  # one literal after constant folding
-    codes = F.transform(F.sequence(F.lit(1), F.length(value)), lambda i: F.ascii(F.substring(value, i, F.lit(1))))
     start = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum"))
     step = lambda acc, c: F.struct(c.alias("last"), (acc["sum"] + F.when(acc["last"] >= 0, F.element_at(table, acc["last"] * SYMBOLS + c + 1)).otherwise(0.0)).alias("sum"))
-    return F.aggregate(codes, start, step, lambda acc: acc["sum"])
+    return F.aggregate(F.transform(characters(value), F.ascii), start, step, lambda acc: acc["sum"])
 
 
 def markov_spans(text: Column, base: Column, model: list[float], threshold: float = 8.0) -> Column:
-    """Candidate runs apart from base spans whose ratio is over the threshold."""
-    none = F.array().cast(SPAN)
+    """Candidate runs, but those within a base span, whose ratio is over the threshold."""
     if not model:
-        return none
-    found = F.coalesce(_spans(text, CANDIDATE, CANDIDATE, 3), none)
-    apart = F.filter(found, lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"])))
-    return F.filter(apart, lambda x: ratio(F.substring(text, x["start"] + 1, x["end"] - x["start"]), model) > threshold)
+        return F.array().cast(f"array<{SPAN}>")
+    found = _spans(text, CANDIDATE, CANDIDATE, 3, with_value=True)
+    both = F.array_sort(F.concat(F.transform(base, lambda b: F.struct(b["start"].alias("start"), b["rank"].alias("rank"), b["end"].alias("end"), b["kind"].alias("kind"), F.lit("").alias("value"))), found))
+
+    def outside(every: Column) -> Column:
+        # by start, base spans first: a run is within one if it ends before the furthest end so far
+        reach = running(F.transform(every, lambda x: F.when(x["rank"] < 3, x["end"]).otherwise(0)), _most)
+        out = F.filter(F.zip_with(every, reach, lambda x, r: F.struct(x.alias("x"), r.alias("r"))), lambda y: (y["x"]["rank"] == 3) & (y["x"]["end"] > y["r"]))
+        return F.transform(out, lambda y: y["x"])
+
+    apart = F.when((F.size(base) > 0) & (F.size(found) > 0), let(both, outside)).otherwise(found)
+    likely = F.filter(apart, lambda x: ratio(x["value"], model) > threshold)
+    return F.transform(likely, lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), x["kind"].alias("kind")))
 
 
 def joined(spans: Column) -> Column:
@@ -135,12 +186,22 @@ def scan(docs: DataFrame, model: list[float], text: str = "text", base: str = "b
 
 def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
     """The text with each span, or run of overlapping spans, replaced."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))
-        new = F.when(x["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"])
-        return F.struct(new.alias("out"), F.greatest(acc["at"], x["end"]).alias("at"))
+    def part(blocks: Column, a: Column, b: Column) -> Column:
+        """Code points a to b - 1; only the blocks they lie in are looked at."""
+        first = F.floor(a / BLOCK).cast("int")
+        some = F.slice(blocks, first + 1, F.floor((b + BLOCK - 1) / BLOCK).cast("int") - first)
+        cut = lambda x, i: F.substring(x, F.greatest(a - (first + i) * BLOCK, F.lit(0)) + 1, F.least(b - (first + i) * BLOCK, F.lit(BLOCK)) - F.greatest(a - (first + i) * BLOCK, F.lit(0)))
+        return F.when(b > a, F.array_join(F.transform(some, cut), "")).otherwise("")
+
+    end = F.array(F.struct(F.length(text).alias("start"), F.lit(9).alias("rank"), F.length(text).alias("end"), F.lit("").alias("kind")))
+
+    def gaps(both: Column) -> Column:
+        at = running(F.transform(both["spans"], lambda x: x["end"]), _most)
+        each = F.zip_with(both["spans"], at, lambda x, a: F.struct(x["start"].alias("start"), a.alias("at"), x["rank"].alias("rank")))
+        free = F.filter(each, lambda x: (x["start"] >= x["at"]) | (x["rank"] == 9))
+        return F.transform(free, lambda x: part(both["blocks"], x["at"], F.greatest(x["at"], x["start"])))
 
-    whole = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    whole = F.array_join(let(F.struct(F.concat(spans, end).alias("spans"), blocks.alias("blocks")), gaps), mark)
     return F.when(F.size(spans) > 0, whole).otherwise(text)

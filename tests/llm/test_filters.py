@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import duckdb
 from pyspark.sql import functions as F
@@ -36,11 +37,69 @@ def test_templates(spark):
     assert flagged(spark, [ITEM], [])[0].n_items == 0
 
 
+def test_short_and_slot_rich_items(spark):
+    """Items without template windows are found word for word, whatever the type of their ids."""
+    rng = random.Random(8)
+    items = ["Who wrote Hamlet?", "12 + 30 - 7 * 4 = ?", "Anna Bob Carl Dora Emil Fritz Gina", "Paris", "is it so"]
+    texts = [f"{words(rng, 30)} {items[0]} {words(rng, 20)}", f"{words(rng, 9)} {items[1]} 23", f"{words(rng, 9)} {items[2]}", "Paris " * 9, "Who wrote Faust?", "Anna Bob Carl Hugo Emil Fritz Gina", "IS IT SO", "!" * 300_000 + " " + items[0]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(f"i{k}", t) for k, t in enumerate(items)] + [("i0", items[0]), (None, items[2])], "item_id string, text string")
+    out = {r.doc_id: (r.n_items, r.best_item) for r in decontam.contaminated(spark, docs, bench).collect()}
+    assert out == {0: (1, "i0"), 1: (1, "i1"), 2: (2, None), 3: (0, None), 4: (0, None), 5: (0, None), 6: (1, "i4"), 7: (1, "i0")}
+    assert [r[0] for r in bench.limit(5).select(decontam.searchable("text")).collect()] == [True, True, True, False, True]
+
+
+def plain_found(text: str, item: str) -> float:
+    """Coverage by template windows, window by window."""
+
+    def tokens(t):
+        raw = [w.strip("".join(chr(c) for c in range(128) if not chr(c).isalnum())) for w in t.split()]
+        out = []
+        for i, w in enumerate(raw):
+            number = w[:1].isdigit()
+            unit = i and raw[i - 1][:1].isdigit() and not number and w.lower() in decontam.UNITS
+            out.append(("#" if number else "u" if unit else "N" if w[:1].isupper() else w.lower(), w.lower()))
+        return out
+
+    doc, own = tokens(text), tokens(item)
+    fits = [i for i in range(len(own) - 4) if sum(k in "#uN" for k, _ in own[i : i + 5]) <= 2]
+    lines: dict = {}
+    for i in fits:
+        for j in range(len(doc) - 4):
+            if [k for k, _ in own[i : i + 5]] == [k for k, _ in doc[j : j + 5]]:
+                lines.setdefault(j - i, []).append(i)
+    covered = set()
+    for shift, places in lines.items():
+        pairs = {(own[i + k][1], doc[i + shift + k][1]) for i in places for k in range(5) if own[i + k][0] in ("#", "u", "N")}
+        if len({a for a, _ in pairs}) == len(pairs):
+            covered |= set(places)
+    return len(covered) / len(fits)
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = random.Random(10)
+    pool = "the a of runs train costs per with and from until meets box green".split()
+    item = lambda: " ".join(rng.choice(pool) if rng.random() < 0.8 else rng.choice(["Ann", "Bo", "7", "12", "9 km"]) for _ in range(rng.randrange(14, 22)))
+
+    def changed(t, share):
+        swap = {"Ann": rng.choice(["Ann", "Eve"]), "7": rng.choice(["7", "8"]), "12": "12", "Bo": "Bo"}
+        return " ".join(rng.choice(pool) if rng.random() < share else swap.get(w, w) for w in t.split())
+
+    items = [item() for _ in range(12)]
+    texts = [f"{item()} {changed(rng.choice(items), rng.choice([0, 0, 0.03, 0.1]))} {item()}" for _ in range(60)]
+    want = {(i, k): c for i, t in enumerate(texts) for k, q in enumerate(items) if (c := plain_found(t, q)) >= 0.8 - 1e-9}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = decontam.find(spark, docs, spark.createDataFrame(list(enumerate(items)), "item_id int, text string"))
+    k1, k2 = decontam.text_key(F.col("text"))
+    got = {(r.doc_id, r.item_id): r.coverage for r in docs.select("doc_id", k1, k2).join(found, ["k1", "k2"]).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want) and len(want) > 20
+
+
 def test_decontamination_of_odd_documents(spark):
     passage = odd_texts()[5]
     bench = spark.createDataFrame([(1, passage), (2, None), (3, "short one"), (4, "")], "item_id long, text string")
     out = {r.h: r.n_items for r in decontam.contaminated(spark, odd_documents(spark), bench).collect()}
-    assert {k for k, n in out.items() if n} == {5, 6, 7, 8} and len(out) == len(odd_texts())
+    assert {k for k, n in out.items() if n} == {5, 6, 7, 8} and len(out) == len(odd_texts())  # a two-word item isn't looked for
     assert decontam.contaminated(spark, empty_documents(spark), bench).count() == 0
 
 
@@ -68,6 +127,36 @@ def test_spans(spark):
     assert text == len(CASES)
 
 
+def test_very_many_matches_in_one_text(spark):
+    """A text of 100,000 matches takes seconds; a long run and long gaps too."""
+    rng = random.Random(11)
+    many = " ".join("".join(rng.choices("0123456789abcdef", k=32)) for _ in range(100_000))
+    texts = [many, "x" * 500_000 + " token=abcdef " + "é" * 300_000, "token: " + "Zq9" * 100_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    start = time.time()
+    out = secret_scan.scan(docs, [0.1] * 128 * 128).select("doc_id", "base", secret_scan.redacted(F.col("text"), F.col("spans")).alias("red"))
+    got = {r.doc_id: (r.n, r.end, r.red) for r in out.select("doc_id", F.size("base").alias("n"), F.col("base")[F.size("base") - 1]["end"].alias("end"), "red").collect()}
+    assert time.time() - start < 60
+    assert got[0] == (100_000, 100_000 * 33 - 1, " ".join(["[secret]"] * 100_000))
+    assert got[1][:2] == (1, 500_013) and got[1][2].endswith("[secret] " + "é" * 300_000) and got[2] == (1, len(texts[2]), "[secret]")
+
+
+def test_markov_spans_against_brute_force(spark):
+    rng = random.Random(13)
+    model = [round(rng.uniform(-1, 1), 3) for _ in range(128 * 128)]
+    word = lambda: "".join(rng.choices("ABCxyz019_-", k=rng.randrange(15, 40)))
+    texts = [" ".join(rng.choice([word(), "é", f"token={word()}", f"secret: 'abc{word()}", "f" * 30, f"Z{'0a' * 13}"]) for _ in range(30)) for _ in range(40)]
+    got = {r.doc_id: r.spans for r in secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, t in enumerate(texts):
+        base = plain_spans(t)
+        want = list(base)
+        for m in re.finditer(secret_scan.CANDIDATE, t):
+            value = sum(model[ord(a) * 128 + ord(b)] for a, b in zip(m[0], m[0][1:], strict=False))
+            if value > 8 and not any(a <= m.start() and m.end() <= b for a, _, b, _ in base):
+                want.append((m.start(), 3, m.end(), "markov"))
+        assert [(x.start, x.rank, x.end, x.kind) for x in got[i]] == sorted(want)
+
+
 def test_markov_and_redaction(spark):
     rng = random.Random(9)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
