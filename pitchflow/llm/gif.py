@@ -1,14 +1,17 @@
 """GIF media columns: encode byte payloads as 24 x 24 frames, decode any GIF into timed frames.
 
-``decode_gif`` reads the container (logical screen, colour tables, graphic control and image blocks,
+The decoder reads the container (logical screen, colour tables, graphic control and image blocks,
 interlace), decodes the LZW code streams, applies palettes, transparency and disposal, and gives frames
-with start times and colour histograms. ``encode_frames`` writes 8-bit samples losslessly, with a grey
-palette and LZW streams of literal codes with a clear code before the codes widen.
+with start times and colour histograms. ``encode_frames`` writes 8-bit samples losslessly, compressed by LZW
+with the full table of 12-bit codes, in a palette of 8 x 8 x 4 colours from which ``samples_of`` tells the
+samples again.
 
 LZW decoding is done for many frames at once: between two clear codes the width of each code depends
 only on its number, so that all codes of a run are cut out as one matrix; each code then stands for an
 earlier range of the output (entry e is the string of code e plus the next byte), and ranges are resolved
 by pointer doubling instead of a loop over codes.
+
+A malformed file raises ``GifError`` with the reason; a malformed stream fails its own file alone.
 """
 
 from __future__ import annotations
@@ -20,41 +23,78 @@ import numpy as np
 
 SIDE = 24
 FRAME = SIDE * SIDE
-GREY = bytes(v for i in range(256) for v in (i, i, i))
-CLEAR_EVERY = 254
+#: Colour of each sample: three bits of red, three of green, two of blue.
+PALETTE = np.array([((i >> 5) * 36, (i >> 2 & 7) * 36, (i & 3) * 85) for i in range(256)], dtype=np.uint8)
 DELAY = 4  # hundredths of a second
+MOST_PIXELS = 1 << 26  # of a screen or an image; a file that claims more is taken for malformed
+
+
+class GifError(ValueError):
+    pass
 
 
 # ---------------------------------------------------------------- LZW
 
 
-def _layout(n: int) -> np.ndarray:
-    """Codes of a literal stream of n samples: -1 a clear code, -2 the end code, else the sample's number."""
-    at = np.arange(n)
-    out = np.full(n + (n + CLEAR_EVERY - 1) // CLEAR_EVERY + 1, -1, dtype=np.int64)
-    out[at + at // CLEAR_EVERY + 1] = at
-    out[-1] = -2
-    return out
+def lzw_codes(samples: bytes, least: int) -> list[list[int]]:
+    """Runs of codes; a clear code comes before each run, as the table is full after it."""
+    first = (1 << least) + 2
+    runs, out, table, n = [], [], {}, first
+    get, word = table.get, -1
+    for s in samples:
+        if word < 0:
+            word = s
+            continue
+        key = word << 8 | s
+        code = get(key)
+        if code is not None:
+            word = code
+            continue
+        out.append(word)
+        word = s
+        if n < 4096:
+            table[key] = n
+            n += 1
+        else:
+            runs.append(out)
+            out, n = [], first
+            table.clear()
+    if word >= 0:
+        out.append(word)
+    return [*runs, out]
 
 
-def lzw_literal(samples: np.ndarray) -> np.ndarray:
-    """Samples (frames, n) as 9-bit LZW streams (frames, bytes)."""
-    frames, n = samples.shape
-    layout = _layout(n)
-    codes = np.empty((frames, len(layout)), dtype="<u2")
-    codes[:, layout >= 0] = samples[:, layout[layout >= 0]]
-    codes[:, layout == -1] = 256
-    codes[:, -1] = 257
-    # 8 codes of 9 bits make 9 bytes
-    wide = -(-len(layout) // 8) * 8
-    full = np.zeros((frames, wide), dtype=np.uint16)
-    full[:, : len(layout)] = codes
-    full = full.reshape(frames, -1, 8)
-    out = np.empty((frames, full.shape[1], 9), dtype=np.uint8)
-    for k in range(9):  # byte k holds the upper bits of code k - 1 and the lower bits of code k
-        low = (full[:, :, k] << k) & 255 if k < 8 else 0
-        out[:, :, k] = low | (full[:, :, k - 1] >> (9 - k)) if k else low
-    return out.reshape(frames, -1)[:, : -(-len(layout) * 9 // 8)]
+def lzw_encode(frames: list[bytes], least: int = 8) -> list[bytes]:
+    """Code streams of frames; the bits of all of them are packed together."""
+    clear, stop = 1 << least, (1 << least) + 1
+    codes, runs_of, lengths = [], [], []
+    for samples in frames:
+        runs = lzw_codes(samples, least)
+        for k, run in enumerate(runs):
+            codes += run
+            codes.append(clear if k + 1 < len(runs) else stop)
+            lengths.append(len(run) + 1)
+        runs_of.append(len(runs))
+    size = np.array(lengths)
+    most = int(size.max(initial=1))
+    width_of = _code_places(most, least)[1]
+    begin = np.cumsum(size) - size
+    width = width_of[np.arange(len(codes)) - np.repeat(begin, size)]
+    lead = np.cumsum(runs_of) - runs_of  # each frame's first run
+    bits = np.add.reduceat(width, begin[lead]) + least + 1  # with the first clear code
+    start = np.cumsum((bits + 7) // 8) - (bits + 7) // 8  # bytes
+    ends = np.append(start[1:], start[-1] + (bits[-1] + 7) // 8)
+    frame = np.repeat(np.arange(len(frames)), np.add.reduceat(size, lead))
+    before = np.cumsum(width) - width
+    at = start[frame] * 8 + least + 1 + before - before[begin[lead]][frame]
+    value = np.concatenate([np.full(len(frames), clear, np.int64), np.array(codes, np.int64)])
+    at = np.concatenate([start * 8, at])
+    value <<= at & 7
+    out = np.zeros(int(ends[-1]) + 3, dtype=np.int64)
+    for k in range(3):  # no two codes share a bit
+        out += np.bincount((at >> 3) + k, weights=(value >> (8 * k)) & 255, minlength=len(out)).astype(np.int64)[: len(out)]
+    raw = out.astype(np.uint8).tobytes()
+    return [raw[x:y] for x, y in zip(start.tolist(), ends.tolist(), strict=True)]
 
 
 def _code_places(count: int, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,50 +105,56 @@ def _code_places(count: int, least: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(width) - width, width
 
 
-def _expand(codes: np.ndarray, least: int, most: int) -> np.ndarray:
-    """Samples of one run of codes (without clear and end codes), ``most`` at most."""
+def _expand(codes: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Samples of a run of codes of each of many frames, one after the other, their numbers, and which frames are sound.
+
+    Row i of codes has ends[i] codes, without clear and end codes.
+    """
     first = (1 << least) + 2
-    literal = codes < first
-    if literal.all():
-        return codes[:most].astype(np.uint8)
-    entry = np.where(literal, -1, codes - first)
-    if np.any(entry >= np.arange(len(codes))):
-        raise ValueError("LZW code before its entry")
-    length, up = np.ones(len(codes), dtype=np.int64), entry.copy()  # length: 1 + entries passed on the way to a literal
-    length[literal] = 0
-    steps = length.copy()
-    while (up >= 0).any():
-        on = up >= 0
-        steps[on] += steps[up[on]]
-        up[on] = up[up[on]]
-    length = steps + 1
-    end = np.cumsum(length)
-    start = end - length
-    total = int(end[-1])
-    owner = np.repeat(np.arange(len(codes)), length)
-    within = np.arange(total) - start[owner]
-    source = np.where(literal[owner], -1, start[np.maximum(entry[owner], 0)] + within)
+    number = np.arange(codes.shape[1])
+    there = number < ends[:, None]
+    entry = np.where(there & (codes >= first), codes - first, -1)
+    sound = ~(entry >= number).any(1)
+    ends = np.where(sound, ends, 0)
+    there &= sound[:, None]
+    entry[~there] = -1
+    length = there.astype(np.int64)
+    for j in np.flatnonzero((entry >= 0).any(0)).tolist():
+        on = np.flatnonzero(entry[:, j] >= 0)
+        length[on, j] = length[on, entry[on, j]] + 1
+    base = np.cumsum(ends) - ends
+    source_code = (entry + base[:, None])[there]
+    literal, value, length = entry[there] < 0, codes[there], length[there]
+    start = np.cumsum(length) - length
+    total = int(length.sum())
+    owner = np.repeat(np.arange(len(length)), length)
+    root = np.arange(total)
+    copied = ~literal[owner]
+    root[copied] += (start[source_code] - start)[owner[copied]]
+    live = np.flatnonzero(copied)
+    while len(live):
+        further = root[root[live]]
+        moved = further != root[live]
+        root[live] = further
+        live = live[moved]
     out = np.zeros(total, dtype=np.uint8)
-    out[start[literal]] = codes[literal]
-    root = np.where(source < 0, np.arange(total), source)
-    while True:
-        further = root[root]
-        if np.array_equal(further, root):
-            break
-        root = further
-    return out[root][:most]
+    out[start[literal]] = value[literal]
+    per_frame = np.zeros(len(ends), dtype=np.int64)
+    np.add.at(per_frame, np.repeat(np.arange(len(ends)), ends), length)
+    return out[root], per_frame, sound
 
 
-def lzw_decode(streams: np.ndarray, least: int, pixels: int) -> np.ndarray:
-    """Decodes streams (frames, bytes), equally long, into samples (frames, pixels)."""
+def lzw_decode(streams: np.ndarray, least: int, pixels: int) -> tuple[np.ndarray, np.ndarray]:
+    """Decodes streams (frames, bytes), padded to one length, into samples (frames, pixels), and tells which are sound."""
     frames = len(streams)
     out = np.zeros((frames, pixels), dtype=np.uint8)
+    sound = np.ones(frames, dtype=bool)
     padded = np.zeros((frames, streams.shape[1] + 4), dtype=np.uint32)
     padded[:, :-4] = streams
     three = padded[:, :-2] | (padded[:, 1:-1] << 8) | (padded[:, 2:] << 16)
     bits = streams.shape[1] * 8
     clear, stop = 1 << least, (1 << least) + 1
-    limit = min(pixels + 2, max(1, bits // (least + 1)) + 1, 4096 + pixels)
+    limit = min(pixels + 2, max(1, bits // (least + 1)) + 1)
     place, width = _code_places(limit, least)
     mask = ((1 << width) - 1).astype(np.uint32)
     done = np.zeros(frames, dtype=np.int64)
@@ -119,57 +165,52 @@ def lzw_decode(streams: np.ndarray, least: int, pixels: int) -> np.ndarray:
         n = min(limit, room)
         at = bit[live][:, None] + place[:n]
         over = at + width[:n] > bits
-        at = np.minimum(at, bits - 1)
-        word = three[live[:, None], at >> 3] >> (at & 7).astype(np.uint32)
-        codes = (word & mask[:n]).astype(np.int64)
+        at = np.minimum(at, max(bits - 1, 0))
+        codes = ((three[live[:, None], at >> 3] >> (at & 7).astype(np.uint32)) & mask[:n]).astype(np.int64)
         codes[over] = stop
         special = (codes == clear) | (codes == stop)
         ends = np.where(special.any(1), special.argmax(1), n)
-        flat = codes.max(1, where=np.arange(n) < ends[:, None], initial=0) < clear
-        same = ends[0] if (ends == ends[0]).all() and flat.all() and (done[live] == done[live[0]]).all() else -1
-        if same >= 0:
-            k = min(int(same), pixels - int(done[live[0]]))
-            out[live, int(done[live[0]]) : int(done[live[0]]) + k] = codes[:, :k]
-            done[live] += k
-        else:
-            for i, f in enumerate(live):
-                got = _expand(codes[i, : ends[i]], least, pixels - int(done[f])) if ends[i] else codes[i, :0]
-                out[f, done[f] : done[f] + len(got)] = got
-                done[f] += len(got)
-        go = (ends < n) & (done[live] < pixels)
+        got, count, fine = _expand(codes, ends, least)
+        sound[live[~fine]] = False
+        take = np.minimum(count, pixels - done[live])
+        to = np.repeat(done[live], count) + np.arange(len(got)) - np.repeat(np.cumsum(count) - count, count)
+        keep = to < pixels
+        out[np.repeat(live, count)[keep], to[keep]] = got[keep]
+        done[live] += take
         last = np.minimum(ends, n - 1)
-        go &= codes[np.arange(len(live)), last] == clear
+        go = fine & (ends < n) & (done[live] < pixels) & (codes[np.arange(len(live)), last] == clear)
         bit[live] += place[last] + width[last]
         live = live[go]
-    return out
+    return out, sound & (done == pixels)
 
 
 # ---------------------------------------------------------------- container
 
 
 def encode_frames(payload: bytes) -> bytes:
-    """A GIF of 24 x 24 grey frames; len(payload) is a positive multiple of 576."""
-    samples = np.frombuffer(payload, dtype=np.uint8).reshape(-1, FRAME)
-    return assemble(lzw_literal(samples))
-
-
-def assemble(streams: np.ndarray) -> bytes:
-    """The GIF file around literal streams (frames, bytes)."""
-    frames, size = streams.shape
-    head = b"GIF89a" + struct.pack("<HHBBB", SIDE, SIDE, 0xF7, 0, 0) + GREY
-    head += b"\x21\xff\x0bNETSCAPE2.0\x03\x01\x00\x00\x00"
-    lead = b"\x21\xf9\x04\x04" + struct.pack("<H", DELAY) + b"\x00\x00"
-    lead += b"\x2c" + struct.pack("<HHHHB", 0, 0, SIDE, SIDE, 0) + b"\x08"
-    cuts = [(a, min(size, a + 255)) for a in range(0, size, 255)]
-    block = np.empty((frames, len(lead) + size + len(cuts) + 1), dtype=np.uint8)
-    block[:, : len(lead)] = np.frombuffer(lead, dtype=np.uint8)
-    at = len(lead)
-    for a, b in cuts:
-        block[:, at] = b - a
-        block[:, at + 1 : at + 1 + b - a] = streams[:, a:b]
-        at += 1 + b - a
-    block[:, at] = 0
-    return head + block.tobytes() + b"\x3b"
+    """A GIF of 24 x 24 frames; len(payload) is a positive multiple of 576."""
+    return assemble(lzw_encode([payload[a : a + FRAME] for a in range(0, len(payload), FRAME)]))
+
+
+_HEAD = b"GIF89a" + struct.pack("<HHBBB", SIDE, SIDE, 0xF7, 0, 0) + PALETTE.tobytes() + b"\x21\xff\x0bNETSCAPE2.0\x03\x01\x00\x00\x00"
+_LEAD = b"\x21\xf9\x04\x04" + struct.pack("<H", DELAY) + b"\x00\x00" + b"\x2c" + struct.pack("<HHHHB", 0, 0, SIDE, SIDE, 0) + b"\x08"
+
+
+def assemble(streams: list[bytes]) -> bytes:
+    """The GIF file around the code streams of its frames."""
+    parts = [_HEAD]
+    for stream in streams:
+        parts.append(_LEAD)
+        for a in range(0, len(stream), 255):
+            block = stream[a : a + 255]
+            parts += (bytes((len(block),)), block)
+        parts.append(b"\x00")
+    return b"".join([*parts, b"\x3b"])
+
+
+def samples_of(canvas: np.ndarray) -> np.ndarray:
+    """Samples of a shown frame in the colours of PALETTE."""
+    return (canvas[..., 0] // 36 << 5) | (canvas[..., 1] // 36 << 2) | canvas[..., 2] // 85
 
 
 @dataclass
@@ -192,8 +233,19 @@ class Image:
 def parse_gif(media: bytes) -> tuple[int, int, list[Image]]:
     """Screen width and height, and the image blocks in order."""
     if media[:6] not in (b"GIF87a", b"GIF89a"):
-        raise ValueError("not a GIF")
+        raise GifError("not a GIF")
+    try:
+        return _parsed(media)
+    except (struct.error, IndexError) as e:
+        raise GifError("file ends early") from e
+    except ValueError as e:
+        raise GifError(str(e) if isinstance(e, GifError) else "colour table ends early") from e
+
+
+def _parsed(media: bytes) -> tuple[int, int, list[Image]]:
     width, height, flags, _, _ = struct.unpack_from("<HHBBB", media, 6)
+    if width * height > MOST_PIXELS:
+        raise GifError("screen too large")
     at, images = 13, []
     common = None
     if flags & 0x80:
@@ -213,6 +265,8 @@ def parse_gif(media: bytes) -> tuple[int, int, list[Image]]:
         elif kind == 0x2C:
             left, top, w, h, f = struct.unpack_from("<HHHHB", media, at + 1)
             at += 10
+            if w * h > MOST_PIXELS:
+                raise GifError("image too large")
             palette = common
             if f & 0x80:
                 n = 2 << (f & 7)
@@ -220,8 +274,10 @@ def parse_gif(media: bytes) -> tuple[int, int, list[Image]]:
                 at += 3 * n
             least = media[at]
             at += 1
+            if not 2 <= least <= 8:
+                raise GifError(f"code size {least}")
         else:
-            raise ValueError(f"unknown block {kind}")
+            raise GifError(f"unknown block {kind}")
         parts = []
         while size := media[at]:
             parts.append(media[at + 1 : at + 1 + size])
@@ -232,18 +288,22 @@ def parse_gif(media: bytes) -> tuple[int, int, list[Image]]:
             control = (0, 0, -1)
 
 
-def image_samples(images: list[Image]) -> list[np.ndarray]:
-    """Colour indexes of each image (height, width); images of one shape are decoded together."""
+def image_samples(images: list[Image]) -> list[np.ndarray | None]:
+    """Colour indexes of each image (height, width), None if its stream is malformed; images of one shape are decoded together."""
     alike: dict[tuple, list[int]] = {}
     for i, x in enumerate(images):
-        alike.setdefault((len(x.stream), x.least, x.width, x.height), []).append(i)
+        alike.setdefault((x.least, x.width, x.height), []).append(i)
     out: list = [None] * len(images)
-    for (size, least, w, h), members in alike.items():
-        for a in range(0, len(members), 512):
-            some = members[a : a + 512]
-            streams = np.frombuffer(b"".join(images[i].stream for i in some), dtype=np.uint8).reshape(len(some), size)
-            for i, pixels in zip(some, lzw_decode(streams, least, w * h), strict=True):
-                out[i] = _deinterlaced(pixels.reshape(h, w)) if images[i].interlaced else pixels.reshape(h, w)
+    for (least, w, h), members in alike.items():
+        members.sort(key=lambda i: len(images[i].stream))
+        step = max(1, min(1024, (1 << 20) // max(1, w * h)))
+        for a in range(0, len(members), step):
+            some = members[a : a + step]
+            wide = max(1, len(images[some[-1]].stream))
+            streams = np.frombuffer(b"".join(images[i].stream.ljust(wide, b"\0") for i in some), dtype=np.uint8).reshape(len(some), wide)
+            for i, pixels, sound in zip(some, *lzw_decode(streams, least, w * h), strict=True):
+                if sound:
+                    out[i] = _deinterlaced(pixels.reshape(h, w)) if images[i].interlaced else pixels.reshape(h, w)
     return out
 
 
@@ -260,6 +320,8 @@ def render(width: int, height: int, images: list[Image], samples: list[np.ndarra
     canvas = np.zeros((height, width, 4), dtype=np.uint8)
     now = 0
     for x, index in zip(images, samples, strict=True):
+        if index is None:
+            raise GifError("malformed code stream")
         before = canvas.copy() if x.disposal == 3 else None
         area = canvas[x.top : x.top + x.height, x.left : x.left + x.width]
         index = index[: area.shape[0], : area.shape[1]]
@@ -279,5 +341,5 @@ def render(width: int, height: int, images: list[Image], samples: list[np.ndarra
 
 def histogram(canvas: np.ndarray) -> np.ndarray:
     """Counts of opaque pixels over 4 x 4 x 4 colours."""
-    c = canvas[canvas[:, :, 3] > 0] >> 6
-    return np.bincount(c[:, 0].astype(np.int64) * 16 + c[:, 1] * 4 + c[:, 2], minlength=64)
+    c = canvas[canvas[..., 3] > 0] >> 6
+    return np.bincount(c[:, 0].astype(np.int64) * 16 + c[:, 1].astype(np.int64) * 4 + c[:, 2], minlength=64)

@@ -69,7 +69,7 @@ def op6_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     stored = media.with_gif(docs).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), media.digest("media").alias("d"))
-    return stored.select("doc_id", "n_bytes", "d.*")
+    return stored.select("doc_id", "n_bytes", "d.*").drop("error")
 
 
 @query

@@ -57,7 +57,9 @@ def test_decodes_compressed_streams():
     for least, kinds, n in ((2, 4, 700), (4, 9, 5000), (8, 256, 9000), (8, 3, 60_000), (8, 256, 1)):
         samples = bytes(rng.randrange(kinds) if rng.random() < 0.7 else 0 for _ in range(n))
         stream = np.frombuffer(greedy(samples, least), dtype=np.uint8)[None]
-        assert gif.lzw_decode(stream, least, n).tobytes() == samples
+        got, sound = gif.lzw_decode(stream, least, n)
+        assert got.tobytes() == samples and sound.all()
+        assert gif.lzw_encode([samples, samples[: n // 2 or 1]], least)[0] == greedy(samples, least)
 
 
 def test_streams_of_one_batch_may_differ():
@@ -65,7 +67,7 @@ def test_streams_of_one_batch_may_differ():
     samples = [bytes(rng.randrange(5) for _ in range(600)) for _ in range(6)]
     streams = [greedy(s, 8) for s in samples]
     wide = max(map(len, streams))
-    got = gif.lzw_decode(np.stack([np.frombuffer(s.ljust(wide, b"\0"), dtype=np.uint8) for s in streams]), 8, 600)
+    got = gif.lzw_decode(np.stack([np.frombuffer(s.ljust(wide, b"\0"), dtype=np.uint8) for s in streams]), 8, 600)[0]
     assert [x.tobytes() for x in got] == samples
 
 
@@ -107,3 +109,28 @@ def test_round_trip_of_odd_texts(spark):
         assert (out[i].payload_bytes, out[i].payload_sha256, out[i].tail_crc32) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
     assert out[5].asDict() == out[6].asDict()
     assert media.with_gif(empty_documents(spark)).select(media.digest("media")).count() == 0
+
+
+def test_malformed_files_give_a_reason(spark):
+    good = gif.encode_frames(bytes(range(256)) * 9)
+    bad = [b"GIF89a", b"", b"PNG...", good[:400], good[:900], good[:900] + b"\x3b", bytearray(good)]
+    bad[-1][820:840] = b"\xff" * 20
+    df = spark.createDataFrame([(i, bytearray(b), "w") for i, b in enumerate([*bad, good])] + [(99, None, "w")], "id int, media binary, width string")
+    out = {r.id: r.d for r in df.select("id", media.digest("media").alias("d")).collect()}
+    assert all(out[i].error and out[i].payload_sha256 is None for i in range(len(bad))) and out[99] is None
+    assert out[len(bad)].error is None and out[len(bad)].payload_sha256 == hashlib.sha256(bytes(range(256)) * 9).hexdigest()
+    shown = media.frames(df)
+    assert shown.columns.count("width") == 1 and {(r.id, r.width) for r in shown.collect()} == {(len(bad), 24)}
+
+
+def test_feature_is_the_colour_histogram_of_shown_frames(spark):
+    text = "Some text, é. " * 100
+    row = media.with_gif(spark.createDataFrame([(text,)], "text string")).select(media.digest("media").alias("d")).first().d
+    payload = text.encode() + b"\xff" * (-len(text.encode()) % 576)
+    want = [0] * 64
+    for b in payload:
+        r, g, bl = (b >> 5) * 36, (b >> 2 & 7) * 36, (b & 3) * 85
+        want[(r >> 6) * 16 + (g >> 6) * 4 + (bl >> 6)] += 1
+    n = len(payload) // 576
+    assert row.feature == f"{n}x24x24@{n * 0.04:.2f}:" + ",".join(map(str, want)) and row.histogram == want
+    assert row.media_bytes < len(payload) + 900  # compressed
