@@ -7,20 +7,22 @@ bits for each item at every size, so its rate of false positives doesn't change
 one place: cells of 64 kB make up shards of at most ``SHARD_CELLS``. A block of texts sends each shard one row
 with its distinct n-grams (32 bits each, by cell) and gets their levels back, one byte each.
 
-All words and pairs are stored, those of count one at level 1. Also stored, for each word: the total count and
-the number of its pairs. From probes:
+All words and pairs are stored, those of count one at level 1. A pair's key is a 64-bit hash of both words' 64-bit
+hashes. From probes, interpolated:
 
     P1(w) = (c(w) + 1) / (N + V + 1)
-    P(w | v) = (1 - MU) P1(w) + MU [ max(c(vw) - D, 0) / c(v) + rest(v) P1(w) ],
-    rest(v) = 1 - (pairs_total(v) - D pairs(v)) / c(v)
+    P(w | v) = (1 - MU) P1(w) + MU c(vw) / c(v), or P1(w) if v is unknown
 
-The context of a text's first token is the end token; each text ends in one.
+The context of a text's first token is the end token; each text ends in one. So c(v) also counts the pairs that
+begin with v, and P(. | v) sums to one but for the rounding of counts to levels.
 
 The base score uses exact counts. To get them to each text without a shuffle of all tokens, texts are dealt
 into blocks of about ``BLOCK_BYTES`` by hash; a block's distinct words meet the count table in one join and
 come back as the block's dictionary, whose size is bounded by the block's text.
 
-Cases: null text counts as empty (one end token); with no training texts N = V = 0 and every word is unknown.
+Cases: null text counts as empty (one end token); texts of any length are counted and scored whole; with no
+training texts N = V = 0 and every word is unknown; repeated rows count and are scored each time, rows equal in
+id and text by one task; further columns of docs, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -40,11 +42,10 @@ CELL_BITS = 19  # the filter is made of cells of 64 kB; all bits of an n-gram li
 SHARD_CELLS = 64
 BLOCK_BYTES = 8 << 20
 HOLD_TOKENS = 3_000_000
-MU, DISCOUNT = 0.6, 0.7
+MU = 0.4
 END = mix(np.array([0xE7D], dtype=np.uint64))[0]
-WORD, PAIR, TOTAL, KINDS = 0, 1, 2, 3
+WORD, PAIR = 0, 1
 SPREAD = 0x4F1BBCDD, 0x2C1B3C6D
-KINDS_KEY = np.uint64(0x5BD1E995)
 
 
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,15 +59,11 @@ def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pair_keys(token: np.ndarray) -> np.ndarray:
-    """Key of each token with the one before it: 32 bits of each. A text's first follows an end token."""
+    """Key of each token with the one before it. A text's first follows an end token."""
     before = np.empty_like(token)
     before[:1] = END
     before[1:] = token[:-1]
-    return (before & np.uint64(0xFFFFFFFF00000000)) | (token >> np.uint64(32))
-
-
-def head_key(token: np.ndarray) -> np.ndarray:
-    return token >> np.uint64(32)
+    return mix(before * np.uint64(0x9E3779B97F4A7C15) + token)
 
 
 def _count(batches):
@@ -96,12 +93,9 @@ def _count(batches):
 
 
 def count_grams(spark: SparkSession, texts: DataFrame) -> DataFrame:
-    """Table (kind, h, n): all words and pairs with their counts, and pair totals of each word."""
+    """Table (kind, h, n): all words and pairs with their counts."""
     rows = texts.select("text").mapInArrow(_count, "kind tinyint, h long, n long")
-    grams = written(spark, rows.groupBy("kind", "h").agg(F.sum("n").alias("n")), "grams")
-    heads = grams.where(F.col("kind") == PAIR).groupBy(F.shiftrightunsigned("h", 32).alias("h")).agg(F.sum("n").alias("t"), F.count("*").alias("k"))
-    heads = heads.select("h", F.explode(F.array(F.struct(F.lit(TOTAL).cast("tinyint").alias("kind"), F.col("t").alias("n")), F.struct(F.lit(KINDS).cast("tinyint").alias("kind"), F.col("k").alias("n")))).alias("x"))
-    return grams.unionByName(written(spark, heads.select("x.kind", "h", "x.n"), "gram-heads"))
+    return written(spark, rows.groupBy("kind", "h").agg(F.sum("n").alias("n")), "grams")
 
 
 def level_of(n: np.ndarray) -> np.ndarray:
@@ -113,10 +107,8 @@ MEAN_COUNT = np.concatenate([[0.0], (_EDGES[:-1] + np.maximum(_EDGES[1:] - 1, _E
 
 
 def filter_key(kind: np.ndarray | int, h: np.ndarray) -> np.ndarray:
-    """What tells n-grams of a cell apart: 32 bits. KINDS follows from TOTAL, so that one key serves both."""
-    kind = np.asarray(kind)
-    key = mix(h + np.minimum(kind, TOTAL).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(32)
-    return np.where(kind == KINDS, key ^ KINDS_KEY, key)
+    """What tells n-grams of a cell apart: 32 bits."""
+    return mix(h + np.asarray(kind).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(32)
 
 
 def _bits(key: np.ndarray, level: np.ndarray | int) -> list[np.ndarray]:
@@ -158,13 +150,13 @@ def cell_column(cells: int):
     """The cell of a row: by its hash and its kind, the same as ``cell_of``."""
     low, high = F.col("h").bitwiseAND((1 << 31) - 1), F.shiftrightunsigned("h", 33)
     spread = F.shiftrightunsigned(low * F.lit(SPREAD[0]).cast("long") + high * F.lit(SPREAD[1]).cast("long"), 29).bitwiseAND((1 << 31) - 1)
-    return ((spread + F.least("kind", F.lit(TOTAL)) * 7919) % cells).cast("int")
+    return ((spread + F.col("kind") * 7919) % cells).cast("int")
 
 
 def cell_of(kind: int, h: np.ndarray, cells: int) -> np.ndarray:
     low, high = h & np.uint64((1 << 31) - 1), h >> np.uint64(33)
     spread = ((low * np.uint64(SPREAD[0]) + high * np.uint64(SPREAD[1])) >> np.uint64(29)) & np.uint64((1 << 31) - 1)
-    return ((spread + np.uint64(min(kind, TOTAL) * 7919)) % np.uint64(cells)).astype(np.int64)
+    return ((spread + np.uint64(kind * 7919)) % np.uint64(cells)).astype(np.int64)
 
 
 def filter_size(grams: DataFrame) -> int:
@@ -203,19 +195,19 @@ def counts(cells: np.ndarray, kind: int, h: np.ndarray) -> np.ndarray:
 
 
 class Routes:
-    """The distinct words, heads and pairs of a block, each sorted by cell, and where each shard's begin."""
+    """The distinct words and pairs of a block, each sorted by cell, and where each shard's begin."""
 
     def __init__(self, word: np.ndarray, pair: np.ndarray, cells: int, per: int):
         self.per, self.shards = per, -(-cells // per)
         self.grams = []
-        for kind, h in ((WORD, word), (TOTAL, np.unique(head_key(word))), (PAIR, pair)):
+        for kind, h in ((WORD, word), (PAIR, pair)):
             cell = cell_of(kind, h, cells)
             order = np.argsort(cell, kind="stable")
             cell = cell[order]
             self.grams.append((kind, h, order, cell, np.searchsorted(cell, np.arange(self.shards + 1) * per)))
 
     def rows(self, block: int) -> pa.RecordBatch:
-        """(shard, block, sizes, keys): for each shard the numbers of words, heads and pairs of each cell, and their keys."""
+        """(shard, block, sizes, keys): for each shard the numbers of words and of pairs of each cell, and their keys."""
         shard, sizes, keys = [], [], []
         parts = [(filter_key(kind, h[order]).astype(np.uint32), cell, cut) for kind, h, order, cell, cut in self.grams]
         for s in range(self.shards):
@@ -227,12 +219,11 @@ class Routes:
         return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(np.full(len(shard), block, np.int32)), pa.array(sizes, pa.binary()), pa.array(keys, pa.binary())], ["shard", "block", "sizes", "keys"])
 
     def counts(self, shard: np.ndarray, found: list[bytes]) -> list[np.ndarray]:
-        """Counts of words, of heads' totals and kinds, and of pairs, in the order of their hashes."""
-        (_, w, w_at, _, w_cut), (_, t, t_at, _, t_cut), (_, p, p_at, _, p_cut) = self.grams
-        out = [np.zeros(len(x), dtype=np.uint8) for x in (w, t, t, p)]
+        """Counts of words and of pairs, in the order of their hashes."""
+        out = [np.zeros(len(h), dtype=np.uint8) for _, h, _, _, _ in self.grams]
         for s, part in zip(shard.tolist(), found, strict=True):
             part, a = np.frombuffer(part, np.uint8), 0
-            for x, at, cut in zip(out, (w_at, t_at, t_at, p_at), (w_cut, t_cut, t_cut, p_cut), strict=True):
+            for x, (_, _, at, _, cut) in zip(out, self.grams, strict=True):
                 n = cut[s + 1] - cut[s]
                 x[at[cut[s] : cut[s + 1]]] = part[a : a + n]
                 a += n
@@ -258,16 +249,11 @@ def _answers(per: int):
                     bits[at : at + width] = np.frombuffer(keys[i].as_buffer(), np.uint8)
                 if ask == e:
                     continue
-                n = np.frombuffer(b"".join(sizes[i].as_py() for i in range(ask, e)), np.uint32).reshape(-1, 3, per).astype(np.int64)
+                n = np.frombuffer(b"".join(sizes[i].as_py() for i in range(ask, e)), np.uint32).reshape(-1, 2, per).astype(np.int64)
                 key = np.frombuffer(b"".join(keys[i].as_py() for i in range(ask, e)), np.uint32).astype(np.uint64)
-                at = np.repeat(np.tile(np.arange(per), 3 * (e - ask)), n.ravel())
-                found = levels(bits, width, at, key)
-                ends = np.cumsum(n.sum(2).ravel()).reshape(-1, 3)
-                begins = ends - n.sum(2)
-                head = np.repeat(np.tile([False, True, False], e - ask), n.sum(2).ravel())
-                kinds = np.zeros(len(key), dtype=np.uint8)
-                kinds[head] = levels(bits, width, at[head], key[head] ^ KINDS_KEY)
-                out = [b"".join([found[b[0] : x[1]].tobytes(), kinds[b[1] : x[1]].tobytes(), found[b[2] : x[2]].tobytes()]) for b, x in zip(begins.tolist(), ends.tolist(), strict=True)]
+                found = levels(bits, width, np.repeat(np.tile(np.arange(per), 2 * (e - ask)), n.ravel()), key)
+                ends = np.cumsum(n.sum((1, 2)))
+                out = [found[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(block[ask:e]), pa.array(shard[ask:e]), pa.array(out, pa.binary())], ["block", "shard", "levels"])
 
     return code
@@ -275,17 +261,14 @@ def _answers(per: int):
 
 def model_scores(word: np.ndarray, pair: np.ndarray, found: list[np.ndarray], token: np.ndarray, n: int, v: int) -> np.ndarray:
     """log10 P of each token given the one before it; found are the counts of ``Routes.counts``."""
-    c, total, kinds, pairs = found
-    head = np.searchsorted(np.unique(head_key(word)), head_key(word))
-    rest = np.where(c > 0, np.clip(1 - (total[head] - DISCOUNT * kinds[head]) / np.maximum(c, 1), 0.02, 1.0), 1.0)
+    c, pairs = found
     where = np.searchsorted(word, token)
     p1 = np.minimum((c + 1) / (n + v + 1), 1.0)[where]
     before = np.empty_like(where)
     before[1:] = where[:-1]
     before[:1] = np.searchsorted(word, END)
-    seen = pairs[np.searchsorted(pair, pair_keys(token))]
-    own = np.clip((seen - DISCOUNT) / np.maximum(c[before], 1), 0, 1) * (seen > 0)
-    return np.log10((1 - MU) * p1 + MU * np.minimum(own + rest[before] * p1, 1.0))
+    seen = np.minimum(pairs[np.searchsorted(pair, pair_keys(token))], c[before])
+    return np.log10((1 - MU) * p1 + MU * np.where(c[before] > 0, seen / np.maximum(c[before], 1), p1))
 
 
 def _dictionary(batches):
