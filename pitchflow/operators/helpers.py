@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 TRACK = ["match_id", "track_id"]
 FPS = 25.0
@@ -165,38 +167,84 @@ def sprint_intervals(stepped: DataFrame) -> DataFrame:
 
 
 def spectrum(v: np.ndarray) -> tuple[float, float]:
-    """Share of amplitude at and above a quarter of the row count, and normalised entropy of the amplitudes."""
+    """Share of amplitude at and above a quarter of the row count, and normalised entropy of the amplitudes; (0, 0) under eight rows."""
     n = len(v)
-    if n < 10:
+    if n < 8:
         return 0.0, 0.0
     amp = np.round(np.abs(np.fft.fft(v)[: n // 2]) / n, 4)
     total = amp.sum()
     if total <= 0:
         return 0.0, 0.0
     p = amp[amp > 0] / total
-    return float(amp[n // 4 :].sum() / total), float(-(p * np.log(p)).sum() / np.log(len(amp)))
+    return round(float(amp[n // 4 :].sum() / total), 3), round(float(-(p * np.log(p)).sum() / np.log(len(amp))), 3)
+
+
+def recoveries(fast: np.ndarray) -> list[int]:
+    """Rows from the end of each sprint to the start of the next."""
+    edge = np.diff(fast.astype(np.int8), prepend=0)
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    return [int(s - e) for s, e in zip(starts[1:], ends, strict=False)]
+
+
+def fatigue_of(v: np.ndarray, sprint_ms: float = 5.5, row_s: float = 0.08) -> dict | None:
+    """A17 over a player's speeds: four marks of tiring in percent, seconds and points, the spectrum's points, and the score."""
+    if len(v) < 10:
+        return None
+    a, b = v[: len(v) // 2], v[len(v) // 2 :]
+    drop = max(0.0, (a.max() - b.max()) / a.max() * 100) if a.max() > 0 else 0.0
+    fast = [x[x >= sprint_ms].mean() if (x >= sprint_ms).any() else 0.0 for x in (a, b)]
+    drift = max(0.0, (fast[0] - fast[1]) / fast[0] * 100) if fast[0] > 0 else 0.0
+    rest = recoveries(v >= sprint_ms)
+    half = len(rest) // 2
+    expansion = max(0.0, (np.mean(rest[half:]) - np.mean(rest[:half])) * row_s) if len(rest) >= 4 else 0.0
+    mean = v.mean()
+    predictability = max(0.0, (1 - min(v.std() / mean, 1.0)) * 100) if mean > 0 else 50.0
+    high, entropy = spectrum(v)
+    slow = round((1 - high) * 50 + (1 - entropy) * 50) if (high, entropy) != (0.0, 0.0) else 0
+    parts = ((drop * 2, 0.30), (drift * 1.5, 0.25), (expansion * 15, 0.15), (predictability, 0.10), (slow, 0.20))
+    score = round(sum(min(100.0, max(0.0, x)) * w for x, w in parts))
+    return {
+        "ceiling_drop": round(drop, 1), "sprint_drift": round(drift, 1), "recovery_s": round(float(expansion), 2), "predictability": round(float(predictability), 1),
+        "high_share": high, "entropy": entropy, "score": score, "label": "HIGH" if score >= 70 else "MEDIUM" if score >= 40 else "LOW",
+    }
 
 
 def fatigue(stepped: DataFrame) -> DataFrame:
-    """Ceiling drop between halves, predictability, high-frequency share, entropy, weighted score and label."""
-    schema = "match_id string, track_id long, ceiling_drop double, predictability double, high_share double, entropy double, score double, label string"
+    """One row for each track of ten speeds or more, as ``fatigue_of``."""
+    schema = "match_id string, track_id long, ceiling_drop double, sprint_drift double, recovery_s double, predictability double, high_share double, entropy double, score long, label string"
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def code(p: pd.DataFrame) -> pd.DataFrame:
-        v = np.minimum(p.speed_ms.dropna().to_numpy(dtype=float), 10.0)
-        n = len(v)
-        if n < 10:
-            return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
-        a, b = v[: n // 2].max(), v[n // 2 :].max()
-        drop = max(0.0, (a - b) / a) if a > 0 else 0.0
-        cv = float(v.std() / v.mean()) if v.mean() > 0 else 1.0
-        share, entropy = spectrum(v)
-        score = 100 * (0.4 * drop + 0.25 * max(0.0, 1 - cv) + 0.15 * (1 - share) + 0.2 * (1 - entropy))
-        label = "high" if score >= 70 else "moderate" if score >= 40 else "fresh"
-        return pd.DataFrame([(p.match_id.iloc[0], int(p.track_id.iloc[0]), round(drop, 6), round(max(0.0, 1 - cv), 6), round(share, 6), round(entropy, 6), round(score, 4), label)], columns=[c.split()[0] for c in schema.split(", ")])
+        got = fatigue_of(p.speed_ms.dropna().to_numpy(dtype=float))
+        rows = [{"match_id": p.match_id.iloc[0], "track_id": int(p.track_id.iloc[0]), **got}] if got else []
+        return pd.DataFrame(rows, columns=names)
 
     return _per(stepped.select("match_id", "track_id", "frame_idx", "speed_ms"), TRACK, schema, code)
 
 
+def nearest_share(nx: int, ny: int, step: float, at_once: int = 64):
+    """Of arrays of (track_id, team_id, x, y) in order of track_id, the share of lattice points nearest to team 0."""
+    gx, gy = np.repeat(np.arange(nx), ny) * step, np.tile(np.arange(ny), nx) * step
+
+    @F.arrow_udf("double")
+    def share(ps: pa.Array) -> pa.Array:
+        rows = ps.flatten()
+        x, y, team = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y", "team_id"))
+        off = np.concatenate([[0], np.cumsum(np.diff(ps.offsets.to_numpy()))])
+        out = np.zeros(len(ps))
+        for a in range(0, len(ps), at_once):
+            b = min(len(ps), a + at_once)
+            own = slice(off[a], off[b])
+            first = off[a:b] - off[a]
+            d = (x[own, None] - gx) * (x[own, None] - gx) + (y[own, None] - gy) * (y[own, None] - gy)
+            least = np.repeat(np.minimum.reduceat(d, first, axis=0), np.diff(off[a : b + 1]), axis=0)
+            owner = np.minimum.reduceat(np.where(d == least, np.arange(off[b] - off[a])[:, None], off[b]), first, axis=0)
+            out[a:b] = (team[own][owner] == 0).sum(axis=1) / (nx * ny)
+        return pa.array(out)
+
+    return share
+
+
 def two_means(f: np.ndarray, weights=(2.0, 1.5, 0.5), rounds: int = 50) -> np.ndarray:
     """Labels 0 and 1 of weighted 2-means that starts from the farthest pair; label 0 has the lower first feature."""
     z = f * np.sqrt(np.array(weights))
@@ -261,7 +309,6 @@ def embedding_drift(rows: DataFrame, trigger: float = 0.70) -> DataFrame:
 def cap_players(points: DataFrame, most: int = 20, near: float = 10.0, drops: int = 20) -> DataFrame:
     """Drops of the weaker (fewer hits, then higher track) of a match's closest pair of mean positions, same team first, while over ``most`` tracks are left."""
     schema = "match_id string, track_id long, dropped_for long"
-    from pyspark.sql import functions as F
 
     mean = points.groupBy("match_id", "track_id", "team_id").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("hits"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import distance, iou
 from .joins import FRAME, frame_pairs, fragments_to_merge
-from .runs import changes, with_run
+from .runs import with_run
 
 #: Conflict types and their severity.
 SEVERITY = {"team_flip": "critical", "keeper_to_outfield": "high", "duplicate_id": "critical", "overlap": "medium", "jump": "high", "speed": "medium", "source_downgrade": "low", "teleport": "high"}
@@ -50,13 +50,31 @@ def conflict_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("match_id", "conflict", "severity").agg(F.count("*").alias("n"), F.count_distinct("player_id").alias("players"))
 
 
+#: The confidence of each kind of correction.
+CORRECTIONS = {"swap": 0.80, "mark_unknown": 0.95, "suppress": 0.90, "reject_revival": 0.85}
+
+
 def proposals(found: DataFrame, window: int = 25) -> DataFrame:
-    """Per window of frames and player one correction: the first that applies of swap, mark_unknown, reject_revival, suppress, merge."""
-    w = found.withColumn("win", F.floor(F.col("frame_idx") / window)).groupBy("match_id", "win", "player_id").agg(F.array_sort(F.collect_set("conflict")).alias("kinds"))
+    """The corrections that a window of frames calls for, on its first players in order of their ids.
+
+    A team flip of two players swaps them from the window's start, a keeper that turns outfield is unknown from its end,
+    a duplicate id is suppressed within it, a teleport's revival is rejected from its end.
+    """
+    w = found.groupBy("match_id", F.floor(F.col("frame_idx") / window).alias("win")).agg(
+        F.collect_set("conflict").alias("kinds"), F.array_sort(F.collect_set("player_id")).alias("pids"), F.min("frame_idx").alias("start"), F.max("frame_idx").alias("end")
+    )
     has = lambda k: F.array_contains("kinds", k)
-    action = F.when(has("team_flip") & has("teleport"), "swap").when(has("team_flip") | has("keeper_to_outfield"), "mark_unknown").when(has("source_downgrade"), "reject_revival").when(has("duplicate_id") | has("overlap"), "suppress").otherwise("merge")
-    confidence = F.least(F.lit(0.95), 0.6 + 0.1 * F.size("kinds"))
-    return w.select("match_id", "win", "player_id", action.alias("action"), F.round(confidence, 4).alias("confidence"), F.array_join("kinds", "+").alias("reasons"))
+    none = F.lit(None)
+
+    def row(action: str, why: str, start, end=none, other=none):
+        return F.struct(F.lit(action).alias("action"), F.col("pids")[0].alias("pid_a"), other.cast("string").alias("pid_b"), start.alias("apply_from"), end.cast("long").alias("apply_to"), F.lit(CORRECTIONS[action]).alias("confidence"), F.lit(why).alias("reason"))
+
+    start, end = F.col("start"), F.col("end")
+    rows = F.array_compact(F.array(
+        F.when(has("team_flip") & (F.size("pids") >= 2), row("swap", "team_flip", start, other=F.get("pids", F.lit(1)))), F.when(has("keeper_to_outfield"), row("mark_unknown", "keeper_to_outfield", end)),
+        F.when(has("duplicate_id"), row("suppress", "duplicate_id", start, end)), F.when(has("teleport"), row("reject_revival", "teleport", end)),
+    ))
+    return w.select("match_id", "win", F.explode(rows).alias("r")).select("match_id", "win", "r.*")
 
 
 def fragments(players: DataFrame, gap: int = 5) -> DataFrame:
@@ -116,18 +134,12 @@ def display_coverage(points: DataFrame, matches: DataFrame, lerp: int = 8, hold:
     """Per match the frames of each track that are visible, interpolated (gap up to 8), held (up to 15) or hidden."""
     from .physical import TRACK
 
-    grid = points.select(*TRACK).distinct().join(F.broadcast(matches.select("match_id", "frames_processed")), "match_id").select(*TRACK, F.explode(F.sequence(F.lit(0).cast("long"), F.col("frames_processed") - 1)).alias("frame_idx"))
+    grid = points.select(*TRACK).distinct().join(matches.select("match_id", "frames_processed"), "match_id").select(*TRACK, F.explode(F.sequence(F.lit(0).cast("long"), F.col("frames_processed") - 1)).alias("frame_idx"))
     rows = grid.join(points.select(*TRACK, "frame_idx", F.lit(1).alias("seen")), [*TRACK, "frame_idx"], "left")
     w = Window.partitionBy(*TRACK).orderBy("frame_idx")
     own = F.when(F.col("seen") == 1, F.col("frame_idx"))
-    rows = rows.withColumn("_a", F.last(own, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_b", F.first(own, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    rows = rows.withColumn("_a", F.last(own, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    back = Window.partitionBy(*TRACK).orderBy(F.desc("frame_idx"))  # from the end: a frame that grows costs less than one that shrinks
+    rows = rows.withColumn("_b", F.last(own, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
     state = F.when(F.col("seen") == 1, "visible").when(F.col("_b") - F.col("_a") <= lerp, "interpolated").when(F.col("frame_idx") - F.col("_a") <= hold, "held").otherwise("hidden")
     return rows.groupBy("match_id").agg(*(F.count_if(state == s).alias(s) for s in ("visible", "interpolated", "held", "hidden")))
-
-
-def conflict_groups(players: DataFrame) -> DataFrame:
-    """W19 as runs: spells in which a player id keeps one team, role and raw track."""
-    rows = players.where("NOT is_official")
-    by = ["match_id", "raw_track_id"]
-    rows = with_run(rows, by, "frame_idx", changes(by, "frame_idx", "team_id", "role"))
-    return rows.groupBy(*by, "run", "team_id", "role").agg(F.min("frame_idx").alias("start_frame"), F.max("frame_idx").alias("end_frame"), F.count("*").alias("rows")).drop("run")

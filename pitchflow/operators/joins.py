@@ -18,7 +18,8 @@ def nearest_in_time(left: DataFrame, right: DataFrame, by: list[str], columns: l
     b = right.select(*by, "frame_idx", F.lit(0).alias("_side"), F.lit(None).alias("_l"), value.alias("_r"))
     both = a.withColumn("_r", a["_r"].cast(b.schema["_r"].dataType)).unionByName(b.withColumn("_l", b["_l"].cast(a.schema["_l"].dataType)))
     both = both.withColumn("_b", F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("_a", F.first("_r", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))).where("_side = 1")
+    back = Window.partitionBy(*by).orderBy(F.desc("frame_idx"), F.desc("_side"))  # from the end, so that frames only grow
+    both = both.withColumn("_a", F.last("_r", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))).where("_side = 1")
     pick = F.when(F.col("_b").isNull(), F.col("_a")).when(F.col("_a").isNull() | (F.col("frame_idx") - F.col("_b._at") <= F.col("_a._at") - F.col("frame_idx")), F.col("_b")).otherwise(F.col("_a"))
     return both.select("_l.*", pick.alias("_p")).select(*left.columns, *(F.col(f"_p.{c}").alias(c) for c in columns))
 

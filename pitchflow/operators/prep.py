@@ -59,13 +59,14 @@ def fill_gaps(points: DataFrame, by: list[str], max_missing: int) -> DataFrame:
 
 def densify(points: DataFrame, matches: DataFrame, max_gap: int = 10) -> DataFrame:
     """P10: one row for each track and frame: head filled back, gaps up to max_gap frames linear, longer ones and the tail held."""
-    grid = points.select(*TRACK).distinct().join(F.broadcast(matches.select("match_id", "frames_processed")), "match_id")
+    grid = points.select(*TRACK).distinct().join(matches.select("match_id", "frames_processed"), "match_id")
     grid = grid.select(*TRACK, F.explode(F.sequence(F.lit(0).cast("long"), F.col("frames_processed") - 1)).alias("frame_idx"))
     w = over_track()
-    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    before = w.rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy(*TRACK).orderBy(F.desc("frame_idx")).rowsBetween(Window.unboundedPreceding, 0)
     seen = F.when(F.col("x").isNotNull(), F.struct("frame_idx", "x", "y"))
     out = grid.join(points.select(*TRACK, "frame_idx", "x", "y"), [*TRACK, "frame_idx"], "left")
-    out = out.withColumn("_a", F.last(seen, ignorenulls=True).over(before)).withColumn("_b", F.first(seen, ignorenulls=True).over(after))
+    out = out.withColumn("_a", F.last(seen, ignorenulls=True).over(before)).withColumn("_b", F.last(seen, ignorenulls=True).over(after))
     gap = F.col("_b.frame_idx") - F.col("_a.frame_idx")
     t = (F.col("frame_idx") - F.col("_a.frame_idx")) / gap
 

@@ -10,8 +10,15 @@ from .joins import FRAME
 from .physical import TRACK
 
 
-def tracking_quality(points: DataFrame, tracks: DataFrame, matches: DataFrame) -> DataFrame:
-    """Ids, mean length, short and stable tracks, sudden drops of over five players, team balance, valid frames."""
+def id_switches(players: DataFrame) -> DataFrame:
+    """Changes of raw track within a player's rows, by match."""
+    w = Window.partitionBy("match_id", "player_id").orderBy("frame_idx", "raw_track_id")
+    rows = players.where("player_id IS NOT NULL AND NOT is_official").withColumn("_p", F.lag("raw_track_id").over(w))
+    return rows.groupBy("match_id").agg(F.count_if(F.col("_p") != F.col("raw_track_id")).alias("id_switches"))
+
+
+def tracking_quality(points: DataFrame, tracks: DataFrame, matches: DataFrame, players: DataFrame) -> DataFrame:
+    """Ids, id switches, mean length, short and stable tracks, sudden drops of over five players, team balance, valid frames."""
     w = Window.partitionBy("match_id").orderBy("frame_idx")
     n = points.groupBy(*FRAME).agg(F.count("*").alias("n")).withColumn("_drop", F.lag("n").over(w) - F.col("n") > 5)
     drops = n.groupBy("match_id").agg(F.count_if("_drop").alias("drops"), F.avg("n").alias("mean_players"))
@@ -20,14 +27,21 @@ def tracking_quality(points: DataFrame, tracks: DataFrame, matches: DataFrame) -
         (F.least(F.count_if(F.expr("team_id = 0")), F.count_if(F.expr("team_id = 1"))) / F.greatest(F.count_if(F.expr("team_id = 0")), F.count_if(F.expr("team_id = 1")))).alias("balance"),
     )
     v = matches.select("match_id", (F.col("valid_frames") / F.col("frames_processed")).alias("valid_share"))
-    return t.join(drops, "match_id").join(v, "match_id")
+    return t.join(drops, "match_id").join(v, "match_id").join(id_switches(players), "match_id", "left").na.fill(0, ["id_switches"])
 
 
-def frame_health(points: DataFrame, ball: DataFrame) -> DataFrame:
-    """Per frame 0.7 of the player count over 22 (1 at most) and 0.3 for a ball."""
-    n = points.groupBy(*FRAME).agg(F.count("*").alias("n"))
-    b = ball.select(*FRAME, F.lit(1.0).alias("has"))
-    return n.join(b, FRAME, "left").select(*FRAME, (0.7 * F.least(F.col("n") / 22.0, F.lit(1.0)) + 0.3 * F.coalesce("has", F.lit(0.0))).alias("health"))
+def frame_health(points: DataFrame) -> DataFrame:
+    """Per frame a health of 0 to 1 by the number of tracks, less after a sudden change, and the camera's mode.
+
+    From ten tracks on 1, from five on 0.6 and more, from one on 0.3 and more; times 0.7 if the number changed by over four since
+    the frame before, 0.4 by over eight.
+    """
+    w = Window.partitionBy("match_id").orderBy("frame_idx")
+    n = points.groupBy(*FRAME).agg(F.count("*").alias("n")).withColumn("_by", F.abs(F.col("n") - F.lag("n").over(w)))
+    base = F.when(F.col("n") >= 10, 1.0).when(F.col("n") >= 5, 0.6 + (F.col("n") - 5) / 12.5).otherwise(0.3 + (F.col("n") - 1) / 13.3)
+    steady = F.when(F.col("_by") > 8, 0.4).when(F.col("_by") > 4, 0.7).otherwise(1.0)
+    mode = F.when(F.col("n") < 3, "close_up").when(F.col("n") < 8, "medium_broadcast").otherwise("wide_broadcast")
+    return n.select(*FRAME, F.round(F.least(base * steady, F.lit(1.0)), 3).alias("health"), mode.alias("camera"))
 
 
 def best_worst_runs(health: DataFrame, size: int = 10) -> DataFrame:
@@ -38,18 +52,61 @@ def best_worst_runs(health: DataFrame, size: int = 10) -> DataFrame:
 
 
 def track_confidence(tracks: DataFrame) -> DataFrame:
-    """Score by hits and spread of a track, level high from 0.7, medium from 0.4."""
-    score = F.least(F.col("hits") / 200.0, F.lit(1.0)) * 0.6 + F.least((F.col("hits") / (F.col("last_seen") - F.col("first_seen") + 1)), F.lit(1.0)) * 0.4
-    out = tracks.withColumn("score", F.round(score, 4))
-    return out.withColumn("level", F.when(F.col("score") >= 0.7, "high").when(F.col("score") >= 0.4, "medium").otherwise("low")).select(*TRACK, "score", "level")
+    """0.5, changed by detections, merges and continuity of a track; level high from 0.8, medium from 0.5; with reasons."""
+    hits, merges = F.col("hits"), F.coalesce("reid_merges", F.lit(0))
+    continuity = F.least(hits / F.greatest(F.col("last_seen") - F.col("first_seen"), F.lit(1)), F.lit(1.0))
+    score = F.lit(0.5) + F.when(hits >= 20, 0.25).when(hits >= 10, 0.10).otherwise(-0.20) + F.when(merges <= 1, 0.15).when(merges <= 3, 0.05).otherwise(-0.15) + F.when(continuity >= 0.70, 0.10).when(continuity >= 0.40, 0.0).otherwise(-0.10)
+    reasons = F.array_compact(F.array(
+        F.when(hits < 10, F.format_string("only %d detections", hits)), F.when(merges > 3, F.format_string("%d merges (high fragmentation)", merges)).when(merges > 1, F.format_string("%d merges", merges)),
+        F.when(continuity < 0.40, F.format_string("visible in only %d%% of expected frames", F.round(continuity * 100).cast("int"))),
+    ))
+    out = tracks.withColumn("score", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 2))
+    level = F.when(F.col("score") >= 0.8, "high").when(F.col("score") >= 0.5, "medium").otherwise("low")
+    return out.select(*TRACK, "score", level.alias("level"), F.round(continuity, 2).alias("continuity"), F.array_join(reasons, "; ").alias("reasons"))
+
+
+#: Percent of error of a speed and a distance, and sprints more or less, by level; low sprints are a range.
+MARGINS = {"speed": {"high": 10, "medium": 20, "low": 35}, "distance": {"high": 12, "medium": 25, "low": 40}}
+SPRINT_MARGIN = {"high": 1, "medium": 3}
+
+
+def metric_display(metrics: DataFrame) -> DataFrame:
+    """Rows (match_id, track_id, metric, value, level) with margin_of_error and display; nothing is shown of nulls and zeros."""
+    value, level, kind = F.col("value"), F.col("level"), F.col("metric")
+    pct = F.lit(30)
+    for name, by in MARGINS.items():
+        for lv, p in by.items():
+            pct = F.when((kind == name) & (level == lv), p).otherwise(pct)
+    count = F.floor(value).cast("int")
+    sprints = F.when(level == "low", F.format_string("%d-%d sprints", F.greatest(count - 3, F.lit(0)), count + 3)).otherwise(F.format_string("%d ±%d sprints", count, F.when(level == "high", 1).otherwise(3)))
+    other = F.concat(F.format_string("%.1f", value), F.when(kind == "speed", " km/h").otherwise(" m"), F.format_string(" ±%d%%", pct))
+    none = value.isNull() | (value == 0)
+    margin = F.when(none, "N/A").when(kind == "sprint_count", F.when(level == "low", "±3 (range)").when(level == "high", "±1").otherwise("±3")).otherwise(F.format_string("±%d%%", pct))
+    shown = F.when(none, "data insufficient").when(kind == "sprint_count", sprints).otherwise(other)
+    return metrics.select(*TRACK, "metric", F.when(none, "low").otherwise(level).alias("confidence"), margin.alias("margin_of_error"), shown.alias("display"))
+
+
+#: What a body, a team and a match can do.
+TOP_MS, METRES_A_SECOND, PPDA, LINE_DEPTH, PASSES_A_MINUTE = 12.0, 9.0, (1.0, 50.0), (0.0, 105.0), 60.0
+
+
+def _without(df: DataFrame, bad: list) -> DataFrame:
+    """Columns whose test fails become null; failures lists them, ready tells that there are none."""
+    bad = [(name, F.coalesce(test, F.lit(False))) for name, test in bad]
+    out = df.withColumn("failures", F.array_join(F.array_compact(F.array(*[F.when(b, name) for name, b in bad])), "+"))
+    return out.withColumns({name: F.when(~b, F.col(name)) for name, b in bad}).withColumn("ready", F.col("failures") == "")
 
 
-def sane(players: DataFrame) -> DataFrame:
-    """Metrics beyond limits become null, and their names a list."""
-    bad = [("distance_m", F.col("distance_m") > 16_000), ("top_ms", F.col("top_ms") > 11), ("sprints", F.col("sprints") > 120)]
-    fails = F.array_compact(F.array(*[F.when(b, name) for name, b in bad]))
-    out = players.withColumn("failures", F.array_join(fails, "+"))
-    return out.withColumns({name: F.when(~b, F.col(name)) for name, b in bad}).withColumn("ready", F.col("failures") == "")
+def sane(players: DataFrame, matches: DataFrame) -> DataFrame:
+    """A25 for players: a top speed over 12 m/s, or more metres than 9 a second of the match, become null."""
+    rows = players.join(matches.select("match_id", (F.col("frames_processed") / F.col("fps")).alias("seconds")), "match_id")
+    return _without(rows, [("distance_m", F.col("distance_m") > METRES_A_SECOND * F.col("seconds")), ("top_ms", F.col("top_ms") > TOP_MS)]).drop("seconds")
+
+
+def sane_matches(summary: DataFrame) -> DataFrame:
+    """A25 for teams of matches (ppda, line_depth, passes, seconds): PPDA off 1 to 50, lines off the pitch, over 60 passes a minute become null."""
+    ppda, depth = F.col("ppda"), F.col("line_depth")
+    return _without(summary, [("ppda", ~ppda.between(*PPDA)), ("line_depth", ~depth.between(*LINE_DEPTH)), ("passes", F.col("passes") / (F.col("seconds") / 60) > PASSES_A_MINUTE)])
 
 
 def agreement(runs: DataFrame) -> DataFrame:

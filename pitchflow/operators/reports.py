@@ -59,8 +59,11 @@ def long_runs(points: DataFrame, least_m: float = 15.0, seconds: float = 3.0) ->
     p = points.withColumn("step", F.coalesce(distance("x", "y", F.lag("x").over(w), F.lag("y").over(w)), F.lit(0.0)))
     p = p.withColumn("path", F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     frames = int(seconds * FPS)
-    ahead = F.struct("frame_idx", "path")
-    p = p.withColumn("_end", F.first(ahead).over(w.rangeBetween(frames, Window.unboundedFollowing))).withColumn("_last", F.last(ahead).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    # each row asks, 3 s on, for the first row from there; asked from the end, so that window frames only grow
+    rows = p.select(*TRACK, "frame_idx", "path", F.col("frame_idx").alias("_at"), F.lit(0).alias("_ask"), F.struct("frame_idx", "path").alias("_own"))
+    asks = p.select(*TRACK, "frame_idx", "path", (F.col("frame_idx") + frames).alias("_at"), F.lit(1).alias("_ask"), F.lit(None).cast(rows.schema["_own"].dataType).alias("_own"))
+    back = Window.partitionBy(*TRACK).orderBy(F.desc("_at"), "_ask").rowsBetween(Window.unboundedPreceding, 0)
+    p = rows.unionByName(asks).withColumn("_end", F.last("_own", ignorenulls=True).over(back)).withColumn("_last", F.max("_own").over(Window.partitionBy(*TRACK))).where("_ask = 1")
     p = p.withColumn("_e", F.coalesce("_end", "_last")).withColumn("metres", F.col("_e.path") - F.col("path")).where(F.col("metres") >= least_m)
     out = first_per(p, TRACK, F.col("frame_idx"))
     return out.select(*TRACK, F.col("frame_idx").alias("start_frame"), F.col("_e.frame_idx").alias("end_frame"), F.round("metres", 5).alias("metres"), F.round(F.least(F.lit(1.0), F.col("metres") / 30), 3).alias("score"))
@@ -139,7 +142,9 @@ def fingerprint(widths: DataFrame, sprints: DataFrame, phases: DataFrame, speeds
     """Over matches, by team: mean width, mean sprints (from two on), the most frequent main phase, upper-median top speed."""
     width = widths.groupBy("team_id").agg(F.round(F.avg("width"), 4).alias("width"))
     s = sprints.groupBy("team_id").agg(F.when(F.count("*") >= 2, F.round(F.avg("sprints"), 4)).alias("sprints"))
-    top = speeds.groupBy("team_id").agg(F.element_at(F.array_sort(F.collect_list("top_ms")), (F.floor(F.count("*") / 2) + 1).cast("int")).alias("top_ms"))
+    at = Window.partitionBy("team_id").orderBy("top_ms")
+    ranked = speeds.select("team_id", "top_ms", F.row_number().over(at).alias("_rn"), F.count("*").over(Window.partitionBy("team_id")).alias("_n"))
+    top = ranked.where(F.col("_rn") == F.floor(F.col("_n") / 2) + 1).select("team_id", "top_ms")
     main = phases.groupBy("match_id").agg(F.max(F.struct("frames", "label")).alias("m")).groupBy(F.col("m.label").alias("label")).agg(F.count("*").alias("n")).agg(F.max(F.struct("n", "label")).alias("m")).select(F.col("m.label").alias("phase"))
     return width.join(s, "team_id").join(top, "team_id").crossJoin(F.broadcast(main))  # one row
 
@@ -152,8 +157,33 @@ def case_files(found: DataFrame, points: DataFrame, offsets: tuple[int, ...] = (
     return met.groupBy("match_id", "conflict_frame", "offset").agg(F.count("*").alias("players"), F.round(F.avg("x"), 6).alias("mean_x"), F.round(F.avg("y"), 6).alias("mean_y"))
 
 
-def service_confidence(quality: DataFrame) -> DataFrame:
-    """Scores with reasons from coverage, ids and drops; overall is their mean."""
-    lines = F.array_compact(F.array(F.when(F.col("valid_share") < 0.9, "low_coverage"), F.when(F.col("ids") > 30, "many_ids"), F.when(F.col("drops") > 10, "sudden_drops"), F.when(F.col("balance") < 0.8, "unbalanced")))
-    score = F.greatest(F.lit(0.0), 1 - 0.25 * F.size(lines))
-    return quality.select("match_id", F.round(score, 4).alias("score"), F.array_join(lines, "+").alias("reasons"), F.when(score >= 0.75, "high").when(score >= 0.5, "medium").otherwise("low").alias("level"))
+#: Frames that a service needs, and the services that need world coordinates.
+MINIMUM_FRAMES = {"pass_network": 150, "pressing": 150, "xg": 75, "formations": 75, "heatmaps": 50, "events": 150, "counter_press": 150, "set_pieces": 500, "defensive_lines": 50, "tactics": 75}
+WORLD_SERVICES = ("pass_network", "pressing", "events", "counter_press", "set_pieces", "defensive_lines", "xg")
+
+
+def service_confidence(quality: DataFrame, matches: DataFrame, tracks: DataFrame, ball: DataFrame, homographies: DataFrame) -> DataFrame:
+    """For each match and service whether its result can be used, with which confidence, and what speaks against it.
+
+    ``quality`` has id_switches, mean_length and stable of each match (A22).
+    """
+    seen = ball.groupBy("match_id").agg(F.count("*").alias("_ball"))
+    mapped = homographies.groupBy("match_id").agg(F.count("*").alias("_maps"))
+    teams = tracks.groupBy("match_id").agg(F.count_if(F.expr("team_id = 0")).alias("_t0"), F.count_if(F.expr("team_id = 1")).alias("_t1"))
+    m = matches.select("match_id", "frames_processed", "valid_frames").join(quality.select("match_id", "id_switches", "mean_length", "stable"), "match_id")
+    for other in (seen, mapped, teams):
+        m = m.join(other, "match_id", "left")
+    m = m.na.fill(0, ["_ball", "_maps", "_t0", "_t1"])
+    needs = F.explode(F.array(*[F.struct(F.lit(k).alias("service"), F.lit(v).alias("frames_required"), F.lit(k in WORLD_SERVICES).alias("_world")) for k, v in MINIMUM_FRAMES.items()]))
+    m = m.withColumn("_n", needs).select("*", "_n.*").drop("_n")
+    frames, least = F.col("frames_processed"), F.col("frames_required")
+    invalid = F.col("valid_frames") / frames < 0.5
+    calibrated, ball_there = F.col("_maps") > 0, F.col("_ball") / frames >= 0.05
+    reasons = F.array_compact(F.array(
+        F.when(invalid, "invalid_frames"), F.when(F.col("id_switches") > 50, "id_churn"), F.when(F.col("mean_length") < 10, "short_tracks"), F.when(F.col("stable") < 10, "few_stable_tracks"), F.when(frames < least, "few_frames"),
+        F.when(~calibrated, "no_calibration"), F.when((F.col("_ball") > 0) & ~ball_there, "ball_coverage"), F.when(~ball_there & calibrated, "no_ball"), F.when(F.greatest("_t0", "_t1") / F.nullif(F.col("_t0") + F.col("_t1"), F.lit(0)) > 0.70, "team_imbalance"),
+    ))
+    blind = F.col("_world") & (~calibrated | ~ball_there)
+    level = F.when(invalid, "low").when(blind | (frames < least * 0.5), "unavailable").when(frames < least, "low").when(F.size(reasons) > 0, "medium").otherwise("high")
+    usable = F.when(invalid, frames >= least * 0.5).otherwise(level != "unavailable")
+    return m.select("match_id", "service", "frames_required", level.alias("confidence"), usable.alias("usable"), F.array_join(reasons, "+").alias("reasons"))

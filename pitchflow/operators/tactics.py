@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import distance
+from .helpers import nearest_share
 from .joins import FRAME
 from .runs import changes, cooldown, with_run
 
@@ -113,17 +114,16 @@ def _lattice(nx: int, ny: int, step_x: float, step_y: float, off: float):
 def control_share(points: DataFrame, every: int = 10, nx: int = 53, ny: int = 35, step: float = 2.0, least: int = 4) -> DataFrame:
     """Per sampled frame the share of a 2 m lattice nearest to team 0 (lower track on ties).
 
-    The lattice is laid inside the frame's row of collected players (28 at most), so nothing is shuffled per lattice point.
+    A frame's players (28 at most) are one row, and the lattice is laid over the frames of a batch at once.
     """
     rows = points.where(F.col("frame_idx") % every == 0).groupBy(*FRAME).agg(F.array_sort(F.collect_list(F.struct("track_id", "team_id", "x", "y"))).alias("ps")).where(F.size("ps") >= least)
-    owner = lambda g: F.array_min(F.transform("ps", lambda p: F.struct(((p["x"] - g["gx"]) * (p["x"] - g["gx"]) + (p["y"] - g["gy"]) * (p["y"] - g["gy"])).alias("d"), p["track_id"].alias("t"), p["team_id"].alias("team"))))["team"]
-    owned = F.transform(_lattice(nx, ny, step, step, 0.0), owner)
-    return rows.select(*FRAME, (F.size(F.filter(owned, lambda t: t == 0)) / (nx * ny)).alias("share"))
+    return rows.select(*FRAME, nearest_share(nx, ny, step)("ps").alias("share"))
 
 
-def pressure_map(points: DataFrame, every: int = 50) -> DataFrame:
-    """Per team and cell of a 10 x 10 grid, the sum of 1/d over its opponents' points under 10 m from the cell's centre, over the maximum."""
-    rows = points.where(F.col("frame_idx") % every == 0).select("match_id", (1 - F.col("team_id")).alias("team_id"), "x", "y", F.explode(_lattice(10, 10, 10.5, 6.8, 0.5)).alias("g"))
+def pressure_map(points: DataFrame) -> DataFrame:
+    """Per team and cell of a 10 x 10 grid, the sum of 1/d over its opponents' mean positions under 10 m from the cell's centre, over the maximum."""
+    mean = points.groupBy("match_id", "team_id", "track_id").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    rows = mean.select("match_id", (1 - F.col("team_id")).alias("team_id"), "x", "y", F.explode(_lattice(10, 10, 10.5, 6.8, 0.5)).alias("g"))
     d = distance("x", "y", "g.gx", "g.gy")
     rows = rows.withColumn("d", d).where("d < 10").groupBy("match_id", "team_id", F.col("g.cell").alias("cell")).agg(F.sum(1 / F.greatest(F.col("d"), F.lit(0.1))).alias("p"))
     return rows.withColumn("pressure", F.col("p") / F.max("p").over(Window.partitionBy("match_id", "team_id"))).drop("p")

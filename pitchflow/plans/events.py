@@ -262,10 +262,11 @@ def a15(spark, d):
     return tactics.control_share(tables(spark, d, "points")[0])
 
 
-@op("a13_pressure_map", """WITH g AS (SELECT i * 10 + j AS cell, i * 10.5e0 + 5.25 AS gx, j * 6.8e0 + 3.4 AS gy FROM range(10) a(i), range(10) b(j)), q AS (SELECT match_id, 1 - team_id AS team_id, cell, sqrt((x - gx) * (x - gx) + (y - gy) * (y - gy)) AS d FROM points, g WHERE frame_idx % 50 = 0),
-s AS (SELECT match_id, team_id, cell, sum(1 / greatest(d, 0.1e0)) AS p FROM q WHERE d < 10 GROUP BY 1, 2, 3) SELECT match_id, team_id, cell, round(p / max(p) OVER (PARTITION BY match_id, team_id), 5) AS pressure FROM s""")
+@op("a13_pressure_map", """WITH g AS (SELECT i * 10 + j AS cell, i * 10.5e0 + 5.25 AS gx, j * 6.8e0 + 3.4 AS gy FROM range(10) a(i), range(10) b(j)), mp AS (SELECT match_id, team_id, track_id, avg(x) AS x, avg(y) AS y FROM points GROUP BY 1, 2, 3),
+q AS (SELECT match_id, 1 - team_id AS team_id, cell, sqrt((x - gx) * (x - gx) + (y - gy) * (y - gy)) AS d FROM mp, g),
+s AS (SELECT match_id, team_id, cell, sum(1 / greatest(d, 0.1e0)) AS p FROM q WHERE d < 10 GROUP BY 1, 2, 3) SELECT match_id, team_id, cell, round(p / max(p) OVER (PARTITION BY match_id, team_id), 4) AS pressure FROM s""")
 def a13(spark, d):
-    return tactics.pressure_map(tables(spark, d, "points")[0]).withColumn("pressure", F.round("pressure", 5)).withColumn("cell", F.col("cell").cast("long"))
+    return tactics.pressure_map(tables(spark, d, "points")[0]).withColumn("pressure", F.round("pressure", 4)).withColumn("cell", F.col("cell").cast("long"))
 
 
 _SIT = """si AS (SELECT n.match_id, n.frame_idx, CASE WHEN n < 4 THEN 'dead_ball' WHEN speed_ms > 8 THEN 'transition' WHEN speed_ms < 0.3 THEN 'set_piece' ELSE 'open_play' END AS label FROM (SELECT match_id, frame_idx, count(*) AS n FROM points GROUP BY 1, 2) n LEFT JOIN speeds s ON s.match_id = n.match_id AND s.frame_idx = n.frame_idx)"""
@@ -356,8 +357,12 @@ def a34(spark, d):
     return identity.conflict_counts(conflicts(spark, d))
 
 
-@op("i2_proposals", f"""WITH {_CHG}, q AS (SELECT match_id, frame_idx // 25 AS win, player_id, list_sort(list(DISTINCT conflict)) AS k FROM conf GROUP BY 1, 2, 3) SELECT match_id, win, player_id, CASE WHEN list_contains(k, 'team_flip') AND list_contains(k, 'teleport') THEN 'swap' WHEN list_contains(k, 'team_flip') OR list_contains(k, 'keeper_to_outfield') THEN 'mark_unknown'
-WHEN list_contains(k, 'source_downgrade') THEN 'reject_revival' WHEN list_contains(k, 'duplicate_id') OR list_contains(k, 'overlap') THEN 'suppress' ELSE 'merge' END AS action, round(least(0.95e0, 0.6e0 + 0.1e0 * len(k)), 4) AS confidence, array_to_string(k, '+') AS reasons FROM q""")
+_FIX = "SELECT match_id, win, '{0}' AS action, p[1] AS pid_a, {1} AS pid_b, {2} AS apply_from, {3} AS apply_to, {4}e0 AS confidence, '{5}' AS reason FROM q WHERE list_contains(k, '{5}')"
+
+
+@op("i2_proposals", f"""WITH {_CHG}, q AS (SELECT match_id, frame_idx // 25 AS win, list(DISTINCT conflict) AS k, list_sort(list(DISTINCT player_id)) AS p, min(frame_idx) AS a, max(frame_idx) AS b FROM conf GROUP BY 1, 2)
+{_FIX.format('swap', 'p[2]', 'a', 'CAST(NULL AS BIGINT)', 0.8, 'team_flip')} AND len(p) >= 2 UNION ALL {_FIX.format('mark_unknown', 'NULL', 'b', 'NULL', 0.95, 'keeper_to_outfield')}
+UNION ALL {_FIX.format('suppress', 'NULL', 'a', 'b', 0.9, 'duplicate_id')} UNION ALL {_FIX.format('reject_revival', 'NULL', 'b', 'NULL', 0.85, 'teleport')}""")
 def i2(spark, d):
     return identity.proposals(conflicts(spark, d))
 
@@ -404,36 +409,59 @@ def a35(spark, d):
     return identity.display_coverage(*tables(spark, d, "points", "matches"))
 
 
-@op("a22_tracking_quality", f"""WITH n AS (SELECT match_id, frame_idx, count(*) AS n FROM points GROUP BY 1, 2), q AS (SELECT *, lag(n) OVER {M}) - n > 5 AS dr FROM n), dd AS (SELECT match_id, count(*) FILTER (dr) AS drops, avg(n) AS mean_players FROM q GROUP BY 1),
+_SWITCH = "sw AS (SELECT match_id, count(*) FILTER (p <> raw_track_id) AS id_switches FROM (SELECT *, lag(raw_track_id) OVER (PARTITION BY match_id, player_id ORDER BY frame_idx, raw_track_id) AS p FROM players WHERE player_id IS NOT NULL AND NOT is_official) x GROUP BY 1)"
+
+
+@op("a22_tracking_quality", f"""WITH n AS (SELECT match_id, frame_idx, count(*) AS n FROM points GROUP BY 1, 2), q AS (SELECT *, lag(n) OVER {M}) - n > 5 AS dr FROM n), dd AS (SELECT match_id, count(*) FILTER (dr) AS drops, avg(n) AS mean_players FROM q GROUP BY 1), {_SWITCH},
 t AS (SELECT match_id, count(DISTINCT track_id) AS ids, avg(hits) AS mean_length, count(*) FILTER (hits < 5) AS short, count(*) FILTER (hits >= 5) AS stable, least(count(*) FILTER (team_id = 0), count(*) FILTER (team_id = 1)) / greatest(count(*) FILTER (team_id = 0), count(*) FILTER (team_id = 1)) AS balance FROM tracks GROUP BY 1)
-SELECT t.*, drops, mean_players, valid_frames / frames_processed AS valid_share FROM t JOIN dd USING (match_id) JOIN matches USING (match_id)""")
+SELECT t.*, drops, mean_players, valid_frames / frames_processed AS valid_share, coalesce(id_switches, 0) AS id_switches FROM t JOIN dd USING (match_id) JOIN matches USING (match_id) LEFT JOIN sw USING (match_id)""")
 def a22(spark, d):
-    return quality.tracking_quality(*tables(spark, d, "points", "tracks", "matches"))
+    return quality.tracking_quality(*tables(spark, d, "points", "tracks", "matches", "players"))
 
 
-_HEALTH = "hl AS (SELECT n.match_id, n.frame_idx, 0.7e0 * least(n / 22e0, 1e0) + 0.3e0 * CASE WHEN b.x IS NULL THEN 0e0 ELSE 1e0 END AS health FROM (SELECT match_id, frame_idx, count(*) AS n FROM points GROUP BY 1, 2) n LEFT JOIN ball b ON b.match_id = n.match_id AND b.frame_idx = n.frame_idx)"
+_HEALTH = f"""hn AS (SELECT match_id, frame_idx, count(*) AS n FROM points GROUP BY 1, 2), hb AS (SELECT *, abs(n - lag(n) OVER {M})) AS ch FROM hn),
+hl AS (SELECT match_id, frame_idx, round(least((CASE WHEN n >= 10 THEN 1e0 WHEN n >= 5 THEN 0.6e0 + (n - 5) / 12.5e0 ELSE 0.3e0 + (n - 1) / 13.3e0 END) * (CASE WHEN ch > 8 THEN 0.4e0 WHEN ch > 4 THEN 0.7e0 ELSE 1e0 END), 1e0), 3) AS health,
+CASE WHEN n < 3 THEN 'close_up' WHEN n < 8 THEN 'medium_broadcast' ELSE 'wide_broadcast' END AS camera FROM hb)"""
 
 
-@op("a23_frame_health", f"WITH {_HEALTH} SELECT match_id, frame_idx, round(health, 6) AS health FROM hl")
+@op("a23_frame_health", f"WITH {_HEALTH} SELECT * FROM hl")
 def a23(spark, d):
-    return r6(quality.frame_health(*tables(spark, d, "points", "ball")), "health")
+    return quality.frame_health(tables(spark, d, "points")[0])
 
 
 @op("w20_best_worst", f"""WITH {_HEALTH}, q AS (SELECT *, round(avg(health) OVER {M} ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING), 6) AS h, count(*) OVER {M} ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS n FROM hl)
 SELECT match_id, max(h) AS best, arg_max(frame_idx, (h, -frame_idx)) AS best_start, min(h) AS worst, arg_min(frame_idx, (h, frame_idx)) AS worst_start FROM q WHERE n = 10 GROUP BY 1""")
 def w20(spark, d):
-    return quality.best_worst_runs(quality.frame_health(*tables(spark, d, "points", "ball")))
+    return quality.best_worst_runs(quality.frame_health(tables(spark, d, "points")[0]))
 
 
-@op("a20_track_confidence", "WITH q AS (SELECT match_id, track_id, round(least(hits / 200e0, 1e0) * 0.6e0 + least(hits / (last_seen - first_seen + 1), 1e0) * 0.4e0, 4) AS score FROM tracks) SELECT *, CASE WHEN score >= 0.7 THEN 'high' WHEN score >= 0.4 THEN 'medium' ELSE 'low' END AS level FROM q")
+_TCONF = """tc0 AS (SELECT match_id, track_id, hits, reid_merges AS mg, least(hits / greatest(last_seen - first_seen, 1), 1e0) AS c FROM tracks),
+tc AS (SELECT *, round(greatest(0e0, least(1e0, 0.5e0 + CASE WHEN hits >= 20 THEN 0.25e0 WHEN hits >= 10 THEN 0.1e0 ELSE -0.2e0 END + CASE WHEN mg <= 1 THEN 0.15e0 WHEN mg <= 3 THEN 0.05e0 ELSE -0.15e0 END + CASE WHEN c >= 0.7 THEN 0.1e0 WHEN c >= 0.4 THEN 0e0 ELSE -0.1e0 END)), 2) AS score FROM tc0),
+tl AS (SELECT *, CASE WHEN score >= 0.8 THEN 'high' WHEN score >= 0.5 THEN 'medium' ELSE 'low' END AS level FROM tc)"""
+
+
+@op("a20_track_confidence", f"""WITH {_TCONF} SELECT match_id, track_id, score, level, round(c, 2) AS continuity, concat_ws('; ', CASE WHEN hits < 10 THEN 'only ' || hits || ' detections' END, CASE WHEN mg > 3 THEN mg || ' merges (high fragmentation)' WHEN mg > 1 THEN mg || ' merges' END,
+CASE WHEN c < 0.4 THEN 'visible in only ' || CAST(round(c * 100) AS INT) || '% of expected frames' END) AS reasons FROM tl""")
 def a20(spark, d):
     return quality.track_confidence(tables(spark, d, "tracks")[0])
 
 
-@op("a25_sanity", f"""WITH {STEPS}, {BURSTS}, {PHYSICAL} SELECT match_id, track_id, CASE WHEN distance_m <= 16000 THEN round(distance_m, 5) END AS distance_m, CASE WHEN top_ms <= 11 THEN top_ms END AS top_ms, CASE WHEN sprints <= 120 THEN sprints END AS sprints,
-concat_ws('+', CASE WHEN distance_m > 16000 THEN 'distance_m' END, CASE WHEN top_ms > 11 THEN 'top_ms' END, CASE WHEN sprints > 120 THEN 'sprints' END) AS failures, NOT (distance_m > 16000 OR top_ms > 11 OR sprints > 120) AS ready FROM physical""")
+@op("a20_metric_display", f"""WITH {STEPS}, {BURSTS}, {PHYSICAL}, {_TCONF}, v AS (SELECT p.match_id, p.track_id, 'speed' AS metric, round(top_ms * 3.6, 1) AS value, level FROM physical p JOIN tl USING (match_id, track_id) UNION ALL SELECT p.match_id, p.track_id, 'distance', round(distance_m, 1), level FROM physical p JOIN tl USING (match_id, track_id)
+UNION ALL SELECT p.match_id, p.track_id, 'sprint_count', CAST(sprints AS DOUBLE), level FROM physical p JOIN tl USING (match_id, track_id)), w AS (SELECT *, CASE metric WHEN 'speed' THEN CASE level WHEN 'high' THEN 10 WHEN 'medium' THEN 20 ELSE 35 END ELSE CASE level WHEN 'high' THEN 12 WHEN 'medium' THEN 25 ELSE 40 END END AS pct, value IS NULL OR value = 0 AS no FROM v)
+SELECT match_id, track_id, metric, CASE WHEN no THEN 'low' ELSE level END AS confidence, CASE WHEN no THEN 'N/A' WHEN metric = 'sprint_count' THEN CASE level WHEN 'low' THEN '±3 (range)' WHEN 'high' THEN '±1' ELSE '±3' END ELSE '±' || pct || '%' END AS margin_of_error,
+CASE WHEN no THEN 'data insufficient' WHEN metric = 'sprint_count' THEN CASE level WHEN 'low' THEN greatest(CAST(value AS INT) - 3, 0) || '-' || (CAST(value AS INT) + 3) || ' sprints' ELSE CAST(value AS INT) || ' ±' || CASE level WHEN 'high' THEN 1 ELSE 3 END || ' sprints' END
+ELSE printf('%.1f', value) || CASE metric WHEN 'speed' THEN ' km/h' ELSE ' m' END || ' ±' || pct || '%' END AS display FROM w""")
+def a20_display(spark, d):
+    p = player_table(spark, d).join(quality.track_confidence(tables(spark, d, "tracks")[0]).select("match_id", "track_id", "level"), ["match_id", "track_id"])
+    kinds = [("speed", F.round(F.col("top_ms") * 3.6, 1)), ("distance", F.round("distance_m", 1)), ("sprint_count", F.col("sprints").cast("double"))]
+    rows = p.select("match_id", "track_id", "level", F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("value")) for k, v in kinds])).alias("m"))
+    return quality.metric_display(rows.select("match_id", "track_id", "level", "m.*"))
+
+
+@op("a25_sanity", f"""WITH {STEPS}, {BURSTS}, {PHYSICAL}, z AS (SELECT p.*, frames_processed / fps AS s FROM physical p JOIN matches USING (match_id)) SELECT match_id, track_id, CASE WHEN distance_m <= 9 * s THEN round(distance_m, 5) END AS distance_m, CASE WHEN top_ms <= 12 THEN top_ms END AS top_ms, sprints,
+concat_ws('+', CASE WHEN distance_m > 9 * s THEN 'distance_m' END, CASE WHEN top_ms > 12 THEN 'top_ms' END) AS failures, NOT (distance_m > 9 * s OR top_ms > 12) AS ready FROM z""")
 def a25(spark, d):
-    return quality.sane(player_table(spark, d)).select("match_id", "track_id", F.round("distance_m", 5).alias("distance_m"), "top_ms", "sprints", "failures", "ready")
+    return quality.sane(player_table(spark, d), tables(spark, d, "matches")[0]).select("match_id", "track_id", F.round("distance_m", 5).alias("distance_m"), "top_ms", "sprints", "failures", "ready")
 
 
 _APP = "SELECT o_custkey AS player_id, o_orderkey AS match_id, o_orderdate AS date, CAST(floor(CAST(o_totalprice AS DOUBLE) / 100) AS BIGINT) % 400 / 10e0 AS value, CASE WHEN substr(o_orderpriority, 1, 1) IN ('1', '2') THEN 'high' WHEN substr(o_orderpriority, 1, 1) = '3' THEN 'medium' ELSE 'low' END AS confidence FROM orders"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import joins, possession, quality, reports
 from ..sources.adapter import tables
 from ..streaming import jobs
-from .events import _CHG, _EVS, _KEYED, _SEG, _SHOTS, _SIT, _XGD, arriving, conflicts, events, held, segments, seq, speeds
+from .events import _CHG, _EVS, _KEYED, _SEG, _SHOTS, _SIT, _SWITCH, _XGD, arriving, conflicts, events, held, segments, seq, speeds
 from .physical import player_table, r6
 from .registry import BURSTS, HELD, M, NEXT, PASSES, PHYSICAL, SEQ, SPEED, STEPS, TURNOVERS, W, carriers_sql, fold_sql, op
 
@@ -115,12 +115,20 @@ def a27(spark, d):
     return reports.report_card(player_table(spark, d), possession.passes(s), possession.carries(s), possession.turnovers(s, speeds(spark, d)))
 
 
-@op("a21_service_confidence", f"""WITH n AS (SELECT match_id, frame_idx, count(*) AS n FROM points GROUP BY 1, 2), q AS (SELECT *, lag(n) OVER {M}) - n > 5 AS dr FROM n), dd AS (SELECT match_id, count(*) FILTER (dr) AS drops FROM q GROUP BY 1),
-t AS (SELECT match_id, count(DISTINCT track_id) AS ids, least(count(*) FILTER (team_id = 0), count(*) FILTER (team_id = 1)) / greatest(count(*) FILTER (team_id = 0), count(*) FILTER (team_id = 1)) AS balance FROM tracks GROUP BY 1),
-a AS (SELECT match_id, list_filter([CASE WHEN valid_frames / frames_processed < 0.9 THEN 'low_coverage' END, CASE WHEN ids > 30 THEN 'many_ids' END, CASE WHEN drops > 10 THEN 'sudden_drops' END, CASE WHEN balance < 0.8 THEN 'unbalanced' END], lambda x: x IS NOT NULL) AS l FROM t JOIN dd USING (match_id) JOIN matches USING (match_id))
-SELECT match_id, greatest(0e0, 1 - 0.25e0 * len(l)) AS score, array_to_string(l, '+') AS reasons, CASE WHEN 1 - 0.25e0 * len(l) >= 0.75 THEN 'high' WHEN 1 - 0.25e0 * len(l) >= 0.5 THEN 'medium' ELSE 'low' END AS level FROM a""")
+_NEEDS = ", ".join(f"('{k}', {v}, {str(k in reports.WORLD_SERVICES).lower()})" for k, v in reports.MINIMUM_FRAMES.items())
+
+
+@op("a21_service_confidence", f"""WITH need AS (SELECT * FROM (VALUES {_NEEDS}) v(service, frames_required, world)), {_SWITCH}, tq AS (SELECT match_id, avg(hits) AS ml, count(*) FILTER (hits >= 5) AS stable, count(*) FILTER (team_id = 0) AS t0, count(*) FILTER (team_id = 1) AS t1 FROM tracks GROUP BY 1),
+bc AS (SELECT match_id, count(*) AS nb FROM ball GROUP BY 1), hc AS (SELECT match_id, count(*) AS nh FROM homographies GROUP BY 1),
+a AS (SELECT m.match_id, service, frames_required AS fr, world, frames_processed AS f, valid_frames / frames_processed < 0.5 AS inv, coalesce(nh, 0) > 0 AS cal, coalesce(nb, 0) / frames_processed >= 0.05 AS ok, coalesce(nb, 0) > 0 AS seen, coalesce(id_switches, 0) AS sw, ml, stable, greatest(t0, t1) / nullif(t0 + t1, 0) > 0.7 AS imb
+FROM matches m JOIN tq USING (match_id) LEFT JOIN sw USING (match_id) LEFT JOIN bc USING (match_id) LEFT JOIN hc USING (match_id), need),
+r AS (SELECT *, concat_ws('+', CASE WHEN inv THEN 'invalid_frames' END, CASE WHEN sw > 50 THEN 'id_churn' END, CASE WHEN ml < 10 THEN 'short_tracks' END, CASE WHEN stable < 10 THEN 'few_stable_tracks' END, CASE WHEN f < fr THEN 'few_frames' END, CASE WHEN NOT cal THEN 'no_calibration' END,
+CASE WHEN seen AND NOT ok THEN 'ball_coverage' END, CASE WHEN NOT ok AND cal THEN 'no_ball' END, CASE WHEN imb THEN 'team_imbalance' END) AS reasons FROM a),
+c AS (SELECT *, CASE WHEN inv THEN 'low' WHEN world AND NOT (cal AND ok) OR f < fr * 0.5 THEN 'unavailable' WHEN f < fr THEN 'low' WHEN reasons <> '' THEN 'medium' ELSE 'high' END AS confidence FROM r)
+SELECT match_id, service, fr AS frames_required, confidence, CASE WHEN inv THEN f >= fr * 0.5 ELSE confidence <> 'unavailable' END AS usable, reasons FROM c""")
 def a21(spark, d):
-    return reports.service_confidence(quality.tracking_quality(*tables(spark, d, "points", "tracks", "matches")))
+    points, tracks, matches, players, ball, maps = tables(spark, d, "points", "tracks", "matches", "players", "ball", "homographies")
+    return reports.service_confidence(quality.tracking_quality(points, tracks, matches, players), matches, tracks, ball, maps)
 
 
 @op("a29_agreement", """WITH r AS (SELECT match_id, track_id, frame_idx % 3 AS run, max(x) - min(x) AS value FROM points GROUP BY 1, 2, 3) SELECT match_id, track_id, median(value) AS median, CASE WHEN max(value) = 0 THEN true ELSE (max(value) - min(value)) / max(value) <= 0.1 END AS confirmed FROM r GROUP BY 1, 2""")

@@ -39,7 +39,7 @@ def tables_sql(div: str) -> dict[str, str]:
         f"FROM (SELECT m, f, {h0} AS a, {h1} AS b, CASE WHEN f % 32 < 16 THEN 0e0 ELSE ((f % 32) - 15) / 16e0 END AS w "
         f"FROM (SELECT DISTINCT m, f FROM base) d WHERE (7 * f + m) % 29 <> 0 AND NOT ((f {div} 200) % 5 = 4 AND f % 200 < 20)) e",
         "tracks": "SELECT match_id, track_id, min(team_id) AS team_id, CASE WHEN track_id < 2 THEN 'goalkeeper' ELSE 'player' END AS role, "
-        "count(*) AS hits, min(frame_idx) AS first_seen, max(frame_idx) AS last_seen FROM points GROUP BY match_id, track_id",
+        "count(*) AS hits, min(frame_idx) AS first_seen, max(frame_idx) AS last_seen, count(DISTINCT frame_idx % (track_id + 1)) - 1 AS reid_merges FROM points GROUP BY match_id, track_id",
         "players": f"SELECT match_id, frame_idx, track_id + 100 * (frame_idx {div} 97) AS raw_track_id, CASE WHEN (17 * frame_idx + track_id) % 401 = 0 THEN concat('P', track_id % 20 + 2) ELSE concat('P', track_id + 1) END AS player_id, "
         "CASE WHEN (13 * frame_idx + track_id) % 211 = 0 THEN 1 - team_id ELSE team_id END AS team_id, CASE WHEN (frame_idx + 3 * track_id) % 307 = 0 THEN 'goalkeeper' WHEN track_id < 2 THEN 'goalkeeper' ELSE 'player' END AS role, "
         "(track_id = 21 AND frame_idx % 50 < 5) AS is_official, CASE WHEN (frame_idx + track_id) % 23 = 0 THEN 'unassigned' WHEN (frame_idx + track_id) % 23 <= 3 THEN 'revived' ELSE 'locked' END AS assignment_source, "
@@ -72,4 +72,4 @@ def with_tables(select: str) -> str:
     """DuckDB text: the same tables as common table expressions before ``select``, which may start with more of them."""
     sql = tables_sql("//")
     used = [n for n in sql if n == "base" or n == "points" or n in select]
-    return "WITH RECURSIVE " + ", ".join(f"{n} AS ({sql[n]})" for n in used) + (", " + select[5:] if select.startswith("WITH ") else " " + select)
+    return "WITH RECURSIVE " + ", ".join(f"{n} AS MATERIALIZED ({sql[n]})" for n in used) + (", " + select[5:] if select.startswith("WITH ") else " " + select)
