@@ -1,20 +1,63 @@
 """run() against a brute-force version of its stages."""
 
+import random
 import re
 
 import corpus_pipeline
 import numpy as np
 from pyspark.sql import functions as F
 
-from pitchflow.llm import decontam, simhash, toxicity
+from pitchflow.llm import decontam, near_copies, toxicity
 
-from .helpers import empty_documents, odd_documents
+from .helpers import empty_documents, odd_documents, words
 from .test_filters import plain_spans
-from .test_simhash import components, plain
 
 SF = "/root/testdata/sf0.001"
 
 
+def shingle_set(text):
+    w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+    return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+
+
+def near_groups(texts):
+    """A number for each text: equal for those linked by similarities of 0.8 or more."""
+    sets = [shingle_set(t) for t in texts]
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            n = len(a & sets[j])
+            if label[i] != label[j] and (n >= 0.8 * (len(a) + len(sets[j]) - n)):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    return label
+
+
+def test_near_copies_of_large_groups(spark):
+    """Hundreds of edited copies of one text, and chains, against all pairs."""
+    rng = random.Random(31)
+    base = words(rng, 120).split()
+
+    def edited(ws, k):
+        out = list(ws)
+        for _ in range(k):
+            out[rng.randrange(len(out))] = words(rng, 1)
+        return out
+
+    texts = [" ".join(edited(base, rng.choice([0, 1, 1, 2]))) for _ in range(150)]
+    chain = words(rng, 100).split()
+    for _ in range(8):
+        chain = edited(chain, 1)
+        texts.append(" ".join(chain))
+    texts += [words(rng, 80) for _ in range(40)] + [None, "", " \n", "one two", "One TWO", "one two three"]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "_pf_row long, text string").repartition(3)
+    gone = {r.row for r in near_copies.surplus(spark, docs, "_pf_row").collect()}
+    labels = near_groups(texts)
+    left = [labels[i] for i in range(len(texts)) if i not in gone]
+    assert len(left) == len(set(left)) == len(set(labels))
+
+
 def test_stages_on_test_data(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns
@@ -27,7 +70,7 @@ def test_stages_on_test_data(spark):
     kept = [sorted(r.doc_id for r in s.collect()) for s in steps]
     model = toxicity.fit(docs.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2), spark.read.parquet(f"{SF}/labels.parquet"))
     assert kept[1] == sorted(i for i, t in base.items() if model.score(t or "") < 0.3)
-    labels = components([plain(base[i]) for i in kept[1]], kept[1])
+    labels = near_groups([base[i] for i in kept[1]])
     assert len(kept[2]) == len(set(labels)) and len({labels[kept[1].index(i)] for i in kept[2]}) == len(kept[2])
     items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     assert not any(item in base[i] for i in kept[3] for item in items)
@@ -57,4 +100,4 @@ def test_empty(spark, tmp_path):
     for t in ("labels", "benchmark"):
         spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
-    assert decontam and simhash and np
+    assert decontam and np
