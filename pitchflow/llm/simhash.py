@@ -6,7 +6,9 @@ nothing. Where they meet, a pivot distance table is laid out: the Hamming distan
 ``PIVOTS`` reference fingerprints. By the triangle inequality a pair whose distances to any pivot differ by
 more than three can't be linked; pairs that no pivot discards are compared bit by bit. (Pivot distances of
 random fingerprints all lie near 32, so they discard well, but they can't deal rows out to tasks: hence the
-keys.) Large groups are walked link by link, so that no group gives out all its pairs.
+keys.) A key that over ``MOST`` fingerprints share is replaced by four keys of more bits: of the bits left, cut in
+four, one part is equal in any pair to be linked; and so on, so that no task holds a large group. Groups that are
+left are walked link by link, so that none gives out all its pairs.
 
 Copies of a fingerprint are one node with a count, whatever their number.
 
@@ -28,6 +30,9 @@ from .graph import components
 BITS = 3
 PIVOTS = mix(np.arange(1, 33, dtype=np.uint64))
 WALK = 48  # groups of more fingerprints than this are walked
+MOST = 4096  # fingerprints of one key; more are dealt out by more bits
+LEVELS = 4
+KEY = np.dtype([("mask", "i8"), ("value", "i8")])
 
 
 def fingerprints(data: np.ndarray, off: np.ndarray, shingle: int = 3) -> np.ndarray:
@@ -63,18 +68,32 @@ def fingerprint(text: Column | str) -> Column:
     return F.arrow_udf(code, "long")(F.col(text) if isinstance(text, str) else text)
 
 
-def meeting_keys(fp: Column) -> Column:
-    """The 16 keys of a fingerprint: 16 bits of one block and 12 of the other 48."""
-    keys = []
-    for i in range(4):
-        block = F.shiftrightunsigned(fp, 16 * i).bitwiseAND(0xFFFF)
-        low = fp.bitwiseAND((1 << (16 * i)) - 1) if i else F.lit(0).cast("long")
-        high = F.shiftleft(F.shiftrightunsigned(fp, 16 * (i + 1)), 16 * i) if i < 3 else F.lit(0).cast("long")
-        rest = low.bitwiseOR(high)
-        for j in range(4):
-            part = F.shiftrightunsigned(rest, 12 * j).bitwiseAND(0xFFF)
-            keys.append(F.shiftleft(F.lit(i * 4 + j).cast("long"), 28).bitwiseOR(F.shiftleft(block, 12)).bitwiseOR(part))
-    return F.array(*keys)
+def _quarters(bits: list[int]) -> list[list[int]]:
+    cuts = [len(bits) * k // 4 for k in range(5)]
+    return [bits[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _mask(bits: list[int]) -> int:
+    return _signed(sum(1 << b for b in bits))
+
+
+def masks() -> dict[int, list[int]]:
+    """The 16 masks of the first meeting: 16 bits of one block and 12 of the other 48; with the bits left."""
+    out = {}
+    for block in _quarters(list(range(64))):
+        rest = [b for b in range(64) if b not in block]
+        for part in _quarters(rest):
+            out[_mask(block + part)] = [b for b in rest if b not in part]
+    return out
+
+
+def finer(level: dict[int, list[int]]) -> dict[int, list[tuple[int, list[int]]]]:
+    """For each mask the four of more bits that take its place where it is too common."""
+    return {m: [(_signed((m & ((1 << 64) - 1)) | sum(1 << b for b in part)), [b for b in rest if b not in part]) for part in _quarters(rest)] for m, rest in level.items()}
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -122,8 +141,8 @@ def walked(fp: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _links(batches):
-    """Links among fingerprints of one key; rows come sorted by key, a key may span batches."""
-    held_key, held_fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    """Links among fingerprints of one key (mask, value); rows come sorted by key, a key may span batches."""
+    held_key, held_fp = np.zeros(0, KEY), np.zeros(0, np.uint64)
 
     def found(key: np.ndarray, fp: np.ndarray):
         cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -152,11 +171,14 @@ def _links(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
 
     for batch in batches:
-        key = np.concatenate([held_key, batch.column(0).to_numpy(zero_copy_only=False)])
-        fp = np.concatenate([held_fp, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
+        new = np.zeros(batch.num_rows, KEY)
+        new["mask"], new["value"] = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+        key = np.concatenate([held_key, new])
+        fp = np.concatenate([held_fp, batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)])
         if not len(key):
             continue
-        last = int(np.searchsorted(key, key[-1]))
+        other = np.flatnonzero(key != key[-1])
+        last = int(other[-1]) + 1 if len(other) else 0
         held_key, held_fp = key[last:], fp[last:]
         if last:
             yield from found(key[:last], fp[:last])
@@ -164,13 +186,32 @@ def _links(batches):
         yield from found(held_key, held_fp)
 
 
+def meetings(spark: SparkSession, prints: DataFrame) -> DataFrame:
+    """(mask, value, fp): where fingerprints meet, with no more than MOST of them anywhere (but for LEVELS masks in one another)."""
+    level = masks()
+    met = prints.select("fp", F.explode(F.array(*map(F.lit, level))).alias("mask")).withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
+    out = None
+    for _ in range(LEVELS):
+        hot = written(spark, met.groupBy("mask", "value").agg(F.count("*").alias("_n")).where(F.col("_n") > MOST).select("mask", "value"), "hot-keys")
+        if not hot.limit(1).count():
+            break
+        fine = met.join(hot, ["mask", "value"], "left_anti")
+        out = fine if out is None else out.unionByName(fine)
+        below = finer(level)
+        steps_down = F.create_map(*[x for m, some in below.items() for x in (F.lit(m), F.array(*[F.lit(k) for k, _ in some]))])
+        common = met.join(hot, ["mask", "value"], "left_semi").select("fp", F.explode(steps_down[F.col("mask")]).alias("mask"))
+        met = written(spark, common.distinct().withColumn("value", F.col("fp").bitwiseAND(F.col("mask"))), "meetings")
+        level = {k: rest for some in below.values() for k, rest in some}
+    return met if out is None else out.unionByName(met)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id, root): one row for each row of docs."""
     rows = written(spark, docs.select(F.col(doc_id).alias("doc_id"), fingerprint(text).alias("fp")), "fingerprints")
     prints = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    met = prints.select(F.explode(meeting_keys(F.col("fp"))).alias("key"), "fp")
+    met = meetings(spark, prints).select("mask", "value", "fp")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    links = met.repartition(parts, "key").sortWithinPartitions("key", "fp").mapInArrow(_links, "a long, b long")
+    links = met.repartition(parts, "mask", "value").sortWithinPartitions("mask", "value", "fp").mapInArrow(_links, "a long, b long")
     nodes = components(spark, links)
     by_print = prints.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     by_print = written(spark, by_print, "prints")

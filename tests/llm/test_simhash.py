@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 import xxhash
 
 from pitchflow.llm import graph, simhash
@@ -38,8 +39,10 @@ def test_odd_documents(spark):
     assert simhash.near_duplicates(spark, empty_documents(spark)).count() == 0
 
 
-def test_clouds_and_chains(spark):
-    """Fingerprints around centres, and a chain of single bits: against all pairs."""
+@pytest.mark.parametrize("most", [4096, 3])
+def test_clouds_and_chains(spark, monkeypatch, most):
+    """Fingerprints around centres, and a chain of single bits: against all pairs; also with keys split again and again."""
+    monkeypatch.setattr(simhash, "MOST", most)
     rng = np.random.default_rng(4)
     centre = rng.integers(0, 2**63, 6).astype(np.uint64)
     fps = [int(c) ^ int(sum(1 << int(b) for b in rng.choice(64, k, replace=False))) for c in centre for k in (0, 1, 2, 3, 4, 5, 6) for _ in range(20)]
@@ -47,11 +50,9 @@ def test_clouds_and_chains(spark):
     for b in range(0, 60, 3):
         chain.append(chain[-1] ^ (7 << b))
     fps = list(dict.fromkeys(fps + chain))
-    keys = sorted({(int(k), f) for f in fps for k in _keys(spark, fps)[f]})
-    import pyarrow as pa
-
-    batches = [pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys]), pa.array(np.array([f for _, f in keys], dtype=np.uint64).view(np.int64))], ["key", "fp"])]
-    pairs = [(a, b) for out in simhash._links(batches[0].slice(i, 97) for i in range(0, len(keys), 97)) for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True)]
+    prints = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long")
+    met = simhash.meetings(spark, prints).select("mask", "value", "fp").coalesce(1).sortWithinPartitions("mask", "value", "fp")
+    pairs = [(r.a, r.b) for r in met.mapInArrow(simhash._links, "a long, b long").collect()]
     assert all(bin((a ^ b) & (2**64 - 1)).count("1") <= 3 for a, b in pairs)
     root = {r.node & (2**64 - 1): r.root for r in graph.components(spark, spark.createDataFrame(pairs, "a long, b long")).collect()}
     want = components(fps, list(range(len(fps))))
@@ -59,15 +60,3 @@ def test_clouds_and_chains(spark):
     for f, w in zip(fps, want, strict=True):
         assert mine.setdefault(root.get(f, ("alone", f)), w) == w
     assert len(mine) == len(set(want))
-
-
-_cache: dict = {}
-
-
-def _keys(spark, fps):
-    if not _cache:
-        from pyspark.sql import functions as F
-
-        rows = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long").select("fp", simhash.meeting_keys(F.col("fp")).alias("k")).collect()
-        _cache.update({r.fp & (2**64 - 1): r.k for r in rows})
-    return _cache
