@@ -12,7 +12,8 @@ epoch and doc_id. Running sums over a leaf are split by parts of the hash range,
 size asks for, so that a hot leaf is no single task.
 
 Cases: null text has no tokens and is never taken in part (it goes with whole epochs); null source, lang or id count as
-''; a child that the weights don't name has weight 1; ties in md5 go by doc_id; empty tables give none.
+''; a child that the weights don't name has weight 1; ties in md5 go by doc_id; repeated rows count each time; a
+``domain`` column of docs isn't read, as domains follow from sources; empty tables give none.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 LEVELS = ("domain", "lang", "source")
-PART_ROWS = 4096
+PART_ROWS = 512
 
 
 def tokens(text: Column | str) -> Column:
@@ -57,7 +58,7 @@ def shares(leaves: DataFrame, budget: Column | float, weights: dict[str, dict[st
         order = Window.partitionBy(*parent).orderBy(F.col("c") / F.col("w"), level)
         whole = Window.partitionBy(*parent)
         children = children.withColumn("c0", F.coalesce(F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-        children = children.withColumn("w0", F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing)))
+        children = children.withColumn("w0", F.sum("w").over(whole) - F.coalesce(F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
         # the level if the children before are full; the highest that this child can hold is the first in order to hold its own
         children = children.withColumn("level", (F.col("b") - F.col("c0")) / F.col("w0"))
         children = children.withColumn("water", F.max(F.when(F.col("level") * F.col("w") <= F.col("c"), F.col("level"))).over(whole))
@@ -82,14 +83,14 @@ def mix(spark: SparkSession, docs: DataFrame, weights: dict[str, dict[str, float
     settled = shares(leaves, float(int(total * fraction)), weights).withColumn("target", F.floor(F.col("share") + 1e-6).cast("long"))
     settled = settled.withColumn("whole", F.when(F.col("leaf_tokens") > 0, F.floor(F.col("target") / F.col("leaf_tokens"))).otherwise(0).cast("int"))
     settled = settled.withColumn("left", F.col("target") - F.col("whole") * F.col("leaf_tokens")).withColumn("parts", F.ceil(F.col("leaf_docs") / PART_ROWS))
-    joined = rows.join(F.broadcast(settled.select(*LEVELS, "whole", "left", "parts")), list(LEVELS))
+    joined = rows.join(settled.select(*LEVELS, "whole", "left", "parts"), list(LEVELS))
     keep = ["doc_id", *LEVELS, "n_tokens", *extra]
     full = joined.where("whole > 0").select(*keep, F.explode(F.sequence(F.lit(0), F.col("whole") - 1)).alias("epoch"))
     last = joined.where("left > 0").withColumn("_key", rank_key(seed, F.col("whole"), F.col("doc_id")))
     last = last.withColumn("_part", F.floor(F.conv(F.substring("_key", 1, 8), 16, 10).cast("double") / float(1 << 32) * F.col("parts")).cast("int"))
     sums = last.groupBy(*LEVELS, "_part").agg(F.sum("n_tokens").alias("_sum"))
     by_leaf = Window.partitionBy(*LEVELS).orderBy("_part")
-    # a leaf has one row per 4096 documents here
+    # a leaf has one row per PART_ROWS documents here
     sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(by_leaf.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
     last = last.join(sums, [*LEVELS, "_part"]).where(F.col("_before") < F.col("left"))
     within = Window.partitionBy(*LEVELS, "_part").orderBy("_key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
