@@ -4,15 +4,17 @@ For each language a variable-order byte context tree (orders 0 to 3, escape meth
 counted once over training texts and then frozen. A text's code length under a language is the sum over
 its bytes of -log2 P(byte | longest context in the tree); the shortest code wins.
 
-The trees of all languages share one set of contexts, so that P becomes one row of 256 code lengths for
-each (language, context), and scoring a byte is a few array look-ups.
+A tree is sparse: sorted codes of the contexts and of the symbols seen in them, with their costs in bits; what
+wasn't seen costs the context's escape and is looked up one order lower. Order 1 is a full table of 256 x 256.
 
 Every language is learned, from ``per_lang`` training texts (distinct ones, those of the lowest hashes; of texts
-over ``max_bytes`` bytes the start, where a language has too few others) and ``max_nodes`` contexts of order 2 and of
-order 3. So the model that workers get has at most 2 * max_nodes * 1 kB for each language, and grows with their number.
+over ``max_bytes`` bytes the start, where a language has too few others) and its ``max_nodes`` most frequent contexts
+of order 2 and of order 3. A worker builds each language's tree; the driver and workers get trees of some 1.5 MB each,
+so the model grows with the number of languages alone.
 
 Cases: null text or no letter gives 'und' and score 0; rows without language teach nothing; with no
-training rows every text is 'und'; ties go to the first language by name.
+training rows every text is 'und'; ties go to the first language by name; texts of any length are scored
+whole; repeated rows teach once and are scored alike; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -50,68 +52,70 @@ def _padded(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, place
 
 
+def _costs(gram: np.ndarray, n: np.ndarray, most: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of counted grams (context and symbol): those of kept contexts with the symbol's cost, the contexts with their escapes'."""
+    order = np.argsort(gram)
+    gram, n = gram[order], n[order].astype(np.float64)
+    ctx, at = np.unique(gram >> 8, return_inverse=True)
+    total, kinds = np.bincount(at, weights=n, minlength=len(ctx)), np.bincount(at, minlength=len(ctx))
+    keep = np.flatnonzero(total >= least)
+    keep = keep[np.lexsort((ctx[keep], -total[keep]))][:most]
+    kept = np.zeros(len(ctx), dtype=bool)
+    kept[keep] = True
+    on = kept[at]
+    cost = np.log2((total + kinds)[at] / n)
+    return gram[on].astype(np.uint32), cost[on].astype(np.float32), ctx[kept].astype(np.uint32), np.log2((total + kinds) / kinds)[kept].astype(np.float32)
+
+
+def _summed(gram: np.ndarray, n: np.ndarray, mask: int) -> tuple[np.ndarray, np.ndarray]:
+    short, at = np.unique(gram & mask, return_inverse=True)
+    return short, np.bincount(at, weights=n, minlength=len(short))
+
+
+class LanguageTree:
+    """Frozen context tree of one language."""
+
+    def __init__(self, parts: list[np.ndarray]):
+        self.parts = parts
+        (self.gram3, self.cost3, self.ctx3, self.esc3, self.gram2, self.cost2, self.ctx2, self.esc2, self.order1) = parts
+
+    @classmethod
+    def of(cls, texts: list[bytes], max_nodes: int, least: int) -> LanguageTree:
+        padded, place = _padded(*text_arrays(pa.array(texts, pa.large_binary())))
+        b = padded.astype(np.uint32)
+        gram, n = np.unique((b[place - 3] << 24) | (b[place - 2] << 16) | (b[place - 1] << 8) | b[place], return_counts=True)
+        two, one = _summed(gram, n, 0xFFFFFF), _summed(gram, n, 0xFFFF)
+        p = np.full(256, 1 / 256)
+        for count in (np.bincount(one[0] & 255, weights=one[1], minlength=256)[None], np.bincount(one[0], weights=one[1], minlength=1 << 16).reshape(256, 256)):
+            total, kinds = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True)
+            p = np.where(total > 0, np.where(count > 0, count, kinds * p) / np.maximum(total + kinds, 1), p)
+        return cls([*_costs(gram, n, max_nodes, least), *_costs(*two, max_nodes, least), -np.log2(np.broadcast_to(p, (256, 256))).astype(np.float32).ravel()])
+
+    def costs(self, gram: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each four."""
+        out = np.zeros(len(gram))
+        left = np.arange(len(gram))
+        for mask, grams, cost, ctxs, escape in ((0xFFFFFFFF, self.gram3, self.cost3, self.ctx3, self.esc3), (0xFFFFFF, self.gram2, self.cost2, self.ctx2, self.esc2)):
+            if not len(grams):
+                continue
+            g = gram[left] & np.uint32(mask)
+            at = np.minimum(np.searchsorted(grams, g), len(grams) - 1)
+            hit = grams[at] == g
+            out[left[hit]] += cost[at[hit]]
+            left, g = left[~hit], g[~hit] >> np.uint32(8)
+            at = np.minimum(np.searchsorted(ctxs, g), len(ctxs) - 1)
+            out[left] += np.where(ctxs[at] == g, escape[at], 0)
+        out[left] += self.order1[gram[left] & np.uint32(0xFFFF)]
+        return out
+
+
 class ContextTrees:
     """Frozen context trees of all languages."""
 
-    def __init__(self, texts: dict[str, list[bytes]], max_nodes: int = 12_000, least: int = 2):
-        self.langs = sorted(texts)
-        grams = []
-        for lang in self.langs:
-            arr = pa.array(texts[lang], pa.large_binary())
-            padded, place = _padded(*text_arrays(arr))
-            b = padded.astype(np.uint32)
-            code = (b[place - 3] << 24) | (b[place - 2] << 16) | (b[place - 1] << 8) | b[place]
-            grams.append(np.unique(code, return_counts=True))
-        every = np.concatenate([g for g, _ in grams]) if grams else np.zeros(0, np.uint32)
-        weight = np.concatenate([n for _, n in grams]) if grams else np.zeros(0, np.int64)
-
-        def contexts(order: int) -> np.ndarray:
-            ctx, at = np.unique((every >> 8) & ((1 << (8 * order)) - 1), return_inverse=True)
-            n = np.bincount(at, weights=weight, minlength=len(ctx))
-            keep = np.flatnonzero(n >= least)
-            keep = keep[np.lexsort((ctx[keep], -n[keep]))][:max_nodes]
-            return np.sort(ctx[keep])
-
-        two, three = contexts(2), contexts(3)
-        three = three[np.isin(three & 0xFFFF, two)]
-        # node ids: 0 the root, 1..256 order 1, then order 2, then order 3
-        self.order2 = (1 + (np.arange(1 << 16) & 255)).astype(np.int32)  # falls back to order 1
-        self.order2[two] = 257 + np.arange(len(two))
-        heads = np.unique(three >> 8)
-        self.head = np.zeros(1 << 16, dtype=np.int32)
-        self.head[heads] = 1 + np.arange(len(heads))
-        self.order3 = np.full((len(heads) + 1) * 256, -1, dtype=np.int32)
-        first3 = 257 + len(two)
-        self.order3[self.head[three >> 8] * 256 + (three & 255)] = first3 + np.arange(len(three))
-        nodes = first3 + len(three)
-        self.cost = np.zeros((len(self.langs), nodes * 256), dtype=np.float32)
-        for k, (code, n) in enumerate(grams):
-            count = np.zeros(nodes * 256)
-            sym = code & 255
-            for order, size, base in ((0, 1, 0), (1, 256, 1), (2, len(two), 257), (3, len(three), first3)):
-                ctx = (code >> 8) & ((1 << (8 * order)) - 1)
-                if order == 0:
-                    node, ok = np.zeros(len(ctx), np.int64), slice(None)
-                elif order == 1:
-                    node, ok = 1 + ctx.astype(np.int64), slice(None)
-                else:
-                    table = two if order == 2 else three
-                    if not size:
-                        continue
-                    at = np.minimum(np.searchsorted(table, ctx), size - 1)
-                    ok = table[at] == ctx
-                    node = base + at
-                node, s, w = np.broadcast_to(node, ctx.shape)[ok], sym[ok], n[ok]
-                count += np.bincount(node * 256 + s, weights=w, minlength=nodes * 256)
-            count = count.reshape(nodes, 256)
-            total, kinds = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True)
-            p = np.full((nodes, 256), 1 / 256)
-            parent = np.concatenate([[0], np.zeros(256, np.int64), 1 + (two & 255).astype(np.int64), self.order2[three & 0xFFFF].astype(np.int64)])
-            for a, b in ((0, 1), (1, 257), (257, first3), (first3, nodes)):
-                lower = p[parent[a:b]] if a else p[a:b]
-                t, d, c = total[a:b], kinds[a:b], count[a:b]
-                p[a:b] = np.where(t > 0, np.where(c > 0, c, d * lower) / np.maximum(t + d, 1), lower)
-            self.cost[k] = -np.log2(p).ravel()
+    def __init__(self, texts: dict[str, list[bytes]] | None = None, max_nodes: int = 12_000, least: int = 2, trees: dict[str, LanguageTree] | None = None):
+        made = trees if trees is not None else {k: LanguageTree.of(v, max_nodes, least) for k, v in (texts or {}).items()}
+        self.langs = sorted(made)
+        self.trees = [made[k] for k in self.langs]
 
     def code_lengths(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Bits of each text under each language: (texts, languages)."""
@@ -119,11 +123,10 @@ class ContextTrees:
         for a, b in steps(off):
             o = off[a : b + 1] - off[a]
             padded, place = _padded(data[off[a] : off[b]], o)
-            pairs = (padded[:-1].astype(np.int32) << 8) | padded[1:] if len(padded) else np.zeros(0, np.int32)
-            node = self.order3[self.head[pairs[place - 3]] * 256 + padded[place - 1]]
-            cell = np.where(node >= 0, node, self.order2[pairs[place - 2]]) * 256 + padded[place]
-            for k in range(len(self.langs)):
-                sums = np.concatenate([[0.0], np.cumsum(self.cost[k][cell], dtype=np.float64)])
+            byte = padded.astype(np.uint32)
+            gram, at = np.unique((byte[place - 3] << 24) | (byte[place - 2] << 16) | (byte[place - 1] << 8) | byte[place], return_inverse=True)
+            for k, tree in enumerate(self.trees):
+                sums = np.concatenate([[0.0], np.cumsum(tree.costs(gram)[at])])
                 out[a:b, k] = sums[o[1:]] - sums[o[:-1]]
         return out
 
@@ -136,12 +139,20 @@ def has_letter(col: pa.Array, data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(rows: DataFrame, per_lang: int = 300) -> ContextTrees:
-    """Trains on the (lang, text) rows; the drawn sample is of bounded size and comes to the driver."""
-    texts: dict[str, list[bytes]] = {}
-    for r in training_sample(rows, per_lang).collect():
-        texts.setdefault(r.lang, []).append(r.text.encode())
-    return ContextTrees({k: sorted(v) for k, v in texts.items()})
+TREE = [("f" + str(i), kind) for i, kind in enumerate(("u4", "f4", "u4", "f4", "u4", "f4", "u4", "f4", "f4"))]
+
+
+def fit(rows: DataFrame, per_lang: int = 300, max_nodes: int = 12_000, least: int = 2) -> ContextTrees:
+    """Trains on the (lang, text) rows. A task builds a language's tree from its sample of bounded size; trees come to the driver."""
+
+    def build(group: pa.Table) -> pa.Table:
+        texts = sorted(t.encode() for t in group["text"].to_pylist())
+        tree = LanguageTree.of(texts, max_nodes, least)
+        return pa.table({"lang": group["lang"][:1], **{name: pa.array([x.tobytes()], pa.binary()) for (name, _), x in zip(TREE, tree.parts, strict=True)}})
+
+    schema = "lang string, " + ", ".join(f"{name} binary" for name, _ in TREE)
+    got = training_sample(rows, per_lang).groupBy("lang").applyInArrow(build, schema).collect()
+    return ContextTrees(trees={r.lang: LanguageTree([np.frombuffer(r[name], dtype=kind) for name, kind in TREE]) for r in got})
 
 
 def predict(trees: ContextTrees, text: Column | str, spark) -> Column:
