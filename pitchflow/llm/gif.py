@@ -64,20 +64,64 @@ def lzw_codes(samples: bytes, least: int) -> list[list[int]]:
     return [*runs, out]
 
 
+TABLE = 2048  # slots of a frame's table in ``lzw_together``
+TOGETHER = 900  # samples of a frame at most, for that
+
+
+def lzw_together(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes (frames, n) of frames of 8-bit samples (frames, n), n up to TOGETHER, and their numbers: the same as ``lzw_codes``.
+
+    All frames go on by one sample at a time; a frame's entries are in an open table of (code before, sample).
+    """
+    frames, n = samples.shape
+    base = np.arange(frames, dtype=np.int64) * TABLE
+    keys, codes = np.full(frames * TABLE, -1, dtype=np.int32), np.zeros(frames * TABLE, dtype=np.int32)
+    out, count = np.zeros((frames, n), dtype=np.int64), np.zeros(frames, dtype=np.int64)
+    columns = np.ascontiguousarray(samples.T).astype(np.int32)
+    word = columns[0]
+    for j in range(1, n):
+        s = columns[j]
+        key = word << 8 | s
+        slot = base + ((key * 40503 >> 5) & (TABLE - 1))
+        have = keys[slot]
+        other = np.flatnonzero((have != key) & (have >= 0))
+        while len(other):
+            slot[other] = base[other] + (slot[other] + 1 & (TABLE - 1))
+            have[other] = keys[slot[other]]
+            other = other[(have[other] != key[other]) & (have[other] >= 0)]
+        miss = np.flatnonzero(have < 0)
+        at, k = slot[miss], count[miss]
+        keys[at] = key[miss]
+        codes[at] = 258 + k
+        out[miss, k] = word[miss]
+        count[miss] += 1
+        word = codes[slot]
+        word[miss] = s[miss]
+    out[np.arange(frames), count] = word
+    return out, count + 1
+
+
 def lzw_encode(frames: list[bytes], least: int = 8) -> list[bytes]:
     """Code streams of frames; the bits of all of them are packed together."""
     clear, stop = 1 << least, (1 << least) + 1
-    codes, runs_of, lengths = [], [], []
-    for samples in frames:
-        runs = lzw_codes(samples, least)
-        for k, run in enumerate(runs):
-            codes += run
-            codes.append(clear if k + 1 < len(runs) else stop)
-            lengths.append(len(run) + 1)
-        runs_of.append(len(runs))
-    size = np.array(lengths)
-    most = int(size.max(initial=1))
-    width_of = _code_places(most, least)[1]
+    alike = least == 8 and len({len(f) for f in frames}) == 1 and 0 < len(frames[0]) <= TOGETHER
+    if alike:
+        matrix, count = lzw_together(np.frombuffer(b"".join(frames), dtype=np.uint8).reshape(len(frames), -1))
+        matrix = np.concatenate([matrix, np.zeros((len(frames), 1), np.int64)], axis=1)
+        matrix[np.arange(len(frames)), count] = stop
+        codes = matrix[np.arange(matrix.shape[1]) <= count[:, None]]
+        size, runs_of = count + 1, np.ones(len(frames), np.int64)
+    else:
+        every, lengths, numbers = [], [], []
+        for samples in frames:
+            runs = lzw_codes(samples, least)
+            for k, run in enumerate(runs):
+                every += run
+                every.append(clear if k + 1 < len(runs) else stop)
+                lengths.append(len(run) + 1)
+            numbers.append(len(runs))
+        codes, size, runs_of = np.array(every, np.int64), np.array(lengths), np.array(numbers)
+    width_of = _code_places(int(size.max(initial=1)), least)[1]
     begin = np.cumsum(size) - size
     width = width_of[np.arange(len(codes)) - np.repeat(begin, size)]
     lead = np.cumsum(runs_of) - runs_of  # each frame's first run
@@ -87,7 +131,7 @@ def lzw_encode(frames: list[bytes], least: int = 8) -> list[bytes]:
     frame = np.repeat(np.arange(len(frames)), np.add.reduceat(size, lead))
     before = np.cumsum(width) - width
     at = start[frame] * 8 + least + 1 + before - before[begin[lead]][frame]
-    value = np.concatenate([np.full(len(frames), clear, np.int64), np.array(codes, np.int64)])
+    value = np.concatenate([np.full(len(frames), clear, np.int64), codes])
     at = np.concatenate([start * 8, at])
     value <<= at & 7
     out = np.zeros(int(ends[-1]) + 3, dtype=np.int64)
@@ -208,9 +252,20 @@ def assemble(streams: list[bytes]) -> bytes:
     return b"".join([*parts, b"\x3b"])
 
 
+_RED, _GREEN, _BLUE = ((np.arange(256) // step << shift).astype(np.uint8) for step, shift in ((36, 5), (36, 2), (85, 0)))
+
+
 def samples_of(canvas: np.ndarray) -> np.ndarray:
     """Samples of a shown frame in the colours of PALETTE."""
-    return (canvas[..., 0] // 36 << 5) | (canvas[..., 1] // 36 << 2) | canvas[..., 2] // 85
+    return _RED[canvas[..., 0]] | _GREEN[canvas[..., 1]] | _BLUE[canvas[..., 2]]
+
+
+def opaque(table: np.ndarray) -> np.ndarray:
+    """256 RGBA colours of a colour table; those that it doesn't have are transparent."""
+    out = np.zeros((256, 4), dtype=np.uint8)
+    out[: len(table), :3] = table
+    out[: len(table), 3] = 255
+    return out
 
 
 @dataclass
@@ -247,10 +302,10 @@ def _parsed(media: bytes) -> tuple[int, int, list[Image]]:
     if width * height > MOST_PIXELS:
         raise GifError("screen too large")
     at, images = 13, []
-    common = None
+    common = opaque(np.zeros((0, 3), np.uint8))
     if flags & 0x80:
         n = 2 << (flags & 7)
-        common = np.frombuffer(media, dtype=np.uint8, count=3 * n, offset=at).reshape(n, 3)
+        common = opaque(np.frombuffer(media, dtype=np.uint8, count=3 * n, offset=at).reshape(n, 3))
         at += 3 * n
     control = (0, 0, -1)
     while True:
@@ -270,7 +325,7 @@ def _parsed(media: bytes) -> tuple[int, int, list[Image]]:
             palette = common
             if f & 0x80:
                 n = 2 << (f & 7)
-                palette = np.frombuffer(media, dtype=np.uint8, count=3 * n, offset=at).reshape(n, 3)
+                palette = opaque(np.frombuffer(media, dtype=np.uint8, count=3 * n, offset=at).reshape(n, 3))
                 at += 3 * n
             least = media[at]
             at += 1
@@ -325,12 +380,11 @@ def render(width: int, height: int, images: list[Image], samples: list[np.ndarra
         before = canvas.copy() if x.disposal == 3 else None
         area = canvas[x.top : x.top + x.height, x.left : x.left + x.width]
         index = index[: area.shape[0], : area.shape[1]]
-        palette = np.zeros((256, 4), dtype=np.uint8)
-        if x.palette is not None:
-            palette[: len(x.palette), :3] = x.palette
-            palette[: len(x.palette), 3] = 255
-        drawn = index != x.clear_index
-        area[drawn] = palette[index[drawn]]
+        if x.clear_index < 0:
+            area[:] = x.palette[index]
+        else:
+            drawn = index != x.clear_index
+            area[drawn] = x.palette[index[drawn]]
         yield now, x.delay, canvas.copy()
         now += x.delay
         if x.disposal == 2:
@@ -341,5 +395,6 @@ def render(width: int, height: int, images: list[Image], samples: list[np.ndarra
 
 def histogram(canvas: np.ndarray) -> np.ndarray:
     """Counts of opaque pixels over 4 x 4 x 4 colours."""
-    c = canvas[canvas[..., 3] > 0] >> 6
-    return np.bincount(c[:, 0].astype(np.int64) * 16 + c[:, 1].astype(np.int64) * 4 + c[:, 2], minlength=64)
+    c = (canvas[..., 0] >> 6 << 4) | (canvas[..., 1] >> 6 << 2) | canvas[..., 2] >> 6
+    shown = canvas[..., 3] > 0
+    return np.bincount(c.ravel() if shown.all() else c[shown], minlength=64)

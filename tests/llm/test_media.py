@@ -62,6 +62,12 @@ def test_decodes_compressed_streams():
         assert gif.lzw_encode([samples, samples[: n // 2 or 1]], least)[0] == greedy(samples, least)
 
 
+def test_frames_encoded_together():
+    rng = random.Random(4)
+    frames = [bytes(rng.choice(rng.choice([b"ab", b"the and ", bytes(range(256))])) for _ in range(576)) for _ in range(40)] + [bytes(576), bytes(range(192)) * 3]
+    assert gif.lzw_encode(frames) == [greedy(f, 8) for f in frames]
+
+
 def test_streams_of_one_batch_may_differ():
     rng = random.Random(2)
     samples = [bytes(rng.randrange(5) for _ in range(600)) for _ in range(6)]
