@@ -198,3 +198,23 @@ def simple_passes(points: DataFrame, ball: DataFrame) -> DataFrame:
     b = b.withColumns({"px": F.lag("x").over(w), "py": F.lag("y").over(w), "pw": F.lag("who").over(w)}).withColumn("step", distance("x", "y", "px", "py"))
     kind = F.when((F.col("step") > 5) & ((F.col("x") > 95) | (F.col("x") < 10)), "shot").when((F.col("step") > 8) & (F.col("who") != F.col("pw")), "pass")
     return b.withColumn("kind", kind).where("kind IS NOT NULL").select(*FRAME, "kind", "step", F.col("pw").alias("from_player"), F.col("who").alias("to_player"))
+
+
+def passes_without_ball(points: DataFrame, drop: float = 0.60, frames: int = 10, metres: float = 30.0) -> DataFrame:
+    """E5: a player that slows by over 60 % and a team-mate that speeds up as much within ten frames and 30 m; a passer counts once in ten frames.
+
+    Speeds are means over five frames before and from a frame on; candidates meet by blocks of ten frames.
+    """
+    w = Window.partitionBy("match_id", "track_id").orderBy("frame_idx")
+    gap = F.col("frame_idx") - F.lag("frame_idx").over(w)
+    step = distance("x", "y", F.lag("x").over(w), F.lag("y").over(w)) / gap
+    rows = points.withColumn("_g", gap).withColumn("_s", step).where((F.col("_g") > 0) & (F.col("_g") <= 10) & (F.col("_s") <= 3.0)).withColumn("speed", F.col("_s") * 25.0)
+    rows = rows.withColumn("before", F.coalesce(F.avg("speed").over(w.rangeBetween(-5, -1)), F.lit(0.0))).withColumn("after", F.avg("speed").over(w.rangeBetween(0, 4)))
+    key = ["match_id", "team_id"]
+    a = rows.where((F.col("before") > 1) & (F.col("after") < F.col("before") * (1 - drop))).select(*key, F.col("track_id").alias("passer"), F.col("frame_idx").alias("_f"), F.col("x").alias("_x"), F.col("y").alias("_y"))
+    b = rows.where((F.col("after") > 1) & (F.col("before") < F.col("after") * (1 - drop))).select(*key, F.col("track_id").alias("receiver"), "frame_idx", "x", "y").withColumn("_k", F.floor(F.col("frame_idx") / frames))
+    a = a.withColumn("_k", F.explode(F.array(F.floor(F.col("_f") / frames), F.floor(F.col("_f") / frames) + 1)))
+    met = a.join(b, [*key, "_k"]).where((F.col("passer") != F.col("receiver")) & (F.col("frame_idx") - F.col("_f")).between(0, frames)).withColumn("distance_m", distance("x", "y", "_x", "_y")).where(F.col("distance_m") <= metres)
+    best = met.groupBy(*key, "passer", "frame_idx").agg(F.min(F.struct("distance_m", "receiver")).alias("m"))
+    out = best.select(*key, "passer", "frame_idx", F.col("m.receiver").alias("receiver"), F.round("m.distance_m", 2).alias("distance_m"))
+    return cooldown(out, ["match_id", "passer"], "frame_idx", frames)

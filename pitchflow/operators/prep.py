@@ -185,3 +185,35 @@ def harden(points: DataFrame, ball: DataFrame) -> DataFrame:
     holder = near.groupBy("match_id", "frame_idx").agg(F.min(F.struct("d", "track_id")).alias("m")).where("m.d < 2").select("match_id", "frame_idx", F.col("m.track_id").alias("_holder"))
     out = out.join(holder, ["match_id", "frame_idx"], "left")
     return out.select("match_id", "track_id", "frame_idx", "x", "y", "speed_kmh", "is_active", F.coalesce(F.col("_holder") == F.col("track_id"), F.lit(False)).alias("is_possession"))
+
+
+def resampled(points: DataFrame, part: float = 0.5, carry: int = 8, gap: int = 15) -> DataFrame:
+    """Each track at frame + part from its first to its last row: linear, and as a Catmull-Rom spline.
+
+    Linear: between neighbouring frames; with one of them missing the other; else the last of up to ``carry`` frames before.
+    Spline: between rows up to ``gap`` frames apart, else the row before; neither goes on for more than ``carry`` frames.
+    """
+    w = over_track()
+    at = lambda c, k: F.lead(c, k).over(w) if k > 0 else F.lag(c, -k).over(w)
+    cols = {f"_{c}{k}": at(c, k) for c in ("frame_idx", "x", "y") for k in (-1, 1, 2)}
+    rows = points.select(*TRACK, "frame_idx", "x", "y").withColumns(cols).where("_frame_idx1 IS NOT NULL")
+    dt = F.col("_frame_idx1") - F.col("frame_idx")
+    rows = rows.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), dt - 1))).withColumn("at", F.col("frame_idx") + F.col("_k") + part)
+    u = (F.col("_k") + part) / dt
+
+    def linear(c: str):
+        last = F.col("_k") == dt - 1
+        return F.when((F.col("_k") == 0) & last, F.col(c) * (1 - part) + F.col(f"_{c}1") * part).when(F.col("_k") == 0, F.col(c)).when(last, F.col(f"_{c}1")).when(F.col("_k") <= carry, F.col(c))
+
+    def spline(c: str):
+        v0, v1, v2, v3 = (F.col(n) for n in (f"_{c}-1", c, f"_{c}1", f"_{c}2"))
+        flat = (v2 - v1) / dt
+        m1 = F.when(v0.isNull(), flat).otherwise((v2 - v0) / (F.col("_frame_idx1") - F.col("_frame_idx-1")))
+        m2 = F.when(v3.isNull(), flat).otherwise((v3 - v1) / (F.col("_frame_idx2") - F.col("frame_idx")))
+        u2, u3 = u * u, u * u * u
+        curve = (2 * u3 - 3 * u2 + 1) * v1 + (u3 - 2 * u2 + u) * dt * m1 + (-2 * u3 + 3 * u2) * v2 + (u3 - u2) * dt * m2
+        return F.when(F.col("_k") > carry, None).when(dt > gap, v1).otherwise(curve)
+
+    step = distance("_x1", "_y1", "x", "y") / dt * 25.0 * 3.6
+    state = F.when(step > 20, "sprint").when(step > 8, "run").otherwise("idle")
+    return rows.select(*TRACK, "at", *(linear(c).alias(c) for c in ("x", "y")), *(spline(c).alias(f"spline_{c}") for c in ("x", "y")), state.alias("state"))

@@ -187,3 +187,60 @@ def service_confidence(quality: DataFrame, matches: DataFrame, tracks: DataFrame
     level = F.when(invalid, "low").when(blind | (frames < least * 0.5), "unavailable").when(frames < least, "low").when(F.size(reasons) > 0, "medium").otherwise("high")
     usable = F.when(invalid, frames >= least * 0.5).otherwise(level != "unavailable")
     return m.select("match_id", "service", "frames_required", level.alias("confidence"), usable.alias("usable"), F.array_join(reasons, "+").alias("reasons"))
+
+
+def report_quality(players: DataFrame, tracks: DataFrame, matches: DataFrame, homographies: DataFrame, stride: int = 5, collapse: int = 8) -> DataFrame:
+    """The quality block of a match report, one row a match.
+
+    Locked share of assignments, share of lost locks that were revived, id switches a minute, coverage by known ids and by
+    homographies (of every ``stride``-th frame), share of frames with under ``collapse`` players, and their weighted mix.
+    """
+    by = Window.partitionBy("match_id", "player_id").orderBy("frame_idx", "raw_track_id")
+    rows = players.where("NOT is_official").withColumn("_p", F.lag("assignment_source").over(by)).withColumn("_r", F.lag("raw_track_id").over(by))
+    source = F.col("assignment_source")
+    m = rows.groupBy("match_id").agg(
+        F.avg((source == "locked").cast("double")).alias("stable_ids"), F.count_if((source == "revived") & (F.col("_p") != "revived")).alias("_revived"), F.count_if((F.col("_p") == "locked") & (source == "unassigned")).alias("_expired"),
+        F.count_if(F.col("_r") != F.col("raw_track_id")).alias("_switches"), F.avg((source != "unassigned").cast("double")).alias("valid_id_coverage"), F.count_if(source == "unassigned").alias("unknown_boxes"), F.count_distinct("player_id").alias("unique_ids"),
+    )
+    thin = rows.groupBy(*FRAME).agg(F.count("*").alias("n")).groupBy("match_id").agg(F.count_if(F.col("n") < collapse).alias("_thin"))
+    teams = tracks.groupBy("match_id").agg(F.avg(F.col("team_id").isin(0, 1, 2).cast("double")).alias("team_assignment"))
+    maps = homographies.groupBy("match_id").agg(F.count_distinct("frame_idx").alias("_maps"))
+    out = matches.select("match_id", "fps", F.col("frames_processed").alias("_f")).join(m, "match_id").join(thin, "match_id").join(teams, "match_id").join(maps, "match_id", "left")
+    pitch = F.least(F.lit(1.0), F.coalesce("_maps", F.lit(0)) / F.greatest(F.lit(1), F.floor(F.col("_f") / stride)))
+    out = out.withColumn("pitch_coverage", F.round(pitch, 3)).withColumn("soft_collapse", F.round(F.col("_thin") / F.col("_f"), 3)).withColumn("stable_ids", F.round("stable_ids", 3))
+    mixed = 0.35 * F.col("stable_ids") + 0.25 * F.col("valid_id_coverage") + 0.20 * F.col("pitch_coverage") + 0.20 * (1.0 - F.least(F.lit(1.0), F.col("soft_collapse")))
+    lost = F.col("_revived") + F.col("_expired")
+    return out.select(
+        "match_id", "stable_ids", F.round(F.when(lost > 0, F.col("_revived") / lost).otherwise(0.0), 3).alias("resurrection"), F.round(F.col("_switches") * 60.0 / (F.col("_f") / F.col("fps")), 3).alias("switches_a_minute"),
+        F.round("team_assignment", 3).alias("team_assignment"), "pitch_coverage", F.round(mixed, 3).alias("confidence"), F.round("valid_id_coverage", 6).alias("valid_id_coverage"), "soft_collapse", "unique_ids", "unknown_boxes",
+    )
+
+
+def report_teams(tracks: DataFrame) -> DataFrame:
+    """Players of each side; keepers go one each to the side with fewer players first, the rest to the home side."""
+    gk = F.col("role") == "goalkeeper"
+    n = tracks.groupBy("match_id").agg(F.count_if(~gk & (F.col("team_id") == 0)).alias("_h"), F.count_if(~gk & (F.col("team_id") == 1)).alias("_a"), F.count_if(gk).alias("_g"))
+    first = (F.col("_h") <= F.col("_a")).cast("int")  # the home side takes the first keeper
+    home_one = F.when(F.col("_g") == 0, 0).when(first == 1, 1).otherwise(0)
+    left = F.col("_g") - home_one
+    away_one = F.least(left, F.lit(1))
+    return n.select("match_id", (F.col("_h") + home_one + left - away_one).alias("home_players"), (F.col("_a") + away_one).alias("away_players"))
+
+
+def report_players(players: DataFrame) -> DataFrame:
+    """A player's line: side, metres, sprints, top speed."""
+    side = F.when(F.col("team_id") == 0, "home").when(F.col("team_id") == 1, "away")
+    return players.select(*TRACK, F.concat(F.lit("P"), F.col("track_id")).alias("player_id"), side.alias("team"), F.round("distance_m", 1).alias("distance_m"), "sprints", F.round(F.col("top_ms") * 3.6, 2).alias("top_speed_kmh"))
+
+
+def report_events(events: DataFrame, fps: float = FPS) -> DataFrame:
+    """Events in order, with their second."""
+    w = Window.partitionBy("match_id").orderBy("frame_idx", "kind", "team_id")
+    return events.select("match_id", F.row_number().over(w).cast("long").alias("place"), F.col("frame_idx").alias("frame"), F.round(F.col("frame_idx") / fps, 2).alias("timestamp_s"), F.col("kind").alias("type"), "team_id")
+
+
+def run_report(services: DataFrame, counts: DataFrame) -> DataFrame:
+    """Each service of a match with its confidence (A21) and what it found; what isn't usable counts nothing."""
+    out = services.join(counts, ["match_id", "service"], "left")
+    status = F.when(~F.col("usable"), "unavailable").when(F.coalesce("found", F.lit(0)) == 0, "empty").otherwise("complete")
+    return out.select("match_id", "service", "confidence", status.alias("status"), F.when(F.col("usable"), F.coalesce("found", F.lit(0))).otherwise(0).alias("found"), "reasons")

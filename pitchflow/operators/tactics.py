@@ -129,6 +129,24 @@ def pressure_map(points: DataFrame) -> DataFrame:
     return rows.withColumn("pressure", F.col("p") / F.max("p").over(Window.partitionBy("match_id", "team_id"))).drop("p")
 
 
+def space_grid(points: DataFrame) -> DataFrame:
+    """The team with the nearest mean position to each cell's centre of a 10 x 10 grid; -1 if none is nearer."""
+    mean = points.groupBy("match_id", "team_id", "track_id").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    rows = mean.select("match_id", "team_id", "x", "y", F.explode(_lattice(10, 10, 10.5, 6.8, 0.5)).alias("g")).withColumn("d", distance("x", "y", "g.gx", "g.gy"))
+    near = lambda t: F.coalesce(F.min(F.when(F.col("team_id") == t, F.col("d"))), F.lit(999.0))
+    cells = rows.groupBy("match_id", F.col("g.cell").alias("cell"), F.col("g.gx").alias("gx"), F.col("g.gy").alias("gy")).agg(near(0).alias("_0"), near(1).alias("_1"))
+    owner = F.when(F.col("_0") < F.col("_1"), 0).when(F.col("_1") < F.col("_0"), 1).otherwise(-1)
+    return cells.select("match_id", F.col("cell").cast("long").alias("cell"), "gx", "gy", owner.alias("owner"))
+
+
+def territory(grid: DataFrame) -> DataFrame:
+    """Percent of cells of each team and of none, and the cells within 20 m of a goal that its attackers hold."""
+    pct = lambda t: F.round(F.count_if(F.col("owner") == t) / F.count("*") * 100, 1)
+    return grid.groupBy("match_id").agg(
+        pct(0).alias("team0"), pct(1).alias("team1"), pct(-1).alias("contested"), F.count_if((F.col("gx") < 20) & (F.col("owner") == 1)).alias("threats_to_0"), F.count_if((F.col("gx") > 85) & (F.col("owner") == 0)).alias("threats_to_1")
+    )
+
+
 def situations(points: DataFrame, speeds: DataFrame) -> DataFrame:
     """Per frame dead_ball (under four players), transition (ball over 8 m/s), set_piece (under 0.3), else open_play."""
     n = points.groupBy(*FRAME).agg(F.count("*").alias("n"))

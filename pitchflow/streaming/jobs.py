@@ -52,6 +52,36 @@ def live_possession(rows: DataFrame, least: int = 3) -> DataFrame:
     return chosen.groupBy("match_id").applyInPandasWithState(code, "match_id string, ts timestamp, track_id long, holder long", "holder long, rival long, n long", "append", GroupStateTimeout.NoTimeout)
 
 
+def live_referees(rows: DataFrame, enough: int = 4, late: str = "2 hours", quiet_ms: int = 6 * 3600 * 1000) -> DataFrame:
+    """ST6: A37 over arriving (match_id, track_id, ts, is_official) rows: votes so far and the first decision, which sticks.
+
+    State is three numbers a track, and is dropped after six quiet hours of event time; rows later than the watermark are.
+    """
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def code(key, parts, state: GroupState):
+        import pandas as pd
+
+        if state.hasTimedOut:
+            state.remove()
+            return
+        n, yes, said = state.get if state.exists else (0, 0, "suspected")
+        part = pd.concat(list(parts)).sort_values("ts", kind="stable")
+        out = []
+        for official in part.is_official:
+            n, yes = n + 1, yes + int(official)
+            if said == "suspected" and n >= enough:
+                said = "official" if yes / n >= 0.75 else "player" if yes / n < 0.30 else said
+            out.append((n, yes, said))
+        state.update((n, yes, said))
+        state.setTimeoutTimestamp(max(int(part.ts.max().timestamp() * 1000), state.getCurrentWatermarkMs()) + quiet_ms)
+        yield part[["match_id", "track_id", "ts"]].assign(votes=[x[0] for x in out], officials=[x[1] for x in out], decision=[x[2] for x in out])
+
+    chosen = rows.withWatermark("ts", late).select("match_id", "track_id", "ts", "is_official")
+    schema = "match_id string, track_id long, ts timestamp, votes long, officials long, decision string"
+    return chosen.groupBy("match_id", "track_id").applyInPandasWithState(code, schema, "n long, yes long, said string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def without_repeats(rows: DataFrame, late: str = "2 hours") -> DataFrame:
     """ST7: rows whose event_id came before within the watermark are dropped."""
     return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])

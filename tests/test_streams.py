@@ -24,3 +24,14 @@ def test_repeats_within_the_watermark_go(spark, tmp_path):
     rows.coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = jobs.keyed(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"))
     assert jobs.drained(spark, jobs.without_repeats(stream), "test-st7").count() == 20
+
+
+def test_referee_votes_go_on_between_batches(spark, tmp_path):
+    seen = {0: "yyyyny", 1: "nnnnyyyyy", 2: "yn", 3: "ynynynyyyyyyyyyyyy"}
+    rows = spark.createDataFrame([("m0", k, i, c == "y") for k, v in seen.items() for i, c in enumerate(v)], "match_id string, track_id long, i long, is_official boolean").withColumn("ts", F.timestamp_seconds(F.col("i") + 100))
+    for k in range(3):
+        rows.where(f"i div 6 = {k}").coalesce(1).write.parquet(f"{tmp_path}/in/part{k}")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    got = jobs.drained(spark, jobs.live_referees(stream), "test-st6").collect()
+    last = {r.track_id: (r.votes, r.decision) for r in sorted(got, key=lambda r: r.votes)}
+    assert len(got) == rows.count() and last == {0: (6, "official"), 1: (9, "player"), 2: (2, "suspected"), 3: (18, "official")}
