@@ -245,6 +245,47 @@ def nearest_share(nx: int, ny: int, step: float, at_once: int = 64):
     return share
 
 
+def widest_angle(angles: np.ndarray) -> float:
+    """Largest angle in degrees between two of these directions."""
+    if len(angles) < 2:
+        return 0.0
+    d = np.abs(angles[:, None] - angles[None])
+    return float(np.minimum(d, 360.0 - d).max())
+
+
+def hull_area(points: list[tuple[float, float]]) -> float:
+    """Area of the convex hull; 0 for fewer than three points."""
+    p = sorted(set(points))
+    if len(p) < 3:
+        return 0.0
+
+    def chain(some):
+        out: list[tuple[float, float]] = []
+        for q in some:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]):
+                out.pop()
+            out.append(q)
+        return out[:-1]
+
+    hull = chain(p) + chain(p[::-1])
+    return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(hull, hull[1:] + hull[:1], strict=True))) / 2
+
+
+def press_geometry():
+    """(spread, area) of a carrier's place and an array of pressers' places."""
+
+    @F.arrow_udf("struct<spread:double,area:double>")
+    def geometry(cx: pa.Array, cy: pa.Array, ps: pa.Array) -> pa.Array:
+        spread, area = [], []
+        for x, y, rows in zip(cx.to_pylist(), cy.to_pylist(), ps.to_pylist(), strict=True):
+            own = [(r["x"], r["y"]) for r in rows]
+            spread.append(widest_angle(np.degrees(np.arctan2([q[1] - y for q in own], [q[0] - x for q in own]))))
+            area.append(hull_area([(x, y), *own]))
+        return pa.StructArray.from_arrays([pa.array(spread, pa.float64()), pa.array(area, pa.float64())], ["spread", "area"])
+
+    return geometry
+
+
 def two_means(f: np.ndarray, weights=(2.0, 1.5, 0.5), rounds: int = 50) -> np.ndarray:
     """Labels 0 and 1 of weighted 2-means that starts from the farthest pair; label 0 has the lower first feature."""
     z = f * np.sqrt(np.array(weights))

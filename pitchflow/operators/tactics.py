@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import distance
-from .helpers import nearest_share
+from .helpers import nearest_share, press_geometry
 from .joins import FRAME
 from .runs import changes, cooldown, with_run
 
@@ -147,11 +147,18 @@ def territory(grid: DataFrame) -> DataFrame:
     )
 
 
-def situations(points: DataFrame, speeds: DataFrame) -> DataFrame:
-    """Per frame dead_ball (under four players), transition (ball over 8 m/s), set_piece (under 0.3), else open_play."""
+def situations(points: DataFrame, speeds: DataFrame, players: DataFrame) -> DataFrame:
+    """Per frame dead_ball (under four players), set_piece (ball under 0.5 m/s), transition (over 3), high_press, else open_play; with confidence.
+
+    It's a high press if three boxes or more end in the upper 35 % of the picture, whose height follows from the lowest box.
+    """
     n = points.groupBy(*FRAME).agg(F.count("*").alias("n"))
-    out = n.join(speeds.select(*FRAME, "speed_ms"), FRAME, "left")
-    return out.withColumn("label", F.when(F.col("n") < 4, "dead_ball").when(F.col("speed_ms") > 8, "transition").when(F.col("speed_ms") < 0.3, "set_piece").otherwise("open_play"))
+    low = players.select(*FRAME, "y2", F.max("y2").over(Window.partitionBy(*FRAME)).alias("_low"))
+    high = low.groupBy(*FRAME).agg(F.count_if(F.col("y2") < F.col("_low") / 0.88 * 0.35).alias("_high"))
+    out = n.join(speeds.select(*FRAME, "speed_ms"), FRAME, "left").join(high, FRAME, "left")
+    label = F.when(F.col("n") < 4, "dead_ball").when(F.col("speed_ms") < 0.5, "set_piece").when(F.col("speed_ms") > 3.0, "transition").when(F.col("_high") >= 3, "high_press").otherwise("open_play")
+    sure = F.when(F.col("label") == "dead_ball", 0.95).when(F.col("label") == "set_piece", 0.8).when(F.col("label") == "transition", 0.75).otherwise(0.7)
+    return out.withColumn("label", label).withColumn("confidence", sure).drop("_high")
 
 
 def situation_segments(labelled: DataFrame, least_s: float = 0.5) -> DataFrame:
@@ -169,6 +176,33 @@ def phase_widths(points: DataFrame, segments: DataFrame) -> DataFrame:
     return per.join(s, FRAME).groupBy("match_id", "team_id", "label").agg(F.avg("width").alias("width"), F.count("*").alias("frames"))
 
 
+#: Fixed values of a pressing trap: metres to a touchline, radius of pressers, their number, degrees of spread, square metres.
+TRAP = {"touchline": 6.0, "radius": 8.0, "pressers": 2, "spread": 45.0, "area": 80.0}
+
+
+def pressing_stories(points: DataFrame, carrier: DataFrame, trap: dict | None = None) -> DataFrame:
+    """At each carrier's frame whether it is a pressing trap, and if not, the story that it is; with its geometry and a score to rank by.
+
+    Pressers are opponents within the radius; spread is the largest angle between two of them as the carrier sees them, area the
+    convex hull of all.
+    """
+    t = trap or TRAP
+    c = carrier.select(*FRAME, "carrier", F.col("team_id").alias("_t"), F.col("x").alias("cx"), F.col("y").alias("cy"))
+    near = points.join(c, FRAME).where("team_id <> _t").where(distance("x", "y", "cx", "cy") <= t["radius"]).groupBy(*FRAME).agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("ps"))
+    rows = c.join(near, FRAME, "left").withColumn("ps", F.coalesce("ps", F.array().cast("array<struct<x:double,y:double>>")))
+    rows = rows.withColumn("_g", press_geometry()("cx", "cy", "ps")).withColumn("pressers", F.size("ps")).withColumn("touchline_m", F.least(F.abs("cy"), F.abs(68.0 - F.col("cy"))))
+    spread, area, n = F.col("_g.spread"), F.col("_g.area"), F.col("pressers")
+    wide, many, split, tight = F.col("touchline_m") <= t["touchline"], n >= t["pressers"], spread >= t["spread"], area <= t["area"]
+    valid = wide & many & split & tight
+    story = (
+        F.when(valid, "PRESSING_TRAP").when(many & split & tight & ~wide, "PRESSING_TRIANGLE").when(wide & (n == 1), "WIDE_CHANNEL_CHASE").when((n >= 2) & ~split, "TRANSITION_PRESSURE")
+        .when((n == 1) & ~wide, "RECOVERY_RUN").otherwise("1V1_PRESSURE")
+    )
+    third = F.when(F.col("cx") < 35, "def").when(F.col("cx") < 70, "mid").otherwise("att")
+    score = n * 10.0 + F.greatest(F.lit(0.0), t["touchline"] * 2 - F.col("touchline_m")) * 0.8 + F.least(spread, F.lit(90.0)) / 9.0 - F.greatest(F.lit(0.0), area - t["area"]) * 0.05
+    return rows.select(*FRAME, "carrier", valid.alias("valid"), story.alias("story"), n.cast("long").alias("pressers"), F.round("touchline_m", 2).alias("touchline_m"), F.round(spread, 1).alias("spread_deg"), F.round(area, 1).alias("area_m2"), third.alias("third"), F.round(score, 4).alias("score"))
+
+
 def team_shape(points: DataFrame) -> DataFrame:
     """A team's mean-position length, width, depth of its last four, height of its first three, mean pair distance."""
     mean = points.groupBy("match_id", "team_id", "track_id").agg(F.avg("x").alias("x"), F.avg("y").alias("y")).withColumn("ahead", F.when(F.col("team_id") == 0, F.col("x")).otherwise(105 - F.col("x")))

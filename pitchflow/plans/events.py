@@ -269,18 +269,25 @@ def a13(spark, d):
     return tactics.pressure_map(tables(spark, d, "points")[0]).withColumn("pressure", F.round("pressure", 4)).withColumn("cell", F.col("cell").cast("long"))
 
 
-_SIT = """si AS (SELECT n.match_id, n.frame_idx, CASE WHEN n < 4 THEN 'dead_ball' WHEN speed_ms > 8 THEN 'transition' WHEN speed_ms < 0.3 THEN 'set_piece' ELSE 'open_play' END AS label FROM (SELECT match_id, frame_idx, count(*) AS n FROM points GROUP BY 1, 2) n LEFT JOIN speeds s ON s.match_id = n.match_id AND s.frame_idx = n.frame_idx)"""
+_SIT = """hp AS (SELECT match_id, frame_idx, count(*) FILTER (y2 < lo / 0.88e0 * 0.35e0) AS high FROM (SELECT match_id, frame_idx, y2, max(y2) OVER (PARTITION BY match_id, frame_idx) AS lo FROM players) p GROUP BY 1, 2),
+si AS (SELECT n.match_id, n.frame_idx, CASE WHEN n < 4 THEN 'dead_ball' WHEN speed_ms < 0.5 THEN 'set_piece' WHEN speed_ms > 3 THEN 'transition' WHEN high >= 3 THEN 'high_press' ELSE 'open_play' END AS label FROM (SELECT match_id, frame_idx, count(*) AS n FROM points GROUP BY 1, 2) n
+LEFT JOIN speeds s ON s.match_id = n.match_id AND s.frame_idx = n.frame_idx LEFT JOIN hp ON hp.match_id = n.match_id AND hp.frame_idx = n.frame_idx)"""
 _SEG = f"""sg0 AS (SELECT *, CASE WHEN label = lag(label) OVER {M}) THEN 0 ELSE 1 END AS new FROM si), sg1 AS (SELECT *, sum(new) OVER {M}) AS run FROM sg0), sg2 AS (SELECT match_id, run, label, min(frame_idx) AS start_frame, max(frame_idx) AS end_frame FROM sg1 GROUP BY 1, 2, 3),
 segs AS (SELECT match_id, label, start_frame, end_frame, (end_frame - start_frame + 1) / 25e0 AS seconds FROM sg2 WHERE (end_frame - start_frame + 1) / 25e0 >= CASE WHEN label = 'dead_ball' THEN 0.2 ELSE 0.5 END)"""
 
 
+def labelled(spark, d):
+    points, players = tables(spark, d, "points", "players")
+    return tactics.situations(points, speeds(spark, d), players)
+
+
 def segments(spark, d):
-    return tactics.situation_segments(tactics.situations(tables(spark, d, "points")[0], speeds(spark, d)))
+    return tactics.situation_segments(labelled(spark, d))
 
 
-@op("e16_situations", f"WITH {SPEED}, {_SIT} SELECT * FROM si")
+@op("e16_situations", f"WITH {SPEED}, {_SIT} SELECT *, CASE label WHEN 'dead_ball' THEN 0.95e0 WHEN 'set_piece' THEN 0.8e0 WHEN 'transition' THEN 0.75e0 ELSE 0.7e0 END AS confidence FROM si")
 def e16(spark, d):
-    return tactics.situations(tables(spark, d, "points")[0], speeds(spark, d)).select("match_id", "frame_idx", "label")
+    return labelled(spark, d).select("match_id", "frame_idx", "label", "confidence")
 
 
 @op("w17_situation_segments", f"WITH {SPEED}, {_SIT}, {_SEG} SELECT * FROM segs")
@@ -495,6 +502,6 @@ def st7(spark, d):
     return jobs.drained(spark, jobs.without_repeats(arriving(spark, d)).select("match_id", "track_id", "event_id", "ts"), "st7")
 
 
-@op("st1_live_quality", f"WITH {_KEYED} SELECT match_id, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS rows FROM ev WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 3 HOUR <= (SELECT max(ts) FROM ev) GROUP BY 1, 2", adapted=False)
+@op("st1_live_quality", f"WITH {_KEYED} SELECT match_id, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS rows, count(DISTINCT track_id) AS ids FROM ev WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 3 HOUR <= (SELECT max(ts) FROM ev) GROUP BY 1, 2", adapted=False)
 def st1(spark, d):
-    return jobs.drained(spark, jobs.live_quality(arriving(spark, d)), "st1", "append").select("match_id", "start", "rows")
+    return jobs.drained(spark, jobs.live_quality(arriving(spark, d)), "st1", "append").select("match_id", "start", "rows", "ids")

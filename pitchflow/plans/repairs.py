@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import identity, possession, prep, quality, repair, reports, tactics
+from ..operators import identity, joins, possession, prep, quality, repair, reports, tactics
 from ..sources.adapter import tables
 from .events import _EVS, _FRAG, conflicts, events
 from .physical import player_table, r6
@@ -155,3 +155,9 @@ def r1(spark, d):
     counts = events(spark, d).groupBy("match_id", name[F.col("kind")].alias("service")).agg(F.count("*").alias("found"))
     heat = points.groupBy("match_id").agg(F.count_distinct("track_id").alias("found")).select("match_id", F.lit("heatmaps").alias("service"), "found")
     return reports.run_report(services, counts.unionByName(heat))
+
+
+@op("e15_pressing_stories")
+def e15(spark, d):
+    points, ball = tables(spark, d, "points", "ball")
+    return tactics.pressing_stories(points, joins.carriers(points, ball, 3.0))

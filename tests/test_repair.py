@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pitchflow.operators import helpers, prep, quality, repair, reports
+from pitchflow.operators import helpers, prep, quality, repair, reports, tactics
 
 
 def box(frame, raw, x, y, score=0.5, since=0, age=30, w=24, h=60):
@@ -112,3 +112,24 @@ def test_resampling_holds_long_gaps(spark):
     got = {r["at"]: (r.x, r.spline_x) for r in prep.resampled(spark.createDataFrame(rows, "match_id string, track_id long, frame_idx long, x double, y double")).collect()}
     assert got[1.5] == (1.5, pytest.approx(1.5)) and got[3.5] == (3.0, 3.0) and got[11.5] == (3.0, 3.0) and got[12.5] == (None, None) and got[29.5] == (30.0, None)
     assert F is not None
+
+
+def test_hull_and_angles():
+    rng = np.random.default_rng(5)
+    for n in (3, 4, 9):
+        pts = [tuple(map(float, p)) for p in rng.integers(0, 20, (n, 2))]
+        # by the share of a fine lattice that no edge has on its outer side
+        want = max((abs((b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])) / 2 for a in pts for b in pts for c in pts), default=0.0)
+        assert helpers.hull_area(pts) >= want - 1e-9 and (n > 3 or helpers.hull_area(pts) == pytest.approx(want))
+    assert helpers.hull_area([(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0), (1.0, 1.0)]) == 4.0 and helpers.hull_area([(0.0, 0.0), (1.0, 1.0)]) == 0.0
+    assert helpers.widest_angle(np.array([170.0, -170.0])) == 20.0 and helpers.widest_angle(np.array([10.0])) == 0.0
+
+
+def test_pressing_stories(spark):
+    carriers = [(0, 50.0, 5.0), (1, 50.0, 34.0), (2, 50.0, 5.0), (3, 50.0, 34.0), (4, 50.0, 5.0), (5, 50.0, 5.0)]
+    pressers = {0: [(53.0, 5.0), (50.0, 9.0)], 1: [(53.0, 34.0), (50.0, 38.0)], 2: [(53.0, 5.0)], 3: [(53.0, 34.0)], 4: [(53.0, 5.0), (54.0, 5.2)], 5: [(59.0, 5.0)]}
+    c = spark.createDataFrame([("m", f, 1, 0, x, y) for f, x, y in carriers], "match_id string, frame_idx long, carrier long, team_id long, x double, y double")
+    p = spark.createDataFrame([("m", f, 10 + k, 1, x, y) for f, ps in pressers.items() for k, (x, y) in enumerate(ps)] + [("m", 0, 2, 0, 50.0, 6.0)], "match_id string, frame_idx long, track_id long, team_id long, x double, y double")
+    got = {r.frame_idx: r for r in tactics.pressing_stories(p, c).collect()}
+    assert [got[k].story for k in range(6)] == ["PRESSING_TRAP", "PRESSING_TRIANGLE", "WIDE_CHANNEL_CHASE", "RECOVERY_RUN", "TRANSITION_PRESSURE", "1V1_PRESSURE"]
+    assert (got[0].spread_deg, got[0].area_m2, got[0].valid, got[0].third) == (90.0, 6.0, True, "mid")
