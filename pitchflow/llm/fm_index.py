@@ -7,7 +7,9 @@ each bit; a match of window length first drops its last symbol, which widens the
 suffixes that share the rest. The interval's weight is the number of occurrences: the matching statistics,
 held at the window's length.
 
-Cases: null and empty texts have no words; texts shorter than a window keep all; copies remove each other.
+Cases: null and empty texts have no words; texts shorter than a window keep all; copies remove each other. Of copies none is
+kept for the others' sake, so ties don't matter; repeated rows are copies; texts of any length are read whole; other
+columns of docs, whatever their names, are kept.
 """
 
 from __future__ import annotations

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import remove
 from .common import written
 
 
@@ -16,7 +17,7 @@ def _mark(df: DataFrame) -> tuple:
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """(node, root) for the nodes of links (a, b); root is the smallest node of the component.
 
-    Every round is written to the shared folder. Rounds grow with the logarithm of the longest path; the
+    Every round is written to the shared folder, and removed when the next one is. Rounds grow with the logarithm of the longest path; the
     star joins are plain equi-joins, so that adaptive execution can split the rows of a hot node.
     """
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
@@ -29,8 +30,9 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
         large = written(spark, large.distinct(), "large-star")
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        edges = written(spark, small.union(down.select("a", F.col("m").alias("b"))).distinct(), "small-star")
+        before, edges = edges, written(spark, small.union(down.select("a", F.col("m").alias("b"))).distinct(), "small-star")
         after = _mark(edges)
+        remove(spark, before, large)
         if after == mark:
             break
         mark = after

@@ -26,6 +26,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labelled rows of the folds but 2. Null texts count as empty; the rest as in ``toxicity``."""
     docs = documents(spark, sf_dir).select("doc_id", "text", (fold("doc_id", 4) == 2).alias("held_out"))
     model = toxicity.fit(docs.where("NOT held_out"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = docs.select("doc_id", "held_out", toxicity.score(model, "text", spark).alias("score"))
@@ -34,6 +35,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the number of benchmark items found in it, the best one, its coverage, and whether values were changed. Null texts hold none; the rest as in ``decontam``."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     found = decontam.contaminated(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select("doc_id", (F.col("n_items") > 0).alias("contaminated"), "n_items", "best_item", "coverage", "reparameterised")
@@ -45,6 +47,7 @@ WEIGHTS = {"domain": {"d0": 4.0, "d1": 3.0, "d2": 2.0, "d3": 1.0}, "lang": {"en"
 
 @query
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the tokens by domain, language and source. Null texts have none; the rest as in ``mixing``."""
     return mixing.mix(spark, documents(spark, sf_dir), WEIGHTS)
 
 
@@ -53,6 +56,7 @@ ORACLES["op4_mixing"] = mixing.mix_sql(WEIGHTS)
 
 @query
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the folds but 2; ``und`` without a letter. The rest as in ``langid``."""
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang", (fold("doc_id", 4) == 2).alias("held_out"))
     trees = langid.fit(docs.where("NOT held_out").select("lang", "text"))
     out = docs.select("doc_id", "held_out", langid.predict(trees, F.col("text"), spark).alias("p"))
@@ -61,12 +65,14 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every row; null texts have fingerprint zero, repeated rows stay. The rest as in ``simhash``."""
     found = simhash.near_duplicates(spark, documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 @query
 def op7_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a GIF, read back through its colours; null counts as empty. The rest as in ``media``."""
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     stored = media.with_gif(docs).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), media.digest("media").alias("d"))
     return stored.select("doc_id", "n_bytes", "d.*").drop("error")
@@ -74,6 +80,7 @@ def op7_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, digest and spans of secrets of every document; null texts have none. The rest as in ``secret_scan``."""
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     model = secret_scan.train(secret_scan.sample_values(docs))
     found = secret_scan.scan(docs, model)
@@ -83,6 +90,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_lm_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model score of every document, learned from the folds but 2 of 7; null counts as empty. The rest as in ``lm_bloom``."""
     docs = documents(spark, sf_dir).select("doc_id", "text", (fold("doc_id", 7) != 2).alias("train"))
     scored = lm_bloom.score(spark, docs)
     return scored.select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -90,6 +98,7 @@ def op2_lm_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_fm_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document outside windows of 35 that repeat; null texts have none. The rest as in ``fm_index``."""
     out = fm_index.removed(spark, documents(spark, sf_dir).select("doc_id", "text"), with_text=False)
     return out.select("doc_id", "r.n_words", "r.n_removed", "r.kept_sha256")
 
@@ -107,5 +116,6 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 
 @query
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document outside strings of 400 that repeat; null counts as empty. The rest as in ``suffix_sort``."""
     out = suffix_sort.removed(spark, documents(spark, sf_dir).select("doc_id", "text"), with_bytes=False)
     return out.select("doc_id", "r.n_bytes", "r.n_removed", "r.n_spans", "r.kept_sha256")

@@ -7,7 +7,9 @@ before its B suffixes and are complete when the scan gets to them, so a bucket i
 only for runs of one byte. Then the common prefixes of neighbours in the order are computed; windows in a run of
 common prefixes of window length repeat.
 
-Cases: null and empty texts keep nothing to remove; texts shorter than a window keep all; copies remove each other.
+Cases: null and empty texts keep nothing to remove; texts shorter than a window keep all; copies remove each other. Of copies none is
+kept for the others' sake, so ties don't matter; repeated rows are copies; texts of any length are read whole; other
+columns of docs, whatever their names, are kept.
 A cut may fall within a character: the kept bytes are then not UTF-8, and come as binary.
 """
 
