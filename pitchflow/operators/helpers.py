@@ -347,27 +347,59 @@ def embedding_drift(rows: DataFrame, trigger: float = 0.70) -> DataFrame:
     return _per(rows, ["match_id", "player_id"], schema, code)
 
 
-def cap_players(points: DataFrame, most: int = 20, near: float = 10.0, drops: int = 20) -> DataFrame:
-    """Drops of the weaker (fewer hits, then higher track) of a match's closest pair of mean positions, same team first, while over ``most`` tracks are left."""
-    schema = "match_id string, track_id long, dropped_for long"
+def nearest_rows(a: np.ndarray, reach: int) -> np.ndarray:
+    """Between the first and last value of each column, the nearest one up to ``reach`` rows away, the earlier on ties."""
+    n = len(a)
+    row = np.arange(n)[:, None]
+    there = ~np.isnan(a)
+    before = np.maximum.accumulate(np.where(there, row, -n), axis=0)
+    after = np.minimum.accumulate(np.where(there, row, 2 * n)[::-1], axis=0)[::-1]
+    best = np.where(row - before <= after - row, before, after)
+    ok = (before >= 0) & (after < n) & (np.abs(best - row) <= reach)
+    return np.where(ok, np.take_along_axis(a, np.clip(best, 0, n - 1), axis=0), np.nan)
+
+
+def capped_players(p: pd.DataFrame, most: int = 25, near: float = 10.0, drops: int = 20, reach: int = 4) -> list[tuple[int, int, int]]:
+    """P18 for one match's points: (frame, dropped track, track it gave way to).
+
+    In each frame with over ``most`` active tracks (three rows or more, one within ``reach`` frames) the closest pair gives up the
+    track of fewer rows, pairs of one team first, unless it is over ``near`` m apart; dropped tracks stay away; ``drops`` a match.
+    """
+    hits = p.groupby("track_id").size()
+    p = p[p.track_id.isin(hits.index[hits >= 3])]
+    tracks = np.array(sorted(p.track_id.unique()))
+    team = p.groupby("track_id").team_id.min().reindex(tracks).to_numpy()
+    frames = np.arange(p.frame_idx.min(), p.frame_idx.max() + 1) if len(p) else np.zeros(0, np.int64)
+    place = [nearest_rows(p.pivot(index="frame_idx", columns="track_id", values=c).reindex(index=frames, columns=tracks).to_numpy(), reach) for c in ("x", "y")] if len(p) else []
+    gone, out = np.zeros(len(tracks), dtype=bool), []
+    busy = np.flatnonzero((~np.isnan(place[0])).sum(1) > most) if len(p) else []
+    for f in busy:
+        active = np.flatnonzero(~np.isnan(place[0][f]) & ~gone)
+        while len(active) > most and len(out) < drops:
+            x, y, t = place[0][f][active], place[1][f][active], team[active]
+            d = np.hypot(x[:, None] - x, y[:, None] - y)
+            d[np.tril_indices(len(active))] = np.inf
+            same = np.where(t[:, None] == t, d, np.inf)
+            d = same if np.isfinite(same).any() else d
+            i, j = divmod(int(d.argmin()), len(active))
+            if d[i, j] > near:
+                break
+            weak, strong = (j, i) if hits[tracks[active[i]]] >= hits[tracks[active[j]]] else (i, j)
+            out.append((int(frames[f]), int(tracks[active[weak]]), int(tracks[active[strong]])))
+            gone[active[weak]] = True
+            active = np.delete(active, weak)
+        if len(out) >= drops:
+            break
+    return out
+
 
-    mean = points.groupBy("match_id", "track_id", "team_id").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("hits"))
+def cap_players(points: DataFrame, most: int = 25) -> DataFrame:
+    """The tracks that are dropped, with the frame and the track they gave way to."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(p.to_dict("records"), key=lambda r: r["track_id"])
-        out = []
-        while len(rows) > most and len(out) < drops:
-            pairs = [(a["team_id"] != b["team_id"], round(float(np.hypot(a["x"] - b["x"], a["y"] - b["y"])), 6), i, j) for i, a in enumerate(rows) for j, b in enumerate(rows) if i < j]
-            pairs = [q for q in pairs if q[1] <= near]
-            if not pairs:
-                break
-            _, _, i, j = min(pairs)
-            weak = j if (rows[j]["hits"], -rows[j]["track_id"]) < (rows[i]["hits"], -rows[i]["track_id"]) else i
-            out.append((rows[weak]["match_id"], rows[weak]["track_id"], rows[j if weak == i else i]["track_id"]))
-            del rows[weak]
-        return pd.DataFrame(out, columns=["match_id", "track_id", "dropped_for"])
+        return pd.DataFrame([(p.match_id.iloc[0], *row) for row in capped_players(p, most)], columns=["match_id", "frame_idx", "track_id", "kept"])
 
-    return mean.groupBy("match_id").applyInPandas(run, schema)
+    return points.select("match_id", "track_id", "team_id", "frame_idx", "x", "y").groupBy("match_id").applyInPandas(run, "match_id string, frame_idx long, track_id long, kept long")
 
 
 def stitched(pieces: pd.DataFrame, gap: int = 10, metres: float = 12.0) -> pd.DataFrame:

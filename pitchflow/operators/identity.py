@@ -110,14 +110,22 @@ def physical_gate(rows: DataFrame) -> DataFrame:
     return rows.withColumn("gate", code)
 
 
-def referee_votes(players: DataFrame, enough: int = 4) -> DataFrame:
-    """Running share of official rows of a raw track; the first decision from ``enough`` votes on sticks."""
+def referee_score(detected, shirt=None, black=None, excluded=None, touchline=None):
+    """How much a frame speaks for an official: a detector's word, a shirt's confidence (0 to 1), black, no team's colours, and place beside the pitch."""
+    part = lambda c, w: F.when(c, w).otherwise(0.0) if c is not None else F.lit(0.0)
+    bright = F.coalesce(shirt, F.lit(0.0)) if shirt is not None else F.lit(0.0)
+    beside = (touchline & (detected | (bright > 0))) if touchline is not None else None
+    return part(detected, 0.40) + 0.30 * bright + part(black, 0.15) + part(excluded, 0.20) + part(beside, 0.10)
+
+
+def referee_votes(rows: DataFrame, enough: int = 4, vote: float = 0.35) -> DataFrame:
+    """Running share of frames of a raw track that score 0.35 or more; the first decision from ``enough`` frames on sticks, else it is suspected from one vote on."""
     w = Window.partitionBy("match_id", "raw_track_id").orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, 0)
-    rows = players.withColumn("n", F.count("*").over(w)).withColumn("yes", F.sum(F.col("is_official").cast("long")).over(w))
+    rows = rows.withColumn("n", F.count("*").over(w)).withColumn("yes", F.sum((F.col("score") >= vote).cast("long")).over(w))
     ratio = F.col("yes") / F.col("n")
-    said = F.when(F.col("n") < enough, None).when(ratio >= 0.75, "official").when(ratio < 0.30, "player")
-    rows = rows.withColumn("_said", said)
-    return rows.groupBy("match_id", "raw_track_id").agg(F.coalesce(F.min_by("_said", F.when(F.col("_said").isNotNull(), F.col("frame_idx"))), F.lit("suspected")).alias("decision"), F.max("n").alias("votes"))
+    rows = rows.withColumn("_said", F.when(F.col("n") < enough, None).when(ratio >= 0.75, "official").when(ratio < 0.30, "player"))
+    first = F.min_by("_said", F.when(F.col("_said").isNotNull(), F.col("frame_idx")))
+    return rows.groupBy("match_id", "raw_track_id").agg(F.coalesce(first, F.when(F.max("yes") > 0, "suspected").otherwise("player")).alias("decision"), F.max("n").alias("votes"))
 
 
 def jump_split(points: DataFrame, gap: int = 8, jump: float = 5.0) -> DataFrame:

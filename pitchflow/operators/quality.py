@@ -140,3 +140,9 @@ def first_last(appearances: DataFrame) -> DataFrame:
     order = F.struct("date", "match_id")
     out = appearances.groupBy("player_id").agg(F.min_by("value", order).alias("first"), F.max_by("value", order).alias("last"), F.count("*").alias("n"))
     return out.withColumn("change", F.col("last") - F.col("first"))
+
+
+def sound_matches(matches: DataFrame, sprints: int = 50, kmh: float = 36.0, width: float = 70.0) -> DataFrame:
+    """Matches (sprints, max_kmh, width) with ``corrupted``: more sprints, speed or width than a match can have."""
+    bad = (F.col("sprints") > sprints) | (F.col("max_kmh") > kmh) | (F.col("width") > width)
+    return matches.withColumn("corrupted", F.coalesce(bad, F.lit(False)))

@@ -396,10 +396,11 @@ def i10(spark, d):
     return identity.physical_gate(identity.player_changes(*tables(spark, d, "players", "motion"))).select("match_id", "frame_idx", "player_id", "raw_track_id", "gate")
 
 
-@op("a37_referee_votes", """WITH q AS (SELECT *, count(*) OVER w AS n, sum(CASE WHEN is_official THEN 1 ELSE 0 END) OVER w AS yes FROM players WINDOW w AS (PARTITION BY match_id, raw_track_id ORDER BY frame_idx)),
-s AS (SELECT *, CASE WHEN n < 4 THEN NULL WHEN yes / n >= 0.75 THEN 'official' WHEN yes / n < 0.30 THEN 'player' END AS said FROM q) SELECT match_id, raw_track_id, coalesce(min_by(said, frame_idx) FILTER (said IS NOT NULL), 'suspected') AS decision, max(n) AS votes FROM s GROUP BY 1, 2""")
+@op("a37_referee_votes", """WITH q AS (SELECT *, count(*) OVER w AS n, sum(CASE WHEN CASE WHEN is_official THEN 0.4e0 ELSE 0e0 END + CASE WHEN is_official AND (y < 5 OR y > 63) THEN 0.1e0 ELSE 0e0 END >= 0.35 THEN 1 ELSE 0 END) OVER w AS yes FROM players WINDOW w AS (PARTITION BY match_id, raw_track_id ORDER BY frame_idx)),
+s AS (SELECT *, CASE WHEN n < 4 THEN NULL WHEN yes / n >= 0.75 THEN 'official' WHEN yes / n < 0.30 THEN 'player' END AS said FROM q) SELECT match_id, raw_track_id, coalesce(min_by(said, frame_idx) FILTER (said IS NOT NULL), CASE WHEN max(yes) > 0 THEN 'suspected' ELSE 'player' END) AS decision, max(n) AS votes FROM s GROUP BY 1, 2""")
 def a37(spark, d):
-    return identity.referee_votes(tables(spark, d, "players")[0])
+    score = identity.referee_score(F.col("is_official"), touchline=(F.col("y") < 5) | (F.col("y") > 63))
+    return identity.referee_votes(tables(spark, d, "players")[0].withColumn("score", score))
 
 
 @op("w18_segments", """WITH q AS (SELECT *, frame_idx - lag(frame_idx) OVER w AS df, sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)) AS step FROM points WINDOW w AS (PARTITION BY match_id, track_id ORDER BY frame_idx)),

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import identity, joins, possession, prep, quality, repair, reports, tactics
+from ..operators import identity, joins, physical, possession, prep, quality, repair, reports, tactics
 from ..sources.adapter import tables
 from .events import _EVS, _FRAG, conflicts, events
-from .physical import player_table, r6
+from .physical import player_table, r6, stepped
 from .registry import BURSTS, PHYSICAL, STEPS, W, fold_sql, op
 
 _MEAN = "mp AS (SELECT match_id, team_id, track_id, avg(x) AS x, avg(y) AS y FROM points GROUP BY 1, 2, 3)"
@@ -161,3 +161,28 @@ def r1(spark, d):
 def e15(spark, d):
     points, ball = tables(spark, d, "points", "ball")
     return tactics.pressing_stories(points, joins.carriers(points, ball, 3.0))
+
+
+@op("a32_sound_matches", f"""WITH {STEPS}, {BURSTS}, {PHYSICAL}, tw AS (SELECT match_id, avg(w) AS width FROM (SELECT match_id, max(y) - min(y) AS w FROM points GROUP BY match_id, frame_idx, team_id) q GROUP BY 1), m AS (SELECT match_id, CAST(sum(sprints) AS BIGINT) AS sprints, round(max(top_ms) * 3.6e0, 4) AS max_kmh FROM physical GROUP BY 1)
+SELECT match_id, sprints, max_kmh, round(width, 6) AS width, sprints > 50 OR max_kmh > 36 OR width > 70 AS corrupted FROM m JOIN tw USING (match_id)""")
+def a32_sound(spark, d):
+    wide = tables(spark, d, "points")[0].groupBy("match_id", "frame_idx", "team_id").agg((F.max("y") - F.min("y")).alias("w")).groupBy("match_id").agg(F.round(F.avg("w"), 6).alias("width"))
+    load = player_table(spark, d).groupBy("match_id").agg(F.sum("sprints").alias("sprints"), F.round(F.max("top_ms") * 3.6, 4).alias("max_kmh"))
+    return quality.sound_matches(load.join(wide, "match_id"))
+
+
+_CELLS = "CAST(least(greatest(floor(x / 105 * 21), 0), 20) AS BIGINT) AS col, CAST(least(greatest(floor(y / 68 * 14), 0), 13) AS BIGINT) AS row_"
+
+
+def _grid(where: str) -> str:
+    return f"WITH {STEPS}, c AS (SELECT match_id, track_id, {_CELLS}, count(*) AS n FROM steps WHERE {where} GROUP BY 1, 2, 3, 4) SELECT match_id, track_id, col, row_ AS \"row\", n, n / max(n) OVER (PARTITION BY match_id, track_id) AS heat FROM c"
+
+
+@op("a1_sprint_heatmap", _grid("speed_ms > 7"))
+def a1_sprints(spark, d):
+    return physical.heatmap(stepped(spark, d).where("speed_ms > 7"), physical.TRACK)
+
+
+@op("a1_intensity_heatmap", _grid("speed_ms > 5.5"))
+def a1_intensity(spark, d):
+    return physical.heatmap(stepped(spark, d).where("speed_ms > 5.5"), physical.TRACK)

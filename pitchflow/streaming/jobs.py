@@ -65,14 +65,14 @@ def live_referees(rows: DataFrame, enough: int = 4, late: str = "2 hours", quiet
         if state.hasTimedOut:
             state.remove()
             return
-        n, yes, said = state.get if state.exists else (0, 0, "suspected")
+        n, yes, said = state.get if state.exists else (0, 0, "")
         part = pd.concat(list(parts)).sort_values("ts", kind="stable")
         out = []
         for official in part.is_official:
             n, yes = n + 1, yes + int(official)
-            if said == "suspected" and n >= enough:
-                said = "official" if yes / n >= 0.75 else "player" if yes / n < 0.30 else said
-            out.append((n, yes, said))
+            if not said and n >= enough:
+                said = "official" if yes / n >= 0.75 else "player" if yes / n < 0.30 else ""
+            out.append((n, yes, said or ("suspected" if yes else "player")))
         state.update((n, yes, said))
         state.setTimeoutTimestamp(max(int(part.ts.max().timestamp() * 1000), state.getCurrentWatermarkMs()) + quiet_ms)
         yield part[["match_id", "track_id", "ts"]].assign(votes=[x[0] for x in out], officials=[x[1] for x in out], decision=[x[2] for x in out])

@@ -133,3 +133,10 @@ def test_pressing_stories(spark):
     got = {r.frame_idx: r for r in tactics.pressing_stories(p, c).collect()}
     assert [got[k].story for k in range(6)] == ["PRESSING_TRAP", "PRESSING_TRIANGLE", "WIDE_CHANNEL_CHASE", "RECOVERY_RUN", "TRANSITION_PRESSURE", "1V1_PRESSURE"]
     assert (got[0].spread_deg, got[0].area_m2, got[0].valid, got[0].third) == (90.0, 6.0, True, "mid")
+
+
+def test_players_are_capped_frame_by_frame():
+    rows = [("m", k, k % 2, f, 10.0 * k, 10.0) for k in range(4) for f in range(6)] + [("m", 9, 0, f, 1.0, 10.0) for f in range(2, 5)] + [("m", 8, 1, f, 60.0, 60.0) for f in range(6)]
+    p = pd.DataFrame(rows, columns=["match_id", "track_id", "team_id", "frame_idx", "x", "y"])
+    assert helpers.capped_players(p, most=5) == [(2, 9, 0)]  # active from its first row on
+    assert helpers.capped_players(p, most=6) == [] and helpers.capped_players(p.assign(x=p.x * 30), most=5) == []
