@@ -50,7 +50,7 @@ def line_summary(lines: DataFrame) -> DataFrame:
 def formations(points: DataFrame, window: int = 75) -> DataFrame:
     """Per window of 75 frames from the match's first, the known formation nearest to the three lines."""
     f0 = points.groupBy("match_id").agg(F.min("frame_idx").alias("_f0"))
-    rows = points.join(F.broadcast(f0), "match_id").withColumn("win", F.floor((F.col("frame_idx") - F.col("_f0")) / window))
+    rows = points.join(f0, "match_id").withColumn("win", F.floor((F.col("frame_idx") - F.col("_f0")) / window))
     by = ["match_id", "win", "team_id"]
     mean = rows.groupBy(*by, "track_id").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
     lined = with_lines(without_keeper(mean, by, 7), by)

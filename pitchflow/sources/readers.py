@@ -133,6 +133,11 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return out.where("cls IS NOT NULL")
 
 
+def label_statistics(labels: DataFrame) -> DataFrame:
+    """IO9: for each split and class the files, boxes, mean sides and mean share of the picture."""
+    return labels.groupBy("split", "cls").agg(F.count_distinct("file").alias("files"), F.count("*").alias("boxes"), F.avg("w").alias("mean_w"), F.avg("h").alias("mean_h"), F.avg(F.col("w") * F.col("h")).alias("mean_area"))
+
+
 def export_timeline(timeline: DataFrame, path: str, form: str = "parquet") -> None:
     """IO10: the joined timeline, partitioned by match."""
     timeline.write.mode("error").partitionBy("match_id").format(form).save(path)
@@ -143,5 +148,5 @@ def merge_chunks(points: DataFrame, chunk_frames: int) -> DataFrame:
     ids = points.groupBy("match_id", "chunk").agg((F.max("track_id") + 1).alias("_ids"))
     w = Window.partitionBy("match_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     off = ids.withColumn("_off", F.coalesce(F.sum("_ids").over(w), F.lit(0))).drop("_ids")
-    out = points.join(F.broadcast(off), ["match_id", "chunk"])  # a row for each five-minute chunk
+    out = points.join(off, ["match_id", "chunk"])  # a row for each five-minute chunk
     return out.withColumn("track_id", F.col("track_id") + F.col("_off")).withColumn("frame_idx", F.col("frame_idx") + F.col("chunk") * chunk_frames).drop("_off")
