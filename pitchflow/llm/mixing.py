@@ -25,6 +25,7 @@ from .common import written
 
 LEVELS = ("domain", "lang", "source")
 PART_ROWS = 512
+BROADCAST_LEAVES = 100_000  # rows of some 100 bytes
 
 
 def tokens(text: Column | str) -> Column:
@@ -79,11 +80,13 @@ def mix(spark: SparkSession, docs: DataFrame, weights: dict[str, dict[str, float
     named = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), domain_of(F.col("source")).alias("domain"), tokens("text").alias("n_tokens"), *extra)
     rows = written(spark, named, "mix-tokens")
     leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("leaf_tokens"), F.count("*").alias("leaf_docs")).withColumn("capacity", F.col("leaf_tokens").cast("double") * epochs)
-    total = leaves.agg(F.coalesce(F.sum("leaf_tokens"), F.lit(0))).first()[0]
+    total, count = leaves.agg(F.coalesce(F.sum("leaf_tokens"), F.lit(0)), F.count("*")).first()
     settled = shares(leaves, float(int(total * fraction)), weights).withColumn("target", F.floor(F.col("share") + 1e-6).cast("long"))
     settled = settled.withColumn("whole", F.when(F.col("leaf_tokens") > 0, F.floor(F.col("target") / F.col("leaf_tokens"))).otherwise(0).cast("int"))
     settled = settled.withColumn("left", F.col("target") - F.col("whole") * F.col("leaf_tokens")).withColumn("parts", F.ceil(F.col("leaf_docs") / PART_ROWS))
-    joined = rows.join(settled.select(*LEVELS, "whole", "left", "parts"), list(LEVELS))
+    plan = settled.select(*LEVELS, "whole", "left", "parts")
+    # so that a hot source isn't dealt to one task; beyond, adaptive execution splits it
+    joined = rows.join(F.broadcast(plan) if count <= BROADCAST_LEAVES else plan, list(LEVELS))
     keep = ["doc_id", *LEVELS, "n_tokens", *extra]
     full = joined.where("whole > 0").select(*keep, F.explode(F.sequence(F.lit(0), F.col("whole") - 1)).alias("epoch"))
     last = joined.where("left > 0").withColumn("_key", rank_key(seed, F.col("whole"), F.col("doc_id")))
