@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fm_index, langid, lm_bloom, media, mixing, secret_scan, simhash, suffix_sort, toxicity
+from . import decontam, fm_index, langid, lm_bloom, media, mixing, secret_scan, simhash, suffix_sort, topk, toxicity
 from .common import bounded_batches, fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,20 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document outside strings of 400 that repeat; null counts as empty. The rest as in ``suffix_sort``."""
     out = suffix_sort.removed(spark, documents(spark, sf_dir).select("doc_id", "text"), with_bytes=False)
     return out.select("doc_id", "r.n_bytes", "r.n_removed", "r.n_spans", "r.kept_sha256")
+
+
+@query
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 vectors of highest inner product for every vec_id divisible by 20. Unusable vectors take no part; the rest as in ``topk``."""
+    bounded_batches(spark)
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk.top(spark, vectors, F.col("vec_id") % 20 == 0, 20)
+
+
+ORACLES["op13_exact_top_k"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(64 * CAST(c AS DOUBLE)) AS BIGINT)) AS x, row_number() OVER () AS row FROM embeddings
+WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT q.row, q.vec_id AS query_id, r.vec_id, CAST(list_sum(list_transform(list_zip(q.x, r.x), lambda p: p[1] * p[2])) AS BIGINT) AS score FROM v q JOIN v r ON q.vec_id % 20 = 0 AND q.row <> r.row)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) <= 20
+"""
