@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fm_index, langid, lm_bloom, media, mixing, secret_scan, simhash, suffix_sort, topk, toxicity
+from . import decontam, fm_index, langid, lm_bloom, media, mixing, secret_scan, simhash, suffix_sort, topk, toxicity, whitening
 from .common import bounded_batches, fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,6 +121,13 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "r.n_bytes", "r.n_removed", "r.n_spans", "r.kept_sha256")
 
 
+@query
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector along the 32 leading components. Unusable vectors are dropped; the rest as in ``whitening``."""
+    bounded_batches(spark)
+    return whitening.whiten(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 @query
 def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 vectors of highest inner product for every vec_id divisible by 20. Unusable vectors take no part; the rest as in ``topk``."""
