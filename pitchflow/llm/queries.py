@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fm_index, langid, lm_bloom, media, mixing, secret_scan, simhash, suffix_sort, topk, toxicity, whitening
+from . import decontam, fm_index, langid, lm_bloom, media, mixing, prefix_trie, secret_scan, simhash, suffix_sort, topk, toxicity, whitening
 from .common import bounded_batches, fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,6 +121,33 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "r.n_bytes", "r.n_removed", "r.n_spans", "r.kept_sha256")
 
 
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations. Rows without conv_id are passed over; the rest as in ``prefix_trie``."""
+    bounded_batches(spark)
+    return prefix_trie.trie(spark, *prefix_trie.rebuilt(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+ORACLES["op11_prefix_trie"] = """
+WITH RECURSIVE bits(i, c, k) AS (SELECT i, i, 0 FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS p, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+s0 AS (SELECT conv_id AS c, conv_id - conv_id % 5 AS b, count(*) AS n FROM t GROUP BY 1, 2),
+s1 AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda a, x: xor(crc.t[(xor(a, x) % 256) + 1], a >> 8)), 4294967295) % 9 AS h FROM s0, crc),
+s AS (SELECT x.c, x.b, x.h, least(x.h, coalesce(y.n, 0)) AS taken FROM s1 x LEFT JOIN s0 y ON y.c = x.b),
+r AS (SELECT s.c, t.p + 1 AS d, role, text FROM s JOIN t ON t.conv_id = s.b AND t.p < s.taken UNION ALL SELECT s.c, t.p - s.h + s.taken + 1, role, text FROM s JOIN t ON t.conv_id = s.c AND t.p >= s.h),
+k(c, d, key, up, size) AS (SELECT c, 0::BIGINT, '', NULL::VARCHAR, 0::BIGINT FROM s UNION ALL
+  SELECT r.c, r.d::BIGINT, md5(concat(k.key, ':', md5(role), md5(text))), k.key, octet_length(encode(text))::BIGINT FROM k JOIN r ON r.c = k.c AND r.d = k.d + 1),
+n AS (SELECT key, any_value(d) AS depth, min(c) AS conv_id, count(*) AS n, any_value(up) AS up, any_value(size) AS size FROM k GROUP BY key),
+ch AS (SELECT up AS key, count(*) AS children FROM n WHERE up IS NOT NULL GROUP BY 1),
+own AS (SELECT n.*, coalesce(children, 0) AS children FROM n LEFT JOIN ch USING (key)),
+sub AS (SELECT k.key, count(*) FILTER (WHERE w.children = 0) AS leaves, sum((w.n - 1) * w.size) AS saved FROM own w JOIN k ON k.c = w.conv_id AND k.d <= w.depth GROUP BY k.key),
+e AS (SELECT key, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM k SEMI JOIN (SELECT c, max(d) AS d FROM k GROUP BY c) m USING (c, d) GROUP BY key)
+SELECT own.conv_id, own.depth, up.conv_id AS parent_conv_id, own.n AS n_convs, CAST(own.children AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM own JOIN sub USING (key) LEFT JOIN n up ON up.key = own.up LEFT JOIN e ON e.key = own.key
+"""
+
+
 @query
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every usable vector along the 32 leading components. Unusable vectors are dropped; the rest as in ``whitening``."""
