@@ -12,17 +12,22 @@ or four words, are looked for by windows of their words as they are (five, or th
 ask for has to be there word for word. Items of one or two words are too common to tell and aren't looked
 for; ``searchable`` tells which are.
 
-A text that covers an item has at least one of any floor((1 - coverage) windows) + 1 of its windows. So only
-these many of each item, those that the fewest items share, take part in the hash join; a bitmap of them (of 64
-bits a window, 32 MB at most; collisions only let more pass) keeps other windows of documents from the
-shuffle. What meets is verified pair by pair, text against item.
+Items of one template (the same tokens, and slots that agree with one another in the same places) are one row with members, so a
+family of re-parameterised items costs a text no more than one item does. A text that covers a template has at least one
+of any floor((1 - coverage) windows) + 1 of its windows. So only these many of each template, those that the fewest
+templates share, take part in the hash join; a bitmap of them (of 64 bits a window, 32 MB at most; collisions only let more pass)
+keeps other windows of documents from the shuffle. What meets is verified pair by pair, text against template. That yields what the
+text has in the template's slots: a mask of the slots seen and a hash of their values. Members are summed up by the
+masks that texts ask for, and an equi-join of both hashes names the items that are there word for word. If none is, the
+template's least item stands for all its members, as re-parameterised.
 
 The unit of work is a distinct text (by a 128-bit hash), so copies cost nothing and hot groups don't meet.
 
-Cases: null and empty texts match nothing; equal items are all found; item ids may have any type and be null,
-repeated items count once; texts and items of any length are read whole; of items covered alike the least
-id is best; without a benchmark nothing is found; further columns of docs are kept, but those with the names
-of results are replaced.
+Cases: null and empty texts match nothing; equal items are one row with members, named by the least id (null is the least); item ids
+may have any type and be null, repeated items count once; texts and items of any length are read whole; of items covered
+alike one that is there word for word is best, then the least id; a text that holds several items of a family names each that
+it holds whole in one piece; copies cut apart by insertions are put together slot by slot from the longest pieces; without
+a benchmark nothing is found; further columns of docs are kept, but those with the names of results are replaced.
 """
 
 from __future__ import annotations
@@ -32,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import remove
 from .common import BYTE_VALUE, LOWER, mix, prefix_sums, range_hash, steps, text_arrays, window_hashes, word_bounds, written
 
 WINDOW = 5
@@ -128,41 +134,103 @@ def item_windows(token: np.ndarray, value: np.ndarray) -> tuple[int, np.ndarray,
     return size, *(template_windows(token) if not size else word_windows(value, size))
 
 
-def matched(token: np.ndarray, value: np.ndarray, item_token: np.ndarray, item_value: np.ndarray) -> tuple[float, bool]:
-    """Share of the item's windows on consistent alignments with the text, and whether values differ there."""
+def agreement(token: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """For each slot of an item the number of the first slot with its value: what consistency asks of a text."""
+    own = value[slots(token)]
+    _, first, inverse = np.unique(own, return_index=True, return_inverse=True)
+    return first[inverse].astype(np.uint64)
+
+
+def template_key(token: np.ndarray, value: np.ndarray) -> int:
+    """64 bits of what items of one template share; of an item that is looked for word for word, of all its words."""
+    size = size_of(token)
+    cells = value if size else np.concatenate([token, agreement(token, value)])
+    order = mix(np.arange(1, len(cells) + 1, dtype=np.uint64))
+    marks = np.concatenate([np.array([len(token), size + 9], dtype=np.uint64), cells ^ order])
+    return int(mix(marks).sum(dtype=np.uint64).astype(np.int64))
+
+
+def masked_hash(values: np.ndarray, seen: np.ndarray) -> int:
+    """64 bits of the values in the slots that are seen."""
+    at = np.flatnonzero(seen)
+    return int(mix(values[at] ^ mix(at.astype(np.uint64) + np.uint64(1))).sum(dtype=np.uint64).astype(np.int64))
+
+
+def readings(token: np.ndarray, value: np.ndarray, item_token: np.ndarray, item_value: np.ndarray, least: float) -> tuple[float, list[tuple[bytes, int]]]:
+    """Share of the item's windows on consistent alignments with the text, and what the text has in its slots, as (mask, hash).
+
+    Every alignment that covers ``least`` of the item is a reading; if none does, the longest alignments give each slot its value. Slots next to
+    an alignment's windows are read as far as the tokens go on agreeing.
+    """
     size, item_at, item_h = item_windows(item_token, item_value)
     at, h = (template_windows(token) if not size else word_windows(value, size)) if size >= 0 else (item_at, item_h)
     if not len(item_at) or not len(at):
-        return 0.0, False
+        return 0.0, []
     order = np.argsort(h, kind="stable")
     low, high = (np.searchsorted(h[order], item_h, side=side) for side in ("left", "right"))
     n = high - low
     mine = np.repeat(item_at, n)
     theirs = at[order[np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)]]
     if size:
-        return len(np.unique(mine)) / len(item_at), False
+        return len(np.unique(mine)) / len(item_at), [(b"", 0)]
     cells, on = np.arange(WINDOW), slots(item_token)
-    i, d = (mine[:, None] + cells).ravel(), (theirs[:, None] + cells).ravel()
+    line = (theirs - mine).astype(np.int64)
+    i, d, of = (mine[:, None] + cells).ravel(), (theirs[:, None] + cells).ravel(), np.repeat(line, WINDOW)
     keep = on[i]
-    i, d = i[keep], d[keep]
-    pair = np.unique(np.stack([(d - i).astype(np.uint64), item_value[i], value[d]], axis=1), axis=0)
+    i, d, of = i[keep], d[keep], of[keep]
+    pair = np.unique(np.stack([of.view(np.uint64), item_value[i], value[d]], axis=1), axis=0)
     # of a line's pairs those of one value of the item stand together
-    torn = np.unique(pair[1:, 0][(pair[1:, :2] == pair[:-1, :2]).all(1)]) if len(pair) else np.zeros(0, np.uint64)
-    firm = ~np.isin((theirs - mine).astype(np.uint64), torn)
-    moved = pair[(pair[:, 1] != pair[:, 2]) & ~np.isin(pair[:, 0], torn)]
-    return len(np.unique(mine[firm])) / len(item_at), bool(len(moved))
+    torn = np.unique(pair[1:, 0][(pair[1:, :2] == pair[:-1, :2]).all(1)]).view(np.int64) if len(pair) else np.zeros(0, np.int64)
+    firm = ~np.isin(line, torn)
+    share = len(np.unique(mine[firm])) / len(item_at)
+    if share < least - 1e-9:
+        return share, []
+    lines, windows = np.unique(line[firm], return_counts=True)
+    lines = lines[np.argsort(-windows, kind="stable")]
+    windows = np.sort(windows)[::-1]
+    place, among, far = np.flatnonzero(on), np.arange(len(item_token)), len(token) - 1
+
+    def read(some: np.ndarray) -> tuple[bytes, int]:
+        seen, got = np.zeros(len(place), bool), np.zeros(len(place), np.uint64)
+        for shift in some[::-1]:  # longer alignments come last and win
+            beside = among + shift
+            alike = (beside >= 0) & (beside <= far) & (token[np.clip(beside, 0, far)] == item_token)
+            run = np.cumsum(~alike)  # words that agree in a row around a window
+            own = (alike & np.isin(run, run[mine[line == shift]]))[place]
+            seen[own], got[own] = True, value[place[own] + shift]
+        return np.packbits(seen).tobytes(), masked_hash(got, seen)
+
+    whole = lines[windows >= least * len(item_at) - 1e-9]
+    return share, [read(np.array([shift])) for shift in whole] if len(whole) else [read(lines)]
+
+
+def _members(batches):
+    """(q, item) to (q, template, values): the template of each item and the values of its slots."""
+    for batch in batches:
+        token, value, first = template(*text_arrays(batch.column(1)))
+        own = [(token[a:b], value[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+        keys = pa.array([template_key(t, v) for t, v in own], pa.int64())
+        values = pa.array([v[slots(t)].tobytes() if size_of(t) == 0 else b"" for t, v in own], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), keys, values], ["q", "template", "values"])
+
+
+def _hashed(values: pa.Array, mask: pa.Array) -> pa.Array:
+    out = []
+    for v, m in zip(values.to_pylist(), mask.to_pylist(), strict=True):
+        own = np.frombuffer(v, dtype=np.uint64)
+        out.append(masked_hash(own, np.unpackbits(np.frombuffer(m, np.uint8), count=len(own)) > 0))
+    return pa.array(out, pa.int64())
 
 
 def _item_rows(batches):
-    """(q, text) to (q, size, at, h, windows)."""
+    """(template, item) to (template, size, at, h, windows)."""
     for batch in batches:
-        data, off = text_arrays(batch.column(1))
-        token, value, first = template(data, off)
-        for i in range(len(off) - 1):
+        token, value, first = template(*text_arrays(batch.column(1)))
+        for i in range(batch.num_rows):
             own = slice(first[i], first[i + 1])
             size, at, h = item_windows(token[own], value[own])
             columns = [batch.column(0).slice(i, 1).take(pa.array(np.zeros(len(at), np.int64))), pa.array(np.full(len(at), size, np.int32)), pa.array(at), pa.array(h.view(np.int64)), pa.array(np.full(len(at), len(at), np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, ["q", "size", "at", "h", "windows"])
+            yield pa.RecordBatch.from_arrays(columns, ["template", "size", "at", "h", "windows"])
 
 
 def _text_rows(shared):
@@ -194,7 +262,7 @@ def _text_rows(shared):
 
 
 def _verified(coverage: float):
-    """(k1, k2, item_id, text, item) to (k1, k2, item_id, coverage, reparameterised) of items that are found."""
+    """(k1, k2, template, text, item) to (k1, k2, template, coverage, mask, h) of templates that are found, a row for each reading."""
 
     def code(batches):
         for batch in batches:
@@ -203,11 +271,17 @@ def _verified(coverage: float):
             for a, b in steps(off):
                 token, value, first = template(data[off[a] : off[b]], off[a : b + 1] - off[a])
                 item_token, item_value, item_first = template(items[item_off[a] : item_off[b]], item_off[a : b + 1] - item_off[a])
-                got = [matched(*(x[first[i] : first[i + 1]] for x in (token, value)), *(x[item_first[i] : item_first[i + 1]] for x in (item_token, item_value))) for i in range(b - a)]
-                on = [i for i, (share, _) in enumerate(got) if share >= coverage - 1e-9]
-                if on:
-                    keys = [batch.column(k).take(pa.array(np.array(on) + a)) for k in range(3)]
-                    yield pa.RecordBatch.from_arrays([*keys, pa.array([got[i][0] for i in on]), pa.array([got[i][1] for i in on])], ["k1", "k2", "item_id", "coverage", "reparameterised"])
+                at, rows = [], []
+                for i in range(b - a):
+                    text, item = slice(first[i], first[i + 1]), slice(item_first[i], item_first[i + 1])
+                    share, found = readings(token[text], value[text], item_token[item], item_value[item], coverage)
+                    if share >= coverage - 1e-9:
+                        at += [a + i] * len(found)
+                        rows += [(share, *reading) for reading in found]
+                if at:
+                    keys = [batch.column(k).take(pa.array(at)) for k in range(3)]
+                    columns = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.float64(), pa.binary(), pa.int64()), strict=True)]
+                    yield pa.RecordBatch.from_arrays([*keys, *columns], ["k1", "k2", "template", "coverage", "mask", "h"])
 
     return code
 
@@ -233,23 +307,43 @@ def _bitmap(seeds: DataFrame) -> np.ndarray:
     return out
 
 
+def members(benchmark: DataFrame) -> DataFrame:
+    """(item_id, item, template, values): every item once, with its template and the values of its slots."""
+    items = benchmark.where("text IS NOT NULL").select("item_id", F.col("text").alias("item")).distinct()
+    keyed = items.select(F.struct("item_id", "item").alias("q"), "item").mapInArrow(_members, f"q struct<item_id:{benchmark.schema['item_id'].dataType.simpleString()},item:string>, template long, values binary")
+    return keyed.select("q.item_id", "q.item", "template", "values")
+
+
 def find(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8, text: str = "text") -> DataFrame:
-    """(k1, k2, item_id, coverage, reparameterised): items found in texts; k1, k2 = text_key of the text."""
-    kind = benchmark.schema["item_id"].dataType.simpleString()
-    items = benchmark.where("text IS NOT NULL").select("item_id", F.col("text").alias("item"), F.xxhash64("item_id", "text").alias("q")).distinct()
-    windows = items.select("q", "item").mapInArrow(_item_rows, "q long, size int, at long, h long, windows long")
-    shared_by = windows.groupBy("h").agg(F.count_distinct("q").alias("items"))
-    order = Window.partitionBy("q").orderBy("items", "h", "at")  # a window's rows are those of one item
+    """(k1, k2, item_id, coverage, reparameterised, members): items found in texts; k1, k2 = text_key of the text.
+
+    An item that is there word for word has a row with the number of items equal to it; of a template with no such item the
+    least item has one, with the number of items of the template.
+    """
+    items = written(spark, members(benchmark), "items")
+    least = F.min(F.struct("item_id", "item"))
+    templates = written(spark, items.groupBy("template").agg(least.alias("least"), F.count("*").alias("members")), "templates")
+    windows = templates.select("template", "least.item").mapInArrow(_item_rows, "template long, size int, at long, h long, windows long")
+    shared_by = windows.groupBy("h").agg(F.count_distinct("template").alias("templates"))
+    order = Window.partitionBy("template").orderBy("templates", "h", "at")  # a window's rows are those of one template
     ranked = windows.join(shared_by, "h").withColumn("rank", F.row_number().over(order))
     seeds = ranked.where(F.col("rank") <= F.floor(F.col("windows") * (1 - coverage) + 1e-6) + 1)
-    seeds = written(spark, seeds.select("q", "size", "h").distinct(), "seeds")
+    seeds = written(spark, seeds.select("template", "size", "h").distinct(), "seeds")
     sizes = sorted(r[0] for r in seeds.select("size").distinct().collect())
     shared = spark.sparkContext.broadcast((_bitmap(seeds), sizes))
     texts = docs.select(F.col(text).alias("text"), *text_key(F.col(text))).where("text IS NOT NULL")
     hits = texts.select("text", "k1", "k2").mapInArrow(_text_rows(shared), "k1 long, k2 long, h long").distinct()
-    pairs = written(spark, hits.join(seeds.select("h", "q"), "h").select("k1", "k2", "q").distinct(), "pairs")
-    met = pairs.join(items, "q").join(texts.dropDuplicates(["k1", "k2"]), ["k1", "k2"]).select("k1", "k2", "item_id", "text", "item")
-    return met.mapInArrow(_verified(coverage), f"k1 long, k2 long, item_id {kind}, coverage double, reparameterised boolean")
+    pairs = written(spark, hits.join(seeds.select("h", "template"), "h").select("k1", "k2", "template").distinct(), "pairs")
+    met = pairs.join(templates.select("template", "least.item"), "template").join(texts.dropDuplicates(["k1", "k2"]), ["k1", "k2"]).select("k1", "k2", "template", "text", "item")
+    read = written(spark, met.mapInArrow(_verified(coverage), "k1 long, k2 long, template long, coverage double, mask binary, h long"), "readings")
+    remove(spark, seeds, pairs)
+    asked = items.select("template", "item_id", "values").join(read.select("template", "mask").distinct(), "template")
+    named = asked.groupBy("template", "mask", F.arrow_udf(_hashed, "long")("values", "mask").alias("h")).agg(F.min(F.struct("item_id")).alias("least"), F.count("*").alias("members"))
+    whole = read.join(named, ["template", "mask", "h"]).groupBy("k1", "k2", "template", "least").agg(F.max("coverage").alias("coverage"), F.max("members").alias("members"))
+    others = read.join(whole.select("k1", "k2", "template").distinct(), ["k1", "k2", "template"], "left_anti").groupBy("k1", "k2", "template").agg(F.max("coverage").alias("coverage"))
+    others = others.join(templates.select("template", "least", "members"), "template")
+    columns = ["k1", "k2", F.col("least.item_id").alias("item_id"), "coverage"]
+    return whole.select(*columns, F.lit(False).alias("reparameterised"), "members").unionByName(others.select(*columns, F.lit(True).alias("reparameterised"), "members"))
 
 
 def text_key(text) -> tuple:
@@ -259,14 +353,16 @@ def text_key(text) -> tuple:
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8) -> DataFrame:
-    """docs' columns and n_items, best_item, coverage, reparameterised (0 and nulls for clean rows).
+    """docs' columns and n_items, best_item, coverage, reparameterised, members (0 and nulls for clean rows).
 
-    Columns of docs with one of these names are replaced.
+    n_items counts the items that are there word for word; if there are none, those whose templates are. reparameterised and members are
+    those of the best item. Columns of docs with one of these names are replaced.
     """
-    docs = docs.drop("n_items", "best_item", "coverage", "reparameterised")
+    docs = docs.drop("n_items", "best_item", "coverage", "reparameterised", "members")
     found = find(spark, docs, benchmark, coverage)
-    best = found.groupBy("k1", "k2").agg(F.count("*").cast("long").alias("n_items"), F.min(F.struct((-F.col("coverage")).alias("c"), "item_id")).alias("b"), F.max("reparameterised").alias("reparameterised"))
-    best = best.select(F.col("k1").alias("_pf_k1"), F.col("k2").alias("_pf_k2"), "n_items", F.col("b.item_id").alias("best_item"), (-F.col("b.c")).alias("coverage"), "reparameterised")
+    count = lambda changed: F.sum(F.when(F.col("reparameterised") == changed, F.col("members")))
+    best = found.groupBy("k1", "k2").agg(F.coalesce(count(False), count(True)).alias("n_items"), F.min(F.struct((-F.col("coverage")).alias("c"), "reparameterised", "item_id", "members")).alias("b"))
+    best = best.select(F.col("k1").alias("_pf_k1"), F.col("k2").alias("_pf_k2"), "n_items", F.col("b.item_id").alias("best_item"), (-F.col("b.c")).alias("coverage"), "b.reparameterised", "b.members")
     k1, k2 = text_key(F.col("text"))
     keyed = docs.withColumns({"_pf_k1": k1, "_pf_k2": k2})
     out = keyed.join(best, ["_pf_k1", "_pf_k2"], "left").drop("_pf_k1", "_pf_k2")

@@ -35,10 +35,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with the number of benchmark items found in it, the best one, its coverage, and whether values were changed. Null texts hold none; the rest as in ``decontam``."""
+    """Every document with the number of benchmark items found in it, the best one, its coverage, whether values were changed, and how many items it stands for. Null texts hold none; the rest as in ``decontam``."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     found = decontam.contaminated(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.select("doc_id", (F.col("n_items") > 0).alias("contaminated"), "n_items", "best_item", "coverage", "reparameterised")
+    return found.select("doc_id", (F.col("n_items") > 0).alias("contaminated"), "n_items", "best_item", "coverage", "reparameterised", "members")
 
 
 #: Target weights of the mixing query, for each level of the tree.

@@ -95,6 +95,77 @@ def test_decontamination_against_brute_force(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want) and len(want) > 20
 
 
+FAMILY = "the train from {} to {} takes {} hours and it costs {} dollars so how much do {} tickets cost in all for the trip home"
+
+
+def family(rng, n):
+    names = [f"Town{k}" for k in range(40)]
+    out = {}
+    while len(out) < n:
+        a, b = rng.sample(names, 2)
+        x, y, z = rng.sample(range(2, 90), 3)
+        out[FAMILY.format(a, b, x, y, z)] = len(out)
+    return list(out)
+
+
+def test_a_copied_item_of_a_family_is_named(spark):
+    """Five items of one template, and a text that copies item 3; then one with values of none, and one with two of them."""
+    rng = random.Random(12)
+    items = family(rng, 5)
+    other = FAMILY.format("Rome", "Oslo", 91, 92, 93)
+    torn = FAMILY.format("Rome", "Rome", 91, 91, 93)  # two values where all items have different ones: of no template's agreement, but consistent
+    cut = " ".join(items[2].split()[:23])  # most windows, and what follows differs
+    split = items[4].replace("hours and it", "hours and surely it")
+    texts = [f"{words(rng, 30)} {t} {words(rng, 20)}" for t in (items[3], other, f"{items[1]} {words(rng, 9)} {items[4]}", torn, cut, split)]
+    got = flagged(spark, texts, items)
+    assert [(got[i].n_items, got[i].best_item, got[i].reparameterised, got[i].members) for i in range(6)] == [(1, 3, False, 1), (5, 0, True, 5), (2, 1, False, 1), (5, 0, True, 5), (1, 2, False, 1), (1, 4, False, 1)]
+    both = flagged(spark, texts[:2], items + items[3:4])  # an item twice, with ids 3 and 5
+    assert (both[0].n_items, both[0].best_item, both[0].members) == (2, 3, 2) and both[1].members == 6
+
+
+def test_families_against_brute_force(spark):
+    """Items of three families with values from small sets: exactly the items whose words stand in the text, else one of the family, as re-parameterised."""
+    rng = random.Random(13)
+    frames = ["the train from @ to @ takes {} hours and it costs {} dollars so how much do {} tickets cost in all for the trip home", "a farmer named @ has {} cows and {} sheep and @ sells them all at the market near the river before noon", "when @ walks {} km in the rain with {} friends they all arrive late at the house of @ and drink tea"]
+    fill = lambda f: re.sub("@|{}", lambda m: rng.choice(["Ann", "Bob", "Cy"] if m[0] == "@" else ["7", "8", "9"]), f)
+    items = list(dict.fromkeys(fill(rng.choice(frames)) for _ in range(300)))
+    texts = [f"{words(rng, 9)} {rng.choice(items) if rng.random() < 0.5 else fill(rng.choice(frames))} {words(rng, 9)}" for _ in range(200)]
+    docs, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    kinds = lambda t: re.sub(r"\b[0-9]\b( km)?", lambda m: "#u" if m[1] else "#", re.sub(r"\b(Ann|Bob|Cy)\b", "N", t))
+    agree = lambda t: [v.index(x) for v in [re.findall(r"\b(?:Ann|Bob|Cy|[0-9]|km)\b", t)] for x in v]
+    of = {}
+    for k, t in enumerate(items):
+        of.setdefault((kinds(t), str(agree(t))), []).append(k)
+    got = {r.doc_id: r for r in decontam.contaminated(spark, docs, bench).collect()}
+    exact = 0
+    for i, text in enumerate(texts):
+        held = [k for k, t in enumerate(items) if t in text]
+        exact += bool(held)
+        if held:
+            assert (got[i].n_items, got[i].best_item, got[i].reparameterised) == (1, held[0], False)
+            continue
+        inner = " ".join(text.split()[9:-9])
+        asks = lambda a, b: all(b[x] == b[y] for x in range(len(a)) for y in range(x) if a[x] == a[y])
+        fits = [ks for (kind, a), ks in of.items() if kind == kinds(inner) and asks(eval(a), agree(inner))]  # a template's equal slots are equal in the text
+        assert got[i].reparameterised is not False  # no item is there word for word
+        if fits:
+            assert got[i].reparameterised and kinds(items[got[i].best_item]) == kinds(inner) and got[i].n_items >= sum(map(len, fits))
+    assert 80 < exact < 190
+
+
+def test_families_cost_linear_work(spark):
+    """3,000 items of a template and 3,000 texts: a row for each text, not for each pair."""
+    rng = random.Random(14)
+    items = family(rng, 3000)
+    docs = spark.createDataFrame([(i, f"{words(rng, 10)} {t} {words(rng, 10)}") for i, t in enumerate(items)], "doc_id long, text string").repartition(4)
+    start = time.time()
+    found = decontam.find(spark, docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    k1, k2 = decontam.text_key(F.col("text"))
+    rows = docs.select("doc_id", k1, k2).join(found, ["k1", "k2"]).collect()
+    assert sorted((r.doc_id, r.item_id, r.reparameterised) for r in rows) == [(i, i, False) for i in range(3000)]
+    assert time.time() - start < 90
+
+
 def test_decontamination_of_odd_documents(spark):
     passage = odd_texts()[5]
     bench = spark.createDataFrame([(1, passage), (2, None), (3, "short one"), (4, "")], "item_id long, text string")
