@@ -120,9 +120,16 @@ def held_possession(who: np.ndarray, least: int = 3, state: tuple[int, int, int]
 
 
 def possession_hysteresis(near: DataFrame, least: int = 3) -> DataFrame:
-    """W5 over one row per frame (match_id, frame_idx, carrier; null or -1 without one)."""
-    schema = "match_id string, frame_idx long, carrier long"
-    return _per(near.select("match_id", "frame_idx", "carrier"), ["match_id"], schema, lambda p: p.assign(carrier=held_possession(p.carrier.fillna(-1).to_numpy(dtype=np.int64), least)[0]))
+    """W5 over one row per frame (match_id, frame_idx, carrier; null or -1 without one): what ``held_possession`` gives, as one window.
+
+    A holder is whoever was nearest ``least`` times on end last, before that the first one: such a run gives the ball to its player, whoever held it.
+    """
+    over = "OVER (PARTITION BY match_id ORDER BY frame_idx)"
+    rows = near.select("match_id", "frame_idx", F.when(F.col("carrier") >= 0, F.col("carrier").cast("long")).alias("_w"))
+    run = " AND ".join(["_w IS NOT NULL", *(f"_w = lag(_w, {k}) IGNORE NULLS {over}" for k in range(1, least))])
+    rows = rows.withColumn("_held", F.expr(f"CASE WHEN {run} THEN _w END"))
+    up_to = "OVER (PARTITION BY match_id ORDER BY frame_idx ROWS UNBOUNDED PRECEDING)"
+    return rows.select("match_id", "frame_idx", F.expr(f"coalesce(last(_held) IGNORE NULLS {up_to}, first(_w) IGNORE NULLS {up_to}, -1L)").alias("carrier"))
 
 
 def sprints(t: np.ndarray, v: np.ndarray, top: int = 5) -> list[tuple[float, float, float]]:
@@ -324,16 +331,24 @@ def teams_by_colour(features: DataFrame) -> DataFrame:
 
 
 def drift(v: np.ndarray, low: float = 0.5, patience: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Cosine of each row to the anchor, and where the anchor is reset (after ``patience`` rows under ``low``)."""
+    """I12 over one player's rows, from the first one on."""
+    return drift_from(v, None, low, patience)[:2]
+
+
+def drift_from(v, state: tuple[np.ndarray, int] | None, low: float = 0.5, patience: int = 5) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, int]]:
+    """Cosine of each row to the anchor, and where the anchor is reset (after ``patience`` rows under ``low``).
+
+    The state (anchor, rows under ``low`` on end) lets a stream go on where a batch ended; without one the first row is the anchor.
+    """
     sims, resets = np.ones(len(v)), np.zeros(len(v), dtype=bool)
-    anchor, under = v[0], 0
-    for i in range(1, len(v)):
-        norm = np.linalg.norm(anchor) * np.linalg.norm(v[i])
+    anchor, under = state or (v[0], 0)
+    for i in range(0 if state else 1, len(v)):
+        norm = np.linalg.norm(anchor) * np.linalg.norm(v[i]) if len(anchor) == len(v[i]) else 0.0
         sims[i] = float(anchor @ v[i] / norm) if norm > 0 else 0.0
         under = under + 1 if sims[i] < low else 0
         if under >= patience:
             anchor, under, resets[i] = v[i], 0, True
-    return sims, resets
+    return sims, resets, (anchor, under)
 
 
 def embedding_drift(rows: DataFrame, trigger: float = 0.70) -> DataFrame:

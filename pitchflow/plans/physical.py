@@ -114,9 +114,9 @@ def p14(spark, d):
     return prep.add_heading(tables(spark, d, "points")[0]).select("match_id", "track_id", "frame_idx", F.round("heading", 5).alias("heading"))
 
 
-@op("p17_collisions", """WITH pr AS (SELECT b.match_id, b.frame_idx, b.track_id, count(*) AS conflicts FROM points a JOIN points b ON a.match_id = b.match_id AND a.frame_idx = b.frame_idx AND a.track_id < b.track_id
-WHERE a.frame_idx % 5 = 0 AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) < 1.5 GROUP BY 1, 2, 3)
-SELECT match_id, track_id, frame_idx, x + 0.75 * coalesce(conflicts, 0) AS x, y, coalesce(conflicts, 0) AS conflicts FROM points LEFT JOIN pr USING (match_id, frame_idx, track_id)""")
+@op("p17_collisions", """WITH g AS MATERIALIZED (SELECT match_id, frame_idx, list({'t': track_id, 'x': x, 'y': y}) AS l FROM points WHERE frame_idx % 5 = 0 GROUP BY 1, 2)
+SELECT p.match_id, p.track_id, p.frame_idx, p.x + 0.75 * n AS x, p.y, n AS conflicts FROM (SELECT p.*, coalesce(len(list_filter(l, lambda o: o.t < p.track_id AND sqrt((o.x - p.x) * (o.x - p.x) + (o.y - p.y) * (o.y - p.y)) < 1.5)), 0) AS n
+FROM points p LEFT JOIN g ON g.match_id = p.match_id AND g.frame_idx = p.frame_idx) p""")
 def p17(spark, d):
     return prep.separate_collisions(tables(spark, d, "points")[0]).select("match_id", "track_id", "frame_idx", "x", "y", "conflicts")
 
@@ -223,7 +223,7 @@ def j13(spark, d):
     return out.select("match_id", "frame_idx", F.size("players").cast("long").alias("players"), F.array_join(F.transform("players", lambda p: p["track_id"].cast("string")), ",").alias("ids"), F.col("ball.x").alias("ball_x"))
 
 
-@op("j14_without_officials", "SELECT match_id, frame_idx, raw_track_id FROM players p WHERE NOT EXISTS (SELECT 1 FROM players o WHERE o.is_official AND o.match_id = p.match_id AND o.frame_idx = p.frame_idx AND o.raw_track_id = p.raw_track_id)")
+@op("j14_without_officials", "SELECT match_id, frame_idx, raw_track_id FROM (SELECT *, max(CASE WHEN is_official THEN 1 ELSE 0 END) OVER (PARTITION BY match_id, frame_idx, raw_track_id) AS o FROM players) q WHERE o = 0")
 def j14(spark, d):
     p = tables(spark, d, "players")[0]
     keys = ["match_id", "frame_idx", "raw_track_id"]

@@ -78,3 +78,10 @@ def fold_sql(source: str, keys: str, order: str, gap: int, name: str) -> str:
     return f"""{name}_w AS (SELECT {keys}, min({order}) AS {order} FROM {source} GROUP BY {keys}
 UNION ALL SELECT {', '.join('r.' + k for k in ks)}, (SELECT min(s.{order}) FROM {source} s WHERE {same} AND s.{order} >= r.{order} + {gap}) AS {order} FROM {name}_w r WHERE r.{order} IS NOT NULL),
 {name} AS (SELECT s.* FROM {source} s JOIN {name}_w w ON {' AND '.join(f's.{k} = w.{k}' for k in ks)} AND s.{order} = w.{order})"""
+
+
+def held_sql(rows: str, by: str, order: str, who: str) -> str:
+    """Holder by the last three nearest on end, else the first one."""
+    w, up_to = f"(PARTITION BY {by} ORDER BY {order})", f"(PARTITION BY {by} ORDER BY {order} ROWS UNBOUNDED PRECEDING)"
+    return f"""hq AS (SELECT *, CASE WHEN {who} = lag({who} IGNORE NULLS) OVER {w} AND {who} = lag({who}, 2 IGNORE NULLS) OVER {w} THEN {who} END AS run3 FROM {rows}),
+held3 AS (SELECT *, coalesce(last_value(run3 IGNORE NULLS) OVER {up_to}, first_value({who} IGNORE NULLS) OVER {up_to}, -1) AS holder FROM hq)"""

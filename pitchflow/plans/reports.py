@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import joins, possession, quality, reports
 from ..sources.adapter import tables
+from ..sources.shared import shared_dir
 from ..streaming import jobs
 from .events import _CHG, _EVS, _KEYED, _SEG, _SHOTS, _SIT, _SWITCH, _XGD, arriving, conflicts, events, held, segments, seq, speeds
 from .physical import player_table, r6
-from .registry import BURSTS, HELD, M, NEXT, PASSES, PHYSICAL, SEQ, SPEED, STEPS, TURNOVERS, W, carriers_sql, fold_sql, op
+from .registry import BURSTS, HELD, M, NEXT, PASSES, PHYSICAL, SEQ, SPEED, STEPS, TURNOVERS, W, carriers_sql, fold_sql, held_sql, op
 
 
 
@@ -192,8 +195,28 @@ def st3(spark, d):
     return jobs.drained(spark, jobs.possession_sessions(arriving(spark, d)), "st3")
 
 
-
-
-@op("st4_live_possession")
+@op("st4_live_possession", f"WITH {_KEYED}, {held_sql('ev', 'match_id', 'ts, track_id', 'track_id')} SELECT match_id, ts, track_id, holder FROM held3", adapted=False)
 def st4(spark, d):
     return jobs.drained(spark, jobs.live_possession(arriving(spark, d)), "st4")
+
+
+def vectors_of_events(spark, d, rows):
+    """Arriving rows with an embedding each."""
+    vectors = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = rows.withColumn("vec_id", F.pmod("event_id", F.lit(vectors.count())))
+    return rows.join(vectors, "vec_id").select("match_id", F.concat(F.lit("P"), F.col("track_id").cast("string")).alias("player_id"), "ts", "embedding")
+
+
+@op("st5_drift_alerts")
+def st5(spark, d):
+    out = jobs.drained(spark, jobs.live_drift(vectors_of_events(spark, d, arriving(spark, d))), "st5", settings=jobs.KEPT_STATE)
+    return out.groupBy("match_id", "player_id").agg(F.count("*").alias("n"), F.count_if("alert").alias("alerts"), F.count_if("reset").alias("resets"), F.round(F.min("similarity"), 5).alias("least"))
+
+
+@op("st8_resumed_ingest", f"WITH {_KEYED} SELECT match_id, count(*) AS rows, count(DISTINCT event_id) AS events, max(ts) AS last FROM ev GROUP BY 1", adapted=False)
+def st8(spark, d):
+    """The same ingest run twice over one store: the second run finds nothing new."""
+    path = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    for _ in range(2):
+        stored = jobs.ingested(spark, arriving(spark, d), path)
+    return stored.groupBy("match_id").agg(F.count("*").alias("rows"), F.count_distinct("event_id").alias("events"), F.max("ts").alias("last"))

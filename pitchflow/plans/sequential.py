@@ -9,7 +9,7 @@ from ..operators.components import components
 from ..sources.adapter import tables
 from .events import _FRAG
 from .physical import r6, stepped
-from .registry import op
+from .registry import carriers_sql, held_sql, op
 
 
 @op("p15_drop_jumps")
@@ -37,7 +37,7 @@ def p22(spark, d):
     return r6(helpers.kalman_tracks(gaps), "x", "y")
 
 
-@op("w5_possession_hysteresis")
+@op("w5_possession_hysteresis", f"WITH {carriers_sql('3')}, nr AS (SELECT b.match_id, b.frame_idx, c.carrier FROM ball b LEFT JOIN carriers c USING (match_id, frame_idx)), {held_sql('nr', 'match_id', 'frame_idx', 'carrier')} SELECT match_id, frame_idx, holder AS carrier FROM held3")
 def w5(spark, d):
     points, ball = tables(spark, d, "points", "ball")
     near = ball.select("match_id", "frame_idx").join(joins.carriers(points, ball, 3.0).select("match_id", "frame_idx", "carrier"), ["match_id", "frame_idx"], "left")
