@@ -1,10 +1,10 @@
-"""Queries of identity threads and of their review."""
+"""Queries of identity threads, of their review, and of what is shown of each player."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import threads
+from ..operators import display, threads
 from ..sources.adapter import tables
 from .registry import op
 
@@ -52,3 +52,33 @@ def i9(spark, d):
     rows, players = found(spark, d), tables(spark, d, "players")[0]
     after, _ = threads.review_edits(rows, threads.thread_events(rows), edits(rows))
     return threads.annotated(players, after, edits(rows)).groupBy("match_id", "thread_id", "player_id", "assignment_source", "thread_status").agg(F.count("*").alias("boxes"))
+
+
+_SHOWN = """kn AS (SELECT match_id, frame_idx, player_id, raw_track_id AS raw, identity_confidence AS conf, least(greatest(x2, 0), 1920) - least(greatest(x1, 0), 1920) AS w, least(greatest(y2, 0), 1080) - least(greatest(y1, 0), 1080) AS h FROM players
+WHERE NOT is_official AND player_id LIKE 'P%' AND assignment_source IN ('locked', 'revived')), fr AS (SELECT match_id, unnest(range(0, frames_processed)) AS frame_idx FROM matches),
+fc AS (SELECT fr.*, count(c.frame_idx) OVER (PARTITION BY match_id ORDER BY frame_idx) AS cuts FROM fr LEFT JOIN (SELECT match_id, frame_idx FROM motion WHERE motion_class = 'cut') c USING (match_id, frame_idx)),
+gr AS (SELECT match_id, player_id, frame_idx, cuts, raw, conf, CASE WHEN w IS NOT NULL THEN {'f': frame_idx, 'raw': raw, 'w': w, 'h': h, 'cuts': cuts} END AS own FROM (SELECT DISTINCT match_id, player_id FROM kn) q JOIN fc USING (match_id) LEFT JOIN kn USING (match_id, player_id, frame_idx)),
+pn AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY match_id, player_id ORDER BY frame_idx, raw ROWS UNBOUNDED PRECEDING) AS p, last_value(own IGNORE NULLS) OVER (PARTITION BY match_id, player_id ORDER BY frame_idx DESC, raw DESC ROWS UNBOUNDED PRECEDING) AS n FROM gr),
+s1 AS (SELECT *, coalesce(own, p, n).raw AS by_raw, (frame_idx - p.f) / (n.f - p.f) AS t, CASE WHEN own IS NOT NULL THEN 'visible' WHEN p IS NULL OR (n IS NOT NULL AND n.cuts <> p.cuts) THEN NULL WHEN n.f - p.f <= 8 THEN 'interpolated' WHEN frame_idx - p.f <= 15 AND cuts = p.cuts THEN 'held' END AS state,
+CASE WHEN p IS NULL THEN 'no_box_before' WHEN n IS NOT NULL THEN CASE WHEN n.cuts <> p.cuts THEN 'cut' ELSE 'gap_too_large' END WHEN cuts <> p.cuts THEN 'cut' ELSE 'hold_expired' END AS why FROM pn),
+s2 AS (SELECT *, CASE WHEN state = 'interpolated' THEN (p.w + (n.w - p.w) * t) * (p.h + (n.h - p.h) * t) WHEN state = 'held' THEN p.w * p.h END AS area FROM s1),
+s3 AS (SELECT s2.match_id, player_id, s2.frame_idx, by_raw, conf, CASE WHEN o.raw_track_id IS NULL AND coalesce(area, 99) >= 80 THEN state END AS state, CASE WHEN o.raw_track_id IS NOT NULL THEN 'official' WHEN state IS NULL THEN why WHEN area < 80 THEN 'empty_box' END AS reason
+FROM s2 LEFT JOIN (SELECT DISTINCT match_id, frame_idx, raw_track_id FROM players WHERE is_official) o ON o.match_id = s2.match_id AND o.frame_idx = s2.frame_idx AND o.raw_track_id = by_raw),
+s4 AS (SELECT *, row_number() OVER (PARTITION BY match_id, player_id, frame_idx ORDER BY state IS NULL, conf DESC, by_raw) AS rn FROM s3)"""
+
+
+@op("i13_candidates", f"WITH {_SHOWN} SELECT match_id, player_id, CASE WHEN rn > 1 OR state IS NULL THEN 'hidden' ELSE state END AS state, coalesce(CASE WHEN rn > 1 AND state IS NOT NULL THEN 'duplicate_id' ELSE reason END, '') AS reason, count(*) AS boxes FROM s4 GROUP BY 1, 2, 3, 4")
+def i13_candidates(spark, d):
+    found = display.candidates(*tables(spark, d, "players", "motion", "matches"))
+    return found.groupBy("match_id", "player_id", F.coalesce("state", F.lit("hidden")).alias("state"), F.coalesce("reason", F.lit("")).alias("reason")).agg(F.count("*").alias("boxes"))
+
+
+@op("i13_decisions")
+def i13(spark, d):
+    return display.decisions(display.candidates(*tables(spark, d, "players", "motion", "matches"))).where("state <> 'visible'")
+
+
+@op("a35_manifest")
+def a35(spark, d):
+    players, motion, matches = tables(spark, d, "players", "motion", "matches")
+    return display.manifest(display.decisions(display.candidates(players, motion, matches)), players, motion, matches)
