@@ -7,10 +7,10 @@ its bytes of -log2 P(byte | longest context in the tree); the shortest code wins
 A tree is sparse: sorted codes of the contexts and of the symbols seen in them, with their costs in bits; what
 wasn't seen costs the context's escape and is looked up one order lower. Order 1 is a full table of 256 x 256.
 
-Every language is learned, from ``per_lang`` training texts (distinct ones, those of the lowest hashes; of texts
-over ``max_bytes`` bytes the start, where a language has too few others) and its ``max_nodes`` most frequent contexts
-of order 2 and of order 3. A worker builds each language's tree; the driver and workers get trees of some 1.5 MB each,
-so the model grows with the number of languages alone.
+Every language is learned, from ``per_lang`` training texts (distinct and whole, those of the lowest hashes) and its ``max_nodes``
+most frequent contexts of order 2 and of order 3. Tasks count the texts they hold, Spark sums the counts and picks the contexts, and a
+worker lays out each language's tree from these alone, so that no task gathers texts. The driver and workers get trees of some
+1.5 MB each: the model grows with the number of languages alone, and one of over ``MOST_BYTES`` is refused.
 
 Cases: null text or no letter gives 'und' and score 0; rows without language teach nothing; with no
 training rows every text is 'und'; ties go to the first language by name; texts of any length are scored
@@ -24,24 +24,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import steps, text_arrays
+from ..sources.shared import remove
+from .common import steps, text_arrays, written
 
 PAD = 10  # the byte that stands before a text, three times
 LETTER = np.zeros(256, dtype=bool)
 LETTER[65:91] = LETTER[97:123] = True
+MOST_BYTES = 1 << 29  # of a model, as it is broadcast
 
 
-def training_sample(rows: DataFrame, per_lang: int = 300, max_bytes: int = 1 << 16) -> DataFrame:
+def training_sample(rows: DataFrame, per_lang: int = 300) -> DataFrame:
     """(lang, text): per_lang distinct texts of each language (all, if it has fewer), the same ones on every run."""
-    size = F.octet_length("text")
-    draw = F.xxhash64(F.lit(17), "text").bitwiseAND((1 << 61) - 1) + F.when(size > max_bytes, 1 << 61).otherwise(0)
-    rows = rows.where("lang IS NOT NULL").where(size > 0).select("lang", "text", draw.alias("_draw"))
+    rows = rows.where("lang IS NOT NULL AND text <> ''").select("lang", "text", F.xxhash64(F.lit(17), "text").alias("_draw"))
     # only hashes are shuffled, and of these a task hands on no more than per_lang for each language
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("_draw"))
     lowest = rows.select("lang", "_draw").distinct().withColumn("_rank", rank).where(F.col("_rank") <= per_lang)
     last = lowest.groupBy("lang").agg(F.max("_draw").alias("_last"))
-    drawn = rows.join(F.broadcast(last), "lang").where("_draw <= _last")
-    return drawn.select("lang", F.when(size > max_bytes, F.substring("text", 1, max_bytes // 4)).otherwise(F.col("text")).alias("text")).distinct()
+    return rows.join(last, "lang").where("_draw <= _last").select("lang", "text").distinct()
 
 
 def _padded(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,19 +51,28 @@ def _padded(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, place
 
 
-def _costs(gram: np.ndarray, n: np.ndarray, most: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of counted grams (context and symbol): those of kept contexts with the symbol's cost, the contexts with their escapes'."""
+def grams(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Each byte with the three before it in its text."""
+    padded, place = _padded(data, off)
+    b = padded.astype(np.uint32)
+    return (b[place - 3] << 24) | (b[place - 2] << 16) | (b[place - 1] << 8) | b[place]
+
+
+def _costs(gram: np.ndarray, n: np.ndarray, total: np.ndarray, kinds: np.ndarray) -> list[np.ndarray]:
+    """Of counted grams (context and symbol) of kept contexts, with the contexts' totals and kinds: grams with the symbol's cost, contexts with their escapes'."""
     order = np.argsort(gram)
-    gram, n = gram[order], n[order].astype(np.float64)
+    gram, n, total, kinds = gram[order], n[order], total[order].astype(np.float64), kinds[order]
+    ctx, first = np.unique(gram >> 8, return_index=True)
+    return [gram.astype(np.uint32), np.log2((total + kinds) / n).astype(np.float32), ctx.astype(np.uint32), np.log2((total + kinds) / kinds)[first].astype(np.float32)]
+
+
+def _kept(gram: np.ndarray, n: np.ndarray, most: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Grams of the most frequent contexts, with counts, and totals and kinds of their contexts."""
     ctx, at = np.unique(gram >> 8, return_inverse=True)
     total, kinds = np.bincount(at, weights=n, minlength=len(ctx)), np.bincount(at, minlength=len(ctx))
     keep = np.flatnonzero(total >= least)
-    keep = keep[np.lexsort((ctx[keep], -total[keep]))][:most]
-    kept = np.zeros(len(ctx), dtype=bool)
-    kept[keep] = True
-    on = kept[at]
-    cost = np.log2((total + kinds)[at] / n)
-    return gram[on].astype(np.uint32), cost[on].astype(np.float32), ctx[kept].astype(np.uint32), np.log2((total + kinds) / kinds)[kept].astype(np.float32)
+    on = np.isin(at, keep[np.lexsort((ctx[keep], -total[keep]))][:most])
+    return gram[on], n[on], total[at[on]], kinds[at[on]]
 
 
 def _summed(gram: np.ndarray, n: np.ndarray, mask: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,15 +89,18 @@ class LanguageTree:
 
     @classmethod
     def of(cls, texts: list[bytes], max_nodes: int, least: int) -> LanguageTree:
-        padded, place = _padded(*text_arrays(pa.array(texts, pa.large_binary())))
-        b = padded.astype(np.uint32)
-        gram, n = np.unique((b[place - 3] << 24) | (b[place - 2] << 16) | (b[place - 1] << 8) | b[place], return_counts=True)
-        two, one = _summed(gram, n, 0xFFFFFF), _summed(gram, n, 0xFFFF)
+        three = np.unique(grams(*text_arrays(pa.array(texts, pa.large_binary()))), return_counts=True)
+        two, one = _summed(*three, 0xFFFFFF), _summed(*three, 0xFFFF)
+        return cls.laid_out(_kept(*three, max_nodes, least), _kept(*two, max_nodes, least), one)
+
+    @classmethod
+    def laid_out(cls, three: tuple, two: tuple, one: tuple[np.ndarray, np.ndarray]) -> LanguageTree:
+        """From the kept grams of orders 3 and 2 and the counts of all pairs of bytes."""
         p = np.full(256, 1 / 256)
         for count in (np.bincount(one[0] & 255, weights=one[1], minlength=256)[None], np.bincount(one[0], weights=one[1], minlength=1 << 16).reshape(256, 256)):
             total, kinds = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True)
             p = np.where(total > 0, np.where(count > 0, count, kinds * p) / np.maximum(total + kinds, 1), p)
-        return cls([*_costs(gram, n, max_nodes, least), *_costs(*two, max_nodes, least), -np.log2(np.broadcast_to(p, (256, 256))).astype(np.float32).ravel()])
+        return cls([*_costs(*three), *_costs(*two), -np.log2(np.broadcast_to(p, (256, 256))).astype(np.float32).ravel()])
 
     def costs(self, gram: np.ndarray) -> np.ndarray:
         """Bits of the last byte of each four."""
@@ -122,9 +133,7 @@ class ContextTrees:
         out = np.zeros((len(off) - 1, len(self.langs)))
         for a, b in steps(off):
             o = off[a : b + 1] - off[a]
-            padded, place = _padded(data[off[a] : off[b]], o)
-            byte = padded.astype(np.uint32)
-            gram, at = np.unique((byte[place - 3] << 24) | (byte[place - 2] << 16) | (byte[place - 1] << 8) | byte[place], return_inverse=True)
+            gram, at = np.unique(grams(data[off[a] : off[b]], o), return_inverse=True)
             for k, tree in enumerate(self.trees):
                 sums = np.concatenate([[0.0], np.cumsum(tree.costs(gram)[at])])
                 out[a:b, k] = sums[o[1:]] - sums[o[:-1]]
@@ -142,16 +151,47 @@ def has_letter(col: pa.Array, data: np.ndarray, off: np.ndarray) -> np.ndarray:
 TREE = [("f" + str(i), kind) for i, kind in enumerate(("u4", "f4", "u4", "f4", "u4", "f4", "u4", "f4", "f4"))]
 
 
+def _counted(batches):
+    """(lang, text) to (lang, gram, n): what a batch's texts count, language by language."""
+    for batch in batches:
+        langs = batch.column(0).dictionary_encode()
+        code = langs.indices.to_numpy().astype(np.uint64)
+        data, off = text_arrays(batch.column(1))
+        for a, b in steps(off):
+            o = off[a : b + 1] - off[a]
+            both, n = np.unique((np.repeat(code[a:b], np.diff(o)) << np.uint64(32)) | grams(data[off[a] : off[b]], o), return_counts=True)
+            lang = langs.dictionary.take(pa.array((both >> np.uint64(32)).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([lang, pa.array((both & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
+
+
 def fit(rows: DataFrame, per_lang: int = 300, max_nodes: int = 12_000, least: int = 2) -> ContextTrees:
-    """Trains on the (lang, text) rows. A task builds a language's tree from its sample of bounded size; trees come to the driver."""
+    """Trains on the (lang, text) rows. Counts are summed by Spark; a task lays out a language's tree from its kept contexts, and trees come to the driver."""
+    spark = rows.sparkSession
+    three = training_sample(rows, per_lang).mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    three = written(spark, three, "grams")
+    shorter = lambda mask: three.groupBy("lang", F.col("gram").bitwiseAND(mask).alias("gram")).agg(F.sum("n").alias("n"))
+
+    def kept(counts: DataFrame, order: int) -> DataFrame:
+        own = counts.withColumn("ctx", F.shiftright("gram", 8))
+        total = own.groupBy("lang", "ctx").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where(F.col("total") >= least)
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("total"), "ctx"))
+        return own.join(total.withColumn("rank", rank).where(F.col("rank") <= max_nodes), ["lang", "ctx"]).select("lang", F.lit(order).alias("order"), "gram", "n", "total", "kinds")
+
+    none = F.lit(0).cast("long")
+    parts = kept(three, 3).unionByName(kept(shorter(0xFFFFFF), 2)).unionByName(shorter(0xFFFF).select("lang", F.lit(1).alias("order"), "gram", "n", none.alias("total"), none.alias("kinds")))
 
     def build(group: pa.Table) -> pa.Table:
-        texts = sorted(t.encode() for t in group["text"].to_pylist())
-        tree = LanguageTree.of(texts, max_nodes, least)
+        order, *columns = (group[c].to_numpy() for c in ("order", "gram", "n", "total", "kinds"))
+        of = lambda k, few: tuple(c[order == k] for c in columns[:few])
+        tree = LanguageTree.laid_out(of(3, 4), of(2, 4), of(1, 2))
         return pa.table({"lang": group["lang"][:1], **{name: pa.array([x.tobytes()], pa.binary()) for (name, _), x in zip(TREE, tree.parts, strict=True)}})
 
-    schema = "lang string, " + ", ".join(f"{name} binary" for name, _ in TREE)
-    got = training_sample(rows, per_lang).groupBy("lang").applyInArrow(build, schema).collect()
+    trees = written(spark, parts.groupBy("lang").applyInArrow(build, "lang string, " + ", ".join(f"{name} binary" for name, _ in TREE)), "trees")
+    size = trees.agg(F.sum(sum(F.octet_length(name) for name, _ in TREE))).first()[0] or 0
+    if size > MOST_BYTES:
+        raise ValueError(f"trees of all languages come to {size >> 20} MB, over {MOST_BYTES >> 20}: lower max_nodes, or check the values of lang")
+    got = trees.collect()
+    remove(spark, three, trees)
     return ContextTrees(trees={r.lang: LanguageTree([np.frombuffer(r[name], dtype=kind) for name, kind in TREE]) for r in got})
 
 

@@ -116,6 +116,24 @@ def test_language_held_out(spark):
     assert out.select(F.avg((F.col("lang") == F.col("p.lang_pred")).cast("double"))).first()[0] > 0.98
 
 
+def test_counts_by_spark_equal_those_in_memory(spark):
+    """Whole texts teach, long ones too; trees are those of all texts at once; a model too large to broadcast is refused."""
+    rng = random.Random(15)
+    texts = {"aa": [words(rng, 300) for _ in range(9)], "bb": [words(rng, 30_000) + " qqqzzz ñandú"], "cc": ["x"]}
+    rows = spark.createDataFrame([(k, t) for k, v in texts.items() for t in v for _ in range(2)], "lang string, text string").repartition(5)
+    for most in (12_000, 50):
+        got, want = langid.fit(rows, max_nodes=most), langid.ContextTrees({k: [t.encode() for t in v] for k, v in texts.items()}, max_nodes=most)
+        assert got.langs == want.langs
+        for a, b in zip(got.trees, want.trees, strict=True):
+            assert all(np.array_equal(x, y) for x, y in zip(a.parts, b.parts, strict=True))
+    before, langid.MOST_BYTES = langid.MOST_BYTES, 1000
+    try:
+        with pytest.raises(ValueError, match="over 0"):
+            langid.fit(rows)
+    finally:
+        langid.MOST_BYTES = before
+
+
 def test_filter_counts():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 2**63, 3000).astype(np.uint64)
