@@ -420,19 +420,18 @@ def cap_players(points: DataFrame, most: int = 25) -> DataFrame:
 def stitched(pieces: pd.DataFrame, gap: int = 10, metres: float = 12.0) -> pd.DataFrame:
     """Joins each fragment to the nearest next one of its team within ``gap`` frames and ``metres``; ids of the first."""
     p = pieces.sort_values(["first_seen", "track_id"]).reset_index(drop=True)
-    root, taken = list(range(len(p))), set()
+    root, taken = list(range(len(p))), np.zeros(len(p), dtype=bool)
+    track, team, first, last, x0, y0, x1, y1 = (p[c].to_numpy() for c in ("track_id", "team_id", "first_seen", "last_seen", "x0", "y0", "x1", "y1"))
+    start, end = np.searchsorted(first, last, side="right"), np.searchsorted(first, last + gap, side="right")
     for i in range(len(p)):
-        best = None
-        for j in range(len(p)):
-            d = p.first_seen[j] - p.last_seen[i]
-            if j in taken or j == i or not 0 < d <= gap or p.team_id[i] != p.team_id[j]:
-                continue
-            m = round(float(np.hypot(p.x1[i] - p.x0[j], p.y1[i] - p.y0[j])), 6)
-            if m < metres and (best is None or (m, p.track_id[j]) < best[:2]):
-                best = (m, p.track_id[j], j)
-        if best:
-            taken.add(best[2])
-            root[best[2]] = root[i]
+        j = np.arange(start[i], end[i])
+        j = j[~taken[j] & (team[j] == team[i]) & (j != i)]
+        m = np.round(np.hypot(x1[i] - x0[j], y1[i] - y0[j]), 6)
+        j, m = j[m < metres], m[m < metres]
+        if len(j):
+            best = j[np.lexsort((track[j], m))[0]]
+            taken[best] = True
+            root[best] = root[i]
     return pd.DataFrame({"match_id": p.match_id, "track_id": p.track_id, "thread": [int(p.track_id[r]) for r in root]})
 
 

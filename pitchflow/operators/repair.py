@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -119,36 +121,59 @@ def reid_merged(spark: SparkSession, pieces: DataFrame, **limits) -> DataFrame:
 # ---------------------------------------------------------------- I7
 
 
-def stitch_costs(p: pd.DataFrame, max_gap: int) -> np.ndarray:
-    """Costs of joining piece j to piece i (rows in order): colour, jump and gap; infinite if they are too far apart in time."""
+def stitch_costs(p: pd.DataFrame, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Cost of joining each piece j to its i (rows in order): colour, jump, gap and, where there is one, embedding."""
+    out = np.zeros(len(i))
     hist = np.stack(p["hist"].to_list()).astype(float) + 1e-7
-    colour = np.minimum((((hist[:, None] - hist[None]) ** 2) / (hist[:, None] + hist[None])).sum(-1) / 5.0, 1.0)
-    jump = np.hypot(p.x1.to_numpy()[:, None] - p.x0.to_numpy()[None], p.y1.to_numpy()[:, None] - p.y0.to_numpy()[None])
-    wait = p.first_seen.to_numpy()[None] - p.last_seen.to_numpy()[:, None]
-    cost = 0.30 * colour + 0.25 * np.where(jump < 8, 0.0, np.minimum((jump - 8) / 20.0, 1.0)) + 0.10 * np.minimum(np.maximum(wait, 0) / 120.0, 1.0)
-    if "embedding" in p:
-        e = np.stack(p["embedding"].to_list()).astype(float)
-        e /= np.linalg.norm(e, axis=1, keepdims=True) + 1e-6
-        cost += 0.35 * (1 - e @ e.T)
-    return np.where((wait > max_gap) | (wait.T > max_gap), np.inf, np.round(cost, 9))
+    e = np.stack(p["embedding"].to_list()).astype(float) if "embedding" in p else None
+    e = e / (np.linalg.norm(e, axis=1, keepdims=True) + 1e-6) if e is not None else None
+    x0, y0, x1, y1, first, last = (p[c].to_numpy() for c in ("x0", "y0", "x1", "y1", "first_seen", "last_seen"))
+    for k in range(0, len(i), 1 << 15):  # so many pairs' histograms at once
+        a, b = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
+        colour = np.minimum((((hist[a] - hist[b]) ** 2) / (hist[a] + hist[b])).sum(-1) / 5.0, 1.0)
+        jump = np.hypot(x1[a] - x0[b], y1[a] - y0[b])
+        cost = 0.30 * colour + 0.25 * np.where(jump < 8, 0.0, np.minimum((jump - 8) / 20.0, 1.0)) + 0.10 * np.minimum(np.maximum(first[b] - last[a], 0) / 120.0, 1.0)
+        out[k : k + len(a)] = cost + (0.35 * (1 - (e[a] * e[b]).sum(-1)) if e is not None else 0.0)
+    return np.round(out, 9)
 
 
 def stitched_ids(p: pd.DataFrame, max_gap: int = 60, team_size: int = 11, most: float = 0.60) -> list[int]:
-    """I7 for the pieces of one team: the cheapest join first, while there are more than ``team_size`` ids and it costs at most 0.60.
+    """I7 for the pieces of one team, in order of their first frames: the cheapest join first, while there are more than ``team_size`` ids and it costs at most 0.60.
 
-    Two groups cost what their cheapest pair of pieces does, seen from the group that comes first, and take its id.
+    Two groups cost what their cheapest pair of pieces does, seen from the group that comes first, and take its id. Only pairs that lie
+    within ``max_gap`` frames of each other have a cost; a heap holds them.
     """
     n = len(p)
-    root, cost = np.arange(n), stitch_costs(p, max_gap)
-    later = np.triu(np.ones((n, n), dtype=bool), 1)
-    alive = np.ones(n, dtype=bool)
-    while alive.sum() > team_size:
-        open_ = np.where(later & alive[:, None] & alive, cost, np.inf)
-        a, b = divmod(int(open_.argmin()), n)
-        if open_[a, b] > most:
+    first, last = p.first_seen.to_numpy(), p.last_seen.to_numpy()
+    till = np.searchsorted(first, last + max_gap, side="right")
+    many = np.maximum(till - np.arange(n) - 1, 0)
+    i = np.repeat(np.arange(n), many)
+    j = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many) + i + 1
+    ahead: list[dict[int, float]] = [{} for _ in range(n)]  # what a group costs seen from the one before
+    behind: list[dict[int, float]] = [{} for _ in range(n)]
+    for a, b, there, back in zip(i.tolist(), j.tolist(), stitch_costs(p, i, j).tolist(), stitch_costs(p, j, i).tolist(), strict=True):
+        ahead[a][b] = behind[b][a] = there
+        ahead[b][a] = behind[a][b] = back
+    heap = [(c, a, b) for a in range(n) for b, c in ahead[a].items() if a < b]
+    heapq.heapify(heap)
+    root, alive, left = list(range(n)), [True] * n, n
+    while left > team_size and heap:
+        c, a, b = heapq.heappop(heap)
+        if c > most:
             break
-        root[root == b], alive[b] = a, False
-        cost[a], cost[:, a] = np.minimum(cost[a], cost[b]), np.minimum(cost[:, a], cost[:, b])
+        if not (alive[a] and alive[b]) or ahead[a].get(b) != c:
+            continue
+        alive[b], root[b], left = False, a, left - 1
+        for mine, theirs in ((ahead, behind), (behind, ahead)):
+            for other, cost in mine[b].items():
+                if alive[other] and other != a and cost < mine[a].get(other, np.inf):
+                    mine[a][other] = theirs[other][a] = cost
+                    x, y = (a, other) if mine is ahead else (other, a)
+                    if x < y:
+                        heapq.heappush(heap, (cost, x, y))
+        ahead[b], behind[b] = {}, {}
+    for k in range(n):  # a group's id is that of the group that took it in
+        root[k] = root[root[k]] if root[k] < k else k
     return [int(p.track_id.iloc[r]) for r in root]
 
 
@@ -165,23 +190,74 @@ def stitched(pieces: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- I3
 
 
+class Identities:
+    """The boxes of a match by player, and the first violation of each: an id on two boxes of a frame, a gap over 150 frames, or over 60 px a frame.
+
+    A change touches the players that it names; the others' first violations stand.
+    """
+
+    def __init__(self, rows: pd.DataFrame):
+        r = rows.sort_values(["frame_idx", "raw_track_id"], kind="stable")
+        self.index, self.frame, self.official = r.index.to_numpy(), r.frame_idx.to_numpy(), r.is_official.to_numpy(dtype=bool)
+        self.x, self.y = r.cx.to_numpy(dtype=float), r.cy.to_numpy(dtype=float)
+        known = np.flatnonzero(r.player_id.notna().to_numpy())
+        names, code = np.unique(r.player_id.to_numpy()[known].astype(str), return_inverse=True)
+        order = np.argsort(code, kind="stable")
+        self.of = dict(zip(names.tolist(), np.split(known[order], np.cumsum(np.bincount(code, minlength=len(names)))[:-1]), strict=True)) if len(names) else {}
+        self.first = {name: self.checked(own) for name, own in self.of.items()}
+
+    def checked(self, own: np.ndarray) -> tuple[tuple[float, str], tuple[float, str]]:
+        """Places in the order of frames of a player's first double box, and of its first gap or speed."""
+        own = own[~self.official[own]]
+        f = self.frame[own]
+        twice = np.flatnonzero(f[1:] == f[:-1]) + 1
+        double = (np.inf, "")
+        if len(twice):
+            early, late = own[np.searchsorted(f, f[twice[0]])], own[twice[0]]
+            double = (int(late), "raw_id_collision" if np.hypot(self.x[late] - self.x[early], self.y[late] - self.y[early]) < 10 else "duplicate_id")
+        one = np.delete(own, twice)
+        dt = np.diff(self.frame[one])
+        moved = np.flatnonzero((dt > 150) | (np.hypot(np.diff(self.x[one]), np.diff(self.y[one])) / dt > 60))
+        return double, ((int(one[moved[0] + 1]), "gap" if dt[moved[0]] > 150 else "speed") if len(moved) else (np.inf, ""))
+
+    def violation(self) -> str | None:
+        """The first of all, in the order of frames; a double box comes before a move in its frame."""
+        double = min((d for d, _ in self.first.values()), default=(np.inf, ""))
+        moved = min((m for _, m in self.first.values()), default=(np.inf, ""))
+        if double[0] < np.inf and (moved[0] == np.inf or self.frame[double[0]] <= self.frame[moved[0]]):
+            return double[1]
+        return moved[1] or None
+
+    def tried(self, start: float, end: float, a: str, b: str | None) -> str | None:
+        """Moves a's boxes in these frames to b and b's to a (without b: to nobody), if no violation comes of it; else tells the violation."""
+        none = np.zeros(0, np.int64)
+        own = {name: self.of.get(name, none) for name in (a, b) if name}
+        inside = {name: (self.frame[rows] >= start) & (self.frame[rows] <= end) for name, rows in own.items()}
+        before = {name: (self.of.get(name), self.first.get(name)) for name in own}
+        for name, other in ((a, b), (b, a)):
+            if name:
+                gets = own[other][inside[other]] if other and a != b else own[name][inside[name]] if a == b else none
+                self.of[name] = np.sort(np.concatenate([own[name][~inside[name]], gets]))
+                self.first[name] = self.checked(self.of[name])
+        why = self.violation()
+        if why:
+            for name, (rows, first) in before.items():
+                if rows is None:
+                    del self.of[name], self.first[name]
+                else:
+                    self.of[name], self.first[name] = rows, first
+        return why
+
+    def ids(self) -> pd.Series:
+        out = pd.Series([None] * len(self.index), index=self.index, dtype=object)
+        for name, own in self.of.items():
+            out.loc[self.index[own]] = name
+        return out
+
+
 def violation(rows: pd.DataFrame) -> str | None:
     """The first of these in the order of frames: an id on two boxes under 10 px apart, or further apart; a gap over 150 frames; over 60 px a frame."""
-    r = rows[rows.player_id.notna() & ~rows.is_official].sort_values(["frame_idx", "raw_track_id"])
-    twice = r.duplicated(["frame_idx", "player_id"]).to_numpy()
-    first_twice = int(twice.argmax()) if twice.any() else -1
-    one = r[~twice]
-    before = one.groupby("player_id", sort=False)[["frame_idx", "cx", "cy"]].shift()
-    dt = (one.frame_idx - before.frame_idx).to_numpy()
-    with np.errstate(invalid="ignore"):
-        fast = np.hypot(one.cx - before.cx, one.cy - before.cy).to_numpy() / dt > 60
-    moved = np.flatnonzero((dt > 150) | fast)
-    frames = one.frame_idx.to_numpy()
-    if first_twice >= 0 and (not len(moved) or r.frame_idx.iloc[first_twice] <= frames[moved[0]]):
-        late = r.iloc[first_twice]
-        early = r[(r.frame_idx == late.frame_idx) & (r.player_id == late.player_id)].iloc[0]
-        return "raw_id_collision" if np.hypot(late.cx - early.cx, late.cy - early.cy) < 10 else "duplicate_id"
-    return ("gap" if dt[moved[0]] > 150 else "speed") if len(moved) else None
+    return Identities(rows.reset_index(drop=True)).violation()
 
 
 def patched(rows: pd.DataFrame, patches: pd.DataFrame) -> tuple[pd.DataFrame, list[tuple]]:
@@ -189,23 +265,17 @@ def patched(rows: pd.DataFrame, patches: pd.DataFrame) -> tuple[pd.DataFrame, li
     rows, out = rows.reset_index(drop=True), []
     keepers = set(rows.player_id[rows.role == "goalkeeper"].dropna())
     officials = set(rows.player_id[rows.is_official].dropna())
+    held = Identities(rows)
     for p in patches.sort_values("patch").itertuples():
         pids = {x for x in (p.pid_a, p.pid_b) if isinstance(x, str)}
         why = "low_confidence" if p.confidence < 0.75 else "official" if pids & officials else "keeper" if p.action == "swap" and len(pids & keepers) == 1 else None
         if not why:
-            new = rows.copy()
             last = np.inf if pd.isna(p.apply_to) else p.apply_to
-            when = (new.frame_idx >= p.apply_from) & (new.frame_idx <= last)
-            a, b = when & (new.player_id == p.pid_a), when & (new.player_id == p.pid_b)
-            if p.action == "swap":
-                new.loc[a, "player_id"], new.loc[b, "player_id"] = p.pid_b, p.pid_a
-            elif p.action in ("mark_unknown", "reject_revival", "suppress"):
-                new.loc[a, "player_id"] = None
-            why = violation(new)
-            if not why:
-                rows = new
+            other = p.pid_b if p.action == "swap" and isinstance(p.pid_b, str) else None
+            known = p.action in ("swap", "mark_unknown", "reject_revival", "suppress") and isinstance(p.pid_a, str)
+            why = held.tried(p.apply_from, last, p.pid_a, other) if known else held.violation()
         out.append((p.match_id, p.patch, p.action, why is None, why))
-    return rows, out
+    return rows.assign(player_id=held.ids()), out
 
 
 def patch_log(rows: DataFrame, patches: DataFrame) -> DataFrame:
