@@ -117,6 +117,66 @@ def votes(near: DataFrame, reach: int = 6) -> DataFrame:
     return n.groupBy(*FRAME).agg(F.max(F.struct("votes", (-F.col("carrier")).alias("c"))).alias("m")).select(*FRAME, (-F.col("m.c")).alias("carrier"), F.col("m.votes").alias("votes"))
 
 
+def smoothed_carriers(rows: DataFrame, reach: int = 6, margin: int = 3) -> DataFrame:
+    """The carrier by votes of the frames within ``reach``, with hysteresis: the ball changes hands if another has ``margin`` votes more than the carrier last had.
+
+    rows: match_id, frame_idx, carrier (null: none), confidence, missing (the ball wasn't seen: no vote); one a frame. Ties of votes go to who votes first.
+    Adds smooth_carrier, smooth_confidence, votes and switched. A confidence is the carrier's mean in the window, less if it has under half of the votes; where
+    a carrier is kept against the vote, its mean times its share, or if it has no vote half of the other's, 0.30 at least.
+
+    Frames whose winner and votes are those of the frame before can't change the state, so what is folded is one row for each run of such frames.
+    """
+    own = rows.select(*FRAME, "carrier", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("missing", F.lit(False)).alias("missing"))
+    cast = own.where("carrier IS NOT NULL AND NOT missing").select("match_id", "carrier", "confidence", F.col("frame_idx").alias("_at"), F.explode(F.sequence(F.col("frame_idx") - reach, F.col("frame_idx") + reach)).alias("frame_idx"))
+    tally = cast.groupBy(*FRAME, "carrier").agg(F.count("*").alias("votes"), F.sum("confidence").alias("total"), F.min("_at").alias("first")).join(own.select(*FRAME), FRAME, "left_semi")
+    best = tally.groupBy(*FRAME).agg(F.min(F.struct((-F.col("votes")).alias("v"), "first", "carrier", "total")).alias("m"), F.sum("votes").alias("voters"))
+    votes, share = -F.col("m.v"), -F.col("m.v") / F.col("voters")
+    sure = F.col("m.total") / votes
+    won = own.join(best, FRAME, "left").select(*FRAME, "carrier", "confidence", F.col("m.carrier").alias("winner"), F.coalesce(votes, F.lit(0).cast("long")).alias("winner_votes"), F.when(share >= 0.5, sure).otherwise(sure * 2 * share).alias("winner_confidence"), "voters")
+    w = over_match()
+    same = F.col("winner").isNotNull() & F.col("winner").eqNullSafe(F.lag("winner").over(w)) & (F.col("winner_votes") == F.lag("winner_votes").over(w))
+    won = with_run(won, ["match_id"], "frame_idx", ~same)
+    runs = won.groupBy("match_id", "run").agg(F.min("frame_idx").alias("frame_idx"), F.first("winner").alias("winner"), F.first("winner_votes").alias("winner_votes"), F.min_by("carrier", "frame_idx").alias("carrier"))
+
+    def code(p):
+        import pandas as pd
+
+        p = p.sort_values("run")
+        held, had, out = None, 0, []
+        for winner, n, raw in zip(p.winner, p.winner_votes, p.carrier, strict=True):
+            took = False
+            if pd.isna(winner):
+                held, n = held if held is not None else None if pd.isna(raw) else int(raw), 0
+            elif held is None or int(winner) == held or n >= had + margin:
+                took, held = held != int(winner), int(winner)
+            else:
+                n = had
+            had = int(n) if held is not None else had
+            out.append((held, int(n), took))
+        got = pd.DataFrame(out, columns=["smooth_carrier", "votes", "took"]).astype({"smooth_carrier": "Int64"})
+        return pd.concat([p[["match_id", "run"]].reset_index(drop=True), got], axis=1)
+
+    folded = runs.groupBy("match_id").applyInPandas(code, "match_id string, run long, smooth_carrier long, votes long, took boolean")
+    out = won.join(folded, ["match_id", "run"]).join(runs.select("match_id", "run", F.col("frame_idx").alias("_from")), ["match_id", "run"])
+    mine = tally.select(*FRAME, F.col("carrier").alias("smooth_carrier"), F.col("votes").alias("_n"), F.col("total").alias("_total"))
+    out = out.join(mine, [*FRAME, "smooth_carrier"], "left")
+    confidence = (
+        F.when(F.col("winner").isNull(), F.col("confidence")).when(F.col("winner") == F.col("smooth_carrier"), F.col("winner_confidence"))
+        .when(F.col("_n").isNotNull(), F.col("_total") / F.col("voters")).otherwise(F.greatest(F.lit(0.30), F.col("winner_confidence") * 0.5))
+    )
+    return out.select(*FRAME, "carrier", "smooth_carrier", F.round(confidence, 4).alias("smooth_confidence"), "votes", (F.col("took") & (F.col("frame_idx") == F.col("_from"))).alias("switched"))
+
+
+def smoothing_report(smoothed: DataFrame) -> DataFrame:
+    """Frames, frames with a carrier, changes of carrier before and after smoothing, and the share of them that is gone."""
+    w = over_match()
+    before = F.last("carrier", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    had = F.last("smooth_carrier", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = smoothed.withColumn("_raw", before.isNotNull() & (F.col("carrier") != before)).withColumn("_new", F.col("switched") & had.isNotNull())
+    out = rows.groupBy("match_id").agg(F.count("*").alias("frames"), F.count("smooth_carrier").alias("with_carrier"), F.count_if("_raw").alias("changes"), F.count_if("_new").alias("smooth_changes"))
+    return out.withColumn("reduction", F.when(F.col("changes") > 0, F.round(1 - F.col("smooth_changes") / F.col("changes"), 3)).otherwise(0.0))
+
+
 def stationary(speeds: DataFrame, limit: float = 0.3, least: int = 20) -> DataFrame:
     """Runs of rows under 0.3 m/s; a run ends at the next faster row, or one after its last."""
     w = over_match()

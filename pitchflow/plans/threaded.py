@@ -1,10 +1,10 @@
-"""Queries of identity threads, of their review, and of what is shown of each player."""
+"""Queries of identity threads, of their review, of what is shown of each player, of velocities and of smoothed carriers."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import display, threads
+from ..operators import display, joins, possession, threads, velocity
 from ..sources.adapter import tables
 from .registry import op
 
@@ -82,3 +82,39 @@ def i13(spark, d):
 def a35(spark, d):
     players, motion, matches = tables(spark, d, "players", "motion", "matches")
     return display.manifest(display.decisions(display.candidates(players, motion, matches)), players, motion, matches)
+
+
+def velocities(spark, d):
+    """Boxes around places on the pitch; some places are unknown, some approximate, and a few boxes jump."""
+    points, tracks = tables(spark, d, "points", "tracks")
+    f = F.col("frame_idx")
+    x, y = 16 * F.col("x") + F.when(f % 53 == 52, 900.0).otherwise(0.0), 10 * F.col("y") + 200
+    world = [F.when(f % 11 != 10, F.col(c)).alias(f"world_{c}") for c in ("x", "y")]
+    boxes = points.select("match_id", "track_id", "frame_idx", (f / 25.0).alias("at"), (x - 12).alias("x1"), (y - 30).alias("y1"), (x + 12).alias("x2"), (y + 30).alias("y2"), *world, (f % 13 == 12).alias("approximate"))
+    return velocity.velocities(boxes, tracks.select("match_id", "track_id", "team_id", F.col("hits").alias("detections"), (F.col("track_id") == 21).alias("is_staff")))
+
+
+@op("a4_velocities")
+def a4(spark, d):
+    return velocities(spark, d)
+
+
+@op("a4_team_velocities")
+def a4_teams(spark, d):
+    return velocity.team_velocities(velocities(spark, d))
+
+
+def smoothed(spark, d):
+    points, ball = tables(spark, d, "points", "ball")
+    near = ball.select("match_id", "frame_idx", "source").join(joins.carriers(points, ball, 3.0).select("match_id", "frame_idx", "carrier", "d"), ["match_id", "frame_idx"], "left")
+    return possession.smoothed_carriers(near.select("match_id", "frame_idx", "carrier", (1 - F.col("d") / 4).alias("confidence"), (F.col("source") == "kalman_prediction").alias("missing")))
+
+
+@op("w6_smoothed_carriers")
+def w6_smoothed(spark, d):
+    return smoothed(spark, d)
+
+
+@op("w6_smoothing_report")
+def w6_report(spark, d):
+    return possession.smoothing_report(smoothed(spark, d))
