@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import distance, iou
@@ -10,7 +10,7 @@ from .joins import FRAME, frame_pairs, fragments_to_merge
 from .runs import with_run
 
 #: Conflict types and their severity.
-SEVERITY = {"team_flip": "critical", "keeper_to_outfield": "high", "duplicate_id": "critical", "overlap": "medium", "jump": "high", "speed": "medium", "source_downgrade": "low", "teleport": "high"}
+SEVERITY = {"team_flip": "critical", "keeper_to_outfield": "high", "duplicate_id": "critical", "overlap": "medium", "jump": "high", "speed": "medium", "source_downgrade": "low", "teleport": "high", "relock": "low"}
 
 
 def player_changes(players: DataFrame, motion: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def player_changes(players: DataFrame, motion: DataFrame) -> DataFrame:
     known = known.join(motion.select(*FRAME, "dx", "dy"), FRAME, "left")
     w = Window.partitionBy("match_id", "player_id").orderBy("frame_idx", "raw_track_id")
     lag = lambda c: F.lag(c).over(w)
-    rows = known.withColumns({"p_frame": lag("frame_idx"), "p_raw": lag("raw_track_id"), "p_team": lag("team_id"), "p_role": lag("role"), "p_source": lag("assignment_source"), "px": lag("cx"), "py": lag("cy")})
+    rows = known.withColumns({"p_frame": lag("frame_idx"), "p_raw": lag("raw_track_id"), "p_team": lag("team_id"), "p_role": lag("role"), "p_source": lag("assignment_source"), "px": lag("cx"), "py": lag("cy"), "boxes": F.count("*").over(Window.partitionBy(*FRAME, "player_id"))})
     rows = rows.where("p_frame < frame_idx").withColumn("dt", F.col("frame_idx") - F.col("p_frame"))
     rows = rows.withColumn("moved", distance("cx", "cy", F.col("px") + F.coalesce("dx", F.lit(0.0)), F.col("py") + F.coalesce("dy", F.lit(0.0))))
     rank = lambda c: F.when(F.col(c) == "locked", 3).when(F.col(c) == "revived", 2).when(F.col(c) == "provisional", 1).otherwise(0)
@@ -30,6 +30,7 @@ def player_changes(players: DataFrame, motion: DataFrame) -> DataFrame:
         F.when(F.col("team_id") != F.col("p_team"), "team_flip"), F.when((F.col("p_role") == "goalkeeper") & (F.col("role") != "goalkeeper"), "keeper_to_outfield"),
         F.when(F.col("moved") > 150, "jump"), F.when(F.col("moved") / F.col("dt") > 60, "speed"), F.when((rank("p_source") == 3) & (rank("assignment_source") == 0), "source_downgrade"),
         F.when((F.col("raw_track_id") != F.col("p_raw")) & (F.col("moved") > 75), "teleport"),
+        F.when((F.col("p_source") == "revived") & (F.col("assignment_source") == "locked") & (F.col("dt") <= 10), "relock"),
     ))
     return rows.withColumn("kinds", kinds)
 
@@ -99,13 +100,42 @@ def merge_candidates(pieces: DataFrame, max_gap: int = 120, metres_per_frame: fl
     return met.where((F.col("ta") == F.col("tb")) & (F.col("metres") <= metres_per_frame * F.greatest(F.col("gap"), F.lit(1)))).select("match_id", "a", "b", "gap", "metres")
 
 
+def cosine(a: str, b: str) -> Column:
+    """Cosine of two vectors; shorter ones count as filled with zeros, a zero vector is like none."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: F.coalesce(u, F.lit(0.0)) * F.coalesce(v, F.lit(0.0))), F.lit(0.0), lambda acc, v: acc + v)
+    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)) + 1e-8)
+
+
+def alike(pieces: DataFrame, max_gap: int = 120, least: float = 0.65, pixels_per_frame: float = 80.0) -> DataFrame:
+    """I4: (match_id, a, b, gap, similarity) of pieces where b starts at most ``max_gap`` frames after a's end, looks alike and can be reached.
+
+    pieces: match_id, track_id, first_seen, last_seen, fx, fy, lx, ly (first and last centres in px), embedding (null: like none). Pairs meet by blocks of
+    frames, so a piece meets those that start within reach of its end; vectors are compared there alone.
+    """
+    met = fragments_to_merge(pieces.where("embedding IS NOT NULL").select("match_id", "track_id", "first_seen", "last_seen"), max_gap)
+    a = pieces.select("match_id", F.col("track_id").alias("a"), F.col("lx").alias("ax"), F.col("ly").alias("ay"), F.col("embedding").alias("ea"))
+    b = pieces.select("match_id", F.col("track_id").alias("b"), F.col("fx").alias("bx"), F.col("fy").alias("by"), F.col("embedding").alias("eb"))
+    rows = met.join(a, ["match_id", "a"]).join(b, ["match_id", "b"])
+    near = (F.col("gap") <= 0) | (distance("ax", "ay", "bx", "by") / F.col("gap") <= pixels_per_frame)
+    return rows.where(near).withColumn("similarity", cosine("ea", "eb")).where(F.col("similarity") >= least).select("match_id", "a", "b", "gap", "similarity")
+
+
+def global_ids(spark: SparkSession, pieces: DataFrame, **limits) -> DataFrame:
+    """I4: each piece's global id in its match: links followed, components numbered from 1 by their least piece."""
+    from .components import components
+
+    roots = components(spark, alike(pieces, **limits)).withColumnRenamed("node", "track_id")
+    out = pieces.select("match_id", "track_id").join(roots, ["match_id", "track_id"], "left").withColumn("root", F.coalesce("root", "track_id"))
+    return out.withColumn("global_id", F.dense_rank().over(Window.partitionBy("match_id").orderBy("root")).cast("long")).select("match_id", "track_id", "root", "global_id")
+
+
 def physical_gate(rows: DataFrame) -> DataFrame:
     """The first failing code of official, team flip, speed (650 px/s), jump scaled by the gap, double occupancy; null if none."""
     gap = F.col("dt")
     limit = 300 + 15 * F.least(gap - 1, F.lit(10))
     code = (
         F.when(F.col("is_official"), "official").when(F.col("team_id") != F.col("p_team"), "team_flip").when(F.col("moved") / (gap / 25.0) > 650, "speed")
-        .when(F.col("moved") > limit, "jump").when(F.col("raw_track_id") != F.col("p_raw"), "other_track")
+        .when(F.col("moved") > limit, "jump").when(F.col("boxes") > 1, "double_occupancy")
     )
     return rows.withColumn("gate", code)
 

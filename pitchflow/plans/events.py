@@ -340,13 +340,14 @@ def e14(spark, d):
 
 
 _CHG = """kn AS (SELECT p.*, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy, coalesce(m.dx, 0) AS mdx, coalesce(m.dy, 0) AS mdy FROM players p LEFT JOIN motion m ON m.match_id = p.match_id AND m.frame_idx = p.frame_idx WHERE player_id IS NOT NULL AND NOT is_official),
-ch0 AS (SELECT *, lag(frame_idx) OVER w AS pf, lag(raw_track_id) OVER w AS praw, lag(team_id) OVER w AS pteam, lag(role) OVER w AS prole, lag(assignment_source) OVER w AS psrc, lag(cx) OVER w AS px, lag(cy) OVER w AS py FROM kn WINDOW w AS (PARTITION BY match_id, player_id ORDER BY frame_idx, raw_track_id)),
+ch0 AS (SELECT *, lag(frame_idx) OVER w AS pf, lag(raw_track_id) OVER w AS praw, lag(team_id) OVER w AS pteam, lag(role) OVER w AS prole, lag(assignment_source) OVER w AS psrc, lag(cx) OVER w AS px, lag(cy) OVER w AS py, count(*) OVER (PARTITION BY match_id, player_id, frame_idx) AS boxes FROM kn WINDOW w AS (PARTITION BY match_id, player_id ORDER BY frame_idx, raw_track_id)),
 ch AS (SELECT *, frame_idx - pf AS dt, sqrt((cx - (px + mdx)) * (cx - (px + mdx)) + (cy - (py + mdy)) * (cy - (py + mdy))) AS moved FROM ch0 WHERE pf < frame_idx),
 conf AS (SELECT match_id, frame_idx, player_id, 'duplicate_id' AS conflict FROM kn GROUP BY 1, 2, 3 HAVING count(*) > 1
 UNION ALL SELECT a.match_id, a.frame_idx, a.player_id, 'overlap' FROM kn a JOIN kn b ON a.match_id = b.match_id AND a.frame_idx = b.frame_idx AND a.raw_track_id < b.raw_track_id WHERE greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) / (2880e0 - greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0)) > 0.30
 UNION ALL SELECT match_id, frame_idx, player_id, 'team_flip' FROM ch WHERE team_id <> pteam UNION ALL SELECT match_id, frame_idx, player_id, 'keeper_to_outfield' FROM ch WHERE prole = 'goalkeeper' AND role <> 'goalkeeper'
 UNION ALL SELECT match_id, frame_idx, player_id, 'jump' FROM ch WHERE moved > 150 UNION ALL SELECT match_id, frame_idx, player_id, 'speed' FROM ch WHERE moved / dt > 60
-UNION ALL SELECT match_id, frame_idx, player_id, 'source_downgrade' FROM ch WHERE psrc = 'locked' AND assignment_source = 'unassigned' UNION ALL SELECT match_id, frame_idx, player_id, 'teleport' FROM ch WHERE raw_track_id <> praw AND moved > 75)"""
+UNION ALL SELECT match_id, frame_idx, player_id, 'source_downgrade' FROM ch WHERE psrc = 'locked' AND assignment_source = 'unassigned' UNION ALL SELECT match_id, frame_idx, player_id, 'teleport' FROM ch WHERE raw_track_id <> praw AND moved > 75
+UNION ALL SELECT match_id, frame_idx, player_id, 'relock' FROM ch WHERE psrc = 'revived' AND assignment_source = 'locked' AND dt <= 10)"""
 _SEV = "CASE conflict " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in identity.SEVERITY.items()) + " END"
 
 
@@ -391,7 +392,7 @@ def i4(spark, d):
     return identity.merge_candidates(identity.fragments(tables(spark, d, "players")[0]))
 
 
-@op("i10_physical_gate", f"WITH {_CHG} SELECT match_id, frame_idx, player_id, raw_track_id, CASE WHEN is_official THEN 'official' WHEN team_id <> pteam THEN 'team_flip' WHEN moved / (dt / 25e0) > 650 THEN 'speed' WHEN moved > 300 + 15 * least(dt - 1, 10) THEN 'jump' WHEN raw_track_id <> praw THEN 'other_track' END AS gate FROM ch")
+@op("i10_physical_gate", f"WITH {_CHG} SELECT match_id, frame_idx, player_id, raw_track_id, CASE WHEN is_official THEN 'official' WHEN team_id <> pteam THEN 'team_flip' WHEN moved / (dt / 25e0) > 650 THEN 'speed' WHEN moved > 300 + 15 * least(dt - 1, 10) THEN 'jump' WHEN boxes > 1 THEN 'double_occupancy' END AS gate FROM ch")
 def i10(spark, d):
     return identity.physical_gate(identity.player_changes(*tables(spark, d, "players", "motion"))).select("match_id", "frame_idx", "player_id", "raw_track_id", "gate")
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import display, joins, possession, threads, velocity
+from ..operators import display, identity, joins, possession, threads, velocity
 from ..sources.adapter import tables
+from .events import _FRAG
 from .registry import op
 
 
@@ -118,3 +119,33 @@ def w6_smoothed(spark, d):
 @op("w6_smoothing_report")
 def w6_report(spark, d):
     return possession.smoothing_report(smoothed(spark, d))
+
+
+_ALIKE = f"""{_FRAG}, ev AS (SELECT vec_id, embedding, count(*) OVER () AS n FROM embeddings), fe AS (SELECT f.*, list_transform(list_zip(a.embedding, b.embedding), lambda p: (3 * CAST(p[1] AS DOUBLE) + CAST(p[2] AS DOUBLE)) / 4) AS e
+FROM frag f JOIN ev a ON a.vec_id = (f.raw_track_id % 100) % a.n JOIN ev b ON b.vec_id = f.track_id % b.n), al AS (SELECT a.match_id, a.track_id AS a, b.track_id AS b, b.first_seen - a.last_seen AS gap,
+list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[1] * p[2])) / (sqrt(list_sum(list_transform(a.e, lambda v: v * v))) * sqrt(list_sum(list_transform(b.e, lambda v: v * v))) + 1e-8) AS similarity
+FROM fe a JOIN fe b ON a.match_id = b.match_id AND a.track_id <> b.track_id AND b.first_seen - a.last_seen BETWEEN 0 AND 120
+WHERE b.first_seen = a.last_seen OR sqrt((16 * (a.x1 - b.x0)) * (16 * (a.x1 - b.x0)) + (12 * (a.y1 - b.y0)) * (12 * (a.y1 - b.y0))) / (b.first_seen - a.last_seen) <= 80)"""
+
+
+def embedded(spark, d):
+    """Track pieces with a vector each: mostly their player's, some of their own."""
+    pieces = identity.fragments(tables(spark, d, "players")[0])
+    vectors = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    n = vectors.count()
+    own, other = vectors.withColumnsRenamed({"vec_id": "va", "e": "ea"}), vectors.withColumnsRenamed({"vec_id": "vb", "e": "eb"})
+    rows = pieces.withColumns({"va": F.col("raw_track_id") % 100 % n, "vb": F.col("track_id") % n}).join(own, "va").join(other, "vb")
+    mixed = F.zip_with("ea", "eb", lambda a, b: (3 * a + b) / 4)
+    return rows.select("match_id", "track_id", "first_seen", "last_seen", (16 * F.col("x0")).alias("fx"), (12 * F.col("y0")).alias("fy"), (16 * F.col("x1")).alias("lx"), (12 * F.col("y1")).alias("ly"), mixed.alias("embedding"))
+
+
+@op("i4_alike_pieces", f"WITH {_ALIKE} SELECT match_id, a, b, gap, round(similarity, 6) AS similarity FROM al WHERE similarity >= 0.65")
+def i4_alike(spark, d):
+    return identity.alike(embedded(spark, d)).withColumn("similarity", F.round("similarity", 6))
+
+
+@op("i4_global_ids", f"""WITH {_ALIKE}, bo AS (SELECT match_id, a, b FROM al WHERE similarity >= 0.65 UNION SELECT match_id, b, a FROM al WHERE similarity >= 0.65),
+rc AS (SELECT match_id, a AS node, a AS r FROM bo UNION SELECT rc.match_id, rc.node, bo.b FROM rc JOIN bo ON bo.match_id = rc.match_id AND bo.a = rc.r), ro AS (SELECT match_id, node, min(r) AS root FROM rc GROUP BY 1, 2)
+SELECT f.match_id, f.track_id, coalesce(root, f.track_id) AS root, dense_rank() OVER (PARTITION BY f.match_id ORDER BY coalesce(root, f.track_id)) AS global_id FROM frag f LEFT JOIN ro ON ro.match_id = f.match_id AND ro.node = f.track_id""")
+def i4_global(spark, d):
+    return identity.global_ids(spark, embedded(spark, d))

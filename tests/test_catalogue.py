@@ -9,7 +9,7 @@ import pytest
 from pitchflow.plans.catalogue import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events".split()
+TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
 
 
 def cell(v):

@@ -91,9 +91,9 @@ def test_velocities_against_a_walk(spark):
 def test_sprints_against_a_walk():
     """A sprint starts from a quiet second, so smoothed speeds have few: here speeds change at once."""
     rng, counts = random.Random(7), Counter()
-    for _ in range(200):
+    for _ in range(60):
         at, speed, v = [0.0], [1.0], 1.0
-        for _ in range(rng.randrange(0, 600)):
+        for _ in range(rng.randrange(0, 5000)):
             v = rng.choice([1.0, 1.0, 3.9, 4.2, 5.0, 7.5, 9.0]) if rng.random() < 0.04 else v
             at.append(at[-1] + rng.choice([0.0, 0.04, 0.04, 0.04, 0.2]))
             speed.append(v + rng.random() / 10)
@@ -101,7 +101,7 @@ def test_sprints_against_a_walk():
         got = velocity.sprints(np.array(speed), np.array(at))
         counts[len(want)] += 1
         assert len(got) == min(len(want), 5) and sorted(map(tuple, got)) == sorted(sorted(map(tuple, want), key=lambda s: -s[2])[:5])
-    assert counts[1] > 5 and sum(n for k, n in counts.items() if k > 5) > 5
+    assert sum(n for k, n in counts.items() if 0 < k < 6) > 5 and sum(n for k, n in counts.items() if k > 5) > 5
 
 
 def smoothed_plain(rows):
