@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..operators import identity, physical, possession, quality, tactics
-from ..sources.adapter import tables
+from ..sources.adapter import base_once, tables
 from ..streaming import jobs
 from .physical import player_table, r6
 from .registry import BURSTS, HELD, M, NEXT, PASSES, PHYSICAL, SEQ, SPEED, STEPS, TURNOVERS, carriers_sql, fold_sql, op
@@ -127,6 +127,7 @@ _PRESS = f"pr0 AS (SELECT p.match_id, p.frame_idx, p.track_id, p.team_id, p.x, h
 
 
 @op("e6_press_actions", f"WITH {HELD}, {_PRESS} SELECT match_id, frame_idx, track_id, team_id, x, cx FROM press")
+@base_once
 def e6(spark, d):
     return possession.press_actions(tables(spark, d, "points")[0], held(spark, d)).select("match_id", "frame_idx", "track_id", "team_id", "x", "cx")
 
@@ -134,6 +135,7 @@ def e6(spark, d):
 @op("e6_ppda", f"""WITH {HELD}, {_PRESS}, hp AS (SELECT *, lag(carrier) OVER {M}) AS pc, lag(team_id) OVER {M}) AS pt FROM held), p AS (SELECT match_id, count(*) FILTER (team_id = 1 AND bx < 35) AS p0, count(*) FILTER (team_id = 0 AND bx > 70) AS p1 FROM hp WHERE pc <> carrier AND pt = team_id GROUP BY 1),
 a AS (SELECT match_id, count(*) FILTER (team_id = 0 AND cx > 70) AS a0, count(*) FILTER (team_id = 1 AND cx < 35) AS a1, count(*) FILTER (team_id = 0) AS n0, count(*) FILTER (team_id = 1) AS n1 FROM press GROUP BY 1)
 SELECT match_id, CASE WHEN n0 >= 5 AND a0 > 0 THEN p0 / a0 END AS ppda_0, CASE WHEN n1 >= 5 AND a1 > 0 THEN p1 / a1 END AS ppda_1 FROM p FULL JOIN a USING (match_id)""")
+@base_once
 def e6_ppda(spark, d):
     h = held(spark, d)
     return possession.ppda(possession.press_actions(tables(spark, d, "points")[0], h), h)
@@ -144,6 +146,7 @@ rw AS (SELECT p.match_id, p.frame_idx, p.track_id, p.team_id, h.team_id AS holde
 pf AS (SELECT e.match_id, e.event_frame, e.won, r.frame_idx, count(DISTINCT track_id) AS n FROM ev e JOIN rw r ON r.match_id = e.match_id AND r.frame_idx BETWEEN e.event_frame AND e.event_frame + 125 AND r.team_id <> e.won AND r.holder = e.won GROUP BY 1, 2, 3, 4),
 pk AS (SELECT match_id, event_frame, won, max(n) AS peak, min(frame_idx) AS first FROM pf GROUP BY 1, 2, 3)
 SELECT match_id, event_frame, 1 - won AS pressing_team, coalesce(peak, 0) AS peak, CASE WHEN peak >= 3 THEN 'high' WHEN peak = 2 THEN 'medium' WHEN peak = 1 THEN 'low' ELSE 'none' END AS intensity, (first - event_frame) / 25e0 AS first_press_s FROM ev LEFT JOIN pk USING (match_id, event_frame, won)""")
+@base_once
 def e7(spark, d):
     points, ball = tables(spark, d, "points", "ball")
     h = held(spark, d)

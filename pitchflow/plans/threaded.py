@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import display, identity, joins, possession, threads, velocity
-from ..sources.adapter import tables
+from ..operators import display, identity, joins, possession, services, threads, velocity
+from ..sources.adapter import base_once, tables
 from .events import _FRAG
-from .registry import op
+from .registry import ORACLES, op
 
 
 def found(spark, d):
@@ -149,3 +149,17 @@ rc AS (SELECT match_id, a AS node, a AS r FROM bo UNION SELECT rc.match_id, rc.n
 SELECT f.match_id, f.track_id, coalesce(root, f.track_id) AS root, dense_rank() OVER (PARTITION BY f.match_id ORDER BY coalesce(root, f.track_id)) AS global_id FROM frag f LEFT JOIN ro ON ro.match_id = f.match_id AND ro.node = f.track_id""")
 def i4_global(spark, d):
     return identity.global_ids(spark, embedded(spark, d))
+
+
+#: Queries that say in SQL what a service finds.
+_FOUND = {"pass_network": "a6_pass_nodes", "xg": "e4_shots_xg", "heatmaps": "a1_heatmap", "pressing": "e6_ppda", "formations": "a10_formations", "defensive_lines": "a9_defensive_lines", "counter_press": "e7_counter_press", "tactics": "a12_shape", "set_pieces": "e8_set_pieces"}
+
+
+@op("r1_services", " UNION ALL ".join(f"SELECT match_id, '{name}' AS service, count(*) AS rows FROM ({ORACLES[q]}) GROUP BY 1" for name, q in _FOUND.items()), adapted=False)
+@base_once
+def r1_services(spark, d):
+    """Rows found by each service of each match; the table of the pitch is missing, and the services that would need it have no result."""
+    points, ball = tables(spark, d, "points", "ball")
+    needy = services.Service("calibrated", ("points", "pitch"), lambda points, pitch: points.join(pitch, "match_id"))
+    results, _ = services.run_services(spark, {"points": points, "ball": ball}, (*(s for s in services.SERVICES if s.name in _FOUND), needy))
+    return services.found_by_match(results)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,13 @@ def shared_dir(spark: SparkSession) -> str:
     return named or _local_dir()
 
 
+def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """Writes df to a table of its own in the shared folder and reads it again."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def remove(spark: SparkSession, *tables: DataFrame) -> None:
     """Removes the files of tables that were written to the shared folder and are no longer read."""
     for table in tables:
