@@ -31,6 +31,7 @@ PAD = 10  # the byte that stands before a text, three times
 LETTER = np.zeros(256, dtype=bool)
 LETTER[65:91] = LETTER[97:123] = True
 MOST_BYTES = 1 << 29  # of a model, as it is broadcast
+MOST_LANGS = 10_000  # whose draws (a row each) are broadcast to the texts
 
 
 def training_sample(rows: DataFrame, per_lang: int = 300) -> DataFrame:
@@ -39,7 +40,9 @@ def training_sample(rows: DataFrame, per_lang: int = 300) -> DataFrame:
     # only hashes are shuffled, and of these a task hands on no more than per_lang for each language
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("_draw"))
     lowest = rows.select("lang", "_draw").distinct().withColumn("_rank", rank).where(F.col("_rank") <= per_lang)
-    last = lowest.groupBy("lang").agg(F.max("_draw").alias("_last"))
+    last = written(rows.sparkSession, lowest.groupBy("lang").agg(F.max("_draw").alias("_last")), "draws")
+    if last.count() <= MOST_LANGS:  # else there are so many that texts dealt by language make no large groups
+        last = F.broadcast(last)
     return rows.join(last, "lang").where("_draw <= _last").select("lang", "text").distinct()
 
 
