@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import display, identity, joins, possession, services, threads, velocity
+from ..operators import display, identity, joins, possession, services, stories, threads, velocity
 from ..sources.adapter import base_once, tables
 from .events import _FRAG
-from .registry import ORACLES, op
+from .registry import ORACLES, carriers_sql, op
 
 
 def found(spark, d):
@@ -163,3 +163,31 @@ def r1_services(spark, d):
     needy = services.Service("calibrated", ("points", "pitch"), lambda points, pitch: points.join(pitch, "match_id"))
     results, _ = services.run_services(spark, {"points": points, "ball": ball}, (*(s for s in services.SERVICES if s.name in _FOUND), needy))
     return services.found_by_match(results)
+
+
+def _codes_sql(*pairs: tuple[str, str]) -> str:
+    return "concat_ws('+', " + ", ".join(f"CASE WHEN {when} THEN '{code}' END" for when, code in pairs) + ")"
+
+
+_FAR = ("ball_d > 1.8", "ball_too_far_from_carrier")
+_STORIES = f"""WITH {carriers_sql('3')}, mv AS (SELECT *, x - lag(x) OVER w AS vx, y - lag(y) OVER w AS vy FROM points WINDOW w AS (PARTITION BY match_id, track_id ORDER BY frame_idx)),
+op AS (SELECT c.match_id, c.frame_idx, c.x AS cx, c.y AS cy, p.track_id, p.x, p.y, p.vx, p.vy, sqrt((c.x - p.x) * (c.x - p.x) + (c.y - p.y) * (c.y - p.y)) AS d FROM carriers c JOIN mv p ON p.match_id = c.match_id AND p.frame_idx = c.frame_idx AND p.team_id <> c.team_id),
+rk AS (SELECT *, row_number() OVER (PARTITION BY match_id, frame_idx ORDER BY d, track_id) AS rn FROM op),
+an AS (SELECT match_id, frame_idx, degrees(atan2(y - cy, x - cx)) AS t FROM op WHERE d <= 10), gp AS (SELECT match_id, frame_idx, coalesce(lead(t) OVER v, first_value(t) OVER v + 360) - t AS g FROM an WINDOW v AS (PARTITION BY match_id, frame_idx ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+es AS (SELECT match_id, frame_idx, CASE WHEN count(*) < 2 THEN 360e0 ELSE round(max(g), 6) END AS escape FROM gp GROUP BY 1, 2),
+ag AS (SELECT match_id, frame_idx, count(*) FILTER (d <= 8) AS n8, count(*) FILTER (d <= 10) AS n10, count(*) FILTER (d <= 6) AS n6, count(*) FILTER (d <= 5 AND rn > 1) AS n5, {', '.join(f"max({c}) FILTER (rn = {k}) AS {c}{k}" for k in (1, 2) for c in ('x', 'y', 'd', 'vx', 'vy'))} FROM rk GROUP BY 1, 2),
+sc AS (SELECT c.match_id, c.frame_idx, c.carrier, c.team_id, c.x, c.y, c.d AS ball_d, coalesce(n8, 0) AS n8, coalesce(n10, 0) AS n10, coalesce(n6, 0) AS n6, coalesce(n5, 0) AS n5, x1, y1, d1, vx1, vy1, d2, sqrt((x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2)) AS ab, coalesce(escape, 360e0) AS escape,
+CASE WHEN d1 < 1e-6 OR d2 < 1e-6 THEN 0e0 ELSE round(degrees(acos(greatest(least(((x1 - c.x) * (x2 - c.x) + (y1 - c.y) * (y2 - c.y)) / (sqrt((x1 - c.x) * (x1 - c.x) + (y1 - c.y) * (y1 - c.y)) * sqrt((x2 - c.x) * (x2 - c.x) + (y2 - c.y) * (y2 - c.y))), 1e0), -1e0))), 6) END AS apart,
+coalesce(sqrt((c.x - p.x) * (c.x - p.x) + (c.y - p.y) * (c.y - p.y)), 0e0) AS carried FROM carriers c LEFT JOIN ag USING (match_id, frame_idx) LEFT JOIN es USING (match_id, frame_idx) LEFT JOIN points p ON p.match_id = c.match_id AND p.frame_idx = c.frame_idx - 25 AND p.track_id = c.carrier)
+SELECT match_id, frame_idx, carrier, team_id, CAST(n8 AS INTEGER) AS pressers, escape AS escape_deg, round(carried, 6) AS carried_m,
+{_codes_sql(_FAR, ("d1 IS NULL OR d1 > 4.5", "presser_too_far"), ("d2 IS NULL OR d2 > 8 OR ab > 8", "no_real_cover_defender"), ("greatest(d1, d2, ab) > 11 AND d2 IS NOT NULL", "triangle_too_large"), ("apart < 25 AND d2 IS NOT NULL", "defenders_collinear"))} AS triangle,
+{_codes_sql(_FAR, ("n10 < 3 OR n6 < 2", "insufficient_defenders_for_trap"), ("escape > 120", "escape_angle_too_large"), ("escape > 90", "no_directional_force"))} AS trap,
+{_codes_sql(_FAR, ("d1 IS NULL OR d1 > 3", "presser_too_far"), ("n5 > 0", "second_defender_present"), ("vx1 * (x - x1) + vy1 * (y - y1) < 0", "defender_not_engaging"))} AS duel,
+{_codes_sql(("x < 105e0 * (2e0 / 3)", "not_in_attacking_third"), ("n8 < 1", "no_presser"), ("least(abs(y), abs(68 - y)) > 20", "far_from_touchline"))} AS goalmouth,
+{_codes_sql(("carried < 5", "short_carry"), ("n8 > 1", "pressed"))} AS carry FROM sc"""
+
+
+@op("e15_story_checks", _STORIES)
+def e15_checks(spark, d):
+    points, ball = tables(spark, d, "points", "ball")
+    return stories.checks(stories.scenes(points, joins.carriers(points, ball, 3.0)))
