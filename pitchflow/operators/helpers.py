@@ -99,6 +99,36 @@ def kalman_tracks(points: DataFrame) -> DataFrame:
     return _per(points.select("match_id", "track_id", "frame_idx", "x", "y"), TRACK, schema, lambda p: p.assign(x=kalman(p.x.to_numpy(dtype=float)), y=kalman(p.y.to_numpy(dtype=float))))
 
 
+MATRIX = [f"h{k}" for k in range(9)]
+
+
+def smoothed_matrices(h: np.ndarray, q: float = 1e-4, r: float = 1e-2) -> np.ndarray:
+    """P22 for maps of the pitch: rows of nine values, each over its last one, filtered as constant; all values share one gain.
+
+    The first row is taken as it is; rows whose last value is nearly zero stay as they are and tell the filter nothing.
+    """
+    out, state, p = h.astype(float).copy(), None, 1.0
+    for i in np.flatnonzero(np.abs(out[:, 8]) >= 1e-9):
+        z = out[i] / out[i, 8]
+        if state is None:
+            state = z
+        else:
+            p += q
+            gain = p / (p + r)
+            state, p = state + gain * (z - state), (1 - gain) * p
+        out[i] = state
+    return out
+
+
+def smooth_homographies(maps: DataFrame) -> DataFrame:
+    """P22 over (match_id, frame_idx, h0 to h8): a match has one map a sampled frame."""
+
+    def code(p: pd.DataFrame) -> pd.DataFrame:
+        return p.assign(**dict(zip(MATRIX, smoothed_matrices(p[MATRIX].to_numpy(dtype=float)).T, strict=True)))
+
+    return _per(maps.select("match_id", "frame_idx", *MATRIX), ["match_id"], "match_id string, frame_idx long, " + ", ".join(f"{c} double" for c in MATRIX), code)
+
+
 def held_possession(who: np.ndarray, least: int = 3, state: tuple[int, int, int] = (-1, -1, 0)) -> tuple[np.ndarray, tuple[int, int, int]]:
     """Holder with hysteresis: changes when another has been nearest ``least`` rows on end; -1 rows carry it forward.
 

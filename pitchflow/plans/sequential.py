@@ -37,6 +37,14 @@ def p22(spark, d):
     return r6(helpers.kalman_tracks(gaps), "x", "y")
 
 
+@op("p22_smoothed_homographies", f"""WITH hq AS (SELECT match_id, frame_idx, row_number() OVER (PARTITION BY match_id ORDER BY frame_idx) AS rn, [{', '.join(f'h{k} / h8' for k in range(9))}] AS z FROM homographies),
+ka(match_id, frame_idx, rn, p, x) AS (SELECT match_id, frame_idx, rn, 1e0, z FROM hq WHERE rn = 1 UNION ALL SELECT n.match_id, n.frame_idx, n.rn, (1 - (ka.p + 1e-4) / (ka.p + 1e-4 + 1e-2)) * (ka.p + 1e-4), list_transform(list_zip(ka.x, n.z), lambda v: v[1] + (ka.p + 1e-4) / (ka.p + 1e-4 + 1e-2) * (v[2] - v[1]))
+FROM ka JOIN hq n ON n.match_id = ka.match_id AND n.rn = ka.rn + 1) SELECT match_id, frame_idx, {', '.join(f"round(x[{k + 1}], 8) AS h{k}" for k in range(9))} FROM ka""")
+def p22_homographies(spark, d):
+    out = helpers.smooth_homographies(tables(spark, d, "homographies")[0])
+    return out.select("match_id", "frame_idx", *(F.round(c, 8).alias(c) for c in helpers.MATRIX))
+
+
 @op("w5_possession_hysteresis", f"WITH {carriers_sql('3')}, nr AS (SELECT b.match_id, b.frame_idx, c.carrier FROM ball b LEFT JOIN carriers c USING (match_id, frame_idx)), {held_sql('nr', 'match_id', 'frame_idx', 'carrier')} SELECT match_id, frame_idx, holder AS carrier FROM held3")
 def w5(spark, d):
     points, ball = tables(spark, d, "points", "ball")

@@ -66,3 +66,24 @@ def test_drift_resets_after_five():
 def test_stitch_takes_the_nearest_and_each_once():
     p = pd.DataFrame({"match_id": "m", "track_id": [1, 2, 3], "team_id": 0, "first_seen": [0, 12, 13], "last_seen": [10, 20, 20], "x0": [0.0, 5.0, 1.0], "y0": 0.0, "x1": [0.0, 5.0, 1.0], "y1": 0.0})
     assert h.stitched(p).thread.tolist() == [1, 2, 1]
+
+
+def test_maps_are_filtered_together():
+    """Against the filter written with matrices; a map without scale stays as it is."""
+    rng = np.random.default_rng(2)
+    maps = rng.normal(size=(40, 9)) + np.eye(3).ravel() * 9
+    maps[7, 8] = 0.0
+    x, p, want = None, np.eye(9), maps.copy()
+    for i, m in enumerate(maps):
+        if abs(m[8]) < 1e-9:
+            continue
+        z = m / m[8]
+        if x is None:
+            x = z
+        else:
+            p = p + np.eye(9) * 1e-4
+            k = p @ np.linalg.inv(p + np.eye(9) * 1e-2)
+            x, p = x + k @ (z - x), (np.eye(9) - k) @ p
+        want[i] = x
+    assert np.allclose(h.smoothed_matrices(maps), want) and (h.smoothed_matrices(maps)[7] == maps[7]).all()
+    assert h.smoothed_matrices(np.zeros((0, 9))).shape == (0, 9)
