@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import clock
 from .joins import FRAME
 from .physical import TRACK
+from .runs import with_run
 
 
 def id_switches(players: DataFrame) -> DataFrame:
@@ -44,6 +45,53 @@ def frame_health(points: DataFrame) -> DataFrame:
     return n.select(*FRAME, F.round(F.least(base * steady, F.lit(1.0)), 3).alias("health"), mode.alias("camera"))
 
 
+def observed(points: DataFrame, matches: DataFrame) -> DataFrame:
+    """Every frame of a match with tracks n, health, camera (cut without any track) and phase.
+
+    A frame with eight tracks or more speaks for open_play, one with under two and a health under 0.3 for dead_ball, others for nothing. The phase
+    is what three frames on end said last, unknown before: what speaks for nothing keeps the phase, and starts the count anew.
+    """
+    w = Window.partitionBy("match_id").orderBy("frame_idx")
+    frames = matches.select("match_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("frames_processed") - 1)).alias("frame_idx"))
+    rows = frames.join(points.groupBy(*FRAME).agg(F.count("*").alias("n")), FRAME, "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    rows = rows.withColumn("was", F.lag("n").over(w)).withColumn("_by", F.abs(F.col("n") - F.col("was")))
+    base = F.when(F.col("n") >= 10, 1.0).when(F.col("n") >= 5, 0.6 + (F.col("n") - 5) / 12.5).otherwise(0.3 + (F.col("n") - 1) / 13.3)
+    steady = F.when(F.col("_by") > 8, 0.4).when(F.col("_by") > 4, 0.7).otherwise(1.0)
+    health = F.round(F.least(base * steady, F.lit(1.0)), 3)
+    rows = rows.withColumn("health", F.when(F.col("n") == 0, 0.1).when(F.col("n") < 3, F.least(health, F.lit(0.4))).otherwise(health))
+    rows = rows.withColumn("camera", F.when(F.col("n") == 0, "cut").when(F.col("n") < 3, "close_up").when(F.col("n") < 8, "medium_broadcast").otherwise("wide_broadcast"))
+    rows = rows.withColumn("_says", F.when((F.col("n") < 2) & (F.col("health") < 0.3), "dead_ball").when(F.col("n") >= 8, "open_play"))
+    sure = F.when((F.col("_says") == F.lag("_says").over(w)) & (F.col("_says") == F.lag("_says", 2).over(w)), F.col("_says"))
+    rows = rows.withColumn("_sure", sure).withColumn("phase", F.coalesce(F.last("_sure", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit("unknown")))
+    return rows.select(*FRAME, "n", "was", "health", "camera", "phase")
+
+
+def match_phases(seen: DataFrame, fps: float = 25.0) -> DataFrame:
+    """Runs of one phase with their first second, the second at which the next one starts (the last: its last frame's) and mean health."""
+    w = Window.partitionBy("match_id").orderBy("frame_idx")
+    rows = with_run(seen, ["match_id"], "frame_idx", ~F.col("phase").eqNullSafe(F.lag("phase").over(w)))
+    runs = rows.groupBy("match_id", "run", "phase").agg(F.min("frame_idx").alias("first"), F.max("frame_idx").alias("last"), F.round(F.avg("health"), 4).alias("health"))
+    following = F.lead("first").over(Window.partitionBy("match_id").orderBy("run"))
+    return runs.select("match_id", "run", "phase", F.round(F.col("first") / fps, 1).alias("start_s"), F.round(F.coalesce(following, F.col("last")) / fps, 1).alias("end_s"), "health")
+
+
+def anomalies(seen: DataFrame, points: DataFrame, speeds: DataFrame, wide: float = 68.0) -> DataFrame:
+    """(match_id, frame_idx, anomaly, subject): interrupted camera, a jump of the number of tracks by over eight, over 25 tracks, a track over 10 m/s, a team
+    wider than the pitch; the last as long as the team's width, taken where three of its tracks are seen by a camera that isn't near, stays so.
+    """
+    shape = points.where(F.col("team_id").isin(0, 1)).groupBy(*FRAME, "team_id").agg(F.count("*").alias("_n"), F.round(F.max("x") - F.min("x"), 1).alias("_w"))
+    teams = seen.select(*FRAME, "camera", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("team_id")).join(shape, [*FRAME, "team_id"], "left")
+    width = F.when((F.col("_n") >= 3) & ~F.col("camera").isin("cut", "close_up"), F.col("_w"))
+    up_to = Window.partitionBy("match_id", "team_id").orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, 0)
+    teams = teams.withColumn("_wide", F.last(width, ignorenulls=True).over(up_to))
+    one = lambda rows, name, who: rows.select(*FRAME, F.lit(name).alias("anomaly"), who.cast("string").alias("subject"))
+    parts = [
+        one(seen.where("n = 0"), "camera_interruption", F.lit(None)), one(seen.where("abs(n - was) > 8"), "track_instability", F.concat_ws("-", "was", "n")), one(seen.where("n > 25"), "overcounting", F.col("n")),
+        one(speeds.where("speed_ms > 10"), "speed_spike", F.col("track_id")), one(teams.where(F.col("_wide") > wide), "geometry_unreliable", F.col("team_id")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).unionByName(parts[4])
+
+
 def best_worst_runs(health: DataFrame, size: int = 10) -> DataFrame:
     """Starts of the best and worst run of ten rows; the earliest on ties."""
     w = Window.partitionBy("match_id").orderBy("frame_idx")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import display, identity, joins, possession, services, stories, threads, velocity
+from ..operators import display, identity, joins, possession, quality, services, stories, threads, velocity
 from ..sources.adapter import base_once, tables
 from .events import _FRAG
-from .registry import ORACLES, carriers_sql, op
+from .physical import stepped
+from .registry import ORACLES, STEPS, carriers_sql, op
 
 
 def found(spark, d):
@@ -191,3 +192,34 @@ SELECT match_id, frame_idx, carrier, team_id, CAST(n8 AS INTEGER) AS pressers, e
 def e15_checks(spark, d):
     points, ball = tables(spark, d, "points", "ball")
     return stories.checks(stories.scenes(points, joins.carriers(points, ball, 3.0)))
+
+
+#: Tracks come and go, so that there are phases: between frames 100 and 140 and between 300 and 330 of every 400, few or none are seen.
+_THIN = "(CASE WHEN frame_idx % 400 BETWEEN 100 AND 139 THEN 0 WHEN frame_idx % 400 BETWEEN 300 AND 329 THEN 5 ELSE 99 END)"
+_SEEN = f"""WITH pt AS (SELECT * FROM points WHERE track_id < {_THIN}), fr AS (SELECT match_id, unnest(range(0, frames_processed)) AS frame_idx FROM matches), n0 AS (SELECT match_id, frame_idx, count(*) AS n FROM pt GROUP BY 1, 2),
+n1 AS (SELECT match_id, frame_idx, coalesce(n, 0) AS n, lag(coalesce(n, 0)) OVER v AS was FROM fr LEFT JOIN n0 USING (match_id, frame_idx) WINDOW v AS (PARTITION BY match_id ORDER BY frame_idx)),
+n2 AS (SELECT *, round(least((CASE WHEN n >= 10 THEN 1e0 WHEN n >= 5 THEN 0.6e0 + (n - 5) / 12.5e0 ELSE 0.3e0 + (n - 1) / 13.3e0 END) * (CASE WHEN abs(n - was) > 8 THEN 0.4e0 WHEN abs(n - was) > 4 THEN 0.7e0 ELSE 1e0 END), 1e0), 3) AS h FROM n1),
+n3 AS (SELECT *, CASE WHEN n = 0 THEN 0.1e0 WHEN n < 3 THEN least(h, 0.4e0) ELSE h END AS health, CASE WHEN n = 0 THEN 'cut' WHEN n < 3 THEN 'close_up' WHEN n < 8 THEN 'medium_broadcast' ELSE 'wide_broadcast' END AS camera FROM n2),
+n4 AS (SELECT *, CASE WHEN n < 2 AND health < 0.3 THEN 'dead_ball' WHEN n >= 8 THEN 'open_play' END AS says FROM n3),
+n5 AS (SELECT *, CASE WHEN says = lag(says) OVER v AND says = lag(says, 2) OVER v THEN says END AS sure FROM n4 WINDOW v AS (PARTITION BY match_id ORDER BY frame_idx)),
+seen AS (SELECT match_id, frame_idx, n, was, health, camera, coalesce(last_value(sure IGNORE NULLS) OVER (PARTITION BY match_id ORDER BY frame_idx ROWS UNBOUNDED PRECEDING), 'unknown') AS phase FROM n5)"""
+
+
+def thinned(spark, d):
+    return tables(spark, d, "points")[0].where("track_id < CASE WHEN frame_idx % 400 BETWEEN 100 AND 139 THEN 0 WHEN frame_idx % 400 BETWEEN 300 AND 329 THEN 5 ELSE 99 END")
+
+
+@op("a23_phases", f"""{_SEEN}, ru AS (SELECT *, sum(CASE WHEN phase IS NOT DISTINCT FROM p AND p IS NOT NULL THEN 0 ELSE 1 END) OVER (PARTITION BY match_id ORDER BY frame_idx) AS run FROM (SELECT *, lag(phase) OVER (PARTITION BY match_id ORDER BY frame_idx) AS p FROM seen) q),
+rr AS (SELECT match_id, CAST(run AS BIGINT) AS run, phase, min(frame_idx) AS a, max(frame_idx) AS b, round(avg(health), 4) AS health FROM ru GROUP BY 1, 2, 3)
+SELECT match_id, run, phase, round(a / 25e0, 1) AS start_s, round(coalesce(lead(a) OVER (PARTITION BY match_id ORDER BY run), b) / 25e0, 1) AS end_s, health FROM rr""")
+def a23_phases(spark, d):
+    return quality.match_phases(quality.observed(thinned(spark, d), tables(spark, d, "matches")[0]))
+
+
+@op("a23_anomalies", f"""{_SEEN}, {STEPS}, tw AS (SELECT match_id, frame_idx, team_id, count(*) AS k, round(max(x) - min(x), 1) AS w FROM pt GROUP BY 1, 2, 3),
+te AS (SELECT s.match_id, s.frame_idx, t.team_id, last_value(CASE WHEN k >= 3 AND camera NOT IN ('cut', 'close_up') THEN w END IGNORE NULLS) OVER (PARTITION BY s.match_id, t.team_id ORDER BY s.frame_idx ROWS UNBOUNDED PRECEDING) AS w FROM seen s CROSS JOIN (VALUES (0), (1)) t(team_id) LEFT JOIN tw ON tw.match_id = s.match_id AND tw.frame_idx = s.frame_idx AND tw.team_id = t.team_id)
+SELECT match_id, frame_idx, 'camera_interruption' AS anomaly, NULL AS subject FROM seen WHERE n = 0 UNION ALL SELECT match_id, frame_idx, 'track_instability', concat(was, '-', n) FROM seen WHERE abs(n - was) > 8 UNION ALL SELECT match_id, frame_idx, 'overcounting', CAST(n AS VARCHAR) FROM seen WHERE n > 25
+UNION ALL SELECT match_id, frame_idx, 'speed_spike', CAST(track_id AS VARCHAR) FROM steps WHERE speed_ms > 10 UNION ALL SELECT match_id, frame_idx, 'geometry_unreliable', CAST(team_id AS VARCHAR) FROM te WHERE w > 68""")
+def a23_anomalies(spark, d):
+    points = thinned(spark, d)
+    return quality.anomalies(quality.observed(points, tables(spark, d, "matches")[0]), points, stepped(spark, d))
