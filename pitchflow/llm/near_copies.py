@@ -1,4 +1,4 @@
-"""Near copies by word shingles: fingerprints and pivots find candidates, exact Jaccard similarity decides.
+"""Near copies by word shingles: fingerprints and pivots find most links cheaply, an exact join finds all others.
 
 A text's set of shingles (``SHINGLE`` lower-cased words; fewer words: the whole sequence) gives a 64-bit SimHash,
 ``ROWS`` minima of its hashes, and a signature of one byte for each minimum. A SimHash alone can't deal such pairs
@@ -12,8 +12,17 @@ compared with the group's leaders, linked to the most similar ones, and is a lea
 is very near to one's. This is done within each task before the shuffle, too, so a hot group comes to one task
 as a few leaders of each other task. Links that fail the exact test fall away.
 
+What bands, bits, signatures, leaders and ``LINKS`` pass over is found by ``others``, which is exact and has no cap. All
+shingles are ordered, common ones last. Two sets of that similarity share one of the first n - ceil(least * n) + 1
+shingles of each, so texts meet at those; only texts not linked yet are compared there. Three bounds discard pairs, none of
+which can discard a pair of that similarity: sizes, the shingles left after the one met at, and sketches of one bit for
+each of 512 cells of hashes, set if the cell has an odd number of the set's shingles (two sets differ in at least as many
+shingles as their sketches do in bits). The texts decide. A shingle at which over ``MOST`` texts meet is dealt out by
+pairs of blocks of them. The order of shingles (by counts in one of ``NTH`` texts) decides only how many meet: whatever it
+is, all texts and all their shingles are taken, and all pairs are found.
+
 Cases: null and word-free texts are one group; repeated rows are equal texts; very long texts are read whole; ids
-and other columns are not looked at; an empty table gives no row.
+and other columns are not looked at; an empty table gives no row. Equal hashes (64 bits) stand for equal shingles.
 """
 
 from __future__ import annotations
@@ -26,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, mix, steps, text_arrays, window_hashes, word_bounds, word_hashes, written
 from .decontam import text_key
 from .graph import components
-from .repeats import bitmap
+from .repeats import _in, bitmap
 from .simhash import distance, pivot_table
 
 SHINGLE = 5
@@ -35,6 +44,10 @@ MOST_BITS = 22
 LIKELY, SAME = 0.66, 0.86  # of a signature: candidates, and members that needn't lead
 WALK = 12
 LINKS = 4
+NTH = 16  # the order of shingles goes by their counts in one of so many texts
+COMMON = 2, 16, 256  # counts from which a shingle comes after all rarer ones
+ODD_BITS = 512
+MOST = 2048
 _MULTIPLY = mix(np.arange(1001, 1001 + ROWS, dtype=np.uint64)) | np.uint64(1)
 _TURN = mix(np.arange(5001, 5001 + ROWS, dtype=np.uint64))
 
@@ -228,6 +241,161 @@ def _decided(least: float):
     return code
 
 
+def shingle_sets(data: np.ndarray, off: np.ndarray, common: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of each text, the common ones last, and each text's first (n + 1)."""
+    h, first = shingles(data, off)
+    text = np.repeat(np.arange(len(off) - 1), np.diff(first))
+    level = sum((_in(words, h).astype(np.int8) for words in common), np.zeros(len(h), np.int8))
+    order = np.lexsort((h, level, text))
+    h, text = h[order], text[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+    return h[new], np.searchsorted(text[new], np.arange(len(off)))
+
+
+def odd_sketches(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(texts, words of 64 bits): a bit is set if an odd number of the text's shingles falls in its cell."""
+    n = len(first) - 1
+    cell = np.repeat(np.arange(n), np.diff(first)) * ODD_BITS + (h >> np.uint64(64 - (ODD_BITS - 1).bit_length())).astype(np.int64)
+    odd = np.bincount(cell, minlength=n * ODD_BITS).reshape(n, ODD_BITS) & 1
+    return np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view(np.uint64)
+
+
+def prefix_lengths(size: np.ndarray, least: float) -> np.ndarray:
+    """How many of the first shingles of a set of that size hold one of any set of that similarity; 1 of empty sets."""
+    return size - np.ceil(least * size - 1e-9).astype(np.int64) + 1
+
+
+def _set_counts(batches):
+    for batch in batches:
+        data, off = text_arrays(batch.column(0))
+        for a, b in steps(off):
+            h, n = np.unique(shingle_sets(data[off[a] : off[b]], off[a : b + 1] - off[a], [])[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+
+
+def _prefixes(batch: pa.RecordBatch, common: list[np.ndarray], least: float):
+    """(first text, key, text, position, sets, firsts) of the first shingles of (node, root, text); empty sets meet at key 0."""
+    data, off = text_arrays(batch.column(2))
+    for a, b in steps(off):
+        h, first = shingle_sets(data[off[a] : off[b]], off[a : b + 1] - off[a], common)
+        size = np.diff(first)
+        k = prefix_lengths(size, least)
+        text = np.repeat(np.arange(b - a), k)
+        pos = np.arange(len(text)) - np.repeat(np.cumsum(k) - k, k)
+        key = np.append(h, np.uint64(0))[np.where(size[text] > 0, first[text] + pos, len(h))]
+        yield a, key, text, pos, h, first
+
+
+def _prefix_roots(shared, least: float):
+    """(h, root) of the first shingles of (node, root, text)."""
+
+    def code(batches):
+        for batch in batches:
+            root = batch.column(1).to_numpy(zero_copy_only=False)
+            for a, key, text, _, _, _ in _prefixes(batch, shared.value, least):
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(root[a + text])], ["h", "root"])
+
+    return code
+
+
+PREFIX = "key long, node long, root long, size int, pos int, odd binary"
+
+
+def _prefix_rows(shared, least: float):
+    """The first shingles of (node, root, text) that the bitmap has, with what the bounds need."""
+
+    def code(batches):
+        common, apart = shared.value
+        for batch in batches:
+            node, root = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for a, key, text, pos, h, first in _prefixes(batch, common, least):
+                on = _in(apart, key)
+                key, text, pos = key[on], text[on], pos[on]
+                raw = [x.tobytes() for x in odd_sketches(h, first)]
+                columns = [key.view(np.int64), node[a + text], root[a + text], np.diff(first)[text].astype(np.int32), pos.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array([raw[i] for i in text.tolist()], pa.binary())], ["key", "node", "root", "size", "pos", "odd"])
+
+    return code
+
+
+def _apart(least: float):
+    """Rows (key, lo, hi, mine, node, root, size, pos, odd) sorted by (key, lo, hi) to the pairs (a, b) that no bound discards.
+
+    Rows of one key, lo and hi are at most those of two blocks, and are held until they are all there.
+    """
+    share, differ = least / (1 + least), (1 - least) / (1 + least)
+
+    def found(rows: list[np.ndarray]):
+        key, lo, hi, mine, node, root, size, pos, odd = rows
+        group = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
+        at, step, pairs = np.arange(len(key)), 1, []
+        while True:
+            at = at[at + step < len(key)]
+            at = at[group[at] == group[at + step]]
+            if not len(at):
+                break
+            i, j = at, at + step
+            ok = (root[i] != root[j]) & ((lo[i] == hi[i]) | (mine[i] != mine[j]))
+            ok &= np.minimum(size[i] - pos[i], size[j] - pos[j]) >= share * (size[i] + size[j]) - 1e-9
+            i, j = i[ok], j[ok]
+            ok = np.bitwise_count(odd[i] ^ odd[j]).sum(axis=1, dtype=np.int64) <= differ * (size[i] + size[j]) + 1e-9
+            if ok.any():
+                pairs.append(np.stack([np.minimum(node[i[ok]], node[j[ok]]), np.maximum(node[i[ok]], node[j[ok]])], axis=1))
+            step += 1
+        pair = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *pairs]), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
+
+    def code(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(8)]
+            rows.append(np.frombuffer(b"".join(x.as_py() for x in batch.column(8)), dtype=np.uint64).reshape(-1, ODD_BITS // 64))
+            if held is not None:
+                rows = [np.concatenate([h, x]) for h, x in zip(held, rows, strict=True)]
+            other = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]) | (rows[2] != rows[2][-1]))
+            last = int(other[-1]) + 1 if len(other) else 0
+            held = [x[last:] for x in rows]
+            if last:
+                yield found([x[:last] for x in rows])
+        if held is not None:
+            yield found(held)
+
+    return code
+
+
+def decided(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of nodes of ``texts`` (node, t) that have at least that similarity."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    some = written(pairs.sparkSession, texts.join(ends, "node", "left_semi"), "paired-texts")
+    both = pairs.join(some.withColumnsRenamed({"node": "a", "t": "ta"}), "a").join(some.withColumnsRenamed({"node": "b", "t": "tb"}), "b")
+    return both.select("a", "b", "ta", "tb").mapInArrow(_decided(least), "a long, b long")
+
+
+def others(spark: SparkSession, texts: DataFrame, least: float) -> DataFrame:
+    """All links (a, b) of at least that similarity between nodes of different roots; texts: (node, root, t), distinct texts."""
+    texts = texts.select("node", "root", "t")
+    told = texts.where(F.pmod(F.xxhash64("node"), F.lit(NTH)) == 0).select("t")
+    counts = written(spark, told.mapInArrow(_set_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON[0]), "common-shingles")
+    common = []
+    for n in COMMON:
+        some = counts.where(F.col("n") >= n).select("h")
+        common.append(bitmap(some, some.count()))
+    keys = texts.mapInArrow(_prefix_roots(spark.sparkContext.broadcast(common), least), "h long, root long")
+    keys = written(spark, keys.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h"), "keys-apart")
+    shared = spark.sparkContext.broadcast((common, bitmap(keys, keys.count())))
+    rows = written(spark, texts.mapInArrow(_prefix_rows(shared, least), PREFIX), "prefix-rows")
+    hot = written(spark, rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > MOST).select("key", F.ceil(F.col("n") / MOST).alias("blocks")), "hot-shingles")
+    met = rows.join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    met = met.withColumn("mine", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = met.select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "node", "root", "size", "pos", "odd")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pairs = met.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node").mapInArrow(_apart(least), "a long, b long")
+    return decided(written(spark, pairs.distinct(), "candidates-apart"), texts.select("node", "t"), least)
+
+
 def surplus(spark: SparkSession, rows: DataFrame, row: str, text: str = "text", least: float = 0.8) -> DataFrame:
     """(row): the rows that aren't the first of their group of near copies; ``row`` is a stable integer key of rows."""
     sketches = written(spark, rows.select(F.col(row).alias("row"), *text_key(F.col(text)), F.arrow_udf(_sketch, SKETCH)(F.coalesce(F.col(text), F.lit(""))).alias("s")), "sketches")
@@ -242,9 +410,12 @@ def surplus(spark: SparkSession, rows: DataFrame, row: str, text: str = "text",
     met = near.where("key IS NOT NULL").select("key", "node", "fp", "sig").repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(_met, "a long, b long")
     inside = near.where("key IS NULL").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
     pairs = written(spark, met.unionByName(inside).distinct(), "candidates")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("_end")).distinct()
-    texts = written(spark, rows.select(F.col(row).alias("_end"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(ends, "_end", "left_semi"), "paired-texts")
-    both = pairs.join(texts.withColumnsRenamed({"_end": "a", "t": "ta"}), "a").join(texts.withColumnsRenamed({"_end": "b", "t": "tb"}), "b")
-    links = both.select("a", "b", "ta", "tb").mapInArrow(_decided(least), "a long, b long")
-    later = components(spark, links).where("node <> root").select(F.col("node").alias("row"))
+    texts = rows.select(F.col(row).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    near = components(spark, decided(pairs, texts, least))
+    roots = firsts.select("node").join(near, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    texts = written(spark, texts.join(roots, "node"), "node-texts")
+    links = written(spark, others(spark, texts, least), "other-links")
+    if links.limit(1).count():
+        near = components(spark, links.unionByName(near.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    later = near.where("node <> root").select(F.col("node").alias("row"))
     return copies.unionByName(later)

@@ -101,3 +101,47 @@ def test_empty(spark, tmp_path):
         spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     assert decontam and np
+
+
+def _left(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "_pf_row long, text string").repartition(3)
+    gone = {r.row for r in near_copies.surplus(spark, docs, "_pf_row").collect()}
+    return [i for i in range(len(texts)) if i not in gone]
+
+
+def test_pairs_that_bands_and_signatures_miss(spark):
+    """2,500 pairs of 4 and 5 shingles, 4 of them shared: a similarity of exactly 0.8, which sketches estimate too low now and then."""
+    rng = random.Random(41)
+    texts = [t for t in (words(rng, 9) for _ in range(2500)) for t in (t, t.rsplit(" ", 1)[0])]
+    assert _left(spark, texts) == list(range(0, 5000, 2))
+
+
+def test_partners_beyond_the_leaders_of_a_large_group(spark):
+    """Families around similarities of 0.8, whose members often have no leader near, against all pairs."""
+    rng = random.Random(43)
+    texts = []
+    for _ in range(3):
+        base = words(rng, 90).split()
+        for _ in range(150):
+            own = list(base)
+            for at in rng.sample(range(90), rng.choice([1, 1, 2, 2, 3])):
+                own[at] = words(rng, 1)
+            texts.append(" ".join(own))
+    labels = near_groups(texts)
+    left = [labels[i] for i in _left(spark, texts)]
+    assert len(left) == len(set(left)) == len(set(labels)) > 3
+
+
+def test_all_links_without_sketches(spark, monkeypatch):
+    """The exact join alone finds every pair, also where a shingle's texts are dealt out by blocks and hash bits are few."""
+    rng = random.Random(47)
+    passage = words(rng, 60)
+    texts = [f"{passage} {words(rng, rng.choice([5, 9, 14, 20]))}" for _ in range(120)] + ["", " ", "a b", "A b", "a b c d e f g h i", "a b c d e f g h"]
+    sets = [shingle_set(t) for t in texts]
+    want = {(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if len(a & b) >= 0.8 * len(a | b)}
+    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "node long, root long, t string").repartition(3)
+    for most, common in ((2048, (16, 256, 4096)), (7, (2, 50))):
+        monkeypatch.setattr(near_copies, "MOST", most)
+        monkeypatch.setattr(near_copies, "COMMON", common)
+        got = near_copies.others(spark, docs, 0.8).collect()
+        assert len(got) == len(want) > 50 and {(r.a, r.b) for r in got} == want
