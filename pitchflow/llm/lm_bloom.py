@@ -5,7 +5,7 @@ Counts of words and word pairs are quantised on a log scale: an n-gram of count
 ... until one is missing, and takes the mean count of the last level found. The filter has ``BITS_PER_ITEM``
 bits for each item at every size, so its rate of false positives doesn't change with the corpus. It is never in
 one place: cells of 64 kB make up shards of at most ``SHARD_CELLS``. A block of texts sends each shard one row
-with its distinct n-grams (32 bits each, by cell) and gets their levels back, one byte each.
+with its distinct n-grams by cell (words whole, pairs by 32 bits) and gets their levels back, one byte each.
 
 All words and pairs are stored, those of count one at level 1. A pair's key is a 64-bit hash of both words' 64-bit
 hashes. From probes, interpolated:
@@ -17,8 +17,8 @@ The context of a text's first token is the end token; each text ends in one. So
 begin with v, and P(. | v) sums to one but for the rounding of counts to levels.
 
 The base score uses exact counts. To get them to each text without a shuffle of all tokens, texts are dealt
-into blocks of about ``BLOCK_BYTES`` by hash; a block's distinct words meet the count table in one join and
-come back as the block's dictionary, whose size is bounded by the block's text.
+into blocks of about ``BLOCK_BYTES`` by hash; each cell of the filter has the exact counts of its words beside it, by
+64-bit hash, and a block's distinct words get them back with the levels.
 
 Cases: null text counts as empty (one end token); texts of any length are counted and scored whole; with no
 training texts N = V = 0 and every word is unknown; repeated rows count and are scored each time, rows equal in
@@ -29,7 +29,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +65,14 @@ def pair_keys(token: np.ndarray) -> np.ndarray:
     return mix(before * np.uint64(0x9E3779B97F4A7C15) + token)
 
 
+def distinct(parts: list[np.ndarray]) -> np.ndarray:
+    """Sorted distinct values; np.unique hashes, which takes many times as long as a sort of 64-bit integers."""
+    x = np.sort(np.concatenate(parts))
+    new = np.ones(len(x), dtype=bool)
+    new[1:] = x[1:] != x[:-1]
+    return x[new]
+
+
 def _count(batches):
     """(kind, h, n) of all tokens and pairs; counts are merged over HOLD_TOKENS tokens at a time."""
     held: list[np.ndarray] = []
@@ -118,32 +125,35 @@ def _bits(key: np.ndarray, level: np.ndarray | int) -> list[np.ndarray]:
 
 
 def _cells(count: int):
-    """Arrow code: (cell, kind, h, n) rows sorted by cell to (cell, bytes)."""
+    """Arrow code: (cell, kind, h, n) rows sorted by cell to (cell, bits, words): hashes, then counts, of the cell's words."""
 
     def code(batches):
-        held_cell, bitmap = -1, None
+        held_cell, bitmap, words = -1, None, []
         for batch in batches:
-            cell = batch.column(0).to_numpy(zero_copy_only=False)
-            key = filter_key(batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64))
-            top = level_of(batch.column(3).to_numpy(zero_copy_only=False))
+            cell, kind, h, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            key = filter_key(kind, h.view(np.uint64))
+            top = level_of(n)
             cut = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else []
             for s, e in zip(cut, [*cut[1:], len(cell)], strict=True) if len(cell) else ():
                 if cell[s] != held_cell:
                     if bitmap is not None:
-                        yield _cell_row(held_cell, bitmap)
-                    held_cell, bitmap = int(cell[s]), np.zeros(1 << CELL_BITS, dtype=bool)
+                        yield _cell_row(held_cell, bitmap, words)
+                    held_cell, bitmap, words = int(cell[s]), np.zeros(1 << CELL_BITS, dtype=bool), []
                 k, t = np.repeat(key[s:e], top[s:e]), top[s:e]
                 level = np.arange(len(k)) - np.repeat(np.cumsum(t) - t, t) + 1
                 for bit in _bits(k, level):
                     bitmap[bit] = True
+                own = s + np.flatnonzero(kind[s:e] == WORD)
+                words.append(np.stack([h[own], n[own]]).astype(np.int64))
         if bitmap is not None:
-            yield _cell_row(held_cell, bitmap)
+            yield _cell_row(held_cell, bitmap, words)
 
     return code
 
 
-def _cell_row(cell: int, bitmap: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), pa.array([np.packbits(bitmap, bitorder="little").tobytes()], pa.binary())], ["cell", "bits"])
+def _cell_row(cell: int, bitmap: np.ndarray, words: list[np.ndarray]) -> pa.RecordBatch:
+    columns = [np.packbits(bitmap, bitorder="little").tobytes()], [np.concatenate(words, axis=1).tobytes()]
+    return pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), *(pa.array(x, pa.binary()) for x in columns)], ["cell", "bits", "words"])
 
 
 def cell_column(cells: int):
@@ -167,10 +177,10 @@ def filter_size(grams: DataFrame) -> int:
 
 
 def build_filter(spark: SparkSession, grams: DataFrame, cells: int) -> DataFrame:
-    """The filter's table (cell, bits); cells without items have no row."""
+    """The filter's table (cell, bits, words); cells without items have no row."""
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = grams.select(cell_column(cells).alias("cell"), "kind", "h", "n").repartition(parts, "cell").sortWithinPartitions("cell")
-    return written(spark, rows.mapInArrow(_cells(cells), "cell int, bits binary"), "filter")
+    return written(spark, rows.mapInArrow(_cells(cells), "cell int, bits binary, words binary"), "filter")
 
 
 def levels(flat: np.ndarray, width: int, at: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -207,9 +217,9 @@ class Routes:
             self.grams.append((kind, h, order, cell, np.searchsorted(cell, np.arange(self.shards + 1) * per)))
 
     def rows(self, block: int) -> pa.RecordBatch:
-        """(shard, block, sizes, keys): for each shard the numbers of words and of pairs of each cell, and their keys."""
+        """(shard, block, sizes, keys): for each shard the numbers of words and of pairs of each cell, words' hashes and pairs' keys."""
         shard, sizes, keys = [], [], []
-        parts = [(filter_key(kind, h[order]).astype(np.uint32), cell, cut) for kind, h, order, cell, cut in self.grams]
+        parts = [(h[order] if kind == WORD else filter_key(kind, h[order]).astype(np.uint32), cell, cut) for kind, h, order, cell, cut in self.grams]
         for s in range(self.shards):
             if all(cut[s] == cut[s + 1] for _, _, cut in parts):
                 continue
@@ -229,13 +239,37 @@ class Routes:
                 a += n
         return [MEAN_COUNT[x] for x in out]
 
+    def exact(self, shard: np.ndarray, found: list[bytes]) -> np.ndarray:
+        """Exact counts of words, in the order of their hashes."""
+        _, h, at, _, cut = self.grams[0]
+        out = np.zeros(len(h), dtype=np.int64)
+        for s, part in zip(shard.tolist(), found, strict=True):
+            n = sum(int(cut[s + 1] - cut[s]) for _, _, _, _, cut in self.grams)
+            out[at[cut[s] : cut[s + 1]]] = np.frombuffer(part, np.int64, offset=n) if len(part) > n else 0
+        return out
+
+
+def _exact_counts(table: list[np.ndarray], word: np.ndarray) -> np.ndarray:
+    """Counts of words by a shard's tables (hashes, counts)."""
+    if len(table) > 1:
+        table[:] = [np.concatenate(table, axis=1)]
+        table[0] = table[0][:, np.argsort(table[0][0])]
+    if not table or not table[0].shape[1]:
+        return np.zeros(len(word), np.int64)
+    h, n = table[0]
+    at = np.minimum(np.searchsorted(h, word), len(h) - 1)
+    return np.where(h[at] == word, n[at], 0)
+
 
 def _answers(per: int):
-    """Arrow code: rows of the filter's cells (block -1) and of ``Routes.rows``, sorted by shard and block, to (block, shard, levels)."""
+    """Arrow code: rows of the filter's cells (block -1) and of ``Routes.rows``, sorted by shard and block, to (block, shard, levels).
+
+    A row of a cell has its words as sizes and its bits as keys. After the levels come the words' exact counts, 8 bytes each.
+    """
     width = 1 << (CELL_BITS - 3)
 
     def code(batches):
-        held, bits = -1, None
+        held, bits, table = -1, None, []
         for batch in batches:
             shard, block, cell = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
             sizes, keys = batch.column(3), batch.column(4)
@@ -243,26 +277,31 @@ def _answers(per: int):
             for s, e in zip(cut, [*cut[1:], len(shard)], strict=True) if len(shard) else ():
                 if shard[s] != held:
                     held, bits = int(shard[s]), np.zeros(per * width, dtype=np.uint8)
+                    table = [np.zeros((2, 0), np.int64)]
                 ask = s + int(np.searchsorted(block[s:e], 0))
                 for i in range(s, ask):
                     at = (int(cell[i]) - held * per) * width
                     bits[at : at + width] = np.frombuffer(keys[i].as_buffer(), np.uint8)
+                    if sizes[i].is_valid:
+                        table.append(np.frombuffer(sizes[i].as_py(), np.int64).reshape(2, -1))
                 if ask == e:
                     continue
                 n = np.frombuffer(b"".join(sizes[i].as_py() for i in range(ask, e)), np.uint32).reshape(-1, 2, per).astype(np.int64)
-                key = np.frombuffer(b"".join(keys[i].as_py() for i in range(ask, e)), np.uint32).astype(np.uint64)
-                found = levels(bits, width, np.repeat(np.tile(np.arange(per), 2 * (e - ask)), n.ravel()), key)
+                raw, words = [keys[i].as_py() for i in range(ask, e)], n[:, 0].sum(1).tolist()
+                word = [np.frombuffer(x, np.uint64, count=k) for x, k in zip(raw, words, strict=True)]
+                key = [k for w, x in zip(word, raw, strict=True) for k in (filter_key(WORD, w), np.frombuffer(x, np.uint32, offset=8 * len(w)).astype(np.uint64))]
+                found = levels(bits, width, np.repeat(np.tile(np.arange(per), 2 * (e - ask)), n.ravel()), np.concatenate(key))
+                exact = np.split(_exact_counts(table, np.concatenate(word).view(np.int64)), np.cumsum(words)[:-1])
                 ends = np.cumsum(n.sum((1, 2)))
-                out = [found[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+                out = [found[a:b].tobytes() + x.tobytes() for a, b, x in zip([0, *ends[:-1].tolist()], ends.tolist(), exact, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(block[ask:e]), pa.array(shard[ask:e]), pa.array(out, pa.binary())], ["block", "shard", "levels"])
 
     return code
 
 
-def model_scores(word: np.ndarray, pair: np.ndarray, found: list[np.ndarray], token: np.ndarray, n: int, v: int) -> np.ndarray:
-    """log10 P of each token given the one before it; found are the counts of ``Routes.counts``."""
+def model_scores(word: np.ndarray, pair: np.ndarray, found: list[np.ndarray], token: np.ndarray, where: np.ndarray, n: int, v: int) -> np.ndarray:
+    """log10 P of each token given the one before it; found are the counts of ``Routes.counts``, where tells the tokens' places in word."""
     c, pairs = found
-    where = np.searchsorted(word, token)
     p1 = np.minimum((c + 1) / (n + v + 1), 1.0)[where]
     before = np.empty_like(where)
     before[1:] = where[:-1]
@@ -271,35 +310,6 @@ def model_scores(word: np.ndarray, pair: np.ndarray, found: list[np.ndarray], to
     return np.log10((1 - MU) * p1 + MU * np.where(c[before] > 0, seen / np.maximum(c[before], 1), p1))
 
 
-def _dictionary(batches):
-    """(block, h) from (block, doc_id, text): each block's distinct words; rows come sorted by block.
-
-    It takes all columns of the dealt texts, so that the one shuffle of them serves here and for the scores.
-    """
-    held, block = [], None
-
-    def flush():
-        if held:
-            h = np.unique(np.concatenate(held))
-            for a in range(0, len(h), 1 << 18):
-                part = h[a : a + (1 << 18)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block, np.int32)), pa.array(part.view(np.int64))], ["block", "h"])
-            held.clear()
-
-    for batch in batches:
-        data, off = text_arrays(batch.column(2))
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        for a, b in steps(off):
-            token, first = tokens(data[off[a] : off[b]], off[a : b + 1] - off[a])
-            cut = np.flatnonzero(np.concatenate([[True], ids[a + 1 : b] != ids[a : b - 1]]))
-            for s, e in zip(cut, [*cut[1:], b - a], strict=True):
-                if ids[a + s] != block:
-                    yield from flush()
-                    block = int(ids[a + s])
-                held.append(np.unique(token[first[s] : first[e]]))
-    yield from flush()
-
-
 def _asked(cells: int, per: int):
     """Arrow code: (block, doc_id, text) sorted by block to each block's ``Routes.rows``."""
 
@@ -308,7 +318,7 @@ def _asked(cells: int, per: int):
 
         def flush():
             if words:
-                yield Routes(np.unique(np.concatenate(words)), np.unique(np.concatenate(pairs)), cells, per).rows(block)
+                yield Routes(distinct(words), distinct(pairs), cells, per).rows(block)
                 words.clear()
                 pairs.clear()
 
@@ -323,8 +333,8 @@ def _asked(cells: int, per: int):
                         yield from flush()
                         block = int(ids[a + s])
                     part = token[first[s] : first[e]]
-                    words.append(np.unique(part))
-                    pairs.append(np.unique(pair_keys(part)))
+                    words.append(distinct([part]))
+                    pairs.append(distinct([pair_keys(part)]))
         yield from flush()
 
     return code
@@ -343,33 +353,23 @@ def score(spark: SparkSession, docs: DataFrame, train: str = "train") -> DataFra
     dealt = texts.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text").repartition(parts, "block")
     by_block = dealt.sortWithinPartitions("block")
     asked = by_block.mapInArrow(_asked(cells, per), "shard int, block int, sizes binary, keys binary").select("shard", "block", F.lit(-1).alias("cell"), "sizes", "keys")
-    held = build_filter(spark, grams, cells).select(F.floor(F.col("cell") / per).cast("int").alias("shard"), F.lit(-1).alias("block"), "cell", F.lit(None).cast("binary").alias("sizes"), F.col("bits").alias("keys"))
+    held = build_filter(spark, grams, cells).select(F.floor(F.col("cell") / per).cast("int").alias("shard"), F.lit(-1).alias("block"), "cell", F.col("words").alias("sizes"), F.col("bits").alias("keys"))
     probed = held.unionByName(asked).repartition(parts, "shard").sortWithinPartitions("shard", "block")
     found = written(spark, probed.mapInArrow(_answers(per), "block int, shard int, levels binary"), "levels")
-    words = by_block.mapInArrow(_dictionary, "block int, h long")
-    known = words.join(grams.where(F.col("kind") == WORD).select("h", "n"), "h").select("block", "h", "n")
-    known = known.unionByName(found, allowMissingColumns=True)
-
-    def block_scores(left: pa.Table, right: pa.Table) -> pa.Table:
-        answer = right.filter(pc.is_valid(right["levels"]))
-        right = right.filter(pc.is_null(right["levels"]))
-        h, c = right["h"].to_numpy().view(np.uint64), right["n"].to_numpy().astype(np.float64)
-        order = np.argsort(h)
-        h, c = h[order], c[order]
+
+    def block_scores(left: pa.Table, answer: pa.Table) -> pa.Table:
         data, off = text_arrays(left["text"])
         size = len(off) - 1
         out = np.zeros((4, size))
         cut = [(a, b, *tokens(data[off[a] : off[b]], off[a : b + 1] - off[a])) for a, b in steps(off)]
-        word = np.unique(np.concatenate([np.unique(t) for _, _, t, _ in cut]))
-        pair = np.unique(np.concatenate([np.unique(pair_keys(t)) for _, _, t, _ in cut]))
-        model = Routes(word, pair, cells, per).counts(answer["shard"].to_numpy(), answer["levels"].to_pylist())
+        word = distinct([distinct([t]) for _, _, t, _ in cut])
+        pair = distinct([distinct([pair_keys(t)]) for _, _, t, _ in cut])
+        routes, shards, found = Routes(word, pair, cells, per), answer["shard"].to_numpy(), answer["levels"].to_pylist()
+        model, counted = routes.counts(shards, found), routes.exact(shards, found)
         for a, b, token, first in cut:
-            if len(h):
-                at = np.minimum(np.searchsorted(h, token), len(h) - 1)
-                exact = np.where(h[at] == token, c[at], 0.0)
-            else:
-                exact = np.zeros(len(token))
-            parts = ((exact > 0).astype(float), np.log10((exact + 1) / (n + v + 1)), model_scores(word, pair, model, token, n, v))
+            where = np.searchsorted(word, token)
+            exact = counted[where]
+            parts = ((exact > 0).astype(float), np.log10((exact + 1) / (n + v + 1)), model_scores(word, pair, model, token, where, n, v))
             out[0, a:b] = np.diff(first)
             for k, x in enumerate(parts):
                 out[k + 1, a:b] = np.add.reduceat(x, first[:-1])
@@ -377,4 +377,4 @@ def score(spark: SparkSession, docs: DataFrame, train: str = "train") -> DataFra
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(block_scores, schema)
+    return dealt.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(block_scores, schema)

@@ -256,3 +256,19 @@ def test_every_language_is_learned(spark):
     got = Counter(r.lang for r in langid.training_sample(spark.createDataFrame(rows, "lang string, text string"), per_lang=50).collect())
     assert len(got) == 304 and got["copies"] == 20 and got["many"] == 50
     assert {n for k, n in got.items() if k.startswith("l0")} == {2} and got["rare"] == got["long"] == 1
+
+
+def test_answers_have_exact_counts(spark):
+    """The shard that tells a block's levels also tells the exact counts of its words; unknown words have none."""
+    h = np.random.default_rng(5).integers(0, 2**64, 9000, dtype=np.uint64)
+    n = np.arange(9000) % 50 + 1
+    kind = np.repeat([lm_bloom.WORD, lm_bloom.PAIR], [6000, 3000])
+    rows = spark.createDataFrame([(int(k), int(x), int(m)) for k, x, m in zip(kind, h.view(np.int64), n, strict=True)], "kind tinyint, h long, n long")
+    table = lm_bloom.build_filter(spark, rows, 5).collect()
+    word, pair = np.unique(h[3000:7000]), np.unique(h[6000:])
+    routes = lm_bloom.Routes(word, pair, 5, 2)
+    asked = [(r["shard"], 5, -1, r["sizes"], r["keys"]) for r in routes.rows(5).to_pylist()]
+    held = spark.createDataFrame([(r.cell // 2, -1, r.cell, bytes(r.words), bytes(r.bits)) for r in table] + asked, "shard int, block int, cell int, sizes binary, keys binary")
+    got = held.coalesce(1).sortWithinPartitions("shard", "block").mapInArrow(lm_bloom._answers(2), "block int, shard int, levels binary").collect()
+    count = dict(zip(h[:6000].tolist(), n[:6000].tolist(), strict=True))
+    assert routes.exact(np.array([r.shard for r in got]), [bytes(r.levels) for r in got]).tolist() == [count.get(x, 0) for x in word.tolist()]
