@@ -50,12 +50,17 @@ def _weighted(df: DataFrame, level: str, weights: dict[str, float]) -> Column:
 def shares(leaves: DataFrame, budget: Column | float, weights: dict[str, dict[str, float]]) -> DataFrame:
     """Leaf rows (domain, lang, source, leaf_tokens, capacity) with their share of the budget in tokens.
 
-    ``weights`` has, for each level, weights of its names. Works on one row per node, not on documents.
+    ``weights`` has, for each level, weights of its names. Works on one row per node, not on documents. Each level joins the shares of
+    the one above once, so that the plan has a few nodes a level instead of doubling with it.
     """
-    df = leaves.withColumn("share", F.lit(budget) if not isinstance(budget, Column) else budget)
+    above = None
     for depth, level in enumerate(LEVELS):
         parent, node = list(LEVELS[:depth]), list(LEVELS[: depth + 1])
-        children = df.groupBy(*node).agg(F.sum("capacity").alias("c"), F.max("share").alias("b")).withColumn("w", _weighted(df, level, weights.get(level, {})))
+        if above is None:
+            children = leaves.withColumn("b", F.lit(budget) if not isinstance(budget, Column) else budget).groupBy(*node).agg(F.sum("capacity").alias("c"), F.max("b").alias("b"))
+        else:
+            children = leaves.groupBy(*node).agg(F.sum("capacity").alias("c")).join(above.withColumnRenamed("share", "b"), parent)
+        children = children.withColumn("w", _weighted(children, level, weights.get(level, {})))
         order = Window.partitionBy(*parent).orderBy(F.col("c") / F.col("w"), level)
         whole = Window.partitionBy(*parent)
         children = children.withColumn("c0", F.coalesce(F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
@@ -64,8 +69,8 @@ def shares(leaves: DataFrame, budget: Column | float, weights: dict[str, dict[st
         children = children.withColumn("level", (F.col("b") - F.col("c0")) / F.col("w0"))
         children = children.withColumn("water", F.max(F.when(F.col("level") * F.col("w") <= F.col("c"), F.col("level"))).over(whole))
         children = children.withColumn("take", F.when(F.col("water").isNull(), F.col("c")).otherwise(F.least(F.col("c"), F.col("water") * F.col("w"))))
-        df = df.drop("share").join(children.select(*node, F.greatest("take", F.lit(0.0)).alias("share")), node)
-    return df
+        above = children.select(*node, F.greatest("take", F.lit(0.0)).alias("share"))
+    return leaves.drop("share").join(above, list(LEVELS))
 
 
 def rank_key(seed: int, epoch: Column, doc_id: Column) -> Column:
@@ -80,11 +85,13 @@ def mix(spark: SparkSession, docs: DataFrame, weights: dict[str, dict[str, float
     named = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), domain_of(F.col("source")).alias("domain"), tokens("text").alias("n_tokens"), *extra)
     rows = written(spark, named, "mix-tokens")
     leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("leaf_tokens"), F.count("*").alias("leaf_docs")).withColumn("capacity", F.col("leaf_tokens").cast("double") * epochs)
+    leaves = written(spark, leaves, "mix-leaves")
     total, count = leaves.agg(F.coalesce(F.sum("leaf_tokens"), F.lit(0)), F.count("*")).first()
     settled = shares(leaves, float(int(total * fraction)), weights).withColumn("target", F.floor(F.col("share") + 1e-6).cast("long"))
     settled = settled.withColumn("whole", F.when(F.col("leaf_tokens") > 0, F.floor(F.col("target") / F.col("leaf_tokens"))).otherwise(0).cast("int"))
     settled = settled.withColumn("left", F.col("target") - F.col("whole") * F.col("leaf_tokens")).withColumn("parts", F.ceil(F.col("leaf_docs") / PART_ROWS))
-    plan = settled.select(*LEVELS, "whole", "left", "parts")
+    # read three times below: written, the driver plans the tree once, and what follows is a small plan
+    plan = written(spark, settled.select(*LEVELS, "whole", "left", "parts"), "mix-shares")
     # so that a hot source isn't dealt to one task; beyond, adaptive execution splits it
     joined = rows.join(F.broadcast(plan) if count <= BROADCAST_LEAVES else plan, list(LEVELS))
     keep = ["doc_id", *LEVELS, "n_tokens", *extra]

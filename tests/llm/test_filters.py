@@ -293,6 +293,16 @@ def test_shares_go_to_siblings_first(spark):
         assert all(abs(got[k] - want[k]) < 1e-6 for k in want)
 
 
+def test_mixing_plans_stay_small(spark):
+    """The driver holds every plan and its codes: a join a level in the tree's, and none of the tree's in the documents'."""
+    nodes = lambda df, kind: len(re.findall(rf"\b{kind}\b", df._jdf.queryExecution().optimizedPlan().toString()))
+    leaves = spark.createDataFrame([("d0", "l0", "s0", 5.0)], "domain string, lang string, source string, capacity double")
+    tree = mixing.shares(leaves, 3.0, WEIGHTS)
+    assert nodes(tree, "Join") == len(mixing.LEVELS) and nodes(tree, "Aggregate") == len(mixing.LEVELS)
+    mixed = mixing.mix(spark, odd_documents(spark), WEIGHTS, extra=("text",))
+    assert nodes(mixed, "Join") <= 4 and nodes(mixed, "Aggregate") == 1
+
+
 def test_mixing_takes_prefixes_of_epochs(spark, monkeypatch):
     monkeypatch.setattr(mixing, "PART_ROWS", 3)
     docs = odd_documents(spark)
