@@ -1,8 +1,11 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pitchflow.llm import fm_index, repeats, suffix_sort
@@ -44,6 +47,52 @@ def test_two_stage_is_the_suffix_order():
         assert got.tolist() == sorted(range(n), key=lambda i: raw[i:])
 
 
+@pytest.mark.parametrize("most", [1, 3])
+def test_many_alike_suffixes_are_dealt_out(monkeypatch, most):
+    monkeypatch.setattr(suffix_sort, "SORTED", most)
+    rng = random.Random(3)
+    for alphabet in (b"ab", b"ab\0", b"a\0", b"abcdefgh"):
+        for n in (1, 2, 30, 400):
+            part = bytes(rng.choice(alphabet) for _ in range(n))
+            for raw in (part, part + part[: n // 2], part + b"ab\0" * 9):
+                assert suffix_sort.two_stage(np.frombuffer(raw, dtype=np.uint8), len(raw) + 1).tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
+
+
+@pytest.mark.parametrize("alphabet", ["01", "abcdefghijklmnopqrstuvwxyz "])
+def test_an_index_holds_few_bytes_a_byte(alphabet):
+    rng = random.Random(6)
+    line = "".join(rng.choices(alphabet, k=700)).encode()
+    segs = [line[:i] + b"-" + line[i + 1 :] for i in range(700)] + [line[:i] + b"+" + line[i + 1 :] for i in range(200)]
+    windows = 301
+    tracemalloc.start()
+    try:
+        hit = suffix_sort.repeated_windows(segs, np.ones(len(segs), dtype=np.int64), 400)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    count = Counter(s[i : i + 400] for s in segs for i in range(windows))
+    assert hit.tolist() == [count[s[i : i + 400]] > 1 for s in segs for i in range(windows)]
+    assert peak < 42 * sum(map(len, segs))
+
+
+@pytest.mark.parametrize("sizes", [[30, 30, 30, 30], [90, 90], [10, 95, 20], [30, 350], [350, 30], [20, 260, 200, 20]])
+def test_what_is_indexed_at_once(sizes):
+    """An anchor beyond a chunk is indexed alone, and others together up to a chunk."""
+    seen = []
+
+    def index(segments, counts, size):
+        seen.append({s[:1] for s in segments})
+        assert sum(map(len, segments)) <= 100 or len(seen[-1]) == 1
+        return np.ones(sum(len(s) - size + 1 for s in segments), dtype=bool)
+
+    unit = replace(suffix_sort.byte_unit(5, 3), index=index, chunk=100)
+    rows = [(h, 100 * h + i, bytes([65 + h]) * 10, 1) for h, n in enumerate(sizes) for i in range(n // 10)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["h", "own", "seg", "n"])
+    own = [o for b in repeats._shards(unit)([batch]) for o in b.column(0).to_pylist()]
+    assert sorted(own) == [r[1] for r in rows]
+    assert set().union(*seen) == {bytes([65 + h]) for h in range(len(sizes))}
+
+
 def test_common_prefixes():
     rng = random.Random(8)
     for n in (1, 2, 60, 300):
