@@ -6,6 +6,8 @@ frame where a rule works by match. Each helper takes arrays in frame order and r
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -259,6 +261,31 @@ def fatigue(stepped: DataFrame) -> DataFrame:
     return _per(stepped.select("match_id", "track_id", "frame_idx", "speed_ms"), TRACK, schema, code)
 
 
+def trend_of(xs: list[float], ys: list[float]) -> tuple[float, float, float, float, float]:
+    """(slope, R2, mean, deviation, last) of two values or more at growing places, one by one; products of both are added without rounding between, as DuckDB adds them."""
+    mx = my = xy = xx = yy = total = 0.0
+    for n, (x, y) in enumerate(zip(xs, ys, strict=True), 1):
+        dx, dy = x - mx, y - my
+        mx, my = mx + dx / n, my + dy / n
+        xy, xx, yy, total = math.fma(dx, y - my, xy), xx + (x - mx) * dx, yy + (y - my) * dy, total + y
+    sx, sy = math.sqrt(xx / n), math.sqrt(yy / n)
+    r = (xy / n) / (sx * sy) if yy else 1.0
+    return (xy / n) / (xx / n), r * r, total / n, sy, y
+
+
+def trend():
+    """``trend_of`` for arrays of (place, value)."""
+
+    @F.arrow_udf("struct<slope:double,r2:double,mean:double,sd:double,last:double>")
+    def found(rows: pa.Array) -> pa.Array:
+        x, y = (rows.flatten().field(k).to_pylist() for k in (0, 1))
+        off = np.concatenate([[0], np.cumsum(np.diff(rows.offsets.to_numpy()))]).tolist()
+        out = zip(*(trend_of(x[a:b], y[a:b]) for a, b in zip(off, off[1:])), strict=True)
+        return pa.StructArray.from_arrays([pa.array(c, pa.float64()) for c in out] if len(rows) else [pa.array([], pa.float64())] * 5, ["slope", "r2", "mean", "sd", "last"])
+
+    return found
+
+
 def nearest_share(nx: int, ny: int, step: float, at_once: int = 64):
     """Of arrays of (track_id, team_id, x, y) in order of track_id, the share of lattice points nearest to team 0."""
     gx, gy = np.repeat(np.arange(nx), ny) * step, np.tile(np.arange(ny), nx) * step

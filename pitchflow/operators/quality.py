@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import clock
+from .helpers import trend
 from .joins import FRAME
 from .physical import TRACK
 from .runs import with_run
@@ -175,12 +176,16 @@ def feed(events: DataFrame) -> DataFrame:
 
 
 def development(appearances: DataFrame) -> DataFrame:
-    """Trend of a player's values over matches by date: slope, R2, direction beyond 5 % of the mean, next value, consistency."""
+    """Trend of a player's values over matches by date: slope, R2, direction beyond 5 % of the mean, next value, consistency.
+
+    Values are tenths, so slopes and means are often just on an edge, where the last bit decides: they are added up and rounded as the SQL does it.
+    """
     rows = appearances.where("confidence IN ('high', 'medium')").withColumn("_i", F.row_number().over(Window.partitionBy("player_id").orderBy("date", "match_id")).cast("double"))
-    rows = rows.where("value > 0")
-    out = rows.groupBy("player_id").agg(F.count("*").alias("n"), F.regr_slope("value", "_i").alias("slope"), F.regr_r2("value", "_i").alias("r2"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), F.max_by("value", "_i").alias("last")).where("n >= 2")
+    own = rows.where("value > 0").groupBy("player_id").agg(F.array_sort(F.collect_list(F.struct("_i", "value"))).alias("v")).where(F.size("v") >= 2)
+    out = own.select("player_id", F.size("v").cast("long").alias("n"), trend()("v").alias("t")).select("player_id", "n", "t.*")
     direction = F.when(F.col("slope") / F.col("mean") > 0.05, "improving").when(F.col("slope") / F.col("mean") < -0.05, "declining").otherwise("stable")
-    return out.select("player_id", "n", F.round("slope", 4).alias("slope"), F.round("r2", 4).alias("r2"), direction.alias("direction"), F.round(F.greatest(F.lit(0.0), F.col("last") + F.col("slope")), 3).alias("next"), F.round(1 - F.col("sd") / F.col("mean"), 4).alias("consistency"))
+    near = lambda c, digits: F.round(c * 10.0**digits) / 10.0**digits
+    return out.select("player_id", "n", near(F.col("slope"), 4).alias("slope"), near(F.col("r2"), 4).alias("r2"), direction.alias("direction"), near(F.greatest(F.lit(0.0), F.col("last") + F.col("slope")), 3).alias("next"), near(1 - F.col("sd") / F.col("mean"), 4).alias("consistency"))
 
 
 def first_last(appearances: DataFrame) -> DataFrame:
