@@ -1,7 +1,7 @@
 """What an overlay shows of each known player in each frame, and why it hides the rest; counts and warnings of a run.
 
-All of it is joins and windows by (match, player) over a grid of frames. What was shown last is the only rule with memory: it runs between two
-seen boxes, so it is a fold over the few frames there, not over the match.
+All of it is windows by (match, player) over a grid of frames, dealt out once; what a frame knows for all players is brought along with the grid. What
+was shown last is the only rule with memory: it runs between two seen boxes, so it is a fold over the few frames there, not over the match.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ def timeline(matches: DataFrame, motion: DataFrame) -> DataFrame:
     rows = rows.select(*FRAME, "motion_class", *way, cuts)
     ahead = [F.lead(c).over(w).alias(f"n_{c}") for c in ("frame_idx", "ox", "oy", "motion_class")]
     samples = rows.select(*FRAME, F.struct("frame_idx", "ox", "oy", "motion_class", "cuts", *ahead).alias("s"))
-    frames = matches.select("match_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("frames_processed") - 1)).alias("frame_idx"))
+    frames = matches.where("frames_processed > 0").select("match_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("frames_processed") - 1)).alias("frame_idx"))
     both = frames.select(*FRAME, F.lit(None).cast(samples.schema["s"].dataType).alias("s"), F.lit(1).alias("asks")).unionByName(samples.withColumn("asks", F.lit(0)))
     met = both.withColumn("s", F.last("s", ignorenulls=True).over(Window.partitionBy("match_id").orderBy("frame_idx", "asks").rowsBetween(Window.unboundedPreceding, 0))).where("asks = 1")
     share = (F.col("frame_idx") - F.col("s.frame_idx")) / (F.col("s.n_frame_idx") - F.col("s.frame_idx"))
@@ -59,18 +59,25 @@ def candidates(players: DataFrame, motion: DataFrame, matches: DataFrame, width:
     Seen boxes are visible; of several of one id the surest stays (then the lower raw track), of a track that is an official's in this frame none. A gap of up to 8 frames
     is filled along the camera's way, the last box is held for up to 15 frames; neither goes over a cut.
     """
-    line = timeline(matches, motion)
-    seen = known(players, width, height)
-    box = F.struct("frame_idx", "raw_track_id", "assignment_source", "confidence", "x1", "y1", "x2", "y2", "ox", "oy", "cuts")
-    seen = seen.join(line.select(*FRAME, "ox", "oy", "cuts"), FRAME).select(*PLAYER, "frame_idx", box.alias("own"))
-    grid = seen.select(*PLAYER).distinct().join(line, "match_id").join(seen, [*PLAYER, "frame_idx"], "left")
-    w = Window.partitionBy(*PLAYER).orderBy("frame_idx", "own.raw_track_id")
-    back = Window.partitionBy(*PLAYER).orderBy(F.desc("frame_idx"), F.desc("own.raw_track_id"))
-    rows = grid.withColumn("p", F.last("own", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.last("own", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
+    officials = players.where("is_official").groupBy(*FRAME).agg(F.collect_set("raw_track_id").alias("officials"))
+    line = timeline(matches, motion).join(officials, FRAME, "left")
+    in_time = F.col("frame_idx").between(0, F.col("frames_processed") - 1)
+    seen = known(players, width, height).join(matches.select("match_id", "frames_processed"), "match_id").where(in_time)
+    own = F.struct("frame_idx", "raw_track_id", "assignment_source", "confidence", "x1", "y1", "x2", "y2")
+    at = F.struct("ox", "oy", "motion_class", "cuts", "officials")
+    grid = seen.select(*PLAYER).distinct().join(line, "match_id").select(*PLAYER, "frame_idx", at.alias("at"))
+    both = grid.unionByName(seen.select(*PLAYER, "frame_idx", own.alias("own")), allowMissingColumns=True)
+    w = Window.partitionBy(*PLAYER).orderBy("frame_idx", F.col("own").isNotNull(), "own.raw_track_id")  # each frame's row of the grid, then its boxes
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = both.withColumn("at", F.last("at", ignorenulls=True).over(so_far)).withColumn("_next", F.lead("frame_idx").over(w)).select(*PLAYER, "frame_idx", "at.*", "own", "_next")
+    rows = rows.withColumn("p", F.last(F.when(F.col("own").isNotNull(), F.struct("own.*", "ox", "oy", "cuts")), ignorenulls=True).over(so_far))
+    rows = rows.where("own IS NOT NULL OR _next IS NULL OR _next > frame_idx").withColumn("mine", F.col("own").isNotNull()).drop("own", "_next")  # p is the own box then
+    back = Window.partitionBy(*PLAYER).orderBy(F.desc("frame_idx"), F.desc("p.raw_track_id"))
+    rows = rows.withColumn("n", F.last(F.when(F.col("mine"), F.col("p")), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
     age, gap = F.col("frame_idx") - F.col("p.frame_idx"), F.col("n.frame_idx") - F.col("p.frame_idx")
     held = (age <= HOLD) & (F.col("cuts") == F.col("p.cuts"))
     state = (
-        F.when(F.col("own").isNotNull(), "visible").when(F.col("p").isNull(), None).when(F.col("n").isNotNull() & (F.col("n.cuts") != F.col("p.cuts")), None)
+        F.when(F.col("mine"), "visible").when(F.col("p").isNull(), None).when(F.col("n").isNotNull() & (F.col("n.cuts") != F.col("p.cuts")), None)
         .when(gap <= FILL, "interpolated").when(held, "held")
     )
     reason = (
@@ -83,14 +90,13 @@ def candidates(players: DataFrame, motion: DataFrame, matches: DataFrame, width:
     size = lambda a, b: (F.col(f"p.{b}") - F.col(f"p.{a}")) + ((F.col(f"n.{b}") - F.col(f"n.{a}")) - (F.col(f"p.{b}") - F.col(f"p.{a}"))) * t
     along = lambda a, b, o: (mid("p", a, b) - F.col(f"p.{o}")) + ((mid("n", a, b) - F.col(f"n.{o}")) - (mid("p", a, b) - F.col(f"p.{o}"))) * smooth + F.col(o)
     filled = {"x1": along("x1", "x2", "ox") - size("x1", "x2") / 2, "y1": along("y1", "y2", "oy") - size("y1", "y2") / 2, "x2": along("x1", "x2", "ox") + size("x1", "x2") / 2, "y2": along("y1", "y2", "oy") + size("y1", "y2") / 2}
-    last = F.coalesce("own", "p", "n")  # the box that the row goes by
+    last = F.coalesce("p", "n")  # the box that the row goes by
     rows = rows.withColumn("state", state).withColumn("reason", F.when(F.col("state").isNull(), reason)).withColumn("by", last)
     rows = rows.withColumns({c: F.when(F.col("state") == "interpolated", v).when(F.col("state").isNotNull(), F.col(f"by.{c}")) for c, v in filled.items()})
-    rows = rows.select(*FRAME, "player_id", "motion_class", F.col("by.raw_track_id").alias("raw_track_id"), F.col("by.assignment_source").alias("assignment_source"), F.col("by.confidence").alias("confidence"), "state", "reason", age.alias("age"), "x1", "y1", "x2", "y2")
+    rows = rows.select(*FRAME, "player_id", "motion_class", F.col("by.raw_track_id").alias("raw_track_id"), F.col("by.assignment_source").alias("assignment_source"), F.col("by.confidence").alias("confidence"), "state", "reason", age.alias("age"), "x1", "y1", "x2", "y2", "officials")
     small = (F.col("state") != "visible") & ((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")) < AREA)
     rows = _hidden(rows, small, "empty_box")
-    officials = players.where("is_official").select(*FRAME, "raw_track_id", F.lit(True).alias("_official")).distinct()
-    rows = _hidden(rows.join(officials, [*FRAME, "raw_track_id"], "left"), F.col("_official"), "official", always=True).drop("_official")
+    rows = _hidden(rows, F.array_contains("officials", F.col("raw_track_id")), "official", always=True).drop("officials")
     first = F.row_number().over(Window.partitionBy(*PLAYER, "frame_idx").orderBy(F.desc(F.col("state").isNotNull()), F.desc("confidence"), "raw_track_id"))
     return _hidden(rows.withColumn("_first", first), F.col("_first") > 1, "duplicate_id").drop("_first")
 
@@ -109,9 +115,8 @@ def decisions(found: DataFrame) -> DataFrame:
     seen = F.coalesce(F.col("state") == "visible", F.lit(False))
     so_far = Window.partitionBy(*PLAYER).orderBy("frame_idx").rangeBetween(Window.unboundedPreceding, 0)  # all rows of a frame are in one block
     rows = found.withColumn("block", F.count_if(seen).over(so_far))
-    by = [*PLAYER, "block"]
     centre = lambda a, b: (F.col(a) + F.col(b)) / 2
-    asked = rows.where("state IS NOT NULL").select(*by, F.struct("frame_idx", (F.col("state") == "visible").alias("seen"), centre("x1", "x2").alias("x"), centre("y1", "y2").alias("y"), (F.col("motion_class") == "fast_pan").alias("pan")).alias("r"))
+    asked = F.when(F.col("state").isNotNull(), F.struct("frame_idx", (F.col("state") == "visible").alias("seen"), centre("x1", "x2").alias("x"), centre("y1", "y2").alias("y"), (F.col("motion_class") == "fast_pan").alias("pan")))
     start = F.struct(F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"), F.array().cast("array<struct<f:bigint,why:string>>").alias("gone"))
 
     def step(acc: Column, r: Column) -> Column:
@@ -121,9 +126,13 @@ def decisions(found: DataFrame) -> DataFrame:
         return F.struct(F.when(why.isNull(), r["x"]).otherwise(acc["x"]).alias("x"), F.when(why.isNull(), r["y"]).otherwise(acc["y"]).alias("y"),
                         F.when(why.isNull(), acc["gone"]).otherwise(F.concat(acc["gone"], F.array(F.struct(r["frame_idx"].alias("f"), why.alias("why"))))).alias("gone"))
 
-    folded = asked.groupBy(*by).agg(F.aggregate(F.array_sort(F.collect_list("r")), start, step)["gone"].alias("gone")).where(F.size("gone") > 0)
-    gone = folded.select(*by, F.explode("gone").alias("g")).select(*by, F.col("g.f").alias("frame_idx"), F.col("g.why").alias("_why"))
-    out = rows.join(gone, [*by, "frame_idx"], "left").withColumn("_why", F.when(F.col("state") != "visible", F.col("_why")))
+    in_block = Window.partitionBy(*PLAYER, "block").orderBy("frame_idx")
+    whole = in_block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumn("_asked", F.collect_list(asked).over(whole)).withColumn("_nth", F.row_number().over(in_block))
+    folded = F.when((F.col("_nth") == 1) & F.exists("_asked", lambda r: ~r["seen"]), F.aggregate(F.array_sort("_asked"), start, step)["gone"])  # once a block
+    rows = rows.withColumn("_gone", F.first(folded, ignorenulls=True).over(whole))
+    why = F.get(F.filter("_gone", lambda g: g["f"] == F.col("frame_idx")), F.lit(0))["why"]
+    out = rows.withColumn("_why", F.when(F.col("state") != "visible", why))
     out = out.withColumn("reason", F.coalesce("_why", "reason")).withColumn("state", F.when(F.col("_why").isNull(), F.col("state")))
     alpha = F.when(F.col("state") == "visible", 1.0).when(F.col("state") == "interpolated", FILLED).when(F.col("state") == "held", F.greatest(F.lit(FAINTEST), 1 - FADE * F.col("age")))
     box = [F.when(F.col("state").isNotNull(), F.col(c)).alias(c) for c in ("x1", "y1", "x2", "y2")]

@@ -76,6 +76,7 @@ def i13_candidates(spark, d):
 
 
 @op("i13_decisions")
+@base_once
 def i13(spark, d):
     return display.decisions(display.candidates(*tables(spark, d, "players", "motion", "matches"))).where("state <> 'visible'")
 
