@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import display, identity, joins, possession, quality, services, stories, threads, velocity
 from ..sources.adapter import base_once, tables
+from ..sources.shared import stored
 from .events import _FRAG
 from .physical import stepped
 from .registry import ORACLES, STEPS, carriers_sql, op
@@ -82,9 +83,11 @@ def i13(spark, d):
 
 
 @op("a35_manifest")
+@base_once
 def a35(spark, d):
     players, motion, matches = tables(spark, d, "players", "motion", "matches")
-    return display.manifest(display.decisions(display.candidates(players, motion, matches)), players, motion, matches)
+    decided = display.decisions(display.candidates(players, motion, matches)).select("match_id", "frame_idx", "player_id", "assignment_source", "state", "reason")
+    return display.manifest(stored(spark, decided, "decided"), players, motion, matches)
 
 
 def velocities(spark, d):
