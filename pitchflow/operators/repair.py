@@ -67,14 +67,12 @@ def suppressed(boxes: DataFrame, stale: int = 25, most: int = 28) -> DataFrame:
 def spans(rows: DataFrame, segments: DataFrame, columns: list[str]) -> DataFrame:
     """Columns of the first segment (match_id, raw_track_id, start_frame, end_frame) that each row's frame lies in; nulls if none does.
 
-    Segments of a raw track are few, so the join is on the raw track and the frame decides.
+    Segments of a raw track are few, so each row is given those of its raw track, and the frame decides.
     """
     key = ["match_id", "raw_track_id"]
-    s = segments.select(*key, F.col("start_frame").alias("_a"), F.col("end_frame").alias("_b"), *(F.col(c).alias(f"_{c}") for c in columns))
-    met = rows.join(s, key).where(F.col("frame_idx").between(F.col("_a"), F.col("_b")))
-    first = met.groupBy(*key, "frame_idx").agg(F.min(F.struct("_a", "_b", *(f"_{c}" for c in columns))).alias("_s"))
-    out = rows.join(first, [*key, "frame_idx"], "left")
-    return out.select(*rows.columns, *(F.col(f"_s._{c}").alias(c) for c in columns))
+    own = segments.groupBy(*key).agg(F.collect_list(F.struct(F.col("start_frame").alias("_a"), F.col("end_frame").alias("_b"), *columns)).alias("_own"))
+    first = F.array_min(F.filter("_own", lambda s: F.col("frame_idx").between(s["_a"], s["_b"])))
+    return rows.join(own, key, "left").withColumn("_s", first).select(*rows.columns, *(F.col(f"_s.{c}").alias(c) for c in columns))
 
 
 def pitch_gate(rows: DataFrame, metres_a_frame: float = 1.2, reach: float = 31.5) -> DataFrame:

@@ -76,17 +76,18 @@ def segments(players: DataFrame, motion: DataFrame) -> DataFrame:
     rows = with_run(rows, RAW, "frame_idx", gap.isNull() | F.col("_why").isNotNull())
     by = [*RAW, "run"]
     rows = rows.withColumn("_left", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("frame_idx"))))
-    teams = rows.where("team_id IS NOT NULL").groupBy(*by, "team_id").agg(F.count("*").alias("n"), F.min("frame_idx").alias("f"))
-    teams = teams.groupBy(*by).agg(F.min(F.struct((-F.col("n")).alias("n"), "f", "team_id")).alias("t")).select(*by, F.col("t.team_id").alias("team_id"))
+    of_team = Window.partitionBy(*by, "team_id")
+    team = F.struct((-F.count("*").over(of_team)).alias("n"), F.min("frame_idx").over(of_team).alias("f"), "team_id")
+    rows = rows.withColumn("_team", F.when(F.col("team_id").isNotNull(), team))
     sixth = lambda c: F.max_by(c, F.when(F.col("_left") <= 6, F.col("_left")))
     last = lambda c: F.min_by(c, "_left")
     out = rows.groupBy(*by).agg(
         F.min("frame_idx").alias("start_frame"), F.max("frame_idx").alias("end_frame"), F.count("*").alias("rows"), F.max_by("_why", "_left").alias("reason"),
         *(F.max_by(c, "_left").alias(f"first_{c}") for c in ("sx", "sy")), *(last(c).alias(f"last_{c}") for c in ("sx", "sy")), *(sixth(c).alias(f"from_{c}") for c in ("frame_idx", "sx", "sy")),
-        F.array_sort(F.collect_set("player_id")).alias("players"), F.avg("identity_confidence").alias("mean"))
+        F.array_sort(F.collect_set("player_id")).alias("players"), F.avg("identity_confidence").alias("mean"), F.min("_team")["team_id"].alias("team_id"))
     wait = F.greatest(F.col("end_frame") - F.col("from_frame_idx"), F.lit(1))
     out = out.withColumns({"vx": (F.col("last_sx") - F.col("from_sx")) / wait, "vy": (F.col("last_sy") - F.col("from_sy")) / wait})
-    out = out.join(teams, by, "left").withColumn("confidence", F.when(F.col("mean").isNull(), UNKNOWN_CONFIDENCE).otherwise(F.least(F.greatest("mean", F.lit(0.0)), F.lit(1.0))))
+    out = out.withColumn("confidence", F.when(F.col("mean").isNull(), UNKNOWN_CONFIDENCE).otherwise(F.least(F.greatest("mean", F.lit(0.0)), F.lit(1.0))))
     number = F.row_number().over(Window.partitionBy("match_id").orderBy("raw_track_id", "start_frame"))
     return out.withColumn("number", number.cast("long")).drop("run", "mean", "from_frame_idx", "from_sx", "from_sy")
 
@@ -217,7 +218,7 @@ def _frame(value) -> int | None:
 
 def replayed(held: dict[str, _Edited], log) -> list[tuple[int, str, bool, str]]:
     """I9 for one match: edits in order, each applied to what those before it left, or refused with a reason: (edit, action, applied, reason)."""
-    out = []
+    out, marked = [], {e for t in held.values() for e in t.events}
     for row in log:
         action, source, target = _text(row.action).lower(), _text(row.thread_id), _text(row.target_thread_id)
         ok, why = False, "unsupported"
@@ -253,10 +254,11 @@ def replayed(held: dict[str, _Edited], log) -> list[tuple[int, str, bool, str]]:
                     ok, why = True, f"split into CT{k:02d}"
         elif action in ("mark_unknown", "assign_label"):
             ok, why = True, "queued"
-        if ok:
+        event = _text(row.event_id)
+        if ok and event in marked:
             for t in held.values():
-                if _text(row.event_id) in t.events:
-                    t.events[_text(row.event_id)] = "reviewed"
+                if event in t.events:
+                    t.events[event] = "reviewed"
         out.append((row.edit, action, ok, why))
     return out
 
@@ -293,22 +295,38 @@ def review_edits(found: DataFrame, events: DataFrame, log: DataFrame) -> tuple[D
     return both.where("edit IS NULL").select("match_id", "thread_id", "segment_id", "raw_track_id", "start_frame", "end_frame", "thread_status"), both.where("edit IS NOT NULL").select("match_id", "edit", "action", "applied", "reason")
 
 
+def _standing(rules: Column) -> Column:
+    """Without the rules that a later one with the same frame, an earlier one or none always overrules; the frames of what is left rise."""
+    start = F.struct(F.slice(rules, 1, 0).alias("kept"), F.lit(None).cast("long").alias("least"))
+
+    def step(acc: Column, r: Column) -> Column:
+        at = F.coalesce(r["frame"], F.lit(-(1 << 63)))
+        stands = acc["least"].isNull() | (at < acc["least"])
+        return F.struct(F.when(stands, F.concat(F.array(r), acc["kept"])).otherwise(acc["kept"]).alias("kept"), F.when(stands, at).otherwise(acc["least"]).alias("least"))
+
+    return F.aggregate(F.reverse(rules), start, step)["kept"]
+
+
 def annotated(players: DataFrame, edited: DataFrame, log: DataFrame) -> DataFrame:
     """Players with the thread of their segment (J10), and with the last rule that fits: mark_unknown takes the id away, assign_label sets it.
 
     A rule fits its thread and segment where they are named; from its frame on, where it has one (assign_label: only with the scope after_frame or from_frame).
+    Rules meet the segments they fit by those names, so a row is asked about the few that stand for its own segment.
     """
-    hit = spans(players, edited, ["thread_id", "segment_id", "thread_status"])
     text = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
     action = F.lower(text("action"))
     ranged = (action == "mark_unknown") | F.lower(text("scope")).isin("after_frame", "from_frame")
     frame = F.when(ranged & (text("frame") != ""), F.coalesce(F.expr("try_cast(try_cast(frame AS double) AS bigint)"), F.lit((1 << 63) - 1)))  # what is no frame fits none
-    rules = log.select("match_id", F.struct("edit", action.alias("action"), text("thread_id").alias("thread_id"), text("segment_id").alias("segment_id"), frame.alias("frame"), text("label").alias("label")).alias("r"))
-    rules = rules.where("r.action = 'mark_unknown' OR (r.action = 'assign_label' AND r.label <> '')").groupBy("match_id").agg(F.array_sort(F.collect_list("r")).alias("rules"))
-    fits = lambda r: r["thread_id"].isin("") | (r["thread_id"] == F.col("thread_id"))
-    part = lambda r: (r["segment_id"] == "") | (r["segment_id"] == F.col("segment_id"))
+    names = [text("thread_id").alias("thread_id"), text("segment_id").alias("segment_id")]
+    rules = log.select("match_id", *(n.alias(k) for n, k in zip(names, ("_t", "_p"), strict=True)), F.struct("edit", action.alias("action"), *names, frame.alias("frame"), text("label").alias("label")).alias("r"))
+    rules = rules.where("r.action = 'mark_unknown' OR (r.action = 'assign_label' AND r.label <> '')")
+    any_of = F.lit("")
+    named = [F.struct(F.coalesce(t, any_of).alias("_t"), F.coalesce(p, any_of).alias("_p")) for t in (F.col("thread_id"), any_of) for p in (F.col("segment_id"), any_of)]
+    asked = edited.select("*", F.explode(F.array_distinct(F.array(*named))).alias("_k")).select(*edited.columns, "_k.*")
+    fit = asked.join(rules, ["match_id", "_t", "_p"], "left").groupBy(*edited.columns).agg(_standing(F.array_sort(F.collect_list("r"))).alias("rules"))
+    hit = spans(players, fit, ["thread_id", "segment_id", "thread_status", "rules"])
     since = lambda r: r["frame"].isNull() | (F.col("frame_idx") >= r["frame"])
-    out = hit.join(rules, "match_id", "left").withColumn("_r", F.when(F.col("thread_id").isNotNull(), F.try_element_at(F.filter("rules", lambda r: fits(r) & part(r) & since(r)), F.lit(-1))))
+    out = hit.withColumn("_r", F.when(F.col("thread_id").isNotNull(), F.try_element_at(F.filter("rules", since), F.lit(-1))))
     unknown, labelled = F.col("_r.action") == "mark_unknown", F.col("_r.action") == "assign_label"
     changed = {"player_id": F.when(labelled, F.col("_r.label")).when(unknown, F.lit(None)).otherwise(F.col("player_id")),
                "assignment_source": F.when(labelled, "thread_review").when(unknown, "thread_unknown").otherwise(F.col("assignment_source"))}

@@ -51,8 +51,10 @@ def i9_edits(spark, d):
 
 
 @op("i9_annotated")
+@base_once
 def i9(spark, d):
-    rows, players = found(spark, d), tables(spark, d, "players")[0]
+    players, motion = tables(spark, d, "players", "motion")
+    rows = stored(spark, threads.threads(stored(spark, threads.segments(players, motion), "segments")), "threads")
     after, _ = threads.review_edits(rows, threads.thread_events(rows), edits(rows))
     return threads.annotated(players, after, edits(rows)).groupBy("match_id", "thread_id", "player_id", "assignment_source", "thread_status").agg(F.count("*").alias("boxes"))
 

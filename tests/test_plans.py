@@ -12,7 +12,7 @@ def exchanges(df):
     return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
 
 
-@pytest.mark.parametrize("name, most", [("i13_decisions", 10), ("a35_manifest", 13)])
+@pytest.mark.parametrize("name, most", [("i13_decisions", 10), ("a35_manifest", 13), ("i9_annotated", 12)])
 def test_exchanges(spark, name, most):
     assert exchanges(QUERIES[name](spark, SF)) <= most
 
